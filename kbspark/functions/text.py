@@ -143,12 +143,28 @@ def squash(c: str | Column) -> Column:
 
 def lexical_coverage(query: str | Column, content: str | Column) -> Column:
     """Share of the query's distinct n-grams (2 if it has CJK characters, else 3) that the content holds; very short queries: held or not."""
-    keep = "[^a-z0-9一-鿿]"
-    q = F.regexp_replace(F.lower(col(query)), keep, "")
-    c = F.regexp_replace(F.lower(col(content)), keep, "")
-    share = lambda n: (lambda g: F.size(F.filter(g, lambda x: F.instr(c, x) > 0)) / F.size(g))(F.array_distinct(ngrams(q, n)))
-    two, three = share(2), share(3)
-    return F.when(F.length(q) == 0, 0.0).when(F.length(q) <= 2, F.when(F.instr(c, q) > 0, 1.0).otherwise(0.0)).when(col(query).rlike("[一-鿿]"), two).otherwise(three)
+    return coverage(coverage_query(query), coverage_text(content))
+
+
+def coverage_text(c: str | Column) -> Column:
+    """What coverage compares: digits, ASCII letters in lower case and CJK characters."""
+    return F.regexp_replace(F.lower(col(c)), "[^a-z0-9一-鿿]", "")
+
+
+def coverage_query(c: str | Column) -> Column:
+    """``q, g``: a query's comparable text and its n-grams."""
+    q = coverage_text(c)
+    grams = F.when(col(c).rlike("[一-鿿]"), F.array_distinct(ngrams(q, 2))).otherwise(F.array_distinct(ngrams(q, 3)))
+    return F.struct(q.alias("q"), grams.alias("g"))
+
+
+def coverage(query: Column, text: Column) -> Column:
+    """Coverage from prepared sides; each is evaluated once."""
+    both = F.array(F.struct(query.alias("q"), text.alias("c")))
+    share = lambda s: F.size(F.filter(s["q"]["g"], lambda x: F.instr(s["c"], x) > 0)) / F.size(s["q"]["g"])
+    short = lambda s: F.when(F.instr(s["c"], s["q"]["q"]) > 0, 1.0).otherwise(0.0)
+    value = lambda s: F.when(F.length(s["q"]["q"]) == 0, 0.0).when(F.length(s["q"]["q"]) <= 2, short(s)).otherwise(share(s))
+    return F.get(F.transform(both, value), F.lit(0))
 
 
 #: Rules of the screen, in order; intent, reason, pattern.

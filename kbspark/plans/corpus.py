@@ -216,14 +216,14 @@ def txt13_clean_rewrite(t):
     return t.documents.select("doc_id", T.clean_rewrite(raw, F.lit("Q")).alias("q"))
 
 
-@query("""WITH v AS (SELECT question_id, 0 AS ord, trim(question) AS text FROM questions UNION ALL SELECT question_id, 1, upper(question) FROM questions WHERE question_id % 2 = 0 UNION ALL SELECT question_id, 2, trim(substring(passage, 20, 30)) FROM questions UNION ALL SELECT question_id, 3, trim(substring(passage, 30, 30)) FROM questions),
+@query("""WITH v AS (SELECT question_id, 0 AS ord, trim(question) AS text FROM questions UNION ALL SELECT question_id, 1, lower(trim(question)) FROM questions WHERE question_id % 2 = 0 UNION ALL SELECT question_id, 2, trim(substring(passage, 20, 30)) FROM questions UNION ALL SELECT question_id, 3, trim(substring(passage, 30, 30)) FROM questions),
 d AS (SELECT *, row_number() OVER (PARTITION BY question_id, lower(text) ORDER BY ord) AS n FROM v WHERE text <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY ord) AS m FROM d WHERE n = 1)
 SELECT question_id, CASE WHEN m = 1 THEN 'primary' ELSE 'expansion_' || (m - 1)::VARCHAR END AS channel, text FROM r WHERE m <= 3 UNION ALL SELECT question_id, 'hyde' AS channel, passage AS text FROM questions""")
 def txt14_query_variants(t):
     from kbspark.operators.retrieval import query_variants
 
-    q = t.questions.selectExpr("question_id AS query_id", "question AS text", "passage AS hyde", "CASE WHEN question_id % 2 = 0 THEN array(upper(question), substring(passage, 20, 30), substring(passage, 30, 30)) ELSE array('', substring(passage, 20, 30), substring(passage, 30, 30)) END AS expansions")
+    q = t.questions.selectExpr("question_id AS query_id", "question AS text", "passage AS hyde", "CASE WHEN question_id % 2 = 0 THEN array(lower(question), substring(passage, 20, 30), substring(passage, 30, 30)) ELSE array('', substring(passage, 20, 30), substring(passage, 30, 30)) END AS expansions")
     return query_variants(q, 3).select(F.col("query_id").alias("question_id"), "channel", "text")
 
 
