@@ -1 +1,109 @@
-"""Queries."""
+"""Queries of snapshots, versions and pipeline state."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kbspark.operators import versions as V
+from kbspark.plans.registry import query
+
+
+@query("WITH d AS (SELECT kb_id, count(*) AS documents, sum(doc_id % 9)::BIGINT AS chunks, sha256(string_agg(sha256(raw_text), ',' ORDER BY doc_id)) AS content FROM docs WHERE status <> 'archived' GROUP BY kb_id), g AS (SELECT kb_id, count(*) AS n FROM grants GROUP BY kb_id) SELECT k.kb_id, coalesce(d.documents, 0) AS documents, coalesce(d.chunks, 0) AS chunks, d.content, coalesce(g.n, 0)::INT AS n_permissions FROM kbs AS k LEFT JOIN d ON d.kb_id = k.kb_id LEFT JOIN g ON g.kb_id = k.kb_id")
+def ver01_capture(t):
+    out = V.capture(t.kbs, t.docs.withColumn("chunk_count", F.col("doc_id") % 9), t.grants)
+    return out.select("kb_id", "documents", "chunks", "content", F.size("permissions").alias("n_permissions"))
+
+
+_DIFF = "df AS (SELECT coalesce(c.doc_id, s.doc_id) AS doc_id, CASE WHEN c.doc_id IS NULL THEN 'added' WHEN s.doc_id IS NULL THEN 'removed' WHEN c.content_hash <> s.content_hash OR c.chunk_count <> s.chunk_count OR c.filename <> s.filename OR c.file_type <> s.file_type THEN 'modified' ELSE 'unchanged' END AS change FROM current_docs AS c FULL OUTER JOIN snapshot_docs AS s ON s.doc_id = c.doc_id)"
+
+
+@query(f"WITH {_DIFF} SELECT * FROM df")
+def ver02_diff(t):
+    return V.diff(t.current_docs, t.snapshot_docs)
+
+
+@query("SELECT kb_id, 'name' AS field, name || '!' AS old, name AS new FROM kbs WHERE creator_id % 3 = 0 UNION ALL SELECT kb_id, 'department' AS field, 'A' AS old, department AS new FROM kbs WHERE department IS NULL OR department <> 'A'")
+def ver03_config_diff(t):
+    old = t.kbs.withColumn("name", F.when(F.col("creator_id") % 3 == 0, F.concat("name", F.lit("!"))).otherwise(F.col("name"))).withColumn("department", F.lit("A"))
+    return V.config_diff(t.kbs, old, ["name", "department", "status"])
+
+
+@query(f"WITH {_DIFF}, c AS (SELECT doc_id FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT -1 - doc_id AS doc_id FROM documents WHERE doc_id < 3) SELECT doc_id, change FROM df WHERE change <> 'unchanged' AND doc_id IN (SELECT doc_id FROM c) UNION ALL SELECT doc_id, 'unknown' AS change FROM c WHERE doc_id NOT IN (SELECT doc_id FROM df)")
+def ver04_preview(t):
+    chosen = t.documents.where("doc_id % 4 = 0").select("doc_id").unionByName(t.documents.where("doc_id < 3").selectExpr("-1 - doc_id AS doc_id"))
+    return V.preview(t.current_docs, t.snapshot_docs, chosen)
+
+
+@query("SELECT doc_id, content_hash, 'pending_segment' AS status FROM snapshot_docs UNION ALL SELECT doc_id, content_hash, 'archived' AS status FROM current_docs WHERE doc_id NOT IN (SELECT doc_id FROM snapshot_docs)")
+def ver05_rollback(t):
+    return V.rollback(t.current_docs, t.snapshot_docs)
+
+
+@query("WITH p AS (SELECT * FROM snapshot_docs WHERE doc_id % 4 = 0) SELECT doc_id, content_hash, 'pending_segment' AS status FROM p UNION ALL SELECT doc_id, content_hash, 'ready' AS status FROM current_docs WHERE doc_id NOT IN (SELECT doc_id FROM p)", name="ver05_rollback_selective")
+def ver05_rollback_selective(t):
+    return V.rollback(t.current_docs, t.snapshot_docs, t.documents.where("doc_id % 4 = 0"))
+
+
+@query()
+def ver06_compensate(t):
+    out = V.compensate(t.snapshot_docs, t.docs.select("doc_id", "raw_text"), "doc_id", "raw_text")
+    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("char_count").alias("chars"))
+
+
+@query("WITH s AS (SELECT * FROM snapshots WHERE snapshot_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')), o AS (SELECT *, created_at < TIMESTAMP '2024-04-10 00:00:00' - INTERVAL 90 DAY AS old FROM s), y AS (SELECT snapshot_id, row_number() OVER (PARTITION BY kb_id ORDER BY created_at DESC, snapshot_id DESC) AS n FROM o WHERE NOT old AND NOT is_protection) SELECT snapshot_id, 'age' AS reason FROM o WHERE old UNION ALL SELECT snapshot_id, 'count' AS reason FROM y WHERE n > 50")
+def ver07_prune_snapshots(t):
+    out = t.snapshots.where("event_type = 'click'").select("snapshot_id")
+    return V.prune_snapshots(t.snapshots, "2024-04-10 00:00:00", excluded=out)
+
+
+@query("WITH c AS (SELECT kb_id, max(version) AS v FROM index_versions WHERE kb_id <> 'src3' GROUP BY kb_id), o AS (SELECT c.kb_id, c.v FROM c JOIN index_versions AS i ON i.kb_id = c.kb_id AND i.version = c.v AND i.status <> 'failed') SELECT i.kb_id, i.version, CASE WHEN o.v IS NULL THEN i.status WHEN i.version = o.v THEN 'current' WHEN i.status = 'current' THEN 'obsolete' ELSE i.status END AS status FROM index_versions AS i LEFT JOIN o ON o.kb_id = i.kb_id")
+def ver08_activate(t):
+    chosen = t.index_versions.where("kb_id <> 'src3'").groupBy("kb_id").agg(F.max("version").alias("version"))
+    return V.activate(t.index_versions, chosen)
+
+
+@query("SELECT d.doc_id, d.kb_id, coalesce(CASE WHEN k.creator_id % 2 = 0 THEN 800 END, 500)::INT AS chunk_size, 50::INT AS chunk_overlap, CASE WHEN d.file_type = 'md' THEN 'markdown' ELSE 'paragraph' END AS split_mode FROM docs AS d JOIN kbs AS k ON k.kb_id = d.kb_id WHERE d.status IN ('ready', 'error')")
+def ver09_plan_revectorize(t):
+    none = lambda n, k: F.lit(None).cast(k).alias(n)
+    docs = t.docs.select("doc_id", "kb_id", "file_type", "status", none("chunk_size", "int"), none("chunk_overlap", "int"), none("split_mode", "string"))
+    rules = t.kbs.select("kb_id", F.when(F.col("creator_id") % 2 == 0, 800).alias("chunk_size"), none("chunk_overlap", "int"), none("split_mode", "string"))
+    return V.plan_revectorize(docs, rules)
+
+
+@query("SELECT doc_id, CASE WHEN status = 'error' THEN 'error' ELSE 'no_chunks' END AS reason FROM docs WHERE status = 'error' OR doc_id NOT IN (SELECT doc_id FROM chunks WHERE doc_id % 6 <> 0)")
+def ver10_plan_rebuild(t):
+    return V.plan_rebuild(t.docs, t.chunks.where("doc_id % 6 <> 0"))
+
+
+@query("SELECT kb_id, arg_max(task_id, (updated_at, task_id)) AS task_id, arg_max(status, (updated_at, task_id)) AS status, bool_or(status IN ('pending', 'queued', 'running')) AS active, floor(100 * count(*) FILTER (WHERE status NOT IN ('pending', 'queued', 'running')) / count(*))::BIGINT AS percent FROM tasks GROUP BY kb_id")
+def ver11_latest_task(t):
+    return V.latest_task(t.tasks)
+
+
+_EDGES = ", ".join(f"('{a}', '{b}')" for a, to in V.STEPS.items() for b in to)
+
+
+@query(f"WITH e(a, b) AS (VALUES {_EDGES}), l AS (SELECT document_id, seq, status, lag(status) OVER (PARTITION BY document_id ORDER BY seq) AS before FROM status_log) SELECT document_id, seq, before, status FROM l WHERE before IS NOT NULL AND (before, status) NOT IN (SELECT a, b FROM e)")
+def ver12_illegal_transitions(t):
+    return V.illegal_transitions(t.status_log)
+
+
+_MODELS = "SELECT event_id AS model_id, event_type AS kind, event_id % 3 <> 0 AS enabled, event_id % 200 = 1 AS is_default, CAST(floor(value) AS BIGINT) AS priority FROM {events}"
+
+
+@query(f"WITH m AS ({_MODELS.replace('{events}', 'events')}) SELECT kind, model_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY is_default DESC, priority DESC, model_id) AS n FROM m WHERE enabled) AS x WHERE n = 1")
+def ver13_resolve_models(t):
+    return V.resolve_models(t.spark.sql(_MODELS, events=t.events))
+
+
+@query(f"WITH m AS ({_MODELS.replace('{events}', 'events')}) SELECT kind, count(*) AS n FROM m WHERE is_default GROUP BY kind HAVING count(*) > 1", name="ver13_default_conflicts")
+def ver13_default_conflicts(t):
+    return V.default_conflicts(t.spark.sql(_MODELS, events=t.events))
+
+
+@query()
+def ver14_build_corpus(t):
+    files = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 9 == 0, ".csv").otherwise(".txt")).alias("filename"), F.length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"))
+    vectors, state = V.build_corpus(files)
+    n = vectors.groupBy("filename").agg(F.count("*").alias("n_vectors"))
+    return state.join(n, "filename", "left").select("filename", "status", "error", F.coalesce("n_vectors", F.lit(0).cast("long")).alias("n_vectors"))
