@@ -84,14 +84,13 @@ def cover_density(hits: list) -> float:
     """Sum over minimal covers of all terms of ``0.1 / (1 + words in the cover that are no match)``."""
     marks = sorted((p, i) for i, places in enumerate(hits) for p in places)
     last: dict[int, int] = {}
-    total, previous = 0.0, -1
+    total, done = 0.0, -1  # a cover begins after the start of the one before and takes none of its words
     for pos, term in marks:
         last[term] = pos
-        if len(last) == len(hits):
-            start = min(last.values())
-            if start > previous:
-                total += 0.1 / (1 + max(pos - start + 1 - len(hits), 0))
-                previous = start
+        start = min(last.values())
+        if len(last) == len(hits) and start > done:
+            total += 0.1 / (1 + max(pos - start + 1 - len(hits), 0))
+            done = pos
     return total
 
 
@@ -201,7 +200,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, keys: tuple[str,
     for part in parts:
         rows = part.select("query_id", "embedding").toPandas()
         ids = rows["query_id"].to_numpy()
-        m = _unit(np.array(rows["embedding"].tolist(), np.float32).reshape(len(rows), -1))
+        m = _unit(np.array(rows["embedding"].tolist(), np.float32).reshape(len(rows), -1)) if len(rows) else np.zeros((0, 1), np.float32)
         sent = queries.sparkSession.sparkContext.broadcast((ids, m))
         names = ["query_id", *keys, "chunk_id", "score"]
 

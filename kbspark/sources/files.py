@@ -43,7 +43,7 @@ def decode_bytes(raw: bytes) -> tuple[str | None, str | None]:
     """Text and encoding by the first candidate whose output is not garbled."""
     for name in ENCODINGS:
         try:
-            text = raw.decode(name, "strict" if name == "utf-8" else "replace")
+            text = raw.decode(name, "strict" if name.startswith("utf-8") else "replace")
         except UnicodeDecodeError:
             continue
         text = text.removeprefix("﻿")
