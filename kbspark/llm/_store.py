@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "64000"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a fresh local folder only where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,8 +25,26 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the job are dropped as soon as the table is written, and its plan is
+    logged in 64,000 characters at most: constant tables in it would fill the driver's memory.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    was = {key: spark.conf.get(key) for key in _WRITING}
+    try:
+        for key, value in _WRITING.items():
+            spark.conf.set(key, value)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for key, value in was.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of texts have at most ``rows`` rows, to bound what a Python worker holds; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kbspark.llm._store import small_batches
+
 _NONE = np.int64(2**62)
 _POS = 32
 
@@ -265,4 +267,5 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, ids: bool = True)
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, schema)

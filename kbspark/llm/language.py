@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm import _text
+from kbspark.llm._store import small_batches
 
 BITS = 16
 UNKNOWN = "und"
@@ -86,6 +87,7 @@ def train(docs: DataFrame, max_docs_per_lang: int = 2000, smoothing: float = 0.1
             part = at[lo : lo + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["cell", "n"])
 
+    small_batches(sample.sparkSession)
     cells = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(langs) << BITS)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
@@ -151,7 +153,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, log_p = sent.value
         for batch in batches:
-            for lo, hi, data, offs in _text.blocks(batch.column(1), max(1 << 16, (1 << 22) // max(4, len(langs)))):
+            for lo, hi, data, offs in _text.blocks(batch.column(1), max(1 << 16, (1 << 20) // max(4, len(langs)))):
                 row, code = _grams(data, offs)
                 w = mixtures(log_p, row, code, hi - lo)
                 ascii_letter = _text.per_row((_LETTERS[data] != 32) & (data < 128), offs) > 0
@@ -166,6 +168,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                         mix.append([(langs[j], float(w[i, j])) for j in np.flatnonzero(w[i])])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "mixture"])
 
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
 
 
@@ -181,7 +184,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.4) -
         langs, log_p = sent.value
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            for lo, hi, data, offs in _text.blocks(batch.column(at), max(1 << 16, (1 << 22) // max(4, len(langs)))):
+            for lo, hi, data, offs in _text.blocks(batch.column(at), max(1 << 16, (1 << 20) // max(4, len(langs)))):
                 row, code = _grams(data, offs)
                 if len(langs):
                     good[lo:hi] = mixtures(log_p, row, code, hi - lo).max(1) >= least
@@ -191,4 +194,5 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.4) -
                         good[lo + i] = any(map(str.isalpha, text.tobytes().decode("utf-8", "replace")))
             yield batch.filter(pa.array(good))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.llm import _text
-from kbspark.llm._store import materialize
+from kbspark.llm._store import materialize, small_batches
 from kbspark.llm.graph import components
 
 SLACK = 2
@@ -106,6 +106,7 @@ def _documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     keys.append(_meetings(grams[a:b], lows, num, den))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fps, pa.int64()), pa.array(np.diff(cut).astype(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "keys"])
 
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, fp long, n long, keys array<long>")
 
 
@@ -130,6 +131,7 @@ def _contents(rows: DataFrame, k: int) -> DataFrame:
                 kinds = [pa.int64()] * (2 + WORDS64) + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
+    small_batches(rows.sparkSession)
     return rows.select("fp", "text").mapInArrow(run, "fp long, n long, " + "".join(f"s{i} long, " for i in range(WORDS64)) + "grams binary")
 
 
@@ -156,6 +158,7 @@ def _linked(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFr
 
     small = contents.select("fp", "grams")
     full = pairs.join(small.toDF("a", "ga"), "a").join(small.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
+    small_batches(full.sparkSession)
     return full.mapInArrow(run, "a long, b long")
 
 

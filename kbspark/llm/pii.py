@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm._store import materialize
+from kbspark.llm._store import materialize, small_batches
 from kbspark.llm._words import doc_key
 
 KINDS = ("email", "ip", "card", "phone")
@@ -113,6 +113,7 @@ def _scan(docs: DataFrame, rules: SanitiseRules) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(base, kinds), pa.array(near, terms)], ["k1", "k2", "doc_id", "base", "near"])
 
     rows = docs.select(*doc_key(), docs["doc_id"].cast("long").alias("doc_id"), "text")
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, base array<struct<kind:string,start:long,end:long>>, near array<struct<entity:string,term:string,start:long,end:long>>")
 
 
@@ -156,6 +157,7 @@ def _line_counts(docs: DataFrame, terms: DataFrame, bits: int = 22) -> tuple[Dat
                 counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), lines], pa.int64())], ["term", "lines"])
 
+    small_batches(docs.sparkSession)
     found = materialize(docs.select("text").mapInArrow(run, "term string, lines long").groupBy("term").agg(F.sum("lines").alias("lines")), "pii-lines")
     total = found.where("term is null").first()
     return found.where("term is not null").join(terms, "term"), int(total["lines"]) if total else 0

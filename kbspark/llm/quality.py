@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kbspark.llm import _text
+from kbspark.llm._store import small_batches
 
 
 @dataclass(frozen=True)
@@ -111,4 +112,5 @@ def quality_rules(docs: DataFrame, bands: CompressionBands = CompressionBands())
                 cols += [pa.array([r[i] for r in found], t) for i, t in enumerate((pa.float64(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *c, "base_failed", "kept", "ratio", "chunks", "bad_chunks"])
 
+    small_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, COLUMNS)
