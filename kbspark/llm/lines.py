@@ -10,8 +10,7 @@ corpus, in the order of doc_id and line number, matches it, whether that one sta
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,34 +33,76 @@ def rarity_table(docs: DataFrame, bits: int) -> bytes:
     """One byte for each of 2**bits buckets of words: four times the binary logarithm of the bucket's count in all texts."""
     words = docs.select(F.explode(_words(F.lower("text"))).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1))
-    counts = words.groupBy(bucket.alias("bucket")).count().toArrow()
-    table = bytearray(1 << bits)
-    for b, n in zip(counts.column("bucket").to_pylist(), counts.column("count").to_pylist()):
-        table[b] = min(127, int(4 * math.log2(n + 1)))
-    return bytes(table)
+    counts = words.groupBy(bucket.alias("bucket")).agg(F.least(F.lit(127), F.floor(4 * F.log2(F.count("*") + 1))).cast("tinyint").alias("rank"))
+    counts = materialize(counts, "line-rarity").toArrow()
+    table = np.zeros(1 << bits, np.uint8)
+    table[counts.column("bucket").to_numpy()] = counts.column("rank").to_numpy()
+    return table.tobytes()
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """``h, at``: wordings of two lines or more, by hash, and the place of the first."""
+    lines = line_table(docs).groupBy(F.xxhash64("line").alias("h")).agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("uses"))
+    return materialize(lines.where("uses > 1").drop("uses"), "line-repeats")
+
+
+def _slots(repeated: DataFrame, size: int) -> bytes:
+    """A bitmap of hashed wordings, seven slots to a byte; its size is fixed, so it may be sent to every task."""
+    slot = F.pmod("h", F.lit(7 * size))
+    rows = repeated.select(F.floor(slot / 7).cast("int").alias("at"), F.expr(f"shiftleft(1, CAST(pmod(h, {7 * size}) % 7 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = bytearray(size)
+    for at, bits in zip(rows.column("at").to_pylist(), rows.column("bits").to_pylist()):
+        out[at] = bits
+    return bytes(out)
+
+
+def _byte(table: bytes, at: Column) -> Column:
+    """The byte of a constant table, all below 128, at a place from 0."""
+    return F.ascii(F.substring(F.lit(table), (at + 1).cast("int"), 1).cast("string"))
+
+
+def _marked(lines: DataFrame, slots: bytes) -> DataFrame:
+    """Add ``h`` and ``may``: false for wordings that are surely of one line only."""
+    place = F.pmod("h", F.lit(7 * len(slots)))
+    bit = F.call_function("shiftright", _byte(slots, F.floor(place / 7)), (place % 7).cast("int")).bitwiseAND(F.lit(1))
+    return lines.withColumn("h", F.xxhash64("line")).withColumn("may", bit == 1)
 
 
 def _ceil_share(n: Column, num: int, den: int) -> Column:
     return F.floor((n * num + (den - 1)) / F.lit(den)).cast("long")
 
 
+#: Lists of up to so many lines give all their pairs at once.
+SHORT = 64
+#: Sizes and places in a posting are told up to this; beyond it filters let pairs through.
+_FULL = 4095
+
+
 def _postings(lines: DataFrame, table: bytes, bits: int, num: int, den: int) -> DataFrame:
-    """``key, doc, pos, n, i, sig``: the rare words of each distinct line, under its first place."""
-    first = lines.groupBy(F.xxhash64("line").alias("h")).agg(F.min(F.struct("doc", "pos")).alias("at"), F.any_value("line").alias("line"))
-    rare = F.lit(table)
+    """``packed, doc, pos, sig``: the rare words of each wording under its first place; ``packed`` holds 40 bits of the word, size and rank."""
+    once = lines.where(~F.col("may")).select("doc", "pos", "line")
+    first = lines.where("may").groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("at"), F.any_value("line").alias("line")).select("at.doc", "at.pos", "line")
 
     def ranked(w: Column) -> Column:
         h = F.xxhash64(w)
-        seen = F.ascii(F.substring(rare, (h.bitwiseAND(F.lit((1 << bits) - 1)) + 1).cast("int"), 1).cast("string"))
-        return F.shiftleft(seen.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.shiftleft(_byte(table, h.bitwiseAND(F.lit((1 << bits) - 1))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    rows = first.select("at", F.sort_array(F.array_distinct(F.transform(_words("line"), ranked))).alias("words"))
-    rows = rows.select("at", "words", F.size("words").cast("long").alias("n"))
+    rows = once.unionByName(first).select("doc", "pos", F.sort_array(F.array_distinct(F.transform(_words("line"), ranked))).alias("words"))
+    rows = rows.select("doc", "pos", "words", F.size("words").cast("long").alias("n"))
     bit = lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
     sig = F.aggregate("words", F.lit(0).cast("long"), bit)
     prefix = F.slice("words", F.lit(1), (F.col("n") - _ceil_share(F.col("n"), num, den) + 1).cast("int"))
-    rows = rows.select("at", "n", sig.alias("sig"), prefix.alias("prefix"))
-    return rows.select(F.posexplode("prefix").alias("i", "key"), F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos"), "n", "sig")
+    rows = rows.select("doc", "pos", F.least("n", F.lit(_FULL)).alias("n"), sig.alias("sig"), prefix.alias("prefix"))
+    rows = rows.select(F.posexplode("prefix").alias("i", "word"), "doc", "pos", "n", "sig")
+    packed = F.shiftleft(F.col("word").bitwiseAND(F.lit((1 << 40) - 1)), 24).bitwiseOR(F.shiftleft("n", 12)).bitwiseOR(F.least("i", F.lit(_FULL)).cast("long"))
+    return rows.select(packed.alias("packed"), "doc", "pos", "sig")
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """``key, doc, pos, n, i, sig``, dealt by key while still packed."""
+    rows = rows.repartition(F.shiftrightunsigned("packed", 24))
+    field = lambda shift: F.shiftrightunsigned("packed", shift).bitwiseAND(F.lit(_FULL))
+    return rows.select(F.shiftrightunsigned("packed", 24).alias("key"), "doc", "pos", field(12).alias("n"), field(0).alias("i"), "sig")
 
 
 def _may_match(x: str, y: str, num: int, den: int) -> Column:
@@ -70,11 +111,12 @@ def _may_match(x: str, y: str, num: int, den: int) -> Column:
     nx, ny = c(x, "n"), c(y, "n")
     lost = lambda a, b: F.bit_count(c(a, "sig").bitwiseAND(F.bitwise_not(c(b, "sig"))))
     most = F.least(nx - c(x, "i"), ny - c(y, "i"), nx - lost(x, y), ny - lost(y, x))
-    return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (most * (num + den) >= (nx + ny) * num)
+    fits = (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (most * (num + den) >= (nx + ny) * num)
+    return (nx == _FULL) | (ny == _FULL) | fits
 
 
 def _matched(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """``doc, pos`` of the later line of each of ``pairs(early, late)`` whose words reach the threshold."""
+    """``doc, mark, pos`` of the later line of each of ``pairs(early, late)`` whose words reach the threshold."""
     pairs = materialize(pairs.distinct(), "line-pairs")
     need = materialize(pairs.select(F.col("early").alias("at")).unionByName(pairs.select(F.col("late").alias("at"))).groupBy("at.doc", "at.pos").agg(F.count("*").alias("uses")), "line-need")
     spark = docs.sparkSession
@@ -82,50 +124,60 @@ def _matched(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame
     was = spark.conf.get(key)
     spark.conf.set(key, "0")  # a Bloom filter of the wanted documents keeps the other texts out of the shuffle
     try:
-        some = docs.join(need.where("uses > 0").select(F.col("doc").alias("want")), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)) == F.col("want"), "left_semi")
-        lines = line_table(some).join(need.select("doc", "pos"), ["doc", "pos"]).select("doc", "pos", F.array_distinct(_words("line")).alias("words")).distinct()
+        places = need.where("uses > 0").groupBy(F.col("doc").alias("want")).agg(F.collect_list("pos").alias("at"))
+        some = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64("text").alias("mark"), F.col("text"))
+        some = some.join(places, F.col("doc") == F.col("want")).select("doc", "mark", F.split("text", "\n").alias("all"), "at")
+        lines = some.select("doc", "mark", F.explode(F.transform("at", lambda p: F.struct(p.alias("pos"), F.lower(F.trim(F.get("all", p.cast("int")))).alias("line")))).alias("l")).select("doc", "mark", "l.pos", "l.line")
+        lines = lines.where("line IS NOT NULL").groupBy("doc", "mark", "pos").agg(F.any_value("line").alias("line"))
         lines = materialize(lines, "line-words")
     finally:
         spark.conf.set(key, was)
-    a = lines.select(F.struct("doc", "pos").alias("early"), F.col("words").alias("x"))
-    b = lines.select(F.struct("doc", "pos").alias("late"), F.col("words").alias("y"))
-    both = pairs.join(a, "early").join(b, "late").withColumn("o", F.size(F.array_intersect("x", "y")))
+    a = lines.select(F.struct("doc", "pos").alias("early"), F.col("line").alias("x"))
+    b = lines.select(F.struct("doc", "pos").alias("late"), "mark", F.col("line").alias("y"))
+    both = pairs.join(a, "early").join(b, "late").select("late", "mark", F.array_distinct(_words("x")).alias("x"), F.array_distinct(_words("y")).alias("y"))
+    both = both.withColumn("o", F.size(F.array_intersect("x", "y")))
     good = both.where(F.col("o") * den >= (F.size("x") + F.size("y") - F.col("o")) * num)
-    return materialize(good.select("late.doc", "late.pos").distinct(), "line-late")
+    return materialize(good.select("late.doc", "mark", "late.pos").distinct(), "line-late")
+
 
+def removed_places(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20, slots: int = 1 << 17) -> DataFrame:
+    """``doc, mark, places``: the numbers of the lines that match an earlier line, for every document that has such.
 
-def later_matches(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
-    """``doc, pos`` of the lines that are the first of their wording, but match an earlier line of another wording."""
-    table = rarity_table(docs, bits)
+    ``2**bits`` and ``slots`` bytes are the fixed sizes of the tables sent to every task: word
+    rarities, and a bitmap that keeps lines of unique wording out of the shuffle of repeated ones.
+    """
+    repeated = _repeated(docs)
+    lines = _marked(line_table(docs), _slots(repeated, slots))
+    again = lines.where("may").select("doc", "mark", "pos", "h").join(repeated, "h").where(F.struct("doc", "pos") != F.col("at")).select("doc", "mark", "pos")
     w = Window.partitionBy("key")
-    met = _postings(line_table(docs), table, bits, num, den)
-    met = met.withColumns({"hub": F.min(F.struct("doc", "pos", "n", "i", "sig")).over(w), "lists": F.count("*").over(w)}).where("lists > 1").drop("lists")
-    met = materialize(met, "line-met")
-    at = F.struct(F.col("x.doc").alias("doc"), F.col("x.pos").alias("pos"))
-    place = F.struct(F.col("y.doc").alias("doc"), F.col("y.pos").alias("pos"))
-    # every line against the first line of each of its lists
-    x = met.select(F.col("hub").alias("x"), F.struct("doc", "pos", "n", "i", "sig").alias("y"))
-    late = _matched(x.where((at < place) & _may_match("x", "y", num, den)).select(at.alias("early"), place.alias("late")), docs, num, den)
-    # lines without a match so far against all earlier lines of their lists
-    rest = met.join(late, ["doc", "pos"], "left_anti")
-    early, open_ = met.alias("x"), rest.alias("y")
-    pairs = open_.join(early, (F.col("x.key") == F.col("y.key")) & (at < place) & (at != F.struct(F.col("y.hub.doc").alias("doc"), F.col("y.hub.pos").alias("pos"))) & _may_match("x", "y", num, den))
-    return late.unionByName(_matched(pairs.select(at.alias("early"), place.alias("late")), docs, num, den))
-
-
-def kept_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
-    """``doc, mark, places``: the line numbers that stay, for every document that keeps a line with a word."""
-    first = line_table(docs).groupBy(F.xxhash64("line").alias("h")).agg(F.min(F.struct("doc", "pos", "mark")).alias("at")).select("at.*")
-    stay = first.join(later_matches(docs, num, den, bits), ["doc", "pos"], "left_anti")
-    return stay.groupBy("doc", "mark").agg(F.collect_set("pos").alias("places"))
-
-
-def _with_places(docs: DataFrame, kept: DataFrame, columns: list[Column]) -> DataFrame:
+    item = F.struct("doc", "pos", "n", "i", "sig")
+    met = _unpacked(_postings(lines, rarity_table(docs, bits), bits, num, den))
+    met = met.withColumns({"hub": F.min(item).over(w), "lists": F.count("*").over(w)}).where("lists > 1")
+    x_at = F.struct(F.col("x.doc").alias("doc"), F.col("x.pos").alias("pos"))
+    y_at = F.struct(F.col("y.doc").alias("doc"), F.col("y.pos").alias("pos"))
+    # all pairs of short lists; the rows of long ones, to be met with their first line and, where that doesn't match, with all
+    short = met.where(F.col("lists") <= SHORT).select("key", item.alias("z"))
+    x, y = short.select(F.col("key").alias("kx"), F.col("z").alias("x")), short.select("key", F.col("z").alias("y"))
+    pairs = x.join(y, (F.col("kx") == F.col("key")) & (x_at < y_at) & _may_match("x", "y", num, den)).select(x_at.alias("early"), y_at.alias("late"), F.lit(None).cast("long").alias("key"), F.col("y").alias("item"), F.col("x").alias("hub"))
+    nowhere = F.lit(None).cast("struct<doc:bigint,pos:bigint>")
+    long = met.where(F.col("lists") > SHORT).select(nowhere.alias("early"), nowhere.alias("late"), "key", item.alias("item"), "hub")
+    both = materialize(pairs.unionByName(long), "line-met")
+    long = both.where("key IS NOT NULL").select("key", "item", "hub")
+    hubs = long.select(F.col("hub").alias("x"), F.col("item").alias("y")).where((x_at < y_at) & _may_match("x", "y", num, den)).select(x_at.alias("early"), y_at.alias("late"))
+    late = _matched(both.where("key IS NULL").select("early", "late").unionByName(hubs), docs, num, den)
+    rest = long.select("key", F.col("item").alias("y"), F.col("item.doc").alias("doc"), F.col("item.pos").alias("pos"), "hub").join(late, ["doc", "pos"], "left_anti")
+    early = long.select(F.col("key").alias("kx"), F.col("item").alias("x"))
+    more = rest.join(early, (F.col("kx") == F.col("key")) & (x_at < y_at) & (x_at != F.struct(F.col("hub.doc").alias("doc"), F.col("hub.pos").alias("pos"))) & _may_match("x", "y", num, den))
+    more = _matched(more.select(x_at.alias("early"), y_at.alias("late")), docs, num, den)
+    return again.unionByName(late).unionByName(more).groupBy("doc", "mark").agg(F.collect_set("pos").alias("places"))
+
+
+def _with_places(docs: DataFrame, found: DataFrame, columns: list[Column]) -> DataFrame:
     keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("__doc"), F.xxhash64("text").alias("__mark"))
-    return keyed.join(kept.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("places").alias("__places")), ["__doc", "__mark"], "left")
+    return keyed.join(found.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("places").alias("__places")), ["__doc", "__mark"], "left")
 
 
-def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
+def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` for every row of ``docs(doc_id, text)``.
 
     ``n_lines`` counts lines with a word, ``removed`` are the numbers (from 0) of those that match
@@ -134,24 +186,20 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17
     result; a null id comes before all others; other columns are not looked at; an empty table
     gives an empty result; long texts are read whole. Wordings are told apart by 64-bit hashes.
     """
-    lines = F.split("text", "\n")
-    full = F.coalesce(F.array_compact(F.transform(lines, lambda x, i: F.when(F.trim(x).rlike(r"\S"), i.cast("long")))), F.array().cast("array<bigint>"))
-    rows = _with_places(docs, kept_lines(docs, num, den, bits), [F.col("doc_id"), full.alias("__full")])
-    gone = F.array_except("__full", F.coalesce("__places", F.array().cast("array<bigint>")))
-    return rows.select("doc_id", F.size("__full").cast("long").alias("n_lines"), gone.alias("__gone")).select("doc_id", "n_lines", F.size("__gone").cast("long").alias("n_removed"), F.array_join("__gone", ",").alias("removed"))
+    full = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))), F.lit(0))
+    rows = _with_places(docs, removed_places(docs, num, den, bits), [F.col("doc_id"), full.cast("long").alias("n_lines")])
+    gone = F.sort_array(F.coalesce("__places", F.array().cast("array<bigint>")))
+    return rows.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed"))
 
 
-def drop_later_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
+def drop_later_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
     """``docs`` with the matching lines taken out of ``text``; all other columns as they are.
 
     Documents that had lines with words and lose them all go; others stay, blank ones too.
     """
-    rows = _with_places(docs, kept_lines(docs, num, den, bits), [F.col(f"`{c}`") for c in docs.columns])
+    rows = _with_places(docs, removed_places(docs, num, den, bits), [F.col(f"`{c}`") for c in docs.columns])
     lines = F.split("text", "\n")
-    stay = F.coalesce("__places", F.array().cast("array<bigint>"))
-    blank = F.array_compact(F.transform(lines, lambda x, i: F.when(~F.trim(x).rlike(r"\S"), i.cast("long"))))
-    places = F.array_sort(F.array_union(stay, blank))
-    text = F.array_join(F.transform(places, lambda i: F.get(lines, i.cast("int"))), "\n")
-    rows = rows.where(F.col("__places").isNotNull() | F.col("text").isNull() | ~F.col("text").rlike(r"\S"))
-    whole = F.size("__places") == F.size(lines) - F.size(blank)
-    return rows.select(*[(F.when(F.col("__places").isNull() | whole, F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col("__places"))
+    text = F.array_join(F.transform(stay, lambda i: F.get(lines, i.cast("int"))), "\n")
+    rows = rows.withColumn("__text", F.when(F.col("__places").isNull(), F.col("text")).otherwise(text)).where(F.col("__places").isNull() | F.col("__text").rlike(r"\S"))
+    return rows.select(*[(F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
