@@ -140,7 +140,7 @@ def _matched(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame
     return materialize(good.select("late.doc", "mark", "late.pos").distinct(), "line-late")
 
 
-def removed_places(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20, slots: int = 1 << 17) -> DataFrame:
+def removed_places(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17, slots: int = 1 << 17) -> DataFrame:
     """``doc, mark, places``: the numbers of the lines that match an earlier line, for every document that has such.
 
     ``2**bits`` and ``slots`` bytes are the fixed sizes of the tables sent to every task: word
@@ -177,7 +177,7 @@ def _with_places(docs: DataFrame, found: DataFrame, columns: list[Column]) -> Da
     return keyed.join(found.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("places").alias("__places")), ["__doc", "__mark"], "left")
 
 
-def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
+def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` for every row of ``docs(doc_id, text)``.
 
     ``n_lines`` counts lines with a word, ``removed`` are the numbers (from 0) of those that match
@@ -192,7 +192,7 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20
     return rows.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed"))
 
 
-def drop_later_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
+def drop_later_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
     """``docs`` with the matching lines taken out of ``text``; all other columns as they are.
 
     Documents that had lines with words and lose them all go; others stay, blank ones too.
