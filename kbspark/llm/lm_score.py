@@ -1,9 +1,14 @@
 """Cross-entropy difference of two matched n-gram language models.
 
 The target model is counted on documents given as target, the background model on all documents.
-Both are bigram models over one vocabulary: words hashed to ``2**bits`` entries, with word pairs
-hashed to as many contexts. Both use the same interpolation of pair, word and uniform
-probabilities, so their losses can be subtracted token by token.
+Both are bigram models over one vocabulary, the words of all documents, and both use the same
+interpolation of pair, word and uniform probabilities, so their losses can be subtracted token by
+token. Words and (before, word) pairs are counted one by one, told apart by 64-bit hashes, in
+tables that grow with the corpus; documents meet the losses of their pairs by a join. The losses
+of the most frequent pairs go to the tasks beforehand, so that none of these is joined.
+
+``train`` and ``score`` are a fixed-size variant for small tables: words and pairs share ``2**bits``
+hashed entries, and so their counts.
 """
 
 from __future__ import annotations
@@ -13,25 +18,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm import _text
-from kbspark.llm._store import small_batches
+from kbspark.llm._store import materialize, small_batches
 
 _START = np.uint64(0x2545F4914F6CDD1D)
 
 
-def _tokens(data: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers of the words, their entries, those of the words before (or of the start) and of the pairs."""
+def _pairs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of the words and 64-bit hashes of the words, of those before (or of the start) and of the pairs."""
     low = _text.LOWER[data]
     starts, ends, row = _text.spans(~_text.SPACE[low], offs)
     h = _text.hash_spans(low, starts, ends)
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[np.flatnonzero(np.diff(row, prepend=-1))] = _START
+    return row, h, before, _text.mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
+
+
+def _tokens(data: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of the words, their entries, those of the words before (or of the start) and of the pairs."""
+    row, h, before, pair = _pairs(data, offs)
     shift = np.uint64(64 - bits)
-    pair = _text.mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
     return row, (h >> shift).astype(np.int64), (_text.mix(before) >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
 
 
@@ -51,16 +61,21 @@ class NgramModel:
         return -np.log(np.minimum(p, 1.0) + (1 - two - one) / len(self.word))
 
 
+def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """``target, text`` of every row."""
+    marks = target_ids.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct().withColumn("target", F.lit(True))
+    # always a sort-merge join: target ids may be as many as documents, and costs then grow alike at every size
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(marks.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
+    return rows.select(F.coalesce("target", F.lit(False)).alias("target"), "text")
+
+
 def train(docs: DataFrame, target_ids: DataFrame, bits: int = 20) -> tuple[NgramModel, NgramModel]:
     """Target and background models from ``docs(doc_id, text)``; ``target_ids(doc_id)`` are the target documents.
 
     Every word of every document is counted; the executors add up the counts, and only the two
     tables (3 * 2**bits numbers each, a documented parameter) come to the driver.
     """
-    marks = target_ids.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct().withColumn("target", F.lit(True))
-    # always a sort-merge join: target ids may be as many as documents, and costs then grow alike at every size
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(marks.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
-    rows = rows.select(F.coalesce("target", F.lit(False)).alias("target"), "text")
+    rows = _marked(docs, target_ids)
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +131,120 @@ def score(docs: DataFrame, target: NgramModel, background: NgramModel) -> DataFr
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, bits: int = 20) -> DataFrame:
-    """Train both models and score every document."""
-    return score(docs, *train(docs, target_ids, bits))
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """``pair, before, word, t, b`` of each pair once, its counts added up."""
+    pair, before, word, t, b = map(np.concatenate, zip(*held))
+    order = np.argsort(pair, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0]))
+    at = order[first]
+    return pair[at], before[at], word[at], np.add.reduceat(t[order], first), np.add.reduceat(b[order], first)
+
+
+def _pair_counts(rows: DataFrame) -> DataFrame:
+    """``pair, before, word, t, b``: every pair of ``rows(target, text)`` with its counts in target and background."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(cols[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000].astype(np.int64)) for c in cols], ["pair", "before", "word", "t", "b"])
+
+        held, size = [], 0
+        for batch in batches:
+            target = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, _, data, offs in _text.blocks(batch.column(1)):
+                row, word, before, pair = _pairs(data, offs)
+                if not len(pair):
+                    continue
+                held.append(_merged([(pair, before, word, target[lo + row], np.ones(len(pair), np.int64))]))
+                size += len(held[-1][0])
+                if size > 1_500_000:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    if size > 1_000_000:
+                        yield from out(held[0])
+                        held, size = [], 0
+        if held:
+            yield from out(_merged(held))
+
+    small_batches(rows.sparkSession)
+    found = rows.mapInArrow(run, "pair long, before long, word long, t long, b long")
+    return found.groupBy("pair", "before", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def _losses(counts: DataFrame, weights: tuple[float, float]) -> DataFrame:
+    """``pair, b, lt, lb``: the negative natural logarithm of each pair's probability in both models."""
+    two, one = weights
+    word = materialize(counts.groupBy("word").agg(F.sum("t").alias("wt"), F.sum("b").alias("wb")), "lm-words")
+    context = counts.groupBy("before").agg(F.sum("t").alias("ct"), F.sum("b").alias("cb"))
+    total = word.agg(F.sum("wt").alias("t"), F.sum("wb").alias("b"), F.count("*").alias("words")).first()
+    full = materialize(counts.join(context, "before").select("pair", "word", "t", "b", "ct", "cb"), "lm-contexts").join(word, "word")
+
+    def loss(kind: str) -> Column:
+        p = F.lit(two) * F.col(kind) / F.greatest(F.col(f"c{kind}"), F.lit(1)) + F.lit(one) * F.col(f"w{kind}") / F.lit(float(max(total[kind] or 0, 1)))
+        return -F.log(p + F.lit((1 - two - one) / max(total["words"], 1)))
+
+    return full.select("pair", "b", loss("t").alias("lt"), loss("b").alias("lb"))
+
+
+def _frequent(losses: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The least count of which at most ``most`` pairs have as much or more, and these pairs, ascending, with their losses."""
+    log = F.floor(F.log2("b") * 8)
+    seen, least = 0, 2**62
+    for r in losses.groupBy(log.alias("step")).agg(F.count("*").alias("n"), F.min("b").alias("low")).orderBy(F.desc("step")).collect():
+        seen += r["n"]
+        if seen > most:
+            break
+        least = r["low"]
+    sent = losses.where(F.col("b") >= least).select("pair", "lt", "lb").toArrow()
+    pair, lt, lb = (sent.column(c).to_numpy() for c in ("pair", "lt", "lb"))
+    order = np.argsort(pair)
+    return least, pair[order], lt[order], lb[order]
+
+
+def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[float, float] = (0.6, 0.38), frequent: int = 200_000) -> DataFrame:
+    """The columns of ``score`` for every row, from counts of all words and pairs.
+
+    ``frequent`` is how many of the most frequent pairs have their losses sent to the tasks; it
+    makes no difference to the result, as all others are joined.
+    """
+    losses = materialize(_losses(materialize(_pair_counts(_marked(docs, target_ids)), "lm-pairs"), weights), "lm-losses")
+    least, *table = _frequent(losses, frequent)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        known, *loss = sent.value
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for lo, hi, data, offs in _text.blocks(batch.column(1)):
+                row, _, _, pair = _pairs(data, offs)
+                pair = pair.astype(np.int64)
+                at = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
+                mine = known[at] == pair if len(known) else np.zeros(len(pair), bool)
+                sums = [np.bincount(row[mine], x[at[mine]], hi - lo) for x in loss]
+                row_, pair_ = row[~mine], pair[~mine]
+                order = np.lexsort((pair_, row_))
+                row_, pair_ = row_[order], pair_[order]
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(row_) != 0) | (np.diff(pair_) != 0)])) if len(row_) else np.zeros(0, np.int64)
+                times = np.diff(np.append(first, len(row_))).astype(np.int32)
+                cut = pa.array(np.searchsorted(row_[first], np.arange(hi - lo + 1)).astype(np.int32))
+                cols = [pa.array(number + np.arange(hi - lo)), batch.column(0).slice(lo, hi - lo), pa.array(np.bincount(row, minlength=hi - lo).astype(np.int64)), *(pa.array(x.astype(np.float64)) for x in sums)]
+                cols += [pa.ListArray.from_arrays(cut, pa.array(pair_[first])), pa.ListArray.from_arrays(cut, pa.array(times))]
+                number += hi - lo
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "st", "sb", "pairs", "times"])
+
+    small_batches(docs.sparkSession)
+    rows = docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "row long, doc_id long, n long, st double, sb double, pairs array<long>, times array<int>")
+    rows = materialize(rows, "lm-rows")  # row numbers are those of the written table
+    rare = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
+    rest = rare.join(losses.where(F.col("b") < least).select("pair", "lt", "lb").hint("merge"), "pair")
+    rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.col("lt")).alias("rt"), F.sum(F.col("times") * F.col("lb")).alias("rb"))
+    mean = lambda kind: F.when(F.col("n") > 0, (F.col(f"s{kind}") + F.coalesce(f"r{kind}", F.lit(0.0))) / F.col("n"))
+    out = rows.select("row", "doc_id", "n", "st", "sb").join(materialize(rest, "lm-rest"), "row", "left")
+    return out.select("doc_id", F.col("n").alias("n_tokens"), mean("t").alias("loss_target"), mean("b").alias("loss_background"), (mean("t") - mean("b")).alias("score"))
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, bits: int | None = None) -> DataFrame:
+    """Count both models and score every document; with ``bits``, by the fixed-size variant."""
+    return exact_difference(docs, target_ids) if bits is None else score(docs, *train(docs, target_ids, bits))

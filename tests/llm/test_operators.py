@@ -322,6 +322,37 @@ def test_lm_score(spark, docs, rows, empty):
     _ = _text
 
 
+@pytest.mark.parametrize("frequent", [200_000, 40, 0])
+def test_lm_score_exact(spark, docs, rows, empty, frequent):
+    """Losses from counts of the words and pairs themselves, however many pairs are sent or joined."""
+    ids = (101, 102, 103)
+    target = spark.createDataFrame([(i,) for i in (*ids, 103)] + [(None,)], "doc_id long")
+    texts = [(i, [None, *(x or "").encode().lower().split()]) for i, x in rows]
+    counts = []
+    for mine in (lambda i: i in ids, lambda i: True):
+        pair, context, word = collections.Counter(), collections.Counter(), collections.Counter()
+        for i, w in texts:
+            if mine(i):
+                pair.update(zip(w, w[1:])), context.update(w[:-1]), word.update(w[1:])
+        counts.append((pair, context, word, max(word.total(), 1)))
+    size = len(counts[1][2])
+    want = collections.defaultdict(list)
+    for i, w in texts:
+        loss = [-sum(math.log(0.6 * p[a, b] / max(c[a], 1) + 0.38 * u[b] / n + 0.02 / size) for a, b in zip(w, w[1:])) / (len(w) - 1) for p, c, u, n in counts] if len(w) > 1 else None
+        want[i].append((len(w) - 1, loss))
+    out = lm_score.exact_difference(docs, target, frequent=frequent).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        n, loss = want[r.doc_id][0]
+        assert r.n_tokens == n
+        got = None if r.score is None else (r.loss_target, r.loss_background, r.score)
+        assert got == (loss and pytest.approx((*loss, loss[0] - loss[1]), rel=1e-9, abs=1e-9))
+    if not frequent:
+        full = {(r.doc_id, r.n_tokens): r.score for r in lm_score.cross_entropy_difference(docs, target).collect()}
+        assert all(full[r.doc_id, r.n_tokens] == pytest.approx(r.score, rel=1e-9, abs=1e-9) if r.score is not None else full[r.doc_id, r.n_tokens] is None for r in out)
+        assert lm_score.cross_entropy_difference(empty, target).count() == 0
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
