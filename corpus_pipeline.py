@@ -25,8 +25,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the least doc_id."""
-    return ngram_join.keep_one(docs)
+    """One document of each group of near-duplicates (five words, Jaccard 0.8) stays: that of the least doc_id."""
+    return ngram_join.keep_sets(docs, num=80, den=100, k=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

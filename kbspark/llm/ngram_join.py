@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from kbspark.llm import _text
 from kbspark.llm._store import materialize, small_batches
+from kbspark.llm._words import LEAST, doc_key
 from kbspark.llm.graph import components
 
 SLACK = 2
@@ -81,7 +82,7 @@ def _meetings(grams: np.ndarray, lows: list[int], num: int, den: int) -> np.ndar
 
 
 def _documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``doc_id, fp, n, keys``: identity and size of each row's set; keys once per set and task."""
+    """``doc_id, k2, fp, n, keys``: hash of each row's text, identity and size of its set; keys once per set and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -104,10 +105,10 @@ def _documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     if lows[-2:][0] <= b - a:
                         lows = bands(int(b - a) * 2, num, den)
                     keys.append(_meetings(grams[a:b], lows, num, den))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fps, pa.int64()), pa.array(np.diff(cut).astype(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(fps, pa.int64()), pa.array(np.diff(cut).astype(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "k2", "fp", "n", "keys"])
 
     small_batches(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, fp long, n long, keys array<long>")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"], F.xxhash64(docs["text"])).mapInArrow(run, "doc_id long, k2 long, fp long, n long, keys array<long>")
 
 
 def _contents(rows: DataFrame, k: int) -> DataFrame:
@@ -162,16 +163,8 @@ def _linked(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFr
     return full.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
-
-    Sets are distinct ``k``-grams of words (ASCII lower case, split at ASCII white space); a text
-    of fewer words is one gram, one without words has an empty set and links with nothing. Two
-    rows link when ``den * intersection >= num * union``; ``component_id`` is the least doc_id
-    that a row reaches. Grams are compared by 64-bit hashes. Null ids take part, but are never
-    the least if another id is there; repeated rows link with each other; other columns are not
-    looked at; an empty table gives an empty result.
-    """
+def _groups(docs: DataFrame, num: int, den: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows as of ``_documents``, and ``fp, least, comp``: the least doc_id and the component of every set."""
     table = materialize(_documents(docs, k, num, den), "sets")
     by_set = table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
     w = Window.partitionBy("key")
@@ -210,7 +203,20 @@ def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3)
     links = links.unionByName(materialize(_linked(pairs, contents, num, den), "linked"))
     labels = components(links)
 
-    own = by_set.join(labels, by_set["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
+    return table, by_set.join(labels, by_set["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
+
+    Sets are distinct ``k``-grams of words (ASCII lower case, split at ASCII white space); a text
+    of fewer words is one gram, one without words has an empty set and links with nothing. Two
+    rows link when ``den * intersection >= num * union``; ``component_id`` is the least doc_id
+    that a row reaches. Grams are compared by 64-bit hashes. Null ids take part, but are never
+    the least if another id is there; repeated rows link with each other; other columns are not
+    looked at; an empty table gives an empty result.
+    """
+    table, own = _groups(docs, num, den, k)
     named = own.groupBy("comp").agg(F.min("least").alias("component"))
     classes = own.join(named, "comp").select("fp", "component")
     out = table.select("doc_id", "n", "fp").join(classes, "fp", "left")
@@ -227,3 +233,21 @@ def keep_one(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3) -> Data
     known = docs.where("doc_id is not null").join(named, F.col("doc_id").cast("long") == F.col("__keep"))
     once = known.withColumn("__row", F.row_number().over(Window.partitionBy("__keep").orderBy("text"))).where("__row = 1")
     return once.select(*names).unionByName(docs.where("doc_id is null").select(*names))
+
+
+def keep_sets(docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """``docs`` with one row of each component of linked sets, all its columns unchanged.
+
+    Rows are told apart by id and text, not by id alone: of a component the row of least doc_id
+    stays (null ids last, then by a hash of the text), so copies without an id go and rows that
+    repeat an id with unlinked texts stay. Rows without words link with nothing and all stay.
+    """
+    table, own = _groups(docs, num, den, k)
+    first = table.where("fp is not null").join(own.select("fp", "comp"), "fp").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k2")).alias("x"))
+    key = lambda c: F.coalesce(F.col(c), F.lit(LEAST)).alias("__1")
+    keep = first.select(key("x.doc_id"), F.col("x.k2").alias("__2"), F.lit(True).alias("__once"))
+    bare = table.where("fp is null").select(key("doc_id"), F.col("k2").alias("__2"), F.lit(False).alias("__once")).distinct()
+    k1, k2 = doc_key()
+    rows = docs.withColumns({"__1": k1, "__2": k2}).join(keep.unionByName(bare), ["__1", "__2"])
+    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy("__1", "__2").orderBy("__once")))
+    return rows.where("__row = 1 or not __once").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,6 +2,7 @@
 
 import base64
 
+from pyspark.sql import functions as F
 from test_operators import awkward, brute_groups, brute_lines, low_words
 
 SF = "/root/testdata/sf0.001"
@@ -52,6 +53,21 @@ def test_stages(spark, tmp_path):
     assert awkward()
 
 
+def test_near_duplicate_stage(spark):
+    """Five words and 0.8; copies without an id go, unlinked texts of one id stay."""
+    import corpus_pipeline as cp
+
+    words = [f"w{i}" for i in range(100)]
+    changed = [f"new{i}" if i in (30, 60) else w for i, w in enumerate(words)]
+    other, third = " ".join(f"v{i}" for i in range(50)), " ".join(f"u{i}" for i in range(50))
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (None, other), (None, other), (5, third), (5, third), (5, third.replace("u", "t")), (6, "... "), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("x", F.lit(1))
+    out = cp.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[4], rows[6], rows[7], rows[8]], key=str)
+
+
 def test_registered():
     import __spark_entry__ as e
 
