@@ -19,8 +19,9 @@ class CompressionBands:
 
     ``limits``: (least bytes, lowest ratio, highest ratio), in ascending order of length; a text
     uses the last band that it reaches. Texts below the first band are not judged. ``chunk``
-    bytes form a chunk; a text fails if more than ``chunk_share`` of its full chunks lie outside
-    ``chunk_limits``.
+    bytes form a chunk; the last one is the final ``chunk`` bytes, so that no tail is left out. A
+    text fails if more than ``chunk_share`` of its chunks lie outside ``chunk_limits``; a text of
+    less than a chunk is judged whole only.
     """
 
     limits: tuple[tuple[int, float, float], ...] = ((128, 0.36, 0.98), (256, 0.36, 0.88), (512, 0.34, 0.78), (1024, 0.32, 0.70), (4096, 0.29, 0.64), (16384, 0.26, 0.62), (65536, 0.22, 0.62))
@@ -38,7 +39,8 @@ def _ratios(text: bytes, zstd, bands: CompressionBands) -> tuple[float, int, int
         return 1.0, 0, 0
     ratio = len(zstd.compress(text)) / len(text)
     bad = n = 0
-    for at in range(0, len(text) - bands.chunk + 1, bands.chunk):
+    last = len(text) - bands.chunk
+    for at in [*range(0, last, bands.chunk), last] if last >= 0 else []:
         r = len(zstd.compress(text[at : at + bands.chunk])) / bands.chunk
         n += 1
         bad += not bands.chunk_limits[0] <= r <= bands.chunk_limits[1]

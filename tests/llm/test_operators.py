@@ -157,6 +157,20 @@ def test_quality(docs, rows, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_quality_judges_the_tail(spark):
+    """A bad tail of less than a chunk counts; whole chunks are judged once."""
+    import random
+
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(150)]
+    prose = " ".join(rng.choice(names) for _ in range(3000))
+    noise = base64.b64encode(rng.randbytes(9000)).decode()
+    rows = [(1, prose[:4096] + noise[:4095]), (2, prose[:8191]), (3, prose[:8192]), (4, prose[:4096]), (5, prose[:4095])]
+    out = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].ratio <= 0.64 and (out[1].chunks, out[1].bad_chunks, out[1].kept) == (2, 1, False)
+    assert [(out[i].chunks, out[i].kept) for i in (2, 3, 4, 5)] == [(2, True), (2, True), (1, True), (0, True)]
+
+
 def tokenizer():
     import public_tokenizers as p
     import tiktoken
