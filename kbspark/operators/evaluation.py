@@ -59,8 +59,8 @@ def run_detail(results: DataFrame, schema: str = "chunk_id long, score double")
     return results.withColumn("chunks", F.transform("actual_chunks", lambda c: F.from_json(c, schema)))
 
 
-def harvest_samples(messages: DataFrame, docs: DataFrame, n: int, contexts: int = 10, longest: int = 3000) -> DataFrame:
-    """Latest assistant messages that cite ``docs``: question of the same request, answer, the cited texts in order.
+def harvest_samples(messages: DataFrame, docs: DataFrame, n: int | None, contexts: int = 10, longest: int = 3000) -> DataFrame:
+    """Latest assistant messages that cite ``docs``: question of the same request, answer, the cited texts in order; the latest ``n``, or all without ``n``.
 
     ``messages(message_id, session_id, role, content, request_id, created_at, citations array<struct<doc_id,content>>)``.
     """
@@ -68,7 +68,8 @@ def harvest_samples(messages: DataFrame, docs: DataFrame, n: int, contexts: int
     kept = cited.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     per = kept.groupBy("message_id").agg(F.first("request_id").alias("request_id"), F.first("created_at").alias("created_at"), F.first("content").alias("response"), F.transform(F.slice(F.array_sort(F.collect_list(F.struct("at", "text"))), 1, contexts), lambda x: x["text"]).alias("contexts"))
     asked = messages.where("role = 'user'").groupBy("request_id").agg(F.max_by("content", F.struct("created_at", "message_id")).alias("question"))
-    return per.join(asked, "request_id").orderBy(F.desc("created_at"), F.desc("message_id")).limit(n)
+    found = per.join(asked, "request_id")
+    return found if n is None else found.orderBy(F.desc("created_at"), F.desc("message_id")).limit(n)
 
 
 def resolve_samples(specs: DataFrame, messages: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def eval12_ragas_run(t):
 
 @query()
 def eval13_proxy_scores(t):
-    return E.proxy_scores(samples(t, 1000))
+    return E.proxy_scores(samples(t, None))
 
 
 @query("SELECT question_id AS case_id, question_id % 4 <> 1 AS found, (question_id % 4 <> 1) = (question_id % 2 = 0) AS passed FROM questions")
