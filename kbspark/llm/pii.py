@@ -1,10 +1,13 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms around them.
 
-An entity is a value that a pattern finds. For every term in the same line within ``reach`` words
-of an entity, the corpus tells how much the term reveals: the pointwise mutual information of
-term and entity over all lines, as a share of the entity's own information. A term whose share
-reaches ``disclosure`` with at least ``support`` common lines in different documents is removed
-from the surroundings of that entity, or generalised to its kind.
+An entity is a value that a pattern finds. For every term of a document with an entity, the corpus
+tells how much the term reveals: the pointwise mutual information of term and entity over all
+documents, as a share of the entity's own information. Wherever a term whose share reaches
+``disclosure`` with at least ``support`` common documents stands in a document with that entity,
+it is removed, or generalised to its kind.
+
+A term and an entity have at most as many common documents as the entity has, so a term in too
+many documents cannot reach the share; such terms are dropped before pairs are counted.
 """
 
 from __future__ import annotations
@@ -34,11 +37,10 @@ _WORD = re.compile(r"[^\W\d_]{3,}")
 
 @dataclass(frozen=True)
 class SanitiseRules:
-    """``disclosure``: least share of the entity's information; ``support``: least number of documents; ``reach``: words to either side."""
+    """``disclosure``: least share of the entity's information; ``support``: least number of documents."""
 
     disclosure: float = 0.7
     support: int = 2
-    reach: int = 8
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -79,46 +81,46 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _near(text: str, spans: list[tuple[str, int, int]], reach: int) -> Iterator[tuple[int, str, int, int]]:
-    """For each span the words of its line within reach: number of the span, word, start, end; no word inside any span."""
-    for i, (_, a, b) in enumerate(spans):
-        lo, hi = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-        hi = len(text) if hi < 0 else hi
-        left = [m for m in _WORD.finditer(text, lo, a)][-reach:]
-        right = []
-        for m in _WORD.finditer(text, b, hi):
-            right.append(m)
-            if len(right) == reach:
-                break
-        for m in (*left, *right):
-            if all(m.end() <= s or m.start() >= e for _, s, e in spans):
-                yield i, m.group().lower(), m.start(), m.end()
-
-
-def _scan(docs: DataFrame, rules: SanitiseRules) -> DataFrame:
-    """``k1, k2, doc_id, base array<struct<kind,start,end>>, near array<struct<entity,term,start,end>>`` for every row."""
+def _terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """The words outside all spans: term, start, end."""
+    ends, at = sorted((a, b) for _, a, b in spans), 0
+    done = 0  # end of the spans that start before the word
+    for m in _WORD.finditer(text):
+        while at < len(ends) and ends[at][0] < m.end():
+            done = max(done, ends[at][1])
+            at += 1
+        if m.start() >= done:
+            yield m.group().lower(), m.start(), m.end()
+
+
+def _scan(docs: DataFrame) -> DataFrame:
+    """``k1, k2, doc_id, base array<struct<kind,start,end>>, entities array<string>, words array<struct<term,start,end>>`` for every row; words only beside entities."""
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    terms = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                base, near = [], []
+                base, entities, cut, words = [], [], [0], []
                 for cell in part.column(3):
                     text = cell.as_py() or ""
                     spans = find_spans(text)
                     base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                    near.append([{"entity": f"{spans[i][0]}:{text[spans[i][1]:spans[i][2]].lower()}", "term": w, "start": a, "end": b} for i, w, a, b in _near(text, spans, rules.reach)] if spans else [])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(base, kinds), pa.array(near, terms)], ["k1", "k2", "doc_id", "base", "near"])
+                    entities.append(sorted({f"{k}:{text[a:b].lower()}" for k, a, b in spans}))
+                    words += _terms(text, spans) if spans else ()
+                    cut.append(len(words))
+                term, start, end = zip(*words) if words else ((), (), ())
+                inner = pa.StructArray.from_arrays([pa.array(term, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["term", "start", "end"])
+                cols = [part.column(0), part.column(1), part.column(2), pa.array(base, kinds), pa.array(entities, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), inner)]
+                yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "doc_id", "base", "entities", "words"])
 
     rows = docs.select(*doc_key(), docs["doc_id"].cast("long").alias("doc_id"), "text")
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, base array<struct<kind:string,start:long,end:long>>, near array<struct<entity:string,term:string,start:long,end:long>>")
+    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, base array<struct<kind:string,start:long,end:long>>, entities array<string>, words array<struct<term:string,start:long,end:long>>")
 
 
-def _line_counts(docs: DataFrame, terms: DataFrame, bits: int = 22) -> tuple[DataFrame, int]:
-    """``term, lines`` for all lines of all documents that hold a term of ``terms``, and the number of lines with a word.
+def _doc_counts(docs: DataFrame, terms: DataFrame, bits: int = 22) -> tuple[DataFrame, int]:
+    """``term, df``: the documents that hold a term of ``terms``, and the number of documents with a word.
 
     A bitmap of 2**bits hashed terms (a fixed size) goes to the executors, so only words that may
     be asked for are shuffled; the join with ``terms`` drops the few others.
@@ -138,29 +140,28 @@ def _line_counts(docs: DataFrame, terms: DataFrame, bits: int = 22) -> tuple[Dat
 
         known: dict[str, bool] = {}
         counts: dict[str, int] = {}
-        lines = 0
+        total = 0
         for batch in batches:
             for cell in batch.column(0):
-                for line in (cell.as_py() or "").lower().split("\n"):
-                    found = set(_WORD.findall(line))
-                    lines += bool(found)
-                    for w in found:
-                        k = known.get(w)
-                        if k is None:
-                            if len(known) > 500_000:
-                                known.clear()
-                            k = known[w] = wanted(w)
-                        if k:
-                            counts[w] = counts.get(w, 0) + 1
+                found = {w.lower() for w in set(_WORD.findall(cell.as_py() or ""))}
+                total += bool(found)
+                for w in found:
+                    k = known.get(w)
+                    if k is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        k = known[w] = wanted(w)
+                    if k:
+                        counts[w] = counts.get(w, 0) + 1
             if len(counts) > 500_000:
-                yield pa.RecordBatch.from_pydict({"term": list(counts), "lines": list(counts.values())})
+                yield pa.RecordBatch.from_pydict({"term": list(counts), "df": list(counts.values())})
                 counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), lines], pa.int64())], ["term", "lines"])
+        yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), total], pa.int64())], ["term", "df"])
 
     small_batches(docs.sparkSession)
-    found = materialize(docs.select("text").mapInArrow(run, "term string, lines long").groupBy("term").agg(F.sum("lines").alias("lines")), "pii-lines")
+    found = materialize(docs.select("text").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")), "pii-terms")
     total = found.where("term is null").first()
-    return found.where("term is not null").join(terms, "term"), int(total["lines"]) if total else 0
+    return found.where("term is not null").join(terms, "term"), int(total["df"]) if total else 0
 
 
 def _joined(spans: Column) -> Column:
@@ -175,17 +176,26 @@ def sanitise(docs: DataFrame, rules: SanitiseRules = SanitiseRules()) -> DataFra
     same spans, null ids are ids, other columns are not looked at, an empty table gives an
     empty result, long texts are read whole.
     """
-    found = materialize(_scan(docs, rules), "pii")
-    near = found.where(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.*")
-    pairs = near.select("entity", "term", "k1", "k2").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= rules.support)
-    pairs = materialize(pairs, "pii-pairs")
-    entities = near.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    lines, total = _line_counts(docs, pairs.select("term").distinct())
-    told = pairs.join(lines, "term").join(entities, "entity")
+    found = materialize(_scan(docs), "pii")
+    held = found.where(F.size("entities") > 0).select("k1", "k2", F.explode("entities").alias("entity")).distinct()
+    of = held.groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= rules.support)
+    held = materialize(held.join(of, "entity"), "pii-held")
+    worded = found.where(F.size("words") > 0).join(held.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    terms = materialize(worded.select("k1", "k2", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).distinct(), "pii-words")
+    counts, total = _doc_counts(docs, terms.groupBy("term").count().where(F.col("count") >= rules.support).select("term"))
     n = float(max(total, 1))
-    pmi = F.log(F.col("both") * n / (F.greatest("lines", "both") * F.col("of_entity")))
-    told = told.where(pmi >= rules.disclosure * F.log(n / F.least(F.col("of_entity").cast("double"), F.lit(n / 2)))).select("entity", "term")
-    extra = near.join(told, ["entity", "term"]).groupBy("k1", "k2").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("extra"))
+    need = rules.disclosure * F.log(n / F.least(F.col("of_entity").cast("double"), F.lit(n / 2)))
+    most = held.agg(F.max("of_entity").alias("x")).first()["x"] or 1
+    rare = counts.where(F.log(F.lit(n) / F.col("df")) >= rules.disclosure * F.log(F.lit(n / min(float(most), n / 2))) - 1e-9)
+    pairs = terms.join(rare, "term").join(held, ["k1", "k2"]).where(F.log(F.lit(n) / F.col("df")) >= need - 1e-9)
+    pairs = materialize(pairs.select("k1", "k2", "entity", "term", "df", "of_entity"), "pii-pairs")
+    told = pairs.groupBy("entity", "term", "df", "of_entity").agg(F.count("*").alias("both")).where(F.col("both") >= rules.support)
+    pmi = F.log(F.col("both") * n / (F.greatest("df", "both") * F.col("of_entity")))
+    told = told.where(pmi >= need).select("entity", "term")
+    marks = pairs.join(told, ["entity", "term"]).groupBy("k1", "k2").agg(F.collect_set("term").alias("marks"))
+    marked = found.where(F.size("words") > 0).select("k1", "k2", "words").join(marks, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    span = lambda w: F.struct(F.lit("term").alias("kind"), w["start"].alias("start"), w["end"].alias("end"))
+    extra = materialize(marked.select("k1", "k2", F.transform(F.filter("words", lambda w: F.array_contains("marks", w["term"])), span).alias("extra")), "pii-extra")
     rows = found.select("k1", "k2", "doc_id", "base").join(extra, ["k1", "k2"], "left")
     place = F.create_map(*[x for i, k in enumerate((*KINDS, "term")) for x in (F.lit(k), F.lit(i))])
     both = F.concat("base", F.coalesce("extra", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")))

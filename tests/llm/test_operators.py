@@ -404,3 +404,16 @@ def test_pii_terms(spark, empty):
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert clean[0] == "ask [TERM] about it, write [EMAIL] today 0 the end" and clean[10] == plain[0][1]
     assert pii.redact(empty).count() == 0
+
+
+def test_pii_terms_of_the_whole_document(spark):
+    """Names on another line, far away and repeated are found; rows of one id and text share their spans."""
+    far = "and so on with many more plain words in between before it ends"
+    told = [(i, f"Name: Jane Zorblatt\nMail: j@x.org\n{far} {far} Zorblatt {i}") for i in range(3)]
+    told.append(told[0])
+    plain = [(10 + i, f"name mail {far} line {i}") for i in range(400)]
+    df = spark.createDataFrame(told + plain, "doc_id long, text string")
+    out = pii.redact(df).collect()
+    assert sorted(r.text for r in out if r.doc_id < 10) == sorted(f"Name: [TERM] [TERM]\nMail: [EMAIL]\n{far} {far} [TERM] {i}" for i in (0, 0, 1, 2))
+    assert sorted(r.text for r in out if r.doc_id >= 10) == sorted(t for _, t in plain)
+    assert list(pii._terms("abc def ghi", [("email", 4, 7)])) == [("abc", 0, 3), ("ghi", 8, 11)]
