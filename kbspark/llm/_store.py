@@ -12,9 +12,11 @@ _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh local folder only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a fresh local folder only where that is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a shared folder")
         found = tempfile.mkdtemp(prefix="spark-kb-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,7 +26,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/kb-{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
 
     The shuffle files of the job are dropped as soon as the table is written, and its plan is
@@ -36,7 +38,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     try:
         for key, value in _WRITING.items():
             spark.conf.set(key, value)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     finally:
         for key, value in was.items():
             spark.conf.set(key, value)

@@ -1,108 +1,84 @@
 """Near-duplicate lines by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its lower-case words. Words are ordered by rarity (a table of 2**bits
-hashed counts gives the rarity; any one total order keeps the join exact), and two lines that
-reach the threshold share a word among the first ``n - ceil(t n) + 1`` words of each. Lines meet
-under these words; length, positional and bit-count filters bound the overlap from above, and
-the rest is verified on the words themselves. A line is removed when an earlier line of the
-corpus, in the order of doc_id and line number, matches it, whether that one stays or not.
+A line is the set of its lower-case words. Equal wordings are one node. Words are ordered by rarity
+(a table of 2**bits hashed counts gives the rarity; any one order keeps the join exact), and two
+wordings that reach the threshold share a word among the first ``n - ceil(t n) + 1`` words of each.
+They meet under these words; length, positional and bit-count filters bound the overlap from above,
+and the rest is verified on the sorted arrays of 64-bit word hashes.
+
+A line is removed when an earlier line of the corpus matches it, whether that one stays or not. So
+one earlier match settles a wording: in the lists of frequent words every wording is first held
+against the earliest one of its size there, and only the unsettled ones meet the whole list.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm._store import materialize
 
 _LEAST = -(2**63)
-
-
-def _words(line: str | Column) -> Column:
-    return F.array_remove(F.split(line, r"\s+"), "")
+_AT = ("doc", "mark", "pos")
+#: Word hashes return often: with dictionaries of this size a table of them takes two bytes or three a word.
+_DICTIONARY = {"parquet.dictionary.page.size": 8 << 20}
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``doc, mark, pos, line`` for every line with a word: ``mark`` is a hash of the text, ``line`` is trimmed and in lower case."""
+    """``doc, mark, pos, h, line`` for every line with a word: ``mark`` is a hash of the text, ``h`` one of the line, which is in lower case with single blanks."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return rows.select("doc", "mark", F.col("pos").cast("long").alias("pos"), F.lower(F.trim("raw")).alias("line")).where(F.col("line").rlike(r"\S"))
+    line = F.trim(F.when(F.rlike("raw", F.lit(r"\s\s|[^\S ]")), F.regexp_replace("raw", r"\s+", " ")).otherwise(F.col("raw")))
+    rows = rows.select("doc", "mark", F.col("pos").cast("long").alias("pos"), F.lower(line).alias("line")).where("line <> ''")
+    return rows.select("doc", "mark", "pos", F.xxhash64("line").alias("h"), "line")
+
+
+def _wordings(lines: DataFrame) -> DataFrame:
+    """``h, doc, mark, pos, uses, n, words``: each wording once, with its first place and the ascending hashes of its words."""
+    once = lines.groupBy("h").agg(F.min(F.struct(*_AT)).alias("at"), F.count("*").alias("uses"), F.any_value("line").alias("line"))
+    words = F.sort_array(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))))
+    return once.select("h", "at.*", "uses", words.alias("words")).withColumn("n", F.size("words").cast("long"))
 
 
-def rarity_table(docs: DataFrame, bits: int) -> bytes:
-    """One byte for each of 2**bits buckets of words: four times the binary logarithm of the bucket's count in all texts."""
-    words = docs.select(F.explode(_words(F.lower("text"))).alias("word"))
-    bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1))
-    counts = words.groupBy(bucket.alias("bucket")).agg(F.least(F.lit(127), F.floor(4 * F.log2(F.count("*") + 1))).cast("tinyint").alias("rank"))
+def rarity_table(wordings: DataFrame, bits: int) -> bytes:
+    """One byte for each of 2**bits buckets of words: four times the binary logarithm of the bucket's count of wordings."""
+    bucket = F.col("word").bitwiseAND(F.lit((1 << bits) - 1))
+    counts = wordings.select(F.explode("words").alias("word")).groupBy(bucket.alias("bucket")).agg(F.least(F.lit(127), F.floor(4 * F.log2(F.count("*") + 1))).cast("tinyint").alias("rank"))
     counts = materialize(counts, "line-rarity").toArrow()
     table = np.zeros(1 << bits, np.uint8)
     table[counts.column("bucket").to_numpy()] = counts.column("rank").to_numpy()
     return table.tobytes()
 
 
-def _repeated(docs: DataFrame) -> DataFrame:
-    """``h, at``: wordings of two lines or more, by hash, and the place of the first."""
-    lines = line_table(docs).groupBy(F.xxhash64("line").alias("h")).agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("uses"))
-    return materialize(lines.where("uses > 1").drop("uses"), "line-repeats")
-
-
-def _slots(repeated: DataFrame, size: int) -> bytes:
-    """A bitmap of hashed wordings, seven slots to a byte; its size is fixed, so it may be sent to every task."""
-    slot = F.pmod("h", F.lit(7 * size))
-    rows = repeated.select(F.floor(slot / 7).cast("int").alias("at"), F.expr(f"shiftleft(1, CAST(pmod(h, {7 * size}) % 7 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = bytearray(size)
-    for at, bits in zip(rows.column("at").to_pylist(), rows.column("bits").to_pylist()):
-        out[at] = bits
-    return bytes(out)
-
-
-def _byte(table: bytes, at: Column) -> Column:
-    """The byte of a constant table, all below 128, at a place from 0."""
-    return F.ascii(F.substring(F.lit(table), (at + 1).cast("int"), 1).cast("string"))
-
-
-def _marked(lines: DataFrame, slots: bytes) -> DataFrame:
-    """Add ``h`` and ``may``: false for wordings that are surely of one line only."""
-    place = F.pmod("h", F.lit(7 * len(slots)))
-    bit = F.call_function("shiftright", _byte(slots, F.floor(place / 7)), (place % 7).cast("int")).bitwiseAND(F.lit(1))
-    return lines.withColumn("h", F.xxhash64("line")).withColumn("may", bit == 1)
-
-
 def _ceil_share(n: Column, num: int, den: int) -> Column:
     return F.floor((n * num + (den - 1)) / F.lit(den)).cast("long")
 
 
-#: Lists of up to so many lines give all their pairs at once.
-SHORT = 64
+#: A word of this rank has a list of at most 2**(SHORT / 4 + 1 / 4) wordings, which give all their pairs at once.
+SHORT = 24
 #: Sizes and places in a posting are told up to this; beyond it filters let pairs through.
 _FULL = 4095
 
 
-def _postings(lines: DataFrame, table: bytes, bits: int, num: int, den: int) -> DataFrame:
-    """``packed, doc, pos, sig``: the rare words of each wording under its first place; ``packed`` holds 40 bits of the word, size and rank."""
-    once = lines.where(~F.col("may")).select("doc", "pos", "line")
-    first = lines.where("may").groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("at"), F.any_value("line").alias("line")).select("at.doc", "at.pos", "line")
+def _prefixes(wordings: DataFrame, table: bytes, bits: int, num: int, den: int) -> DataFrame:
+    """``h, doc, n, sig, prefix``: the rare words of each wording, rarest first, each with its rank in the top byte."""
 
     def ranked(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(_byte(table, h.bitwiseAND(F.lit((1 << bits) - 1))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        at = w.bitwiseAND(F.lit((1 << bits) - 1)) + 1
+        rank = F.ascii(F.substring(F.lit(table), at.cast("int"), 1).cast("string")).cast("long")  # ranks are below 128
+        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(w, 8))
 
-    rows = once.unionByName(first).select("doc", "pos", F.sort_array(F.array_distinct(F.transform(_words("line"), ranked))).alias("words"))
-    rows = rows.select("doc", "pos", "words", F.size("words").cast("long").alias("n"))
     bit = lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
-    sig = F.aggregate("words", F.lit(0).cast("long"), bit)
-    prefix = F.slice("words", F.lit(1), (F.col("n") - _ceil_share(F.col("n"), num, den) + 1).cast("int"))
-    rows = rows.select("doc", "pos", F.least("n", F.lit(_FULL)).alias("n"), sig.alias("sig"), prefix.alias("prefix"))
-    rows = rows.select(F.posexplode("prefix").alias("i", "word"), "doc", "pos", "n", "sig")
-    packed = F.shiftleft(F.col("word").bitwiseAND(F.lit((1 << 40) - 1)), 24).bitwiseOR(F.shiftleft("n", 12)).bitwiseOR(F.least("i", F.lit(_FULL)).cast("long"))
-    return rows.select(packed.alias("packed"), "doc", "pos", "sig")
+    rows = wordings.select("h", "doc", "n", F.aggregate("words", F.lit(0).cast("long"), bit).alias("sig"), F.sort_array(F.transform("words", ranked)).alias("ranked"))
+    return rows.select("h", "doc", "n", "sig", F.slice("ranked", F.lit(1), (F.col("n") - _ceil_share(F.col("n"), num, den) + 1).cast("int")).alias("prefix"))
 
 
-def _unpacked(rows: DataFrame) -> DataFrame:
-    """``key, doc, pos, n, i, sig``, dealt by key while still packed."""
-    rows = rows.repartition(F.shiftrightunsigned("packed", 24))
-    field = lambda shift: F.shiftrightunsigned("packed", shift).bitwiseAND(F.lit(_FULL))
-    return rows.select(F.shiftrightunsigned("packed", 24).alias("key"), "doc", "pos", field(12).alias("n"), field(0).alias("i"), "sig")
+def _postings(prefixes: DataFrame, long: bool) -> DataFrame:
+    """``key, h, doc, n, i, sig``: the words of short or long lists, each wording once in a list."""
+    rows = prefixes.select("h", "doc", F.least("n", F.lit(_FULL)).alias("n"), "sig", F.posexplode("prefix").alias("i", "word"))
+    rank = F.shiftright("word", 56)
+    rows = rows.where(rank > SHORT if long else rank <= SHORT)
+    return rows.select(F.col("word").bitwiseAND(F.lit((1 << 56) - 1)).alias("key"), "h", "doc", "n", F.least("i", F.lit(_FULL)).cast("long").alias("i"), "sig")
 
 
 def _may_match(x: str, y: str, num: int, den: int) -> Column:
@@ -115,66 +91,60 @@ def _may_match(x: str, y: str, num: int, den: int) -> Column:
     return (nx == _FULL) | (ny == _FULL) | fits
 
 
-def _matched(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """``doc, mark, pos`` of the later line of each of ``pairs(early, late)`` whose words reach the threshold."""
+def _settled(pairs: DataFrame, wordings: DataFrame, num: int, den: int) -> DataFrame:
+    """``h`` of the later wording of each of ``pairs(a, b)`` whose words reach the threshold."""
     pairs = materialize(pairs.distinct(), "line-pairs")
-    need = materialize(pairs.select(F.col("early").alias("at")).unionByName(pairs.select(F.col("late").alias("at"))).groupBy("at.doc", "at.pos").agg(F.count("*").alias("uses")), "line-need")
-    spark = docs.sparkSession
+    need = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("asked")).where("asked > 0")
+    spark = pairs.sparkSession
     key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
     was = spark.conf.get(key)
-    spark.conf.set(key, "0")  # a Bloom filter of the wanted documents keeps the other texts out of the shuffle
+    spark.conf.set(key, "0")  # a Bloom filter of the wordings that are asked for keeps the others out of the shuffle
     try:
-        places = need.where("uses > 0").groupBy(F.col("doc").alias("want")).agg(F.collect_list("pos").alias("at"))
-        some = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64("text").alias("mark"), F.col("text"))
-        some = some.join(places, F.col("doc") == F.col("want")).select("doc", "mark", F.split("text", "\n").alias("all"), "at")
-        lines = some.select("doc", "mark", F.explode(F.transform("at", lambda p: F.struct(p.alias("pos"), F.lower(F.trim(F.get("all", p.cast("int")))).alias("line")))).alias("l")).select("doc", "mark", "l.pos", "l.line")
-        lines = lines.where("line IS NOT NULL").groupBy("doc", "mark", "pos").agg(F.any_value("line").alias("line"))
-        lines = materialize(lines, "line-words")
+        some = materialize(wordings.select("h", F.struct(*_AT).alias("at"), "n", "words").join(materialize(need, "line-need").where("asked > 0").select("h"), "h"), "line-words")
     finally:
         spark.conf.set(key, was)
-    a = lines.select(F.struct("doc", "pos").alias("early"), F.col("line").alias("x"))
-    b = lines.select(F.struct("doc", "pos").alias("late"), "mark", F.col("line").alias("y"))
-    both = pairs.join(a, "early").join(b, "late").select("late", "mark", F.array_distinct(_words("x")).alias("x"), F.array_distinct(_words("y")).alias("y"))
-    both = both.withColumn("o", F.size(F.array_intersect("x", "y")))
-    good = both.where(F.col("o") * den >= (F.size("x") + F.size("y") - F.col("o")) * num)
-    return materialize(good.select("late.doc", "mark", "late.pos").distinct(), "line-late")
-
-
-def removed_places(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17, slots: int = 1 << 17) -> DataFrame:
-    """``doc, mark, places``: the numbers of the lines that match an earlier line, for every document that has such.
-
-    ``2**bits`` and ``slots`` bytes are the fixed sizes of the tables sent to every task: word
-    rarities, and a bitmap that keeps lines of unique wording out of the shuffle of repeated ones.
+    x = some.select(F.col("h").alias("a"), F.col("at").alias("xa"), F.col("n").alias("xn"), F.col("words").alias("xw"))
+    y = some.select(F.col("h").alias("b"), F.col("at").alias("ya"), F.col("n").alias("yn"), F.col("words").alias("yw"))
+    # one use of the intersection in the predicate, as it may be put into the join
+    good = pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect("xw", "yw")) * (num + den) >= (F.col("xn") + F.col("yn")) * num)
+    return materialize(good.select(F.when(F.col("xa") < F.col("ya"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct(), "line-late")
+
+
+def _late(wordings: DataFrame, num: int, den: int, bits: int) -> DataFrame:
+    """``h`` of every wording that an earlier one matches."""
+    table = rarity_table(wordings, bits)
+    prefixes = materialize(_prefixes(wordings, table, bits, num, den), "line-prefixes")
+    short, long = _postings(prefixes, False), _postings(prefixes, True)
+    pair = F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")
+    may = _may_match("x", "y", num, den)
+    pairs = short.alias("x").join(short.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & may).select(*pair)
+    first = long.groupBy("key", "n").agg(F.min(F.struct("doc", "h", "i", "sig")).alias("first")).select("key", "n", "first.*")
+    hubs = long.alias("y").join(first.alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.h") != F.col("y.h")) & may).select(*pair)
+    late = _settled(pairs.unionByName(hubs), wordings, num, den)
+    rest = _postings(prefixes.join(late, "h", "left_anti"), True)
+    more = long.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") <= F.col("y.doc")) & (F.col("x.h") != F.col("y.h")) & may).select(*pair)
+    return late.unionByName(_settled(more, wordings, num, den))
+
+
+def removed_places(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
+    """``doc, mark, n_lines, places`` for every document with words: the number of its lines with a word, and the places of those that match an earlier line.
+
+    ``2**bits`` bytes is the fixed size of the table of word rarities, which every task gets. The
+    order of lines is that of doc_id, text hash and line number.
     """
-    repeated = _repeated(docs)
-    lines = _marked(line_table(docs), _slots(repeated, slots))
-    again = lines.where("may").select("doc", "mark", "pos", "h").join(repeated, "h").where(F.struct("doc", "pos") != F.col("at")).select("doc", "mark", "pos")
-    w = Window.partitionBy("key")
-    item = F.struct("doc", "pos", "n", "i", "sig")
-    met = _unpacked(_postings(lines, rarity_table(docs, bits), bits, num, den))
-    met = met.withColumns({"hub": F.min(item).over(w), "lists": F.count("*").over(w)}).where("lists > 1")
-    x_at = F.struct(F.col("x.doc").alias("doc"), F.col("x.pos").alias("pos"))
-    y_at = F.struct(F.col("y.doc").alias("doc"), F.col("y.pos").alias("pos"))
-    # all pairs of short lists; the rows of long ones, to be met with their first line and, where that doesn't match, with all
-    short = met.where(F.col("lists") <= SHORT).select("key", item.alias("z"))
-    x, y = short.select(F.col("key").alias("kx"), F.col("z").alias("x")), short.select("key", F.col("z").alias("y"))
-    pairs = x.join(y, (F.col("kx") == F.col("key")) & (x_at < y_at) & _may_match("x", "y", num, den)).select(x_at.alias("early"), y_at.alias("late"), F.lit(None).cast("long").alias("key"), F.col("y").alias("item"), F.col("x").alias("hub"))
-    nowhere = F.lit(None).cast("struct<doc:bigint,pos:bigint>")
-    long = met.where(F.col("lists") > SHORT).select(nowhere.alias("early"), nowhere.alias("late"), "key", item.alias("item"), "hub")
-    both = materialize(pairs.unionByName(long), "line-met")
-    long = both.where("key IS NOT NULL").select("key", "item", "hub")
-    hubs = long.select(F.col("hub").alias("x"), F.col("item").alias("y")).where((x_at < y_at) & _may_match("x", "y", num, den)).select(x_at.alias("early"), y_at.alias("late"))
-    late = _matched(both.where("key IS NULL").select("early", "late").unionByName(hubs), docs, num, den)
-    rest = long.select("key", F.col("item").alias("y"), F.col("item.doc").alias("doc"), F.col("item.pos").alias("pos"), "hub").join(late, ["doc", "pos"], "left_anti")
-    early = long.select(F.col("key").alias("kx"), F.col("item").alias("x"))
-    more = rest.join(early, (F.col("kx") == F.col("key")) & (x_at < y_at) & (x_at != F.struct(F.col("hub.doc").alias("doc"), F.col("hub.pos").alias("pos"))) & _may_match("x", "y", num, den))
-    more = _matched(more.select(x_at.alias("early"), y_at.alias("late")), docs, num, den)
-    return again.unionByName(late).unionByName(more).groupBy("doc", "mark").agg(F.collect_set("pos").alias("places"))
+    lines = materialize(line_table(docs), "lines")
+    wordings = materialize(_wordings(lines), "line-wordings", **_DICTIONARY)
+    late = _late(wordings, num, den, bits).withColumn("late", F.lit(True))
+    known = wordings.select("h", F.struct(*_AT).alias("at"), "uses").join(late, "h", "left").where("late or uses > 1")
+    rows = lines.select("h", *_AT).join(known.select("h", "at", "late"), "h", "left")
+    gone = F.coalesce(F.col("late") | (F.struct(*_AT) != F.col("at")), F.lit(False))
+    found = rows.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", gone.alias("gone"))).alias("found"))
+    return found.select("doc", "mark", F.size("found").cast("long").alias("n_lines"), F.transform(F.filter("found", lambda x: x["gone"]), lambda x: x["pos"]).alias("places"))
 
 
 def _with_places(docs: DataFrame, found: DataFrame, columns: list[Column]) -> DataFrame:
     keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("__doc"), F.xxhash64("text").alias("__mark"))
-    return keyed.join(found.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("places").alias("__places")), ["__doc", "__mark"], "left")
+    return keyed.join(found.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("n_lines").alias("__lines"), F.col("places").alias("__places")), ["__doc", "__mark"], "left")
 
 
 def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
@@ -183,13 +153,13 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17
     ``n_lines`` counts lines with a word, ``removed`` are the numbers (from 0) of those that match
     an earlier line, comma-joined in ascending order. Blank lines are never removed. A null or
     empty text has no lines. Rows that repeat an id and a text are one document and get the same
-    result; a null id comes before all others; other columns are not looked at; an empty table
-    gives an empty result; long texts are read whole. Wordings are told apart by 64-bit hashes.
+    result; of different texts under one id the one of least text hash comes first; a null id
+    comes before all others; other columns are not looked at; an empty table gives an empty
+    result; long texts are read whole. Wordings and words are told apart by 64-bit hashes.
     """
-    full = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))), F.lit(0))
-    rows = _with_places(docs, removed_places(docs, num, den, bits), [F.col("doc_id"), full.cast("long").alias("n_lines")])
+    rows = _with_places(docs, removed_places(docs, num, den, bits), [F.col("doc_id")])
     gone = F.sort_array(F.coalesce("__places", F.array().cast("array<bigint>")))
-    return rows.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed"))
+    return rows.select("doc_id", F.coalesce("__lines", F.lit(0).cast("long")).alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed"))
 
 
 def drop_later_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
@@ -198,8 +168,9 @@ def drop_later_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int =
     Documents that had lines with words and lose them all go; others stay, blank ones too.
     """
     rows = _with_places(docs, removed_places(docs, num, den, bits), [F.col(f"`{c}`") for c in docs.columns])
+    some = F.coalesce(F.size("__places") > 0, F.lit(False))
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col("__places"))
-    text = F.array_join(F.transform(stay, lambda i: F.get(lines, i.cast("int"))), "\n")
-    rows = rows.withColumn("__text", F.when(F.col("__places").isNull(), F.col("text")).otherwise(text)).where(F.col("__places").isNull() | F.col("__text").rlike(r"\S"))
-    return rows.select(*[(F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
+    text = F.when(some, F.array_join(F.transform(stay, lambda i: F.get(lines, i.cast("int"))), "\n")).otherwise(F.col("text"))
+    rows = rows.where(~some | (F.size("__places") < F.col("__lines")))
+    return rows.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
