@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm._store import materialize
+from kbspark.llm._store import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         jump = moved.select(F.col("node").alias("via"), F.col("to").alias("far"))
         fresh = materialize(moved.join(jump, moved["to"] == jump["via"], "left").select("node", F.least("to", F.coalesce("far", "to")).alias("comp")), "labels")
         changed = fresh.join(labels.withColumnRenamed("comp", "was"), "node").where("comp <> was").limit(1).count()
+        discard(labels)
         labels = fresh
         if not changed:
+            discard(both)
             return labels

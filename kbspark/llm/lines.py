@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm._store import materialize
+from kbspark.llm._store import discard, materialize
 
 _LEAST = -(2**63)
 _AT = ("doc", "mark", "pos")
@@ -28,7 +28,10 @@ _DICTIONARY = {"parquet.dictionary.page.size": 8 << 20}
 def line_table(docs: DataFrame) -> DataFrame:
     """``doc, mark, pos, h, line`` for every line with a word: ``mark`` is a hash of the text, ``h`` one of the line, which is in lower case with single blanks."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    line = F.trim(F.when(F.rlike("raw", F.lit(r"\s\s|[^\S ]")), F.regexp_replace("raw", r"\s+", " ")).otherwise(F.col("raw")))
+    odd = F.contains("raw", F.lit("  "))
+    for blank in "\t\x0b\f\r":
+        odd |= F.contains("raw", F.lit(blank))
+    line = F.trim(F.when(odd, F.regexp_replace("raw", r"\s+", " ")).otherwise(F.col("raw")))
     rows = rows.select("doc", "mark", F.col("pos").cast("long").alias("pos"), F.lower(line).alias("line")).where("line <> ''")
     return rows.select("doc", "mark", "pos", F.xxhash64("line").alias("h"), "line")
 
@@ -120,7 +123,8 @@ def _late(wordings: DataFrame, num: int, den: int, bits: int) -> DataFrame:
     pairs = short.alias("x").join(short.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & may).select(*pair)
     first = long.groupBy("key", "n").agg(F.min(F.struct("doc", "h", "i", "sig")).alias("first")).select("key", "n", "first.*")
     hubs = long.alias("y").join(first.alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.h") != F.col("y.h")) & may).select(*pair)
-    late = _settled(pairs.unionByName(hubs), wordings, num, den)
+    pairs = materialize(pairs.distinct(), "line-pairs").unionByName(materialize(hubs.distinct(), "line-pairs"))
+    late = _settled(pairs, wordings, num, den)
     rest = _postings(prefixes.join(late, "h", "left_anti"), True)
     more = long.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") <= F.col("y.doc")) & (F.col("x.h") != F.col("y.h")) & may).select(*pair)
     return late.unionByName(_settled(more, wordings, num, den))
@@ -132,11 +136,13 @@ def removed_places(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 1
     ``2**bits`` bytes is the fixed size of the table of word rarities, which every task gets. The
     order of lines is that of doc_id, text hash and line number.
     """
-    lines = materialize(line_table(docs), "lines")
-    wordings = materialize(_wordings(lines), "line-wordings", **_DICTIONARY)
+    full = materialize(line_table(docs), "lines")
+    wordings = materialize(_wordings(full), "line-wordings", **_DICTIONARY)
+    lines = materialize(full.drop("line"), "line-places")
+    discard(full)
     late = _late(wordings, num, den, bits).withColumn("late", F.lit(True))
     known = wordings.select("h", F.struct(*_AT).alias("at"), "uses").join(late, "h", "left").where("late or uses > 1")
-    rows = lines.select("h", *_AT).join(known.select("h", "at", "late"), "h", "left")
+    rows = lines.join(known.select("h", "at", "late"), "h", "left")
     gone = F.coalesce(F.col("late") | (F.struct(*_AT) != F.col("at")), F.lit(False))
     found = rows.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", gone.alias("gone"))).alias("found"))
     return found.select("doc", "mark", F.size("found").cast("long").alias("n_lines"), F.transform(F.filter("found", lambda x: x["gone"]), lambda x: x["pos"]).alias("places"))

@@ -8,8 +8,8 @@ with over SLACK empty parts also meet in one further place of their tile). Pairs
 bound from 1,024-bit signatures, then an exact intersection of sorted arrays.
 
 Only one pair per path is needed for components. Documents of one set are one node; nodes are
-first held against one hub of each meeting place, then against a second hub, and at last all
-pairs that meet and still lie in different components are checked.
+held against one hub of each meeting place, in turn another one, until a turn links nothing new.
+At last all pairs that meet and still lie in different components are checked, each pair once.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.llm import _text
-from kbspark.llm._store import materialize, small_batches
+from kbspark.llm._store import discard, materialize, small_batches
 from kbspark.llm._words import LEAST, doc_key
 from kbspark.llm.graph import components
 
@@ -163,14 +163,40 @@ def _linked(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFr
     return full.mapInArrow(run, "a long, b long")
 
 
+def _meeting_places(table: DataFrame) -> DataFrame:
+    """``key, fp``: the places where two sets or more meet; of places with the same sets one stays, so that those sets meet once."""
+    met = table.where("keys is not null").select(F.explode("keys").alias("key"), "fp")
+    many = materialize(met.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high"), "places")
+    met = materialize(met.join(many.select("key"), "key").distinct(), "met")
+    lists = met.groupBy("key").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("fp")).alias("members")).where("sets > 1")
+    once = materialize(lists.groupBy("sets", "members").agg(F.min("key").alias("key")).select("key"), "places")
+    out = materialize(met.join(once, "key"), "met")
+    discard(many), discard(met), discard(once)
+    return out
+
+
+def _apart(met: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """``key, fp, comp, hub, hub_comp``: meetings of nodes from two components or more, each with one hub of its place, another in each turn."""
+    own = met.withColumn("comp", F.col("fp")) if labels is None else met.join(labels, met["fp"] == labels["node"], "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
+    hub = F.min(F.struct(F.xxhash64("key", "fp", F.lit(turn)), "fp", "comp"))
+    places = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), hub.alias("hub")).where("low <> high")
+    return materialize(own.join(places.select("key", F.col("hub.fp").alias("hub"), F.col("hub.comp").alias("hub_comp")), "key"), "apart")
+
+
+def _rest(apart: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: all pairs of two components that meet and may link, each under the lowest place that both have."""
+    own = apart.groupBy("fp").agg(F.collect_set("key").alias("keys"))  # as many as a set has parts
+    rows = apart.select("key", "fp", "comp").join(own, "fp").join(marks, "fp").withColumn("lower", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
+    x, y = rows.alias("x"), rows.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _may_link(num, den) & ~F.arrays_overlap("x.lower", "y.lower"))
+    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+
+
 def _groups(docs: DataFrame, num: int, den: int, k: int) -> tuple[DataFrame, DataFrame]:
     """The rows as of ``_documents``, and ``fp, least, comp``: the least doc_id and the component of every set."""
     table = materialize(_documents(docs, k, num, den), "sets")
     by_set = table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    w = Window.partitionBy("key")
-    met = table.where("keys is not null").select(F.explode("keys").alias("key"), "fp")
-    met = met.withColumns({"hub": F.min("fp").over(w), "last": F.max("fp").over(w)}).where("hub <> last").drop("last")
-    met = materialize(met, "met")
+    met = _meeting_places(table)
     need = met.select("fp").distinct().join(by_set, "fp")
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), "text")
     contents = materialize(_contents(need.join(texts, need["least"].eqNullSafe(texts["id"])), k).dropDuplicates(["fp"]), "contents")
@@ -180,29 +206,22 @@ def _groups(docs: DataFrame, num: int, den: int, k: int) -> tuple[DataFrame, Dat
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         x, y = marks.alias("x"), marks.alias("y")
         some = pairs.join(x, F.col("a") == F.col("x.fp")).join(y, (F.col("b") == F.col("y.fp")) & _may_link(num, den)).select("a", "b")
-        return _linked(some, contents, num, den)
-
-    links = materialize(check(met.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))), "linked")
-    labels = components(links)
-
-    def apart() -> DataFrame:
-        """Meetings of nodes from two components or more."""
-        own = met.join(labels, met["fp"] == labels["node"], "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp")).distinct()
-        own = own.withColumns({"low": F.min("comp").over(w), "high": F.max("comp").over(w)})
-        return materialize(own.where("low <> high").select("key", "fp", "comp"), "apart")
-
-    hub = F.min_by(F.struct("fp", "comp"), F.xxhash64("key", "fp")).over(w)
-    second = apart().withColumn("hub", hub).where("comp <> hub.comp").select(F.col("fp").alias("a"), F.col("hub.fp").alias("b"))
-    links = links.unionByName(materialize(check(second), "linked"))
+        return materialize(_linked(some, contents, num, den), "linked")
+
+    links, labels, turn = None, None, 0
+    while True:
+        apart = _apart(met, labels, turn)
+        found = check(apart.where("comp <> hub_comp").select(F.col("fp").alias("a"), F.col("hub").alias("b")))
+        if not found.limit(1).count():
+            break
+        discard(apart)
+        links = found if links is None else links.unionByName(found)
+        labels, turn = components(links), turn + 1
+    pairs = materialize(_rest(apart, marks, num, den), "pairs")
+    found = materialize(_linked(pairs, contents, num, den), "linked")
+    links = found if links is None else links.unionByName(found)
     labels = components(links)
-
-    rest = apart().join(marks, "fp")
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & _may_link(num, den))
-    pairs = materialize(pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "pairs")
-    links = links.unionByName(materialize(_linked(pairs, contents, num, den), "linked"))
-    labels = components(links)
-
+    discard(met), discard(apart), discard(contents)
     return table, by_set.join(labels, by_set["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
 
 
