@@ -1,9 +1,10 @@
 """Benchmark decontamination by a broadcast hash set of n-grams, with DataFrame functions only.
 
 Every benchmark window of ``n`` words has one anchor: that of its short word runs with the least
-hash. Documents are scanned once for runs whose hash is in the set of anchors; around each such
-place the window's words are compared one by one. The set is sent to the executors only while
-the benchmark's windows number at most ``broadcast_windows``; beyond it the runs are joined.
+hash. The runs of all documents meet the set of anchors, which goes to every task while it takes
+at most ``broadcast_bytes``; beyond it the runs are shuffled. Around each place found the window's
+words are compared one by one. Runs have three words, in shorter items as many as the item has, so
+that one short item makes no others common.
 """
 
 from __future__ import annotations
@@ -11,65 +12,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm._store import materialize
+from kbspark.llm._store import bloom_filters, materialize
 from kbspark.llm._words import GAP, doc_key, words
 
+RUN = 3
+#: What an anchor takes in a broadcast hash table, at most.
+_ANCHOR_BYTES = 64
+
 
 def _run_hash(array: str, at: Column, run: int) -> Column:
-    return F.xxhash64(*[F.get(array, at + j) for j in range(run)])
+    return F.xxhash64(F.lit(run), *[F.get(array, at + j) for j in range(run)])
 
 
-def _positions(n: str, run: int) -> Column:
-    return F.when(F.col(n) >= run, F.sequence(F.lit(0), F.col(n) - run)).otherwise(F.array().cast("array<int>"))
+def _run_hashes(array: str, run: int) -> Column:
+    """Hashes of all runs of a word array, in order; null if it is too short."""
+    return F.when(F.size(array) >= run, F.transform(F.sequence(F.lit(0), F.size(array) - run), lambda i: _run_hash(array, i, run)))
 
 
-def benchmark_windows(benchmark: DataFrame, n: int = 13) -> tuple[DataFrame, int]:
-    """``item, size, off, anchor, gram`` for each window of ``benchmark(item_id, text)``, and the length of anchors in words.
+def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
+    """``item, run, size, off, anchor, gram`` for each window of ``benchmark(item_id, text)``.
 
-    ``off`` is the anchor's place in the window. An item of fewer than ``n`` words, but not none,
-    is one window.
+    ``run`` is the length of its anchor in words, ``off`` the anchor's place in the window. An
+    item of fewer than ``n`` words, but not none, is one window.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words("text").alias("words")).where((F.size("words") > 0) & F.col("item").isNotNull())
-    run = items.agg(F.min(F.size("words"))).first()[0]
-    run = min(3, n, run if run is not None else 3)
-    items = items.withColumn("len", F.size("words")).withColumn("size", F.least(F.lit(n), "len"))
-    items = items.withColumn("runs", F.transform(_positions("len", run), lambda i: _run_hash("words", i, run)))
-    wins = items.select("item", "size", "words", "runs", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("size"))).alias("at"))
-    wins = wins.withColumn("inside", F.slice("runs", F.col("at") + 1, F.col("size") - run + 1))
-    wins = wins.select("item", "size", (F.array_position("inside", F.array_min("inside")) - 1).cast("int").alias("off"), F.array_min("inside").alias("anchor"), F.slice("words", F.col("at") + 1, F.col("size")).alias("gram"))
-    return wins.distinct(), run
-
-
-def window_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_windows: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """Per document ``k1, k2, doc_id, n_words`` for every row of ``docs``, and the verified hits ``k1, k2, item, start, size``."""
-    wins, run = benchmark_windows(benchmark, n)
-    wins = materialize(wins, "windows")
-    small = wins.count() <= broadcast_windows
-    rows = docs.select(*doc_key(), F.col("doc_id"), words("text").alias("words"))
-    rows = rows.withColumn("n_words", F.size("words"))
+    items = items.withColumn("len", F.size("words")).withColumn("size", F.least(F.lit(n), "len")).withColumn("run", F.least(F.lit(min(RUN, n)), "len"))
+    runs = F.coalesce(*[F.when(F.col("run") == r, _run_hashes("words", r)) for r in range(1, RUN + 1)])
+    wins = items.withColumn("runs", runs).select("item", "run", "size", "words", "runs", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("size"))).alias("at"))
+    wins = wins.withColumn("inside", F.slice("runs", F.col("at") + 1, F.col("size") - F.col("run") + 1))
+    return wins.select("item", "run", "size", (F.array_position("inside", F.array_min("inside")) - 1).cast("int").alias("off"), F.array_min("inside").alias("anchor"), F.slice("words", F.col("at") + 1, F.col("size")).alias("gram")).distinct()
+
+
+def window_hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, broadcast_bytes: int = 256 << 20) -> DataFrame:
+    """The verified hits ``k1, k2, item, start, size`` of all windows in all documents."""
+    wins = materialize(benchmark_windows(benchmark, n), "windows")
+    anchors = wins.select("anchor").distinct()
+    small = anchors.count() * _ANCHOR_BYTES <= broadcast_bytes
+    anchors = F.broadcast(anchors) if small else anchors.hint("merge")
+    found = docs.sparkSession.createDataFrame([], "k1 long, k2 long, p int")
+    runs = sorted(r["run"] for r in wins.select("run").distinct().collect())  # three at most
+    for run in runs:
+        rows = docs.select(*doc_key(), words("text").alias("words")).select("k1", "k2", F.posexplode(_run_hashes("words", run)).alias("p", "anchor"))
+        found = found.unionByName(rows.join(anchors, "anchor", "left_semi").select("k1", "k2", "p"))
+    found = materialize(found.groupBy("k1", "k2").agg(F.collect_set("p").alias("found")), "places")
     around = lambda p: F.struct(p.alias("p"), F.greatest(p - n + 1, F.lit(0)).alias("lo"), F.slice("words", F.greatest(p - n + 1, F.lit(0)) + 1, F.lit(2 * n)).alias("near"))
-    if small:
-        anchors = [str(r[0]) for r in wins.select("anchor").distinct().collect()] or ["null"]
-        run_hash = f"xxhash64({', '.join(f'get(words, i + {j})' for j in range(run))})"
-        found = F.when(F.col("n_words") >= run, F.expr(f"filter(sequence(0, n_words - {run}), i -> {run_hash} IN ({', '.join(anchors)}))")).otherwise(F.array().cast("array<int>"))
-        rows = rows.withColumn("found", found)
-        table = materialize(rows.select("k1", "k2", "doc_id", F.col("n_words").cast("long").alias("n_words"), F.transform("found", around).alias("found")), "scanned")
-        places = table.where(F.size("found") > 0).select("k1", "k2", F.explode("found").alias("f")).select("k1", "k2", "f.*")
-        places = places.withColumn("anchor", F.xxhash64(*[F.get("near", F.col("p") - F.col("lo") + j) for j in range(run)]))
-        hits = places.join(F.broadcast(wins), "anchor")
-    else:
-        table = materialize(rows.select("k1", "k2", "doc_id", F.col("n_words").cast("long").alias("n_words")), "scanned")
-        runs = rows.select("k1", "k2", F.explode(F.transform(_positions("n_words", run), lambda i: F.struct(i.alias("p"), _run_hash("words", i, run).alias("anchor")))).alias("r")).select("k1", "k2", "r.*")
-        at = runs.join(wins.select("anchor").distinct(), "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_set("p").alias("found"))
-        places = rows.join(at, ["k1", "k2"]).select("k1", "k2", F.explode(F.transform("found", around)).alias("f")).select("k1", "k2", "f.*")
-        places = places.withColumn("anchor", F.xxhash64(*[F.get("near", F.col("p") - F.col("lo") + j) for j in range(run)]))
-        hits = places.join(wins, "anchor")
-    hits = hits.withColumn("start", F.col("p") - F.col("off"))
+    with bloom_filters(docs.sparkSession):  # keeps the texts without a place out of the shuffle
+        near = docs.select(*doc_key(), "text").join(found.where(F.size("found") > 0), ["k1", "k2"]).select("k1", "k2", "found", words("text").alias("words"))
+        near = materialize(near.select("k1", "k2", F.explode(F.transform("found", around)).alias("f")).select("k1", "k2", "f.*"), "near")
+    places = near.withColumn("anchor", F.explode(F.array(*[_run_hash("near", F.col("p") - F.col("lo"), run) for run in runs]) if runs else F.array(F.lit(0).cast("long"))))
+    hits = places.join(wins, "anchor").withColumn("start", F.col("p") - F.col("off"))
     same = (F.col("start") >= F.col("lo")) & (F.slice("near", F.greatest(F.col("start") - F.col("lo"), F.lit(0)) + 1, F.col("size")) == F.col("gram"))
-    return table, hits.where(same).select("k1", "k2", "item", "start", "size").distinct()
+    return hits.where(same).select("k1", "k2", "item", "start", "size").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, broadcast_windows: int = 50_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, broadcast_bytes: int = 256 << 20) -> DataFrame:
     """``k1, k2, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans`` for every row of ``docs(doc_id, text)``.
 
     A word inside any occurrence of a window of ``benchmark(item_id, text)`` is hit; a document
@@ -79,7 +75,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     result, null ids are ids, other columns are not looked at, empty tables give no hits, and
     long texts are scanned whole.
     """
-    table, hits = window_hits(docs, benchmark, n, broadcast_windows)
+    table = docs.select(*doc_key(), F.col("doc_id"), F.size(words("text")).cast("long").alias("n_words"))
+    hits = window_hits(docs, benchmark, n, broadcast_bytes)
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))),
         F.array().cast("array<struct<start:int,end:int>>"),
@@ -93,9 +90,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     return out.select("k1", "k2", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"), "spans")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, remove: str = "documents", broadcast_windows: int = 50_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, remove: str = "documents", broadcast_bytes: int = 256 << 20) -> DataFrame:
     """``docs`` without its contaminated documents (``remove="documents"``) or without the hit words and the gaps before them (``"spans"``)."""
-    found = contamination(docs, benchmark, n, share, broadcast_windows)
+    found = contamination(docs, benchmark, n, share, broadcast_bytes)
     names = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.select(*names, *(c.alias(f"__{i}") for i, c in enumerate(doc_key())))
     if remove == "documents":
