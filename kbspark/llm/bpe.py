@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,12 +21,14 @@ from kbspark.llm._store import small_batches
 
 _NONE = np.int64(2**62)
 _POS = 32
+#: Bytes of a cache entry beside its text and ids.
+_ENTRY = 150
 
 
 class ByteBPE:
     """Ranks in the public tiktoken text format (base64 token, rank) and the pattern of pre-tokens."""
 
-    def __init__(self, ranks: bytes, pattern: str, cache_size: int = 400_000):
+    def __init__(self, ranks: bytes, pattern: str, cache_bytes: int = 64 << 20):
         import regex
 
         self.tokens: dict[int, bytes] = {}
@@ -50,7 +53,7 @@ class ByteBPE:
         self.by_text = {str(r).encode(): t for r, t in self.tokens.items()}
         self.decoded: dict[bytes, bytes] = {}
         self.cache: dict[str, bytes] = {}
-        self.cache_size = cache_size
+        self.held, self.decoded_held, self.cache_bytes = 0, 0, cache_bytes
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each joined pair, or _NONE; negative ids stand for no token."""
@@ -103,11 +106,11 @@ class ByteBPE:
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def merge_long(self, piece: bytes, width: int) -> list[int]:
-        """The same tree for a single long piece, in plain lists: a vector of one row would be slow."""
+        """The same tree for a single long piece, in flat arrays (about 28 bytes for each of its own): a vector of one row would be slow."""
         n, none, lookup = len(piece), int(_NONE), self.pair_table
-        ids = [int(self.byte_ids[b]) for b in piece]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        tree = [none] * (2 * width)
+        ids = array("i", [int(self.byte_ids[b]) for b in piece])
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        tree = array("q", [none]) * (2 * width)
 
         def leaf(at: int) -> None:
             rank = lookup.get(ids[at] << _POS | ids[after[at]]) if after[at] < n else None
@@ -144,19 +147,29 @@ class ByteBPE:
             b = p.encode()
             whole = self.ranks.get(b)
             if whole is not None:
-                self.cache[p] = b"%d" % whole
+                self._keep(p, b"%d" % whole)
             else:
                 by_width.setdefault(1 << (len(b) - 1).bit_length(), []).append(p)
         for width, group in by_width.items():
             if width >= 256 and len(group) < width // 16:
                 for p in group:
-                    self.cache[p] = ",".join(map(str, self.merge_long(p.encode(), width))).encode()
+                    self._keep(p, ",".join(map(str, self.merge_long(p.encode(), width))).encode())
                 continue
             step = max(1, (1 << 19) // width)
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 for p, ids in zip(part, self.merge([p.encode() for p in part], width)):
-                    self.cache[p] = ",".join(map(str, ids)).encode()
+                    self._keep(p, ",".join(map(str, ids)).encode())
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        self.cache[piece] = ids
+        self.held += len(piece) + len(ids) + _ENTRY
+
+    def trim(self) -> None:
+        """Empty the cache when what it holds is over its bytes; between parts of texts only."""
+        if self.held > self.cache_bytes:
+            self.cache.clear()
+            self.held = 0
 
     def encode_parts(self, text: str, size: int = 50_000) -> Iterator[list[bytes]]:
         """For each pre-token its decimal ids joined by commas, ``size`` pre-tokens at a time."""
@@ -170,8 +183,7 @@ class ByteBPE:
             yield self._join(part)
 
     def _join(self, part: list[str]) -> list[bytes]:
-        if len(self.cache) > self.cache_size:
-            self.cache.clear()
+        self.trim()
         new = set(part).difference(self.cache)
         if new:
             self.learn(new)
@@ -187,9 +199,11 @@ class ByteBPE:
         """The bytes of ids written in decimal; groups of ids that return are remembered."""
         found = self.decoded.get(group)
         if found is None:
-            if len(self.decoded) > self.cache_size:
+            if self.decoded_held > self.cache_bytes:
                 self.decoded.clear()
+                self.decoded_held = 0
             found = self.decoded[group] = b"".join(map(self.by_text.__getitem__, group.split(b",")))
+            self.decoded_held += len(group) + len(found) + _ENTRY
         return found
 
 
@@ -225,8 +239,7 @@ def _encoded(coder: ByteBPE, texts: list[str], long: int = 1 << 20) -> Iterator[
             split.append(coder.find_all(texts[at]))
             size += len(texts[at])
             at += 1
-        if len(coder.cache) > coder.cache_size:
-            coder.cache.clear()
+        coder.trim()
         coder.learn(set().union(*split).difference(coder.cache))
         for pieces in split:
             yield iter([[coder.cache[p] for p in pieces]] if pieces else [])
