@@ -46,9 +46,8 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard of every document after four arrivals and compaction; ``shard_rows`` is checked against the rows read back."""
-    arrivals = shards.file_arrivals(spark, f"{sf_dir}/documents.parquet")
-    store = shards.shard_arrivals(spark, arrivals, new_path(spark, "shards"))
+    """The shard of every document after twelve arrivals, with compactions of all due tiers in between."""
+    store = shards.shard_table(_docs(spark, sf_dir), new_path(spark, "shards"))
     return store.placed("doc_id").drop("shard").withColumn("version", F.lit(store.version()))
 
 

@@ -3,17 +3,21 @@
 Arrivals become small immutable Parquet files. A tier holds shards of similar size; when it has
 ``fanout`` of them, they are merged into files of about the target size, and the tier above gets
 the result. Readers see only the files of the newest manifest. A manifest is a table of shards,
-written whole under a name of its own and made current by creating the marker of its number, which
-the file system does for one writer only; files of a lost or failed commit are never listed.
+written whole under a name of its own and made current by the marker of its number, which can be
+made only once: by a hard link on a local file system, elsewhere by a rename that does not
+overwrite, so the file system must do such renames in one step. Files of a lost or failed commit
+are never listed.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARD = "path string, bytes long, n_rows long, generation int"
@@ -32,7 +36,7 @@ class Tiers:
     fanout: int = 4
     growth: int = 4
 
-    def tier(self):
+    def tier(self) -> Column:
         """The tier of a shard by its ``bytes``; full shards have none."""
         steps = F.floor(F.log(F.greatest(F.col("bytes") / F.lit(self.small), F.lit(1.0))) / F.log(F.lit(float(self.growth)))).cast("int")
         return F.when(F.col("bytes") < self.target // 2, steps)
@@ -43,8 +47,8 @@ class ShardStore:
 
     def __init__(self, spark: SparkSession, path: str, tiers: Tiers = Tiers()):
         self.spark, self.path, self.tiers = spark, path.rstrip("/"), tiers
-        jvm = spark.sparkContext._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._at = self._hadoop.Path
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _versions(self) -> list[int]:
@@ -72,15 +76,21 @@ class ShardStore:
     def commit(self, shards: DataFrame, base: int) -> int:
         """Make ``shards`` the version after ``base``; raises CommitConflict if someone else did so."""
         name = uuid.uuid4().hex
-        shards.write.parquet(f"{self.path}/manifests/{name}")
-        marker = self._at(f"{self.path}/staged/{name}")
+        shards.coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
+        marker, final = self._at(f"{self.path}/staged/{name}"), self._at(f"{self.path}/current/{base + 1}")
         stream = self._fs.create(marker, False)
         stream.writeUTF(name)
         stream.close()
-        self._fs.mkdirs(self._at(f"{self.path}/current"))
-        final = self._at(f"{self.path}/current/{base + 1}")
-        if self._fs.exists(final) or not self._fs.rename(marker, final):
-            raise CommitConflict(f"version {base + 1} exists")
+        self._fs.mkdirs(final.getParent())
+        try:
+            if self._fs.getScheme() == "file":
+                os.link(marker.toUri().getPath(), final.toUri().getPath())
+            else:
+                self._hadoop.FileContext.getFileContext(final.toUri(), self._fs.getConf()).rename(marker, final)
+        except (FileExistsError, Py4JJavaError) as error:
+            if isinstance(error, FileExistsError) or self._fs.exists(final):
+                raise CommitConflict(f"version {base + 1} exists") from None
+            raise
         return base + 1
 
     def _measured(self, folder: str, generation: int) -> DataFrame:
@@ -95,6 +105,17 @@ class ShardStore:
         rows.write.option("compression", "zstd").parquet(folder)
         return self.commit(self.manifest(base).unionByName(self._measured(folder, 0)), base)
 
+    def append_parts(self, rows: DataFrame, part: Column) -> int:
+        """Write all values of ``part`` as arrivals in one job without a shuffle; each is committed by itself, and due tiers are compacted in between."""
+        folder, name = f"{self.path}/data/{uuid.uuid4().hex}", f"part_{uuid.uuid4().hex}"
+        rows.withColumn(name, part).write.option("compression", "zstd").partitionBy(name).parquet(folder)
+        found = [s.getPath() for s in self._fs.listStatus(self._at(folder)) if s.isDirectory()]
+        for path in sorted(str(p.toString()) for p in found):
+            base = self.version()
+            self.commit(self.manifest(base).unionByName(self._measured(path, 0)), base)
+            self.settle()
+        return self.version()
+
     def due(self) -> list[int]:
         """Tiers with at least ``fanout`` shards, smallest first; there are only as many tiers as size ratios below the target."""
         tiers = self.manifest().select(self.tiers.tier().alias("tier")).where("tier is not null").groupBy("tier").count()
@@ -104,12 +125,13 @@ class ShardStore:
         """Merge the shards of one tier into files of about the target size and commit the new version.
 
         Shards are packed without a shuffle: read partitions are put together until they hold a
-        target's worth of bytes, and each is written as one file.
+        target's worth of bytes, and each is written as one file. The files of one tier are listed
+        in the driver, as for any read of Parquet files.
         """
         base = self.version()
         shards = self.manifest(base).withColumn("tier", self.tiers.tier())
         run = shards.where(F.col("tier") == tier)
-        size, generation, n = run.agg(F.sum("bytes"), F.max("generation"), F.count("*")).first()
+        size, generation = run.agg(F.sum("bytes"), F.max("generation")).first()
         files = max(1, -(-size // self.tiers.target))
         paths = [r["path"] for r in run.select("path").toLocalIterator()]
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
@@ -117,18 +139,35 @@ class ShardStore:
         rest = shards.where(~F.col("tier").eqNullSafe(F.lit(tier))).drop("tier")
         return self.commit(rest.unionByName(self._measured(folder, generation + 1)), base)
 
-    def settle(self, most: int = 20) -> int:
-        """Compact due tiers until none is due; each round merges at least ``fanout`` shards into fewer."""
-        for _ in range(most):
-            due = self.due()
-            if not due:
-                break
-            before = self.manifest().count()
+    def settle(self) -> int:
+        """Compact due tiers until none is due.
+
+        It ends by itself: shards with a tier are below half the target, so ``fanout`` of them or
+        more always become fewer files.
+        """
+        while due := self.due():
             self.compact(due[0])
-            if self.manifest().count() >= before:
-                break
         return self.version()
 
+    def expire(self, keep: int = 2) -> int:
+        """Delete the data of versions before the newest ``keep``; returns how many folders went. Readers of older versions must be gone."""
+        versions = self._versions()
+        live = None
+        for v in versions[-keep:]:
+            live = self.manifest(v) if live is None else live.unionByName(self.manifest(v))
+        if live is None:
+            return 0
+        folder = F.regexp_extract("path", r"/data/(.*)/[^/]*$", 1)
+        used = {r[0] for r in live.select(folder).distinct().collect()}  # one for each live commit
+        gone = 0
+        for own in self._fs.listStatus(self._at(f"{self.path}/data")):
+            name = own.getPath().getName()
+            inner = [name] if name in used or not any(u.startswith(f"{name}/") for u in used) else [f"{name}/{s.getPath().getName()}" for s in self._fs.listStatus(own.getPath()) if s.isDirectory()]
+            for path in inner:
+                if path not in used:
+                    gone += self._fs.delete(self._at(f"{self.path}/data/{path}"), True)
+        return gone
+
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version; one without shards can't be read."""
         paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
@@ -146,7 +185,7 @@ def shard_arrivals(spark: SparkSession, arrivals: Iterable[DataFrame], path: str
 
     All columns are stored as they are, nulls and repeated rows too; extra columns need only be
     the same in all arrivals. A text is never split, so a shard may exceed the target by its last
-    row group. Empty arrivals make a store without shards.
+    row group. Shards of equal size are in one tier. Empty arrivals make a store without shards.
     """
     store = ShardStore(spark, path, tiers)
     for rows in arrivals:
@@ -155,9 +194,12 @@ def shard_arrivals(spark: SparkSession, arrivals: Iterable[DataFrame], path: str
     return store
 
 
-def file_arrivals(spark: SparkSession, table: str, most: int = 4) -> list[DataFrame]:
-    """The files of a Parquet table as up to ``most`` arrivals of about equal numbers of files; every file is in one."""
-    whole = spark.read.parquet(table)
-    files = sorted(whole.inputFiles())
-    step = -(-len(files) // most) or 1
-    return [spark.read.schema(whole.schema).parquet(*files[i : i + step]) for i in range(0, len(files), step)]
+def shard_table(rows: DataFrame, path: str, key: str = "doc_id", arrivals: int = 12, tiers: Tiers = Tiers()) -> ShardStore:
+    """A table as ``arrivals`` arrivals by a hash of ``key`` (null: the first), compacted as they come; only the data of the last two versions stay.
+
+    Rows are kept as in ``shard_arrivals``; an empty table makes a store of version 0.
+    """
+    store = ShardStore(rows.sparkSession, path, tiers)
+    store.append_parts(rows, F.when(F.col(key).isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.lit(arrivals))).cast("int"))
+    store.expire()
+    return store
