@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,18 @@ def materialize(df: DataFrame, tag: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bloom_filters(spark: SparkSession) -> Iterator[None]:
+    """Within, joins with a small filtered side may send a Bloom filter of it to the scan of the other, whatever that one's size."""
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and that no later step reads."""
     spark = table.sparkSession

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm._store import discard, materialize
+from kbspark.llm._store import bloom_filters, discard, materialize
 
 _LEAST = -(2**63)
 _AT = ("doc", "mark", "pos")
@@ -58,7 +58,7 @@ def _ceil_share(n: Column, num: int, den: int) -> Column:
 
 
 #: A word of this rank has a list of at most 2**(SHORT / 4 + 1 / 4) wordings, which give all their pairs at once.
-SHORT = 24
+SHORT = 34
 #: Sizes and places in a posting are told up to this; beyond it filters let pairs through.
 _FULL = 4095
 
@@ -98,14 +98,9 @@ def _settled(pairs: DataFrame, wordings: DataFrame, num: int, den: int) -> DataF
     """``h`` of the later wording of each of ``pairs(a, b)`` whose words reach the threshold."""
     pairs = materialize(pairs.distinct(), "line-pairs")
     need = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("asked")).where("asked > 0")
-    spark = pairs.sparkSession
-    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    was = spark.conf.get(key)
-    spark.conf.set(key, "0")  # a Bloom filter of the wordings that are asked for keeps the others out of the shuffle
-    try:
-        some = materialize(wordings.select("h", F.struct(*_AT).alias("at"), "n", "words").join(materialize(need, "line-need").where("asked > 0").select("h"), "h"), "line-words")
-    finally:
-        spark.conf.set(key, was)
+    need = materialize(need, "line-need").where("asked > 0").select("h")
+    with bloom_filters(pairs.sparkSession):  # keeps wordings that are not asked for out of the shuffle
+        some = materialize(wordings.select("h", F.struct(*_AT).alias("at"), "n", "words").join(need, "h"), "line-words")
     x = some.select(F.col("h").alias("a"), F.col("at").alias("xa"), F.col("n").alias("xn"), F.col("words").alias("xw"))
     y = some.select(F.col("h").alias("b"), F.col("at").alias("ya"), F.col("n").alias("yn"), F.col("words").alias("yw"))
     # one use of the intersection in the predicate, as it may be put into the join
