@@ -8,7 +8,7 @@ with over SLACK empty parts also meet in one further place of their tile). Pairs
 bound from 1,024-bit signatures, then an exact intersection of sorted arrays.
 
 Only one pair per path is needed for components. Documents of one set are one node; nodes are
-held against one hub of each meeting place, in turn another one, until a turn links nothing new.
+held against one hub of each meeting place, in turn another one, until a turn links little.
 At last all pairs that meet and still lie in different components are checked, each pair once.
 """
 
@@ -176,9 +176,9 @@ def _meeting_places(table: DataFrame) -> DataFrame:
 
 
 def _apart(met: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """``key, fp, comp, hub, hub_comp``: meetings of nodes from two components or more, each with one hub of its place, another in each turn."""
+    """``key, fp, comp, hub, hub_comp``: meetings of nodes from two components or more, each with the hub of its place: the first there in an order of the turn, so that near copies have the same hub in most places."""
     own = met.withColumn("comp", F.col("fp")) if labels is None else met.join(labels, met["fp"] == labels["node"], "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
-    hub = F.min(F.struct(F.xxhash64("key", "fp", F.lit(turn)), "fp", "comp"))
+    hub = F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "comp"))
     places = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), hub.alias("hub")).where("low <> high")
     return materialize(own.join(places.select("key", F.col("hub.fp").alias("hub"), F.col("hub.comp").alias("hub_comp")), "key"), "apart")
 
@@ -212,15 +212,14 @@ def _groups(docs: DataFrame, num: int, den: int, k: int) -> tuple[DataFrame, Dat
     while True:
         apart = _apart(met, labels, turn)
         found = check(apart.where("comp <> hub_comp").select(F.col("fp").alias("a"), F.col("hub").alias("b")))
-        if not found.limit(1).count():
+        links = found if links is None else links.unionByName(found)
+        if found.count() * 1000 < apart.count() or not apart.limit(1).count():
             break
         discard(apart)
-        links = found if links is None else links.unionByName(found)
         labels, turn = components(links), turn + 1
     pairs = materialize(_rest(apart, marks, num, den), "pairs")
     found = materialize(_linked(pairs, contents, num, den), "linked")
-    links = found if links is None else links.unionByName(found)
-    labels = components(links)
+    labels = components(links.unionByName(found))
     discard(met), discard(apart), discard(contents)
     return table, by_set.join(labels, by_set["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
 
