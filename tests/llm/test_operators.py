@@ -164,7 +164,8 @@ def test_quality(docs, rows, empty):
         z = zstandard.ZstdCompressor(level=bands.level)
         limit = [m for m in bands.limits if len(b) >= m[0]][-1:]
         ok = not failed and all(m[1] <= len(z.compress(b)) / len(b) <= m[2] for m in limit)
-        chunks = [len(z.compress(b[a : a + bands.chunk])) / bands.chunk for a in range(0, len(b) - bands.chunk + 1, bands.chunk)]
+        last = len(b) - bands.chunk
+        chunks = [len(z.compress(b[a : a + bands.chunk])) / bands.chunk for a in ([*range(0, last, bands.chunk), last] if last >= 0 else [])]
         ok = ok and sum(not bands.chunk_limits[0] <= r <= bands.chunk_limits[1] for r in chunks) <= bands.chunk_share * len(chunks)
         want.append((i, len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", x or "")), dup, len(hit), failed, ok))
     same(quality.quality_rules(docs), want, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
@@ -182,6 +183,8 @@ def test_quality_judges_the_tail(spark):
     rows = [(1, prose[:4096] + noise[:4095]), (2, prose[:8191]), (3, prose[:8192]), (4, prose[:4096]), (5, prose[:4095])]
     out = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[1].ratio <= 0.64 and (out[1].chunks, out[1].bad_chunks, out[1].kept) == (2, 1, False)
+    short = quality.quality_rules(spark.createDataFrame([(6, "a " * 60), (7, " ".join(f"{c}{i}" for i, c in enumerate("qwertyuiopasdfghjklzxcvb"))), (8, "x " * 21)], "doc_id long, text string")).collect()
+    assert [r.kept for r in short] == [False, True, False]
     assert [(out[i].chunks, out[i].kept) for i in (2, 3, 4, 5)] == [(2, True), (2, True), (1, True), (0, True)]
 
 
@@ -214,6 +217,22 @@ def test_bpe_odd_texts():
         assert coder.encode(x) == ids and coder.decode(ids) == x.encode()
 
 
+def test_bpe_long_piece_and_small_cache():
+    """One pre-token of a megabyte, and a cache that is emptied all the time."""
+    p, raw, enc = tokenizer()
+    coder = bpe.ByteBPE(raw, p.PATTERN, cache_bytes=1000)
+    import random
+
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefghij") for _ in range(1 << 20))
+    ids = coder.encode(long)
+    assert coder.decode(ids) == long.encode() and ids[:2000] == enc.encode_ordinary(long[:6000])[: len(ids[:2000])] and coder.held > 0
+    many = " ".join("".join(rng.choice("abcdef") for _ in range(60)) for _ in range(300))
+    assert coder.encode(many) == enc.encode_ordinary(many)
+    coder.trim()
+    assert coder.held == 0 and not coder.cache
+
+
 def brute_groups(rows, num=90, den=100):
     sets = []
     for i, x in rows:
@@ -276,6 +295,39 @@ def test_sharding(spark, docs, empty, tmp_path):
     assert max(r.n for r in store.placed("doc_id").groupBy("shard", "shard_rows").agg((F.count("*") - F.col("shard_rows")).alias("n")).collect()) == 0
 
 
+def test_sharding_table(spark, docs, empty, tmp_path):
+    """One table as many arrivals: generations grow, tiers are settled, old data go, every row stays once."""
+    tiers = shards.Tiers(target=60_000, small=4_000, fanout=3, growth=4)
+    named = docs.withColumnRenamed("line", "__path")
+    store = shards.shard_table(named.coalesce(1), f"file://{tmp_path}/t", tiers=tiers)
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, named.collect()))
+    found = store.manifest().collect()
+    assert max(r.generation for r in found) >= 2 and len(found) < 12 and not store.due() and store.version() > 12
+    assert sum(r.n_rows for r in found) == docs.count() == store.placed("doc_id").count()
+    kept = store.manifest().select("path").collect()
+    assert all(open(r.path.removeprefix("file:").replace("///", "/"), "rb").read(4) == b"PAR1" for r in kept)
+    assert shards.shard_table(empty, f"file://{tmp_path}/n").version() == 0
+
+
+def test_sharding_two_writers(spark, docs, tmp_path):
+    """Of writers that commit on one version at once, exactly one wins."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = shards.ShardStore(spark, f"file://{tmp_path}/w")
+    store.append(docs.limit(5))
+    rows = store.manifest()
+
+    def attempt(_):
+        try:
+            return shards.ShardStore(spark, f"file://{tmp_path}/w").commit(rows, 1)
+        except shards.CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        won = list(pool.map(attempt, range(6)))
+    assert won.count(2) == 1 and won.count(None) == 5 and store.version() == 2
+
+
 def test_sharding_conflict(spark, docs, empty, tmp_path):
     store = shards.ShardStore(spark, f"file://{tmp_path}/c")
     store.append(docs.limit(5))
@@ -288,9 +340,9 @@ def test_sharding_conflict(spark, docs, empty, tmp_path):
     assert other.version() == 1 and other.manifest().count() == 0
 
 
-@pytest.mark.parametrize("most", [50_000, 0])
+@pytest.mark.parametrize("most", [256 << 20, 0])
 def test_decontamination(spark, docs, rows, empty, most):
-    items = [(1, "seven green birds watch from a tall old tree"), (2, "The quick brown fox jumps over the lazy dog while seven green birds watch from"), (3, None), (4, ""), (5, "drei ein zwei"), (6, "..."), (None, "quick brown fox jumps")]
+    items = [(1, "seven green birds watch from a tall old tree"), (2, "The quick brown fox jumps over the lazy dog while seven green birds watch from"), (3, None), (4, ""), (5, "drei ein zwei"), (6, "..."), (7, "zwei"), (8, "b a"), (None, "quick brown fox jumps")]
     real = [(r.item_id + 10, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bench = spark.createDataFrame(items + real, "item_id long, text string")
     wins = collections.defaultdict(set)
@@ -307,12 +359,12 @@ def test_decontamination(spark, docs, rows, empty, most):
                     hit.update(range(a, a + n))
                     got |= wins[tuple(w[a : a + n])]
         want.append((i, len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    out = decontamination.contamination(docs, bench, broadcast_windows=most)
+    out = decontamination.contamination(docs, bench, broadcast_bytes=most)
     same(out, want, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-    clean = decontamination.decontaminate(docs, bench, broadcast_windows=most)
+    clean = decontamination.decontaminate(docs, bench, broadcast_bytes=most)
     assert sorted(map(str, clean.select("doc_id").collect())) == sorted(str((i,)).replace("(", "Row(doc_id=").replace(",)", ")") for i, *_, c in want if not c)
-    assert decontamination.contamination(empty, bench, broadcast_windows=most).count() == 0
-    assert decontamination.contamination(docs, bench.limit(0), broadcast_windows=most).agg(F.sum("n_hit")).first()[0] == 0
+    assert decontamination.contamination(empty, bench, broadcast_bytes=most).count() == 0
+    assert decontamination.contamination(docs, bench.limit(0), broadcast_bytes=most).agg(F.sum("n_hit")).first()[0] == 0
     if most:
         spans = decontamination.decontaminate(docs, bench, remove="spans")
         assert spans.columns == docs.columns and spans.count() == docs.count()
@@ -407,6 +459,18 @@ def test_pii_odd_matches():
         assert pii.find_spans(x) == brute_pii(x), x
 
 
+def test_pii_long_lines():
+    """A megabyte of digits, of dotted numbers and of addresses on one line each takes seconds."""
+    import time
+
+    began = time.time()
+    assert pii.find_spans("7" * (1 << 20)) == [] and len(pii.find_spans("1.2.3.4 " * 130_000)) == 130_000
+    text = " ".join(f"user{i}@mail{i}.example.org" for i in range(30_000))
+    spans = pii.find_spans(text)
+    assert len(spans) == 30_000 and list(pii._terms(text, spans)) == []
+    assert time.time() - began < 20
+
+
 def test_pii_terms(spark, empty):
     """A term that stands beside one person's address alone is found; a common word is not."""
     told = [(i, f"ask zorblatt about it, write joe@mail.com today {i} the end") for i in range(3)]
