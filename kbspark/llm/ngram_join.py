@@ -2,10 +2,13 @@
 
 Sets are distinct word n-grams. Sizes are cut into bands so that a linking pair lies in one band
 or two neighbouring ones; a tile holds both. In a tile of largest size U two linking sets differ
-in at most D(U) n-grams, so if the n-grams are dealt into D(U) + 1 + SLACK parts by hash, at least
-SLACK + 1 parts agree: documents meet only under the hash of an agreeing, non-empty part (those
-with over SLACK empty parts also meet in one further place of their tile). Pairs that meet pass a
-bound from 1,024-bit signatures, then an exact intersection of sorted arrays.
+in at most D(U) n-grams, so if the n-grams are dealt into D(U) + 1 + slack parts by hash, more than
+``slack`` parts agree: documents meet only under the hash of an agreeing, non-empty part. A set
+with more empty parts than that is dealt again by another hash, until one leaves few enough empty
+(two sets are both dealt by the first hash that does so for one of them); after SEEDS hashes such
+sets meet under the n-grams of their prefix in hash order. Pairs that meet pass a
+bound from 1,024-bit signatures and from such of the tile's own width, then an exact intersection
+of sorted arrays.
 
 Only one pair per path is needed for components. Documents of one set are one node; nodes are
 held against one hub of each meeting place, in turn another one, until a turn links little.
@@ -27,7 +30,10 @@ from kbspark.llm._words import LEAST, doc_key
 from kbspark.llm.graph import components
 
 SLACK = 2
+SEEDS = 4
 WORDS64 = 16
+#: Bits of a wide signature for each gram of its tile's largest sets.
+GRAM_BITS = 8
 
 
 def bands(largest: int, num: int, den: int) -> list[int]:
@@ -70,14 +76,20 @@ def _meetings(grams: np.ndarray, lows: list[int], num: int, den: int) -> np.ndar
         most = 2 * (lows[tile + 1] - 1) * (den - num) // (den + num)
         if not most:
             continue
-        parts = most + 1 + SLACK
-        part = ((grams >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        found, first = np.unique(part[order], return_index=True)
-        content = np.add.reduceat(_text.mix(grams[order] + np.uint64(0x51ED270B)), first)
-        out.append(_text.mix(content ^ _text.mix(found.astype(np.uint64) + np.uint64(tile << 32))))
-        if parts - len(found) > SLACK:
-            out.append(_text.mix(np.array([tile + (1 << 60)], np.uint64)))
+        slack = SLACK + most // 16
+        parts = most + 1 + slack
+        for seed in range(SEEDS):
+            h = _text.mix(grams + np.uint64(seed)) if seed else grams
+            part = ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            found, first = np.unique(part[order], return_index=True)
+            content = np.add.reduceat(_text.mix(grams[order] + np.uint64(0x51ED270B)), first)
+            out.append(_text.mix(content ^ _text.mix(found.astype(np.uint64) + np.uint64((tile << 32) + (seed << 58)))))
+            if parts - len(found) <= slack:
+                break
+        else:
+            prefix = grams[: len(grams) + (-num * len(grams) // den) + 1]
+            out.append(_text.mix(prefix ^ _text.mix(np.array([tile + (1 << 60)], np.uint64))))
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -111,11 +123,18 @@ def _documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), docs["text"], F.xxhash64(docs["text"])).mapInArrow(run, "doc_id long, k2 long, fp long, n long, keys array<long>")
 
 
-def _contents(rows: DataFrame, k: int) -> DataFrame:
-    """``fp, n, s0.., grams`` from ``rows(fp, text)`` whose text has the set ``fp``."""
-    names = ["fp", "n", *(f"s{i}" for i in range(WORDS64)), "grams"]
+def _signature(grams: np.ndarray, words: int) -> list[int]:
+    bits = np.zeros(words * 64, np.uint8)
+    bits[(grams >> np.uint64(17)) % np.uint64(words * 64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+
+def _contents(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``fp, n, s0.., band, own, next, grams`` from ``rows(fp, text)`` whose text has the set ``fp``; ``own`` and ``next`` are the wide signatures of its two tiles."""
+    names = ["fp", "n", *(f"s{i}" for i in range(WORDS64)), "band", "own", "next", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows = [1]
         for batch in batches:
             for lo, hi, data, offs in _text.blocks(batch.column(1)):
                 rows_, grams = sets(data, offs, k)
@@ -126,14 +145,16 @@ def _contents(rows: DataFrame, k: int) -> DataFrame:
                     own = grams[a:b]
                     if a == b or _identity(own) != fp:
                         continue
-                    bits = np.zeros(WORDS64 * 64, np.uint8)
-                    bits[(own >> np.uint64(17)).astype(np.int64) % (WORDS64 * 64)] = 1
-                    out.append((fp, int(b - a), *np.packbits(bits, bitorder="little").view(np.int64).tolist(), own.tobytes()))
-                kinds = [pa.int64()] * (2 + WORDS64) + [pa.binary()]
+                    if lows[-2:][0] <= b - a:
+                        lows = bands(int(b - a) * 2, num, den)
+                    band = int(np.searchsorted(lows, b - a, "right")) - 1
+                    wide = [_signature(own, -(-(lows[tile + 1] - 1) * GRAM_BITS // 64)) for tile in (band, band + 1)]
+                    out.append((fp, int(b - a), *_signature(own, WORDS64), band, *wide, own.tobytes()))
+                kinds = [pa.int64()] * (2 + WORDS64) + [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
 
     small_batches(rows.sparkSession)
-    return rows.select("fp", "text").mapInArrow(run, "fp long, n long, " + "".join(f"s{i} long, " for i in range(WORDS64)) + "grams binary")
+    return rows.select("fp", "text").mapInArrow(run, "fp long, n long, " + "".join(f"s{i} long, " for i in range(WORDS64)) + "band int, own array<long>, next array<long>, grams binary")
 
 
 def _may_link(num: int, den: int) -> Column:
@@ -141,7 +162,12 @@ def _may_link(num: int, den: int) -> Column:
     missing = lambda x, y: sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.s{i}")))) for i in range(1, WORDS64)), F.bit_count(F.col(f"{x}.s0").bitwiseAND(F.bitwise_not(F.col(f"{y}.s0")))))
     need = (F.col("x.n") + F.col("y.n")) * num
     most = F.least(F.col("x.n") - missing("x", "y"), F.col("y.n") - missing("y", "x"))
-    return (F.greatest("x.n", "y.n") * num <= F.least("x.n", "y.n") * den) & (most * (num + den) >= need)
+    # the wide signatures of the tile of both, looked at only if the short ones pass
+    tile = F.greatest("x.band", "y.band")
+    wide = lambda x: F.when(F.col(f"{x}.band") == tile, F.col(f"{x}.own")).otherwise(F.col(f"{x}.next"))
+    lost = lambda x, y: F.aggregate(F.zip_with(wide(x), wide(y), lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, c: s + c)
+    sure = F.when((F.greatest("x.n", "y.n") * num <= F.least("x.n", "y.n") * den) & (most * (num + den) >= need), F.least(F.col("x.n") - lost("x", "y"), F.col("y.n") - lost("y", "x")) * (num + den) >= need)
+    return F.coalesce(sure, F.lit(False))
 
 
 def _linked(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFrame:
@@ -199,7 +225,7 @@ def _groups(docs: DataFrame, num: int, den: int, k: int) -> tuple[DataFrame, Dat
     met = _meeting_places(table)
     need = met.select("fp").distinct().join(by_set, "fp")
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), "text")
-    contents = materialize(_contents(need.join(texts, need["least"].eqNullSafe(texts["id"])), k).dropDuplicates(["fp"]), "contents")
+    contents = materialize(_contents(need.join(texts, need["least"].eqNullSafe(texts["id"])), k, num, den).dropDuplicates(["fp"]), "contents")
     marks = contents.drop("grams")
 
     def check(pairs: DataFrame) -> DataFrame:

@@ -275,6 +275,23 @@ def test_ngram_join_borders(spark):
     same(ngram_join.near_duplicates(df), brute_groups(rows), ["doc_id", "n_shingles", "component_id"])
 
 
+@pytest.mark.parametrize(("seeds", "slack", "num"), [(0, 0, 80), (1, 0, 80), (4, 2, 80), (4, 0, 70)])
+def test_ngram_join_empty_parts(spark, monkeypatch, seeds, slack, num):
+    """Sets with empty parts are dealt again, and at last meet under their prefixes."""
+    monkeypatch.setattr(ngram_join, "SEEDS", seeds)
+    monkeypatch.setattr(ngram_join, "SLACK", slack)
+    import random
+
+    rng = random.Random(seeds)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(rng.choice((4, 9, 20, 45, 90)))]
+        for v in range(4):
+            rows.append((len(rows), " ".join(f"{w}x{v}" if rng.random() < 0.03 * v else w for w in base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(ngram_join.near_duplicates(df, num, 100), brute_groups(rows, num), ["doc_id", "n_shingles", "component_id"])
+
+
 def test_keep_one(docs, rows):
     groups = brute_groups(rows)
     want = sorted({i for i, _, c in groups if i is not None and i == c})
