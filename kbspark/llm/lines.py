@@ -95,16 +95,25 @@ def _may_match(x: str, y: str, num: int, den: int) -> Column:
 
 
 def _settled(pairs: DataFrame, wordings: DataFrame, num: int, den: int) -> DataFrame:
-    """``h`` of the later wording of each of ``pairs(a, b)`` whose words reach the threshold."""
+    """``h`` of the later wording of each of ``pairs(a, b)`` whose words reach the threshold.
+
+    Two bytes of each word's hash come first: words of one side whose two bytes the other side
+    lacks bound the overlap, and the pairs that remain are hardly more than those that match.
+    """
     pairs = materialize(pairs.distinct(), "line-pairs")
-    need = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("asked")).where("asked > 0")
-    need = materialize(need, "line-need").where("asked > 0").select("h")
+    brief = wordings.select("h", "n", F.transform("words", lambda w: F.shiftrightunsigned(w, 48).cast("int")).alias("s"))
+    x, y = brief.select(F.col("h").alias("a"), F.col("n").alias("xn"), F.col("s").alias("xs")), brief.select(F.col("h").alias("b"), F.col("n").alias("yn"), F.col("s").alias("ys"))
+    need = (F.col("xn") + F.col("yn")) * num
+    some = pairs.join(x, "a").join(y, "b").where(((F.col("xn") - F.size(F.array_except("xs", "ys"))) * (num + den) >= need) & ((F.col("yn") - F.size(F.array_except("ys", "xs"))) * (num + den) >= need))
+    some = materialize(some.select("a", "b"), "line-near")
+    asked = some.select(F.col("a").alias("h")).unionByName(some.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("asked"))
+    asked = materialize(asked, "line-need").where("asked > 0").select("h")
     with bloom_filters(pairs.sparkSession):  # keeps wordings that are not asked for out of the shuffle
-        some = materialize(wordings.select("h", F.struct(*_AT).alias("at"), "n", "words").join(need, "h"), "line-words")
-    x = some.select(F.col("h").alias("a"), F.col("at").alias("xa"), F.col("n").alias("xn"), F.col("words").alias("xw"))
-    y = some.select(F.col("h").alias("b"), F.col("at").alias("ya"), F.col("n").alias("yn"), F.col("words").alias("yw"))
+        full = materialize(wordings.select("h", F.struct(*_AT).alias("at"), "n", "words").join(asked, "h"), "line-words")
+    x = full.select(F.col("h").alias("a"), F.col("at").alias("xa"), F.col("n").alias("xn"), F.col("words").alias("xw"))
+    y = full.select(F.col("h").alias("b"), F.col("at").alias("ya"), F.col("n").alias("yn"), F.col("words").alias("yw"))
     # one use of the intersection in the predicate, as it may be put into the join
-    good = pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect("xw", "yw")) * (num + den) >= (F.col("xn") + F.col("yn")) * num)
+    good = some.join(x, "a").join(y, "b").where(F.size(F.array_intersect("xw", "yw")) * (num + den) >= need)
     return materialize(good.select(F.when(F.col("xa") < F.col("ya"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct(), "line-late")
 
 
