@@ -64,31 +64,33 @@ _FULL = 4095
 
 
 def _prefixes(wordings: DataFrame, table: bytes, bits: int, num: int, den: int) -> DataFrame:
-    """``h, doc, n, sig, prefix``: the rare words of each wording, rarest first, each with its rank in the top byte."""
+    """``h, doc, n, sig, sig2, prefix``: a signature of 128 bits and the rare words of each wording, rarest first, each with its rank in the top byte."""
 
     def ranked(w: Column) -> Column:
         at = w.bitwiseAND(F.lit((1 << bits) - 1)) + 1
         rank = F.ascii(F.substring(F.lit(table), at.cast("int"), 1).cast("string")).cast("long")  # ranks are below 128
         return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(w, 8))
 
-    bit = lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
-    rows = wordings.select("h", "doc", "n", F.aggregate("words", F.lit(0).cast("long"), bit).alias("sig"), F.sort_array(F.transform("words", ranked)).alias("ranked"))
-    return rows.select("h", "doc", "n", "sig", F.slice("ranked", F.lit(1), (F.col("n") - _ceil_share(F.col("n"), num, den) + 1).cast("int")).alias("prefix"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    half = lambda own: F.aggregate("words", F.lit(0).cast("long"), lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == own, acc.bitwiseOR(bit(x))).otherwise(acc))
+    rows = wordings.select("h", "doc", "n", half(0).alias("sig"), half(64).alias("sig2"), F.sort_array(F.transform("words", ranked)).alias("ranked"))
+    return rows.select("h", "doc", "n", "sig", "sig2", F.slice("ranked", F.lit(1), (F.col("n") - _ceil_share(F.col("n"), num, den) + 1).cast("int")).alias("prefix"))
 
 
 def _postings(prefixes: DataFrame, long: bool) -> DataFrame:
-    """``key, h, doc, n, i, sig``: the words of short or long lists, each wording once in a list."""
-    rows = prefixes.select("h", "doc", F.least("n", F.lit(_FULL)).alias("n"), "sig", F.posexplode("prefix").alias("i", "word"))
+    """``key, h, doc, n, i, sig, sig2``: the words of short or long lists, each wording once in a list."""
+    rows = prefixes.select("h", "doc", F.least("n", F.lit(_FULL)).alias("n"), "sig", "sig2", F.posexplode("prefix").alias("i", "word"))
     rank = F.shiftright("word", 56)
     rows = rows.where(rank > SHORT if long else rank <= SHORT)
-    return rows.select(F.col("word").bitwiseAND(F.lit((1 << 56) - 1)).alias("key"), "h", "doc", "n", F.least("i", F.lit(_FULL)).cast("long").alias("i"), "sig")
+    return rows.select(F.col("word").bitwiseAND(F.lit((1 << 56) - 1)).alias("key"), "h", "doc", "n", F.least("i", F.lit(_FULL)).cast("long").alias("i"), "sig", "sig2")
 
 
 def _may_match(x: str, y: str, num: int, den: int) -> Column:
     """Length, positional and bit-count filters for two postings of one word."""
     c = lambda side, name: F.col(f"{side}.{name}")
     nx, ny = c(x, "n"), c(y, "n")
-    lost = lambda a, b: F.bit_count(c(a, "sig").bitwiseAND(F.bitwise_not(c(b, "sig"))))
+    lacks = lambda a, b, s: F.bit_count(c(a, s).bitwiseAND(F.bitwise_not(c(b, s))))
+    lost = lambda a, b: lacks(a, b, "sig") + lacks(a, b, "sig2")
     most = F.least(nx - c(x, "i"), ny - c(y, "i"), nx - lost(x, y), ny - lost(y, x))
     fits = (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (most * (num + den) >= (nx + ny) * num)
     return (nx == _FULL) | (ny == _FULL) | fits
@@ -125,7 +127,7 @@ def _late(wordings: DataFrame, num: int, den: int, bits: int) -> DataFrame:
     pair = F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")
     may = _may_match("x", "y", num, den)
     pairs = short.alias("x").join(short.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & may).select(*pair)
-    first = long.groupBy("key", "n").agg(F.min(F.struct("doc", "h", "i", "sig")).alias("first")).select("key", "n", "first.*")
+    first = long.groupBy("key", "n").agg(F.min(F.struct("doc", "h", "i", "sig", "sig2")).alias("first")).select("key", "n", "first.*")
     hubs = long.alias("y").join(first.alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.h") != F.col("y.h")) & may).select(*pair)
     pairs = materialize(pairs.distinct(), "line-pairs").unionByName(materialize(hubs.distinct(), "line-pairs"))
     late = _settled(pairs, wordings, num, den)
