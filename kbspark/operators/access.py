@@ -22,9 +22,10 @@ def role_rank(c: str | Column) -> Column:
     return F.coalesce(ranks[F.col(c) if isinstance(c, str) else c], F.lit(5))
 
 
-def user_ranks(users: DataFrame, user_roles: DataFrame) -> DataFrame:
-    """``user_id, rank``: the highest of a user's roles, 0 without any."""
-    best = user_roles.groupBy("user_id").agg(F.max(role_rank("role")).alias("rank"))
+def user_ranks(users: DataFrame, user_roles: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+    """``user_id, rank``: the highest of a user's roles, 0 without any; of the enabled ones if ``roles(role, is_enabled)`` is given."""
+    held = user_roles if roles is None else user_roles.join(roles.where("is_enabled").select("role"), "role", "left_semi")
+    best = held.groupBy("user_id").agg(F.max(role_rank("role")).alias("rank"))
     return users.select("user_id").join(best, "user_id", "left").select("user_id", F.coalesce("rank", F.lit(0)).alias("rank"))
 
 
@@ -115,6 +116,17 @@ def rename_department(df: DataFrame, old: str, new: str | None) -> DataFrame:
     return df.withColumn("department", F.when(department("department") == old, F.lit(new)).otherwise(F.col("department")))
 
 
+def drop_department(df: DataFrame, old: str) -> DataFrame:
+    """The rows with a department taken away, and restricted where they have a visibility; that of guests stays."""
+    if old == "GUEST":
+        raise ValueError("the department of guests can't be dropped")
+    hit = F.coalesce(department("department") == old, F.lit(False))
+    out = df.withColumn("__hit", hit)
+    if "visibility" in df.columns:
+        out = out.withColumn("visibility", F.when(F.col("__hit"), "restricted").otherwise(F.col("visibility")))
+    return out.withColumn("department", F.when(~F.col("__hit"), F.col("department"))).drop("__hit")
+
+
 def assign_department(users: DataFrame, edits: DataFrame) -> DataFrame:
     """Users with ``edits(user_id, new_department)`` applied, or as they were if any id of the batch is unknown."""
     missing = edits.join(users.select("user_id"), "user_id", "left_anti").agg((F.count("*") == 0).alias("ok")).withColumn("__k", F.lit(1))

@@ -174,17 +174,15 @@ MODES: dict[str, Callable[[str, int, int], list[tuple]]] = {
 
 
 def locate(text: str, contents: list[str]) -> list[tuple[int, int]]:
-    """Start and end of each chunk: the next place after the last start, else the first place, else behind the last one."""
+    """Start and end of each chunk: its next place behind the last start found, else its first place anywhere, else its length from there on."""
     out: list[tuple[int, int]] = []
-    start, end = -1, 0
+    behind = 0
     for c in contents:
-        at = text.find(c, start + 1)
-        if at < 0:
-            at = text.find(c)
-        if at < start:
-            at = min(end, len(text))
-        start, end = at, min(at + len(c), len(text))
-        out.append((start, end))
+        places = (text.find(c, behind), text.find(c))
+        found = next((p for p in places if p >= 0), None)
+        out.append((behind, behind + len(c)) if found is None else (found, found + len(c)))
+        if found is not None:
+            behind = found + 1
     return out
 
 

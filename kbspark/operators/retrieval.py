@@ -6,7 +6,6 @@ columns may follow) with a ``rank`` by one fixed order: score descending, then c
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +15,13 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.hooks import Embedder, HashingEmbedder
 from kbspark.functions.text import clamp, coverage, coverage_query, coverage_text, lexical_coverage, ngrams, squash
+from kbspark.sources.shared import new_path
 
 #: Sizes and thresholds of retrieval.
 TOP_K, RRF_K, MULTIPLIER, CANDIDATES, MAX_TERMS = 5, 60, 4, 50, 28
 #: Filler words and closing phrases that terms leave out.
-FILLERS = frozenset("什么 情况 如何 怎么 是否 可以 需要".split())
-TAILS = tuple("是什么情况 是什么意思 怎么样 如何办理 如何申请 怎么算 怎么折算 是多少 是什么 如何 怎么 哪些 多少 吗 呢".split())
+FILLERS = ("什么", "情况", "如何", "怎么", "是否", "可以", "需要")
+TAILS = ("是什么情况", "是什么意思", "怎么样", "如何办理", "如何申请", "怎么算", "怎么折算", "是多少", "是什么", "如何", "怎么", "哪些", "多少", "吗", "呢")
 #: Rows that a broadcast nested-loop join may have on its small side.
 SMALL = 5_000
 
@@ -35,38 +35,31 @@ def top(df: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), order: tuple
 # --- terms and postings ------------------------------------------------------------------------
 
 
-def terms_of(query: str) -> list[str]:
-    """Search terms of one query in order: words, words without a closing phrase, and n-grams of CJK spans."""
-    found: dict[str, None] = {}
-
-    def add(term: str) -> None:
-        term = term.strip()
-        if len(term) >= 2 and term not in FILLERS and len(found) < MAX_TERMS:
-            found.setdefault(term)
-
-    for word in re.split(r"[\s，。；、,.!?？！；：:()（）\[\]【】]+", query or ""):
-        if not word:
-            continue
-        add(word)
-        tail = next((t for t in TAILS if word.endswith(t) and len(word) > len(t) + 1), "")
-        core = word.removesuffix(tail) if tail else word
-        add(core)
-        for span in re.findall(r"[一-鿿]{2,}", core):
-            add(span)
-            for n in range(2, min(4, len(span)) + 1):
-                add(span[:n])
-                add(span[-n:])
-                for i in range(0, len(span) - n + 1, 1 if len(span) <= 8 else 2):
-                    add(span[i : i + n])
-        for plain in re.findall(r"[A-Za-z0-9][A-Za-z0-9._-]+", word):
-            add(plain)
-    return list(found)
+def _without_tail(word: Column) -> Column:
+    """A word without the first of the closing phrases that it ends in and that leaves two characters or more."""
+    cut = [F.when(F.endswith(word, F.lit(t)) & (F.length(word) > len(t) + 1), F.substring(word, F.lit(1), F.length(word) - len(t))) for t in TAILS]
+    return F.coalesce(*cut, word)
+
+
+def _span_terms(span: Column) -> Column:
+    """A CJK span, and for sizes of two to four its beginning, its end and a sample of what lies between: each place, in spans of over eight each second."""
+    at = lambda n: F.sequence(F.lit(1), F.length(span) - n + 1, F.when(F.length(span) <= 8, 1).otherwise(2))
+    sized = lambda n: F.concat(F.array(F.left(span, n), F.right(span, n)), F.transform(at(n), lambda i: F.substring(span, i, n)))
+    return F.concat(F.array(span), F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.lit(4), F.length(span))), sized)))
+
+
+def terms(text: str | Column) -> Column:
+    """Search terms in order: words, words without a closing phrase, n-grams of CJK spans, words of ASCII; ``MAX_TERMS`` at most."""
+    words = F.filter(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"[\s，。；、,.!?？！；：:()（）\[\]【】]+"), lambda w: w != "")
+    spans = lambda w: F.flatten(F.transform(F.regexp_extract_all(_without_tail(w), F.lit("([一-鿿]{2,})"), F.lit(1)), _span_terms))
+    plain = lambda w: F.regexp_extract_all(w, F.lit("([A-Za-z0-9][A-Za-z0-9._-]+)"), F.lit(1))
+    every = F.flatten(F.transform(words, lambda w: F.concat(F.array(w, _without_tail(w)), spans(w), plain(w))))
+    return F.slice(F.array_distinct(F.filter(F.transform(every, F.trim), lambda x: (F.length(x) >= 2) & ~x.isin(*FILLERS))), 1, MAX_TERMS)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, term, ord``."""
-    make = F.pandas_udf(lambda s: s.map(terms_of), "array<string>")
-    return queries.select("query_id", F.posexplode(make("text")).alias("ord", "term"))
+    return queries.select("query_id", F.posexplode(terms("text")).alias("ord", "term"))
 
 
 def lexemes(c: str | Column) -> Column:
@@ -124,6 +117,41 @@ def trigram_similarity(queries: DataFrame, table: DataFrame) -> DataFrame:
     return both.select("query_id", "chunk_id", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("score"))
 
 
+def trigram_top(queries: DataFrame, chunks: DataFrame, k: int, first: int = 8) -> DataFrame:
+    """The ``k`` chunks most similar to each query by trigrams, exactly, without counting all pairs.
+
+    The chunks under a query's ``first`` rarest trigrams give a score that its ``k``-th hit has at
+    least. A chunk of so many trigrams needs a number of common ones to reach that, and so holds
+    one of the query's rarer trigrams; only chunks that do are scored.
+    """
+    spark = chunks.sparkSession
+
+    def stored(df: DataFrame, tag: str) -> DataFrame:
+        path = new_path(spark, tag)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    sets = stored(chunks.select("chunk_id", trigrams("content").alias("g")).select("chunk_id", F.size("g").alias("n"), "g").where("n > 0"), "trigrams")
+    table = sets.select("chunk_id", "n", F.explode("g").alias("trigram"))
+    asked = queries.select("query_id", trigrams("text").alias("qg")).select("query_id", F.size("qg").alias("m"), "qg").where("m > 0")
+    grams = asked.select("query_id", "m", F.explode("qg").alias("trigram"))
+    uses = table.join(grams.select("trigram").distinct(), "trigram", "left_semi").groupBy("trigram").agg(F.count("*").alias("uses"))
+    w = Window.partitionBy("query_id")
+    ranked = grams.join(uses, "trigram").withColumns({"r": F.row_number().over(w.orderBy("uses", "trigram")), "known": F.count("*").over(w)}).drop("uses")
+    ranked = stored(ranked, "query-trigrams")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(asked, "query_id").join(sets, "chunk_id").withColumn("c", F.size(F.array_intersect("g", "qg")))
+        return both.select("query_id", "chunk_id", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("score"))
+
+    near = ranked.where(F.col("r") <= first).join(table, "trigram").select("query_id", "chunk_id")
+    least = top(scored(near), k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(0.0).alias("least"))
+    limits = stored(ranked.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0))), "query-limits")
+    common = F.greatest(F.ceil(F.col("least") * (F.col("m") + F.col("n")) / (F.col("least") + 1) - 1e-9), F.lit(1))
+    pairs = limits.alias("q").join(table.alias("t"), (F.col("q.trigram") == F.col("t.trigram")) & (F.col("r") <= F.col("known") - common + 1)).select("query_id", "chunk_id")
+    return top(scored(pairs), k)
+
+
 def contains_any(terms: DataFrame, chunks: DataFrame, small: int = SMALL) -> DataFrame:
     """``query_id, chunk_id`` of chunks that hold any term of a query, in any case.
 
@@ -142,6 +170,24 @@ def contains_any(terms: DataFrame, chunks: DataFrame, small: int = SMALL) -> Dat
     return met.unionByName(text.join(short, inside).select("query_id", "chunk_id")).distinct()
 
 
+def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """``query_id, doc_id`` of ``docs(doc_id, text)`` that hold a whole passage of ``passages(query_id, passage)``.
+
+    They meet under the longest word inside the passage, which a document must have between blanks,
+    and are then verified. Passages of under three words have no such word and go by ``contains_any``.
+    """
+    inner = F.filter(F.split("passage", r"\s+"), lambda w, i: (i > 0) & (i < F.size(F.split("passage", r"\s+")) - 1) & (w != ""))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    keyed = passages.withColumn("word", longest)
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    met = words.join(keyed.where("word IS NOT NULL"), "word").select("query_id", "passage", "doc_id").join(docs, "doc_id")
+    whole = F.expr("instr(text, passage) > 0")
+    few = keyed.where("word IS NULL AND passage <> ''").select("query_id", F.col("passage").alias("term"))
+    short = contains_any(few, docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))).withColumnRenamed("chunk_id", "doc_id")
+    short = short.join(passages, "query_id").join(docs, "doc_id").where(whole)
+    return met.where(whole).select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id"))
+
+
 def trigram_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
     """Chunks that hold a term of the query, by trigram similarity; for CJK queries the coverage counts if it is higher."""
     terms = query_terms(queries).select("query_id", "term").unionByName(queries.select("query_id", F.col("text").alias("term")))
@@ -216,8 +262,13 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, keys: tuple[str,
                     for lo in range(0, len(ids), block):
                         s = np.clip(np.nan_to_num(m[lo : lo + block].astype(np.float64) @ v[rows_].T.astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0), 0, 1)
                         chunk = pdf["chunk_id"].to_numpy()[rows_]
+                        if s.shape[1] > 4 * k:  # those below the k-th score go before the sort; ties with it stay
+                            keep = np.flatnonzero((s >= np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]).any(0))
+                            s, chunk, own = s[:, keep], chunk[keep], rows_[keep]
+                        else:
+                            own = rows_
                         best = np.lexsort((np.broadcast_to(chunk, s.shape), -s), axis=1)[:, :k]
-                        at = rows_[best.ravel()]
+                        at = own[best.ravel()]
                         out = {"query_id": np.repeat(ids[lo : lo + block], best.shape[1]), **{c: pdf[c].to_numpy()[at] for c in keys}, "chunk_id": pdf["chunk_id"].to_numpy()[at], "score": np.take_along_axis(s, best, 1).ravel()}
                         yield pd.DataFrame(out)[names]
 

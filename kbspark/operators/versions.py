@@ -63,10 +63,10 @@ def preview(current: DataFrame, snapshot: DataFrame, chosen: DataFrame | None =
 
 
 def rollback(current: DataFrame, snapshot: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-    """``doc_id, content_hash, status`` after a rollback: restored rows, kept rows; in a whole rollback the rest is archived."""
+    """``doc_id, content_hash, status`` after a rollback: restored rows, and rows as they are in ``current(doc_id, content_hash, status)``; a whole rollback archives these."""
     part = snapshot if chosen is None else snapshot.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
     back = part.select("doc_id", "content_hash", F.when(F.col("content_hash").isNotNull(), "pending_segment").otherwise("error").alias("status"))
-    rest = current.join(part.select("doc_id"), "doc_id", "left_anti").select("doc_id", "content_hash", F.lit("archived" if chosen is None else "ready").alias("status"))
+    rest = current.join(part.select("doc_id"), "doc_id", "left_anti").select("doc_id", "content_hash", F.lit("archived").alias("status") if chosen is None else "status")
     return back.unionByName(rest)
 
 
@@ -118,6 +118,11 @@ def illegal_transitions(log: DataFrame) -> DataFrame:
     return step.join(F.broadcast(edges), ["before", "status"], "left_anti").select("document_id", "seq", "before", "status")
 
 
+def error_messages(log: DataFrame) -> DataFrame:
+    """A status log whose messages are kept in state ``error`` only."""
+    return log.withColumn("error_message", F.when(F.col("status") == "error", F.col("error_message")))
+
+
 def resolve_models(models: DataFrame) -> DataFrame:
     """The model to use per type: enabled, default first, then priority, then age."""
     w = Window.partitionBy("kind").orderBy(F.desc("is_default"), F.desc("priority"), "model_id")

@@ -20,9 +20,10 @@ def acl01_effective_permissions(t):
 _RANK = "CASE role WHEN 'super_admin' THEN 100 WHEN 'admin' THEN 50 WHEN 'staff' THEN 20 WHEN 'kb_admin' THEN 20 WHEN 'guest' THEN 10 WHEN 'user' THEN 10 ELSE 5 END"
 
 
-@query(f"SELECT user_id, max({_RANK})::INT AS rank FROM user_roles GROUP BY user_id")
+@query(f"SELECT user_id, coalesce(max(CASE WHEN role NOT IN ('kb_admin', 'guest') THEN {_RANK} END), 0)::INT AS rank FROM user_roles GROUP BY user_id")
 def acl02_role_rank(t):
-    return A.user_ranks(t.users, t.user_roles)
+    roles = t.user_roles.select("role").distinct().withColumn("is_enabled", ~F.col("role").isin("kb_admin", "guest"))
+    return A.user_ranks(t.users, t.user_roles, roles)
 
 
 _VIS = """live AS (SELECT kb_id, upper(trim(department)) AS dept, creator_id FROM kbs WHERE status = 'active' AND current_index_version IS NOT NULL),
@@ -88,6 +89,11 @@ def acl11_rename_department(t):
     return A.rename_department(both, "B", "C")
 
 
+@query("SELECT kb_id, CASE WHEN department = 'B' THEN NULL ELSE department END AS department, CASE WHEN department = 'GUEST' THEN 'public' ELSE 'restricted' END AS visibility FROM kbs")
+def acl11_drop_department(t):
+    return A.drop_department(t.kbs.withColumn("visibility", F.when(F.col("department").isin("GUEST", "B"), "public").otherwise("restricted")), "B").select("kb_id", "department", "visibility")
+
+
 @query("SELECT user_id, CASE WHEN user_id % 10 = 4 THEN 'Z' ELSE department END AS department FROM users")
 def acl12_assign_department(t):
     """A good batch, on top of one that is refused for an unknown id."""

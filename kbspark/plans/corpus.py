@@ -114,7 +114,7 @@ def src12_export_run(t):
 
     path = new_path(t.spark, "export")
     rows = t.questions.selectExpr("passage AS question", "question_id % 2 = 0 AS hit", "question_id AS rank", "0.5 AS score", "'hybrid' AS strategy", "1.0 AS elapsed_ms")
-    rows.write.option("header", True).option("escape", '"').csv(path)
+    S.export_run(rows, path)
     back = t.spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return back.select("question", (F.col("hit") == "true").alias("hit"), "rank", "strategy")
 

@@ -28,8 +28,16 @@ def six(df):
     return df.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query()
+_PLAIN = "[A-Za-z0-9][A-Za-z0-9._-]+"
+
+
+@query(f"""WITH w AS (SELECT question_id, i, list_extract(a, i) AS word FROM (SELECT question_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT question_id, list_filter(string_split_regex(question, '[\\s，。；、,.!?？！；：:()（）\\[\\]【】]+'), lambda x: x <> '') AS a FROM questions) AS x) AS y),
+p AS (SELECT question_id, i, regexp_extract_all(word, '{_PLAIN}') AS b FROM w),
+t AS (SELECT question_id, i * 1000 AS o, word AS term FROM w UNION ALL SELECT question_id, i * 1000 + j AS o, list_extract(b, j) AS term FROM (SELECT question_id, i, b, unnest(range(1, len(b) + 1)) AS j FROM p) AS z),
+f AS (SELECT question_id, term, min(o) AS o FROM t WHERE length(term) >= 2 GROUP BY question_id, term)
+SELECT question_id AS query_id, ord, term FROM (SELECT question_id, term, (row_number() OVER (PARTITION BY question_id ORDER BY o) - 1)::INT AS ord FROM f) AS g WHERE ord < 28""")
 def ret01_query_terms(t):
+    """The SQL is for texts without CJK characters; tests/test_units.py has those."""
     return R.query_terms(asked(t))
 
 
@@ -66,7 +74,7 @@ def ret04_squash(t):
 
 @query(f"WITH {TRI}, h AS (SELECT tri.* FROM tri) {TOP5.format('h', 5)}")
 def ret05_trigram_similarity(t):
-    return six(R.top(R.trigram_similarity(asked(t), R.trigram_table(t.chunks)), 5))
+    return six(R.trigram_top(asked(t), t.chunks, 5))
 
 
 @query("SELECT q.question_id AS query_id, c.chunk_id FROM questions AS q JOIN chunks AS c ON contains(lower(c.content), lower(split_part(q.question, ' ', 2)))")
@@ -146,7 +154,7 @@ _TWO = f"WITH {TRI}, {_FT.replace('q AS', 'q2 AS').replace('FROM q)', 'FROM q2)'
 
 
 def two_channels(t, k=20):
-    tri = six(R.top(R.trigram_similarity(asked(t), R.trigram_table(t.chunks)), k)).withColumn("channel", F.lit("tri"))
+    tri = six(R.trigram_top(asked(t), t.chunks, k)).withColumn("channel", F.lit("tri"))
     return tri.unionByName(six(R.fulltext_search(_two_words(t), R.build_postings(t.chunks), k)).withColumn("channel", F.lit("words"))).drop("rank")
 
 
@@ -170,11 +178,11 @@ def ret16_rrf_channels(t):
 @query(f"WITH {TRI}, h AS (SELECT tri.* FROM tri) {TOP5.format('h', 5)}")
 def ret17_single_channel(t):
     """One channel keeps its own scores."""
-    return six(R.rrf(R.top(R.trigram_similarity(asked(t), R.trigram_table(t.chunks)), R.widened()).drop("rank").withColumn("channel", F.lit("tri"))))
+    return six(R.rrf(R.trigram_top(asked(t), t.chunks, R.widened()).drop("rank").withColumn("channel", F.lit("tri"))))
 
 
 def _reranked(t):
-    hits = R.top(R.trigram_similarity(asked(t), R.trigram_table(t.chunks)), R.widened())
+    hits = R.trigram_top(asked(t), t.chunks, R.widened())
     scores = hits.where("query_id % 3 <> 0").selectExpr("query_id", "CAST((rank * 7) % 20 AS INT) AS index", "CAST(chunk_id % 1000 AS DOUBLE) / 700 AS relevance", "rank AS ord")
     return hits, scores
 
@@ -191,14 +199,14 @@ def ret19_rerank(t):
 @query(f"""WITH {TRI}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM tri), h20 AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best, sum(CASE WHEN score < 0.35 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id)::BIGINT AS filtered_out FROM h WHERE rank <= 20)
 SELECT query_id, chunk_id, rank, round(score, 6) AS score, filtered_out FROM h20 WHERE score >= 0.35 OR (best < 0.35 AND rank <= 5)""")
 def ret20_threshold(t):
-    hits = R.top(R.trigram_similarity(asked(t), R.trigram_table(t.chunks)), 20)
+    hits = R.trigram_top(asked(t), t.chunks, 20)
     return R.threshold(hits, 0.35).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "filtered_out")
 
 
 @query(f"WITH {TRI}, {_FT.replace('q AS', 'q2 AS').replace('FROM q)', 'FROM q2)')}, a AS ({TOP5.format('ft', 5)}), b AS ({TOP5.format('tri', 5)}) SELECT * FROM a UNION ALL SELECT * FROM b WHERE query_id NOT IN (SELECT query_id FROM a)")
 def ret21_retry_empty(t):
     hits = six(R.fulltext_search(_two_words(t), R.build_postings(t.chunks)))
-    return R.retry_empty(asked(t), hits, lambda q: six(R.top(R.trigram_similarity(q, R.trigram_table(t.chunks)), 5)))
+    return R.retry_empty(asked(t), hits, lambda q: six(R.trigram_top(q, t.chunks, 5)))
 
 
 @query(f"{_TWO}, hk AS (SELECT ch.*, c.kb_id FROM ch JOIN chunks AS c ON c.chunk_id = ch.chunk_id) SELECT q.query_id, count(hk.chunk_id) AS n_hits, coalesce(string_agg(DISTINCT hk.kb_id, ',' ORDER BY hk.kb_id), '') AS kbs, round(max(hk.score), 6) AS best, count(*) FILTER (WHERE hk.channel = 'tri') AS n_text FROM q LEFT JOIN hk ON hk.query_id = q.query_id GROUP BY q.query_id")
@@ -209,14 +217,14 @@ def ret22_retrieval_meta(t):
 
 @query(f"WITH {TRI}, a AS ({TOP5.format('tri', 5)}) SELECT query_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) AS ids, count(*) AS n FROM a GROUP BY query_id")
 def ret23_citations(t):
-    hits = R.top(R.trigram_similarity(asked(t), R.trigram_table(t.chunks)), 5)
+    hits = R.trigram_top(asked(t), t.chunks, 5)
     c = R.citations(hits)
     return c.select("query_id", F.array_join(F.transform("citations", lambda x: x["chunk_id"].cast("string")), ",").alias("ids"), F.size("citations").cast("long").alias("n"))
 
 
 @query(f"WITH {TRI}, a AS ({TOP5.format('tri', 3)}) SELECT query_id, round(avg(score), 5) AS confidence, CASE WHEN avg(score) >= 0.75 THEN 'high' WHEN avg(score) >= 0.4 THEN 'medium' ELSE 'low' END AS level FROM a GROUP BY query_id")
 def ret24_answer_confidence(t):
-    hits = R.top(R.trigram_similarity(asked(t), R.trigram_table(t.chunks)), 5)
+    hits = R.trigram_top(asked(t), t.chunks, 5)
     return R.answer_confidence(R.citations(hits), T.confidence_level).select("query_id", F.round("confidence", 5).alias("confidence"), "level")
 
 
@@ -228,7 +236,7 @@ def ret25_route(t):
 
 
 def _evidence(t):
-    hits = R.top(R.trigram_similarity(asked(t), R.trigram_table(t.chunks)), 3)
+    hits = R.trigram_top(asked(t), t.chunks, 3)
     return R.evidence(hits.join(t.chunks.select("chunk_id", "doc_id", "chunk_index", "content"), "chunk_id").join(t.docs.select("doc_id", "filename"), "doc_id"))
 
 

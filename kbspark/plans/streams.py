@@ -29,7 +29,7 @@ def str01_screen_stream(t):
 _RATIO = "r AS (SELECT epoch(w)::BIGINT AS start, count(*) AS n, count(*) FILTER (WHERE status >= 500) AS errors FROM (SELECT status, date_trunc('minute', ts) - i * INTERVAL 1 MINUTE AS w FROM requests, LATERAL (SELECT unnest(range(5)) AS i) AS x) AS y GROUP BY w)"
 
 
-@query(f"WITH {_RATIO}, h AS (SELECT *, min(CASE WHEN errors / n::DOUBLE > 0.05 THEN 1 ELSE 0 END) OVER w AS held, count(*) OVER w AS seen FROM r WINDOW w AS (PARTITION BY floor(start / 86400) ORDER BY start ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT start, n, errors FROM h WHERE held = 1 AND seen = 5")
+@query(f"WITH {_RATIO}, h AS (SELECT *, min(CASE WHEN errors / n::DOUBLE > 0.05 THEN 1 ELSE 0 END) OVER w AS held, count(*) OVER w AS seen FROM r WINDOW w AS (ORDER BY start RANGE BETWEEN 240 PRECEDING AND CURRENT ROW)) SELECT start, n, errors FROM h WHERE held = 1 AND seen = 5")
 def str02_error_rate_alerts(t):
     return J.drain(J.error_ratio(_requests(t)), "complete", J.hold)
 

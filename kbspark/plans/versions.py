@@ -36,12 +36,16 @@ def ver04_preview(t):
 
 @query("SELECT doc_id, content_hash, 'pending_segment' AS status FROM snapshot_docs UNION ALL SELECT doc_id, content_hash, 'archived' AS status FROM current_docs WHERE doc_id NOT IN (SELECT doc_id FROM snapshot_docs)")
 def ver05_rollback(t):
-    return V.rollback(t.current_docs, t.snapshot_docs)
+    return V.rollback(_current(t), t.snapshot_docs)
 
 
-@query("WITH p AS (SELECT * FROM snapshot_docs WHERE doc_id % 4 = 0) SELECT doc_id, content_hash, 'pending_segment' AS status FROM p UNION ALL SELECT doc_id, content_hash, 'ready' AS status FROM current_docs WHERE doc_id NOT IN (SELECT doc_id FROM p)", name="ver05_rollback_selective")
+def _current(t):
+    return t.current_docs.join(t.docs.select("doc_id", "status"), "doc_id")
+
+
+@query("WITH p AS (SELECT * FROM snapshot_docs WHERE doc_id % 4 = 0) SELECT doc_id, content_hash, 'pending_segment' AS status FROM p UNION ALL SELECT c.doc_id, c.content_hash, d.status FROM current_docs AS c JOIN docs AS d ON d.doc_id = c.doc_id WHERE c.doc_id NOT IN (SELECT doc_id FROM p)", name="ver05_rollback_selective")
 def ver05_rollback_selective(t):
-    return V.rollback(t.current_docs, t.snapshot_docs, t.documents.where("doc_id % 4 = 0"))
+    return V.rollback(_current(t), t.snapshot_docs, t.documents.where("doc_id % 4 = 0"))
 
 
 @query()
@@ -88,6 +92,11 @@ def ver12_illegal_transitions(t):
     return V.illegal_transitions(t.status_log)
 
 
+@query("SELECT document_id, seq, status, CASE WHEN status = 'error' THEN 'm' || seq::VARCHAR END AS error_message FROM status_log")
+def ver12_error_messages(t):
+    return V.error_messages(t.status_log.withColumn("error_message", F.concat(F.lit("m"), F.col("seq").cast("string"))))
+
+
 _MODELS = "SELECT event_id AS model_id, event_type AS kind, event_id % 3 <> 0 AS enabled, event_id % 200 = 1 AS is_default, CAST(floor(value) AS BIGINT) AS priority FROM {events}"
 
 

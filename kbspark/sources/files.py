@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,14 +40,23 @@ def admit_files(files: DataFrame) -> DataFrame:
     return files.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
+def _detected(raw: bytes) -> tuple[str, ...]:
+    """Encodings that the bytes themselves point to: a byte order mark, or high bytes that often stand alone between ASCII, as hardly any double-byte text has them."""
+    if raw.startswith((b"\xff\xfe", b"\xfe\xff")):
+        return ("utf-16",)
+    sample = np.frombuffer(raw[: 1 << 16], np.uint8)
+    high = np.concatenate([[False], sample >= 128, [False]])
+    alone = high[1:-1] & ~high[:-2] & ~high[2:]
+    return ("latin-1",) if high.any() and 4 * alone.sum() >= high.sum() else ()
+
+
 def decode_bytes(raw: bytes) -> tuple[str | None, str | None]:
-    """Text and encoding by the first candidate whose output is not garbled."""
-    for name in ENCODINGS:
+    """Text and encoding by the first candidate that decodes every byte and whose output is not garbled; detected ones come after UTF-8."""
+    for name in (*ENCODINGS[:2], *_detected(raw), *ENCODINGS[2:]):
         try:
-            text = raw.decode(name, "strict" if name.startswith("utf-8") else "replace")
+            text = raw.decode(name).removeprefix("﻿")
         except UnicodeDecodeError:
             continue
-        text = text.removeprefix("﻿")
         odd = text.count("�") > max(8, len(text) // 20)
         shown = sum(c.isprintable() or c in "\n\r\t" for c in text)
         if not odd and (not text or shown >= 0.6 * len(text)):
@@ -54,10 +64,18 @@ def decode_bytes(raw: bytes) -> tuple[str | None, str | None]:
     return None, None
 
 
+def _readable(text: Column) -> Column:
+    """The test of garbled text in ``decode_bytes``, for text that Spark has decoded."""
+    size = F.length(text)
+    odd = F.length(F.regexp_replace(text, "[^�]", "")) > F.greatest(F.lit(8), F.floor(size / 20))
+    return (size == 0) | (~odd & (F.length(F.regexp_replace(text, r"[\p{C}\p{Z}&&[^ \n\r\t]]", "")) >= 0.6 * size))
+
+
 def decode_files(files: DataFrame) -> DataFrame:
-    """``filename, text, encoding, error``: valid UTF-8 is decoded by Spark, only the rest in Python."""
-    plain = F.is_valid_utf8(F.col("content").cast("string"))
-    easy = files.where(plain).select("filename", F.regexp_replace(F.col("content").cast("string"), "^﻿", "").alias("text"), F.lit("utf-8").alias("encoding"), F.lit(None).cast("string").alias("error"))
+    """``filename, text, encoding, error``: readable UTF-8 is decoded by Spark, only the rest in Python."""
+    own = F.col("content").cast("string")
+    plain = F.coalesce(F.is_valid_utf8(own) & _readable(own), F.lit(False))
+    easy = files.where(plain).select("filename", F.regexp_replace(own, "^﻿", "").alias("text"), F.lit("utf-8").alias("encoding"), F.lit(None).cast("string").alias("error"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -123,8 +141,10 @@ def read_usage(raw: DataFrame, body: str = "body") -> DataFrame:
     return raw.select(F.from_json(body, schema).alias("d")).select("d.date", F.explode_outer("d.usage").alias("u")).select("date", "u.*")
 
 
-def export_run(results: DataFrame, path: str) -> None:
-    results.select("question", "hit", "rank", "score", "strategy", "elapsed_ms").write.option("header", True).csv(path)
+def export_run(results: DataFrame, path: str, run_id: int | None = None) -> None:
+    """Results of one run (or all) as CSV with a header, quotes doubled."""
+    rows = results if run_id is None else results.where(F.col("run_id") == run_id)
+    rows.select("question", "hit", "rank", "score", "strategy", "elapsed_ms").write.option("header", True).option("escape", '"').csv(path)
 
 
 def delete_by_ids(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -29,13 +29,16 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drain(df: DataFrame, mode: str, then: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """Run a stream over all that is there and return what its sink holds; in complete mode the last batch counts."""
+    """Run a stream over all that is there and return what its sink holds; in complete mode the last batch counts.
+
+    Each batch has a folder of its own, so that a batch that runs again replaces what it wrote.
+    """
     spark = df.sparkSession
     path = new_path(spark, "stream")
-    write = "overwrite" if mode == "complete" else "append"
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(lambda batch, _: then(batch).write.mode(write).parquet(path)).start()
+    folder = lambda n: f"{path}/__batch={0 if mode == 'complete' else n}"
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(lambda batch, n: then(batch).write.mode("overwrite").parquet(folder(n))).start()
     query.awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("__batch")
 
 
 def screen_stream(stream: DataFrame, text: str) -> DataFrame:
@@ -49,10 +52,16 @@ def error_ratio(stream: DataFrame, width: str = "5 minutes", step: str = "1 minu
 
 
 def hold(ratios: DataFrame, share: float = 0.05, windows: int = 5) -> DataFrame:
-    """Windows whose ratio, and that of the windows before, were all above ``share``; hours are alarm groups, so no one task gets all windows."""
-    w = Window.partitionBy("day").orderBy("start").rowsBetween(-(windows - 1), 0)
-    r = ratios.withColumn("day", F.floor(F.col("start") / 86400)).withColumn("over", (F.col("errors") / F.col("n") > share).cast("int"))
-    return r.withColumns({"held": F.min("over").over(w), "seen": F.count("*").over(w)}).where((F.col("held") == 1) & (F.col("seen") == windows)).select("start", "n", "errors")
+    """Windows whose ratio, and that of each of the minutes before, were above ``share``; a minute without a window ends the alarm.
+
+    Windows are dealt by day, so no one task gets them all; the last ones of a day are in the next
+    day's group too, as its first ones look back at them.
+    """
+    span, day = 60 * (windows - 1), F.floor(F.col("start") / 86400)
+    r = ratios.withColumn("day", F.explode(F.array_distinct(F.array(day, F.floor((F.col("start") + span) / 86400))))).withColumn("over", (F.col("errors") / F.col("n") > share).cast("int"))
+    w = Window.partitionBy("day").orderBy("start").rangeBetween(-span, 0)
+    held = r.withColumns({"held": F.min("over").over(w), "seen": F.count("*").over(w)}).where((F.col("held") == 1) & (F.col("seen") == windows) & (F.col("day") == day))
+    return held.select("start", "n", "errors")
 
 
 def latency_histogram(stream: DataFrame, width: str = "6 hours") -> DataFrame:
@@ -137,7 +146,8 @@ def live_context(messages: DataFrame, most: int = 20) -> DataFrame:
         return out
 
     if not messages.isStreaming:
-        return messages.groupBy("session_id").applyInPandas(lambda key, pdf: pd.DataFrame({"session_id": key[0], "message_id": left(pdf, [])}, columns=["session_id", "message_id"]).astype("int64"), schema)
+        back = Window.partitionBy("session_id").orderBy(F.desc("turn"), F.desc("message_id"))
+        return messages.withColumn("__n", F.row_number().over(back)).where(F.col("__n") > most).select("session_id", "message_id")
 
     def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         window = list(state.get[0]) if state.exists else []
@@ -149,18 +159,26 @@ def live_context(messages: DataFrame, most: int = 20) -> DataFrame:
 
 
 def ingest_stream(files: DataFrame) -> DataFrame:
-    """New files to chunks with vectors, once per file name; the body of each micro-batch is the batch build."""
-    from kbspark.operators.versions import build_corpus
+    """New files to chunks with vectors, once per file name; the body of each micro-batch is the batch build.
+
+    A batch writes to a folder of its own number, so a batch that runs again replaces what it
+    wrote; names that earlier batches have built are left out.
+    """
+    path = new_path(files.sparkSession, "ingest")
+    files.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(lambda batch, n: ingest_batch(batch, n, path)).start().awaitTermination()
+    return files.sparkSession.read.parquet(path).drop("__batch")
 
-    spark = files.sparkSession
-    path = new_path(spark, "ingest")
 
-    def build(batch: DataFrame, _: int) -> None:
-        vectors, _state = build_corpus(batch.dropDuplicates(["filename"]))
-        vectors.write.mode("append").parquet(path)
+def ingest_batch(batch: DataFrame, number: int, path: str) -> None:
+    """Build one batch of files into its folder under ``path``."""
+    from kbspark.operators.versions import build_corpus
 
-    files.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(build).start().awaitTermination()
-    return spark.read.parquet(path)
+    spark = batch.sparkSession
+    fresh = batch.dropDuplicates(["filename"])
+    if number:
+        known = spark.read.option("recursiveFileLookup", "true").schema("filename string").parquet(*[f"{path}/__batch={n}" for n in range(number)])
+        fresh = fresh.join(known.distinct(), "filename", "left_anti")
+    build_corpus(fresh)[0].write.mode("overwrite").parquet(f"{path}/__batch={number}")
 
 
 def latest_status(tasks: DataFrame) -> DataFrame:

@@ -75,10 +75,54 @@ def test_cover_density():
     assert R.cover_density([[0, 9], [1, 10]]) == pytest.approx(0.2)
 
 
-def test_terms():
-    assert R.terms_of("公司年假是什么情况")[:2] == ["公司年假是什么情况", "公司年假"]
-    assert "年假" in R.terms_of("公司年假是什么情况") and "什么" not in R.terms_of("什么")
-    assert len(R.terms_of("".join(chr(0x4E00 + i) for i in range(60)))) == R.MAX_TERMS
+def test_terms(spark):
+    of = lambda q: value(spark, R.terms("q"), q=q)
+    assert of("公司年假是什么情况")[:2] == ["公司年假是什么情况", "公司年假"]
+    assert "年假" in of("公司年假是什么情况") and "什么" not in of("什么") and of("") == of(None) == []
+    assert of("年假 v1 年假") == ["年假", "v1"]
+    assert len(of("".join(chr(0x4E00 + i) for i in range(60)))) == R.MAX_TERMS
+    long = "".join(chr(0x4E00 + i) for i in range(9))
+    assert of(long)[:6] == [long, long[:2], long[-2:], long[2:4], long[4:6], long[6:8]]
+
+
+def test_trigram_top_is_exact(spark):
+    chunks = spark.createDataFrame([(i, f"alpha w{i % 7} beta{i % 11} gamma word{i}" if i % 3 else f"w{i % 7}") for i in range(120)] + [(200, "")], "chunk_id long, content string")
+    queries = spark.createDataFrame([(1, "alpha beta3 word44"), (2, "w5"), (3, "zzz"), (4, "gamma gamma"), (5, "")], "query_id long, text string")
+    for k in (1, 5, 40):
+        want = sorted((r.query_id, r.chunk_id, round(r.score, 9), r.rank) for r in R.top(R.trigram_similarity(queries, R.trigram_table(chunks)), k).collect())
+        assert want == sorted((r.query_id, r.chunk_id, round(r.score, 9), r.rank) for r in R.trigram_top(queries, chunks, k, 2).collect())
+
+
+def test_holding(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "xone two threex four"), (3, "two"), (4, "One two three"), (5, None)], "doc_id long, text string")
+    passages = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, "one two"), (4, "four five six"), (5, "")], "query_id long, passage string")
+    assert sorted(map(tuple, R.holding(docs, passages).collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 2)]
+
+
+def test_locate_goes_back_and_runs_on():
+    assert C.locate("xx abc", ["abc", "xx"]) == [(3, 6), (0, 2)]
+    assert C.locate("a\n\n\n\nb", ["a\n\nb"]) == [(0, 4)] and C.locate("aaa", ["a", "a", "q", "a"]) == [(0, 1), (1, 2), (2, 3), (2, 3)]
+
+
+def test_alarms_over_midnight_and_gaps(spark):
+    from kbspark.streaming.jobs import hold
+
+    minutes = [m for m in range(-10, 10) if m != 5]
+    rows = spark.createDataFrame([(864000 + 60 * m, 10, 5) for m in minutes], "start long, n long, errors long")
+    assert sorted((r.start - 864000) // 60 for r in hold(rows).collect()) == [m for m in minutes if all(x in minutes for x in range(m - 4, m + 1))]
+
+
+def test_ingest_once(spark, tmp_path):
+    from kbspark.streaming.jobs import ingest_batch
+
+    def batch(*names):
+        return spark.createDataFrame([(n, len(n), n.encode() * 5) for n in names], "filename string, length long, content binary")
+
+    path = f"{tmp_path}/i"
+    ingest_batch(batch("a.txt", "b.txt", "a.txt"), 0, path)
+    ingest_batch(batch("b.txt", "c.txt"), 1, path)
+    ingest_batch(batch("b.txt", "c.txt"), 1, path)
+    assert sorted(r.filename for r in spark.read.parquet(path).collect()) == ["a.txt", "b.txt", "c.txt"]
 
 
 def test_rerank_maps_indices(spark):
@@ -115,8 +159,7 @@ def test_packing_keeps_order_and_size(text, size, overlap):
     parts = C.pack(text, size, overlap)
     assert all(len(p) <= size + overlap for p in parts)
     assert set("".join(parts)) - set(" \n") == set(text) - set(" \n")
-    starts = [a for a, _ in C.locate(text, parts)]
-    assert starts == sorted(starts)
+    assert all(0 <= a <= b for a, b in C.locate(text, parts))
 
 
 def test_sliding_modes_agree(spark):
@@ -148,6 +191,16 @@ def test_decode():
     assert S.decode_bytes("年假制度".encode("gb18030")) == ("年假制度", "gb18030")
     assert S.decode_bytes("é".encode())[1] == "utf-8"
     assert S.decode_bytes(b"")[0] == ""
+    assert S.decode_bytes("café, déjà vu".encode("latin-1")) == ("café, déjà vu", "latin-1")
+    assert S.decode_bytes("plain text é".encode("utf-16"))[0] == "plain text é"
+    assert S.decode_bytes(bytes(range(1, 32)) * 20) == (None, None)
+
+
+def test_pages_survive_decoding(spark):
+    from kbspark.plans import registry
+
+    rows = registry.queries()["src03_decode_files"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.same for r in rows), [r for r in rows if not r.same][:3]
 
 
 def test_malware_eicar(spark):
