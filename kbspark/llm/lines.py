@@ -116,7 +116,9 @@ def _settled(pairs: DataFrame, wordings: DataFrame, num: int, den: int) -> DataF
     y = full.select(F.col("h").alias("b"), F.col("at").alias("ya"), F.col("n").alias("yn"), F.col("words").alias("yw"))
     # one use of the intersection in the predicate, as it may be put into the join
     good = some.join(x, "a").join(y, "b").where(F.size(F.array_intersect("xw", "yw")) * (num + den) >= need)
-    return materialize(good.select(F.when(F.col("xa") < F.col("ya"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct(), "line-late")
+    late = materialize(good.select(F.when(F.col("xa") < F.col("ya"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct(), "line-late")
+    discard(pairs), discard(some), discard(full)
+    return late
 
 
 def _late(wordings: DataFrame, num: int, den: int, bits: int) -> DataFrame:
@@ -133,7 +135,9 @@ def _late(wordings: DataFrame, num: int, den: int, bits: int) -> DataFrame:
     late = _settled(pairs, wordings, num, den)
     rest = _postings(prefixes.join(late, "h", "left_anti"), True)
     more = long.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") <= F.col("y.doc")) & (F.col("x.h") != F.col("y.h")) & may).select(*pair)
-    return late.unionByName(_settled(more, wordings, num, den))
+    late = late.unionByName(_settled(more, wordings, num, den))
+    discard(prefixes)
+    return late
 
 
 def removed_places(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
@@ -151,7 +155,10 @@ def removed_places(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 1
     rows = lines.join(known.select("h", "at", "late"), "h", "left")
     gone = F.coalesce(F.col("late") | (F.struct(*_AT) != F.col("at")), F.lit(False))
     found = rows.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", gone.alias("gone"))).alias("found"))
-    return found.select("doc", "mark", F.size("found").cast("long").alias("n_lines"), F.transform(F.filter("found", lambda x: x["gone"]), lambda x: x["pos"]).alias("places"))
+    found = found.select("doc", "mark", F.size("found").cast("long").alias("n_lines"), F.transform(F.filter("found", lambda x: x["gone"]), lambda x: x["pos"]).alias("places"))
+    found = materialize(found, "line-removed")
+    discard(lines), discard(wordings)
+    return found
 
 
 def _with_places(docs: DataFrame, found: DataFrame, columns: list[Column]) -> DataFrame:
