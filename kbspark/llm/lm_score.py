@@ -3,9 +3,10 @@
 The target model is counted on documents given as target, the background model on all documents.
 Both are bigram models over one vocabulary, the words of all documents, and both use the same
 interpolation of pair, word and uniform probabilities, so their losses can be subtracted token by
-token. Words and (before, word) pairs are counted one by one, told apart by 64-bit hashes, in
-tables that grow with the corpus; documents meet the losses of their pairs by a join. The losses
-of the most frequent pairs go to the tasks beforehand, so that none of these is joined.
+token. Words and (before, word) pairs are counted one by one, told apart by 63-bit hashes, in a
+table that grows with the corpus. The counts of the most frequent grams go to the tasks; for the
+others documents ask the table in blocks of about a megabyte, each gram once a block. A gram that
+occurs once in all documents is left out of the table, as its only document knows it.
 
 ``train`` and ``score`` are a fixed-size variant for small tables: words and pairs share ``2**bits``
 hashed entries, and so their counts.
@@ -18,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm import _text
-from kbspark.llm._store import materialize, small_batches
+from kbspark.llm._store import discard, materialize, small_batches
 
 _START = np.uint64(0x2545F4914F6CDD1D)
 
@@ -62,11 +63,10 @@ class NgramModel:
 
 
 def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """``target, text`` of every row."""
+    """``target, text, doc_id`` of every row."""
     marks = target_ids.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct().withColumn("target", F.lit(True))
-    # always a sort-merge join: target ids may be as many as documents, and costs then grow alike at every size
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(marks.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
-    return rows.select(F.coalesce("target", F.lit(False)).alias("target"), "text")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(marks, F.col("doc_id") == F.col("__id"), "left")
+    return rows.select(F.coalesce("target", F.lit(False)).alias("target"), "text", "doc_id")
 
 
 def train(docs: DataFrame, target_ids: DataFrame, bits: int = 20) -> tuple[NgramModel, NgramModel]:
@@ -131,31 +131,49 @@ def score(docs: DataFrame, target: NgramModel, background: NgramModel) -> DataFr
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 
+def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row numbers of the words, and as grams (a pair is odd, all others are even) the words, those before and the pairs; last, which words end their text."""
+    row, h, before, pair = _pairs(data, offs)
+    even = ~np.uint64(1)
+    return row, (h & even).astype(np.int64), (before & even).astype(np.int64), (pair | np.uint64(1)).astype(np.int64), np.diff(row, append=-1) != 0
+
+
+#: Grams that count the texts with a word and all words.
+_TEXTS, _ALL = int((_START & ~np.uint64(1)).astype(np.int64)), 0x5851F42D4C957F2C
+_COUNTS = ("t", "b", "te", "be")
+
+
 def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """``pair, before, word, t, b`` of each pair once, its counts added up."""
-    pair, before, word, t, b = map(np.concatenate, zip(*held))
-    order = np.argsort(pair, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0]))
-    at = order[first]
-    return pair[at], before[at], word[at], np.add.reduceat(t[order], first), np.add.reduceat(b[order], first)
+    """Each gram once, ascending, with its counts added up."""
+    gram, *counts = map(np.concatenate, zip(*held))
+    order = np.argsort(gram, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(gram[order]) != 0]))
+    return gram[order[first]], *(np.add.reduceat(c[order], first) for c in counts)
+
 
+def _gram_counts(rows: DataFrame) -> DataFrame:
+    """``gram, t, b, te, be``: how often each gram of ``rows(target, text)`` occurs in target and background, and how often it ends a text there.
 
-def _pair_counts(rows: DataFrame) -> DataFrame:
-    """``pair, before, word, t, b``: every pair of ``rows(target, text)`` with its counts in target and background."""
+    Only grams of two occurrences or more are in the table, and the two that count texts and words:
+    whoever meets a gram that is not in it has its only occurrence before them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(cols[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000].astype(np.int64)) for c in cols], ["pair", "before", "word", "t", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in cols], ["gram", *_COUNTS])
 
         held, size = [], 0
         for batch in batches:
             target = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, _, data, offs in _text.blocks(batch.column(1)):
-                row, word, before, pair = _pairs(data, offs)
+                row, word, _, pair, last = _grams(data, offs)
                 if not len(pair):
                     continue
-                held.append(_merged([(pair, before, word, target[lo + row], np.ones(len(pair), np.int64))]))
+                t, one, none, end = target[lo + row], np.ones(len(row), np.int64), np.zeros(len(row), np.int64), last.astype(np.int64)
+                every = (np.full(2, _ALL), np.array([t.sum(), 0]), np.array([len(t), 0]), np.zeros(2, np.int64), np.zeros(2, np.int64))
+                texts = (np.full(end.sum(), _TEXTS), t[last], one[last], none[last], none[last])
+                held.append(_merged([(pair, t, one, none, none), (word, t, one, t * end, end), texts, every]))
                 size += len(held[-1][0])
                 if size > 1_500_000:
                     held = [_merged(held)]
@@ -167,82 +185,122 @@ def _pair_counts(rows: DataFrame) -> DataFrame:
             yield from out(_merged(held))
 
     small_batches(rows.sparkSession)
-    found = rows.mapInArrow(run, "pair long, before long, word long, t long, b long")
-    return found.groupBy("pair", "before", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    found = rows.mapInArrow(run, "gram long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    found = found.groupBy("gram").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    return found.where((F.col("b") > 1) | F.col("gram").isin(_TEXTS, _ALL))
 
 
-def _losses(counts: DataFrame, weights: tuple[float, float]) -> DataFrame:
-    """``pair, b, lt, lb``: the negative natural logarithm of each pair's probability in both models."""
-    two, one = weights
-    word = materialize(counts.groupBy("word").agg(F.sum("t").alias("wt"), F.sum("b").alias("wb")), "lm-words")
-    context = counts.groupBy("before").agg(F.sum("t").alias("ct"), F.sum("b").alias("cb"))
-    total = word.agg(F.sum("wt").alias("t"), F.sum("wb").alias("b"), F.count("*").alias("words")).first()
-    full = materialize(counts.join(context, "before").select("pair", "word", "t", "b", "ct", "cb"), "lm-contexts").join(word, "word")
-
-    def loss(kind: str) -> Column:
-        p = F.lit(two) * F.col(kind) / F.greatest(F.col(f"c{kind}"), F.lit(1)) + F.lit(one) * F.col(f"w{kind}") / F.lit(float(max(total[kind] or 0, 1)))
-        return -F.log(p + F.lit((1 - two - one) / max(total["words"], 1)))
-
-    return full.select("pair", "b", loss("t").alias("lt"), loss("b").alias("lb"))
-
-
-def _frequent(losses: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """The least count of which at most ``most`` pairs have as much or more, and these pairs, ascending, with their losses."""
+def _frequent(counts: DataFrame, most: int) -> tuple[int, list[np.ndarray]]:
+    """The least count of which at most ``most`` grams have as much or more, and these grams, ascending, with their counts."""
     log = F.floor(F.log2("b") * 8)
     seen, least = 0, 2**62
-    for r in losses.groupBy(log.alias("step")).agg(F.count("*").alias("n"), F.min("b").alias("low")).orderBy(F.desc("step")).collect():
+    for r in counts.groupBy(log.alias("step")).agg(F.count("*").alias("n"), F.min("b").alias("low")).orderBy(F.desc("step")).collect():
         seen += r["n"]
         if seen > most:
             break
         least = r["low"]
-    sent = losses.where(F.col("b") >= least).select("pair", "lt", "lb").toArrow()
-    pair, lt, lb = (sent.column(c).to_numpy() for c in ("pair", "lt", "lb"))
-    order = np.argsort(pair)
-    return least, pair[order], lt[order], lb[order]
+    sent = counts.where(F.col("b") >= least).toArrow()
+    cols = [sent.column(c).to_numpy() for c in ("gram", *_COUNTS)]
+    order = np.argsort(cols[0])
+    return least, [c[order] for c in cols]
 
 
-def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[float, float] = (0.6, 0.38), frequent: int = 200_000) -> DataFrame:
-    """The columns of ``score`` for every row, from counts of all words and pairs.
+def _places(known: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each gram stands among the ascending ``known``, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(gram), np.int64), np.zeros(len(gram), bool)
+    at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+    return at, known[at] == gram
 
-    ``frequent`` is how many of the most frequent pairs have their losses sent to the tasks; it
-    makes no difference to the result, as all others are joined.
-    """
-    losses = materialize(_losses(materialize(_pair_counts(_marked(docs, target_ids)), "lm-pairs"), weights), "lm-losses")
-    least, *table = _frequent(losses, frequent)
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``block, doc_id, target, text``: rows in blocks of about a megabyte of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, *loss = sent.value
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for lo, hi, data, offs in _text.blocks(batch.column(1)):
-                row, _, _, pair = _pairs(data, offs)
-                pair = pair.astype(np.int64)
-                at = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
-                mine = known[at] == pair if len(known) else np.zeros(len(pair), bool)
-                sums = [np.bincount(row[mine], x[at[mine]], hi - lo) for x in loss]
-                row_, pair_ = row[~mine], pair[~mine]
-                order = np.lexsort((pair_, row_))
-                row_, pair_ = row_[order], pair_[order]
-                first = np.flatnonzero(np.concatenate([[True], (np.diff(row_) != 0) | (np.diff(pair_) != 0)])) if len(row_) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(row_))).astype(np.int32)
-                cut = pa.array(np.searchsorted(row_[first], np.arange(hi - lo + 1)).astype(np.int32))
-                cols = [pa.array(number + np.arange(hi - lo)), batch.column(0).slice(lo, hi - lo), pa.array(np.bincount(row, minlength=hi - lo).astype(np.int64)), *(pa.array(x.astype(np.float64)) for x in sums)]
-                cols += [pa.ListArray.from_arrays(cut, pa.array(pair_[first])), pa.ListArray.from_arrays(cut, pa.array(times))]
-                number += hi - lo
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "st", "sb", "pairs", "times"])
+            for lo, hi, _, _ in _text.blocks(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, number)), *(c.slice(lo, hi - lo) for c in batch.columns)], ["block", "doc_id", "target", "text"])
+                number += 1
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "row long, doc_id long, n long, st double, sb double, pairs array<long>, times array<int>")
-    rows = materialize(rows, "lm-rows")  # row numbers are those of the written table
-    rare = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    rest = rare.join(losses.where(F.col("b") < least).select("pair", "lt", "lb").hint("merge"), "pair")
-    rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.col("lt")).alias("rt"), F.sum(F.col("times") * F.col("lb")).alias("rb"))
-    mean = lambda kind: F.when(F.col("n") > 0, (F.col(f"s{kind}") + F.coalesce(f"r{kind}", F.lit(0.0))) / F.col("n"))
-    out = rows.select("row", "doc_id", "n", "st", "sb").join(materialize(rest, "lm-rest"), "row", "left")
-    return out.select("doc_id", F.col("n").alias("n_tokens"), mean("t").alias("loss_target"), mean("b").alias("loss_background"), (mean("t") - mean("b")).alias("score"))
+    small_batches(rows.sparkSession)
+    return rows.select("doc_id", "target", "text").mapInArrow(run, "block long, doc_id long, target boolean, text string")
+
+
+def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[float, float] = (0.6, 0.38), frequent: int = 500_000) -> DataFrame:
+    """The columns of ``score`` for every row, from counts of all words and pairs.
+
+    ``frequent`` is how many of the most frequent grams have their counts sent to the tasks; it
+    makes no difference to the result. For all others each block of documents asks the table once.
+    """
+    spark = docs.sparkSession
+    rows = _marked(docs, target_ids)
+    counts = materialize(_gram_counts(rows), "lm-counts")
+    blocks = materialize(_blocks(rows), "lm-blocks")  # numbers of blocks are those of the written table
+    whole = {r["gram"]: r for r in counts.where(F.col("gram").isin(_TEXTS, _ALL)).collect()}
+    words = counts.where((F.col("gram").bitwiseAND(F.lit(1)) == 0) & ~F.col("gram").isin(_TEXTS, _ALL)).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    total = {kind: int(whole[_ALL][kind]) if whole else 0 for kind in "tb"}
+    size = words["n"] + total["b"] - (words["b"] or 0)  # a word that is not in the table occurs once
+    least, table = _frequent(counts, frequent)
+    sent = spark.sparkContext.broadcast(table)
+    texts = {kind: int(whole[_TEXTS][kind]) if whole else 0 for kind in "tb"}
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value[0]
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            for number in np.unique(block):
+                lo, hi = np.searchsorted(block, [number, number + 1])
+                for _, _, data, offs in _text.blocks(batch.column(1).slice(lo, hi - lo)):
+                    _, word, _, pair, _ = _grams(data, offs)
+                    gram = np.unique(np.concatenate([word, pair]))
+                    gram = gram[~_places(known, gram)[1]]
+                    for at in range(0, len(gram), 50_000):
+                        part = gram[at : at + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), number))], ["gram", "block"])
+
+    def judge(rows: pa.Table, found: pa.Table) -> pa.Table:
+        held = [found.column(c).to_numpy() for c in ("gram", *_COUNTS)]
+        gram, first = np.unique(held[0], return_index=True)
+        held = [gram, *(c[first] for c in held[1:])]
+        target = rows.column("target").to_numpy().astype(np.int64)
+        text = rows.column("text").combine_chunks()
+        parts = []
+        for lo, hi, data, offs in _text.blocks(text):
+            row, word, before, pair, last = _grams(data, offs)
+            t, end = target[lo + row], last.astype(np.int64)
+
+            def counted(gram: np.ndarray) -> list[np.ndarray]:
+                """Counts of each gram; one that nobody has counted occurs here only."""
+                out = [t.copy(), np.ones(len(gram), np.int64), t * end, end.copy()]
+                for known, *cols in (sent.value, held):
+                    at, there = _places(known, gram)
+                    for mine, col in zip(out, cols):
+                        mine[there] = col[at[there]]
+                return out
+
+            of_pair, of_word = counted(pair), counted(word)
+            starts = before == _TEXTS
+            n = np.bincount(row, minlength=hi - lo)
+            loss = []
+            for i, kind in enumerate("tb"):
+                # a word stands before another as often as it occurs without ending its text
+                context = np.concatenate([[0], (of_word[i] - of_word[i + 2])[:-1]]) if len(row) else np.zeros(0)
+                context[starts] = texts[kind]
+                p = weights[0] * of_pair[i] / np.maximum(context, 1) + weights[1] * of_word[i] / max(total[kind], 1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    loss.append(np.bincount(row, -np.log(p + (1 - sum(weights)) / max(size, 1)), hi - lo) / n)
+            none = n == 0
+            cols = [rows.column("doc_id").combine_chunks().slice(lo, hi - lo), pa.array(n.astype(np.int64)), *(pa.array(x, pa.float64(), mask=none) for x in (loss[0], loss[1], loss[0] - loss[1]))]
+            parts.append(pa.Table.from_arrays(cols, ["doc_id", "n_tokens", "loss_target", "loss_background", "score"]))
+        return pa.concat_tables(parts)
+
+    asked = blocks.select("block", "text").mapInArrow(ask, "gram long, block long")
+    found = materialize(asked.join(counts.where(F.col("b") < least), "gram").select("block", "gram", *_COUNTS), "lm-found")
+    discard(counts)
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(judge, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, bits: int | None = None) -> DataFrame:
