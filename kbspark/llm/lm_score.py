@@ -16,10 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from kbspark.llm import _text
@@ -151,8 +153,13 @@ def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return gram[order[first]], *(np.add.reduceat(c[order], first) for c in counts)
 
 
-def _gram_counts(rows: DataFrame) -> DataFrame:
-    """``gram, t, b, te, be``: how often each gram of ``rows(target, text)`` occurs in target and background, and how often it ends a text there.
+def _turn(gram: np.ndarray, turns: int) -> np.ndarray:
+    """The turn in which each gram is counted and asked for."""
+    return (gram >> 32) % turns
+
+
+def _gram_counts(rows: DataFrame, turn: int, turns: int) -> DataFrame:
+    """``gram, t, b, te, be``: how often each gram of a turn occurs in target and background of ``rows(target, text)``, and how often it ends a text there.
 
     Only grams of two occurrences or more are in the table, and the two that count texts and words:
     whoever meets a gram that is not in it has its only occurrence before them.
@@ -173,7 +180,12 @@ def _gram_counts(rows: DataFrame) -> DataFrame:
                 t, one, none, end = target[lo + row], np.ones(len(row), np.int64), np.zeros(len(row), np.int64), last.astype(np.int64)
                 every = (np.full(2, _ALL), np.array([t.sum(), 0]), np.array([len(t), 0]), np.zeros(2, np.int64), np.zeros(2, np.int64))
                 texts = (np.full(end.sum(), _TEXTS), t[last], one[last], none[last], none[last])
-                held.append(_merged([(pair, t, one, none, none), (word, t, one, t * end, end), texts, every]))
+                found = map(np.concatenate, zip((pair, t, one, none, none), (word, t, one, t * end, end), texts, every))
+                gram, *cells = found
+                mine = _turn(gram, turns) == turn
+                if not mine.any():
+                    continue
+                held.append(_merged([(gram[mine], *(c[mine] for c in cells))]))
                 size += len(held[-1][0])
                 if size > 1_500_000:
                     held = [_merged(held)]
@@ -214,7 +226,7 @@ def _places(known: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """``block, doc_id, target, text``: rows in blocks of about a megabyte of text."""
+    """``block, no, doc_id, target, text``: rows in blocks of about a megabyte of text, numbered in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -222,85 +234,97 @@ def _blocks(rows: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo, hi, _, _ in _text.blocks(batch.column(2)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, number)), *(c.slice(lo, hi - lo) for c in batch.columns)], ["block", "doc_id", "target", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, number)), pa.array(np.arange(hi - lo, dtype=np.int32)), *(c.slice(lo, hi - lo) for c in batch.columns)], ["block", "no", "doc_id", "target", "text"])
                 number += 1
 
     small_batches(rows.sparkSession)
-    return rows.select("doc_id", "target", "text").mapInArrow(run, "block long, doc_id long, target boolean, text string")
+    return rows.select("doc_id", "target", "text").mapInArrow(run, "block long, no int, doc_id long, target boolean, text string")
 
 
-def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[float, float] = (0.6, 0.38), frequent: int = 500_000) -> DataFrame:
+def _asked(blocks: DataFrame, sent: Broadcast, turn: int, turns: int) -> DataFrame:
+    """``gram, block, no, at``: the grams of a turn that are not among those sent, each once a block: row and twice the word's place there, one more for a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value[0]
+        for batch in batches:
+            block, no = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
+            for begin, end in zip(edges[:-1], edges[1:]):
+                for lo, _, data, offs in _text.blocks(batch.column(2).slice(begin, end - begin)):
+                    row, word, _, pair, _ = _grams(data, offs)
+                    gram, first = np.unique(np.concatenate([word, pair]), return_index=True)
+                    mine = (_turn(gram, turns) == turn) & ~_places(known, gram)[1]
+                    gram, first = gram[mine], first[mine]
+                    kind = first >= len(word)
+                    token = first - kind * len(word)
+                    at = 2 * (token - np.searchsorted(row, row[token])) + kind
+                    cols = gram, np.full(len(gram), block[begin]), no[begin + lo + row[token]], at.astype(np.int32)
+                    for i in range(0, len(gram), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cols], ["gram", "block", "no", "at"])
+
+    return blocks.select("block", "no", "text").mapInArrow(run, "gram long, block long, no int, at int")
+
+
+def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[float, float] = (0.6, 0.38), frequent: int = 500_000, turns: int = 2) -> DataFrame:
     """The columns of ``score`` for every row, from counts of all words and pairs.
 
-    ``frequent`` is how many of the most frequent grams have their counts sent to the tasks; it
-    makes no difference to the result. For all others each block of documents asks the table once.
+    ``frequent`` is how many of the most frequent grams have their counts sent to the tasks, and
+    in ``turns`` parts grams are counted and asked for, so that only one part at a time is in the
+    shuffle; neither makes a difference to the result.
     """
     spark = docs.sparkSession
-    rows = _marked(docs, target_ids)
-    counts = materialize(_gram_counts(rows), "lm-counts")
-    blocks = materialize(_blocks(rows), "lm-blocks")  # numbers of blocks are those of the written table
-    whole = {r["gram"]: r for r in counts.where(F.col("gram").isin(_TEXTS, _ALL)).collect()}
-    words = counts.where((F.col("gram").bitwiseAND(F.lit(1)) == 0) & ~F.col("gram").isin(_TEXTS, _ALL)).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
-    total = {kind: int(whole[_ALL][kind]) if whole else 0 for kind in "tb"}
-    size = words["n"] + total["b"] - (words["b"] or 0)  # a word that is not in the table occurs once
-    least, table = _frequent(counts, frequent)
-    sent = spark.sparkContext.broadcast(table)
-    texts = {kind: int(whole[_TEXTS][kind]) if whole else 0 for kind in "tb"}
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value[0]
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            for number in np.unique(block):
-                lo, hi = np.searchsorted(block, [number, number + 1])
-                for _, _, data, offs in _text.blocks(batch.column(1).slice(lo, hi - lo)):
-                    _, word, _, pair, _ = _grams(data, offs)
-                    gram = np.unique(np.concatenate([word, pair]))
-                    gram = gram[~_places(known, gram)[1]]
-                    for at in range(0, len(gram), 50_000):
-                        part = gram[at : at + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), number))], ["gram", "block"])
+    blocks = materialize(_blocks(_marked(docs, target_ids)), "lm-blocks")  # numbers of blocks are those of the written table
+    special = F.col("gram").isin(_TEXTS, _ALL)
+    whole: dict[int, Row] = {}
+    size, tables, found = 0, [], []
+    for turn in range(turns):
+        counts = materialize(_gram_counts(blocks.select("target", "text"), turn, turns), "lm-counts")
+        whole.update({r["gram"]: r for r in counts.where(special).collect()})
+        words = counts.where((F.col("gram").bitwiseAND(F.lit(1)) == 0) & ~special).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+        size += words["n"] - (words["b"] or 0)
+        least, table = _frequent(counts, frequent // turns)
+        tables.append(spark.sparkContext.broadcast(table))
+        asked = _asked(blocks, tables[-1], turn, turns).join(counts.where(F.col("b") < least), "gram")
+        found.append(materialize(asked.select("block", "no", "at", *_COUNTS), "lm-found"))
+        discard(counts)
+    texts, total = ({kind: int(whole[gram][kind]) if whole else 0 for kind in "tb"} for gram in (_TEXTS, _ALL))
+    size += total["b"]  # a word that is in no table occurs once
 
     def judge(rows: pa.Table, found: pa.Table) -> pa.Table:
-        held = [found.column(c).to_numpy() for c in ("gram", *_COUNTS)]
-        gram, first = np.unique(held[0], return_index=True)
-        held = [gram, *(c[first] for c in held[1:])]
+        rows = rows.sort_by("no")
         target = rows.column("target").to_numpy().astype(np.int64)
-        text = rows.column("text").combine_chunks()
-        parts = []
-        for lo, hi, data, offs in _text.blocks(text):
-            row, word, before, pair, last = _grams(data, offs)
-            t, end = target[lo + row], last.astype(np.int64)
-
-            def counted(gram: np.ndarray) -> list[np.ndarray]:
-                """Counts of each gram; one that nobody has counted occurs here only."""
-                out = [t.copy(), np.ones(len(gram), np.int64), t * end, end.copy()]
-                for known, *cols in (sent.value, held):
-                    at, there = _places(known, gram)
-                    for mine, col in zip(out, cols):
-                        mine[there] = col[at[there]]
-                return out
-
-            of_pair, of_word = counted(pair), counted(word)
-            starts = before == _TEXTS
-            n = np.bincount(row, minlength=hi - lo)
-            loss = []
-            for i, kind in enumerate("tb"):
-                # a word stands before another as often as it occurs without ending its text
-                context = np.concatenate([[0], (of_word[i] - of_word[i + 2])[:-1]]) if len(row) else np.zeros(0)
-                context[starts] = texts[kind]
-                p = weights[0] * of_pair[i] / np.maximum(context, 1) + weights[1] * of_word[i] / max(total[kind], 1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    loss.append(np.bincount(row, -np.log(p + (1 - sum(weights)) / max(size, 1)), hi - lo) / n)
-            none = n == 0
-            cols = [rows.column("doc_id").combine_chunks().slice(lo, hi - lo), pa.array(n.astype(np.int64)), *(pa.array(x, pa.float64(), mask=none) for x in (loss[0], loss[1], loss[0] - loss[1]))]
-            parts.append(pa.Table.from_arrays(cols, ["doc_id", "n_tokens", "loss_target", "loss_background", "score"]))
-        return pa.concat_tables(parts)
-
-    asked = blocks.select("block", "text").mapInArrow(ask, "gram long, block long")
-    found = materialize(asked.join(counts.where(F.col("b") < least), "gram").select("block", "gram", *_COUNTS), "lm-found")
-    discard(counts)
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(judge, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+        [(_, height, data, offs)] = _text.blocks(rows.column("text").combine_chunks(), 1 << 62)
+        row, word, before, pair, last = _grams(data, offs)
+        t, end = target[row], last.astype(np.int64)
+        at = found.column("at").to_numpy()
+        token = np.searchsorted(row, found.column("no").to_numpy()) + at // 2
+        gram, first = np.unique(np.where(at % 2, pair[token], word[token]), return_index=True)
+        held = [gram, *(found.column(c).to_numpy()[first] for c in _COUNTS)]
+
+        def counted(gram: np.ndarray) -> list[np.ndarray]:
+            """Counts of each gram; one that is in no table occurs here only."""
+            out = [t.copy(), np.ones(len(gram), np.int64), t * end, end.copy()]
+            for known, *cols in (held, *(x.value for x in tables)):
+                at, there = _places(known, gram)
+                for mine, col in zip(out, cols):
+                    mine[there] = col[at[there]]
+            return out
+
+        of_pair, of_word = counted(pair), counted(word)
+        n = np.bincount(row, minlength=height)
+        loss = []
+        for i, kind in enumerate("tb"):
+            # a word stands before another as often as it occurs without ending its text
+            context = np.roll(of_word[i] - of_word[i + 2], 1)
+            context[before == _TEXTS] = texts[kind]
+            p = weights[0] * of_pair[i] / np.maximum(context, 1) + weights[1] * of_word[i] / max(total[kind], 1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                loss.append(np.bincount(row, -np.log(p + (1 - sum(weights)) / max(size, 1)), height) / n)
+        cols = [rows.column("doc_id").combine_chunks(), pa.array(n.astype(np.int64)), *(pa.array(x, pa.float64(), mask=n == 0) for x in (loss[0], loss[1], loss[0] - loss[1]))]
+        return pa.Table.from_arrays(cols, ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+
+    every = reduce(DataFrame.unionByName, found)
+    return blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(judge, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, bits: int | None = None) -> DataFrame:
