@@ -254,7 +254,8 @@ def _asked(blocks: DataFrame, sent: Broadcast, turn: int, turns: int) -> DataFra
                     row, word, _, pair, _ = _grams(data, offs)
                     gram, first = np.unique(np.concatenate([word, pair]), return_index=True)
                     mine = (_turn(gram, turns) == turn) & ~_places(known, gram)[1]
-                    gram, first = gram[mine], first[mine]
+                    order = np.argsort(first[mine])  # neighbours in the text stay neighbours: this compresses
+                    gram, first = gram[mine][order], first[mine][order]
                     kind = first >= len(word)
                     token = first - kind * len(word)
                     at = 2 * (token - np.searchsorted(row, row[token])) + kind
@@ -265,7 +266,7 @@ def _asked(blocks: DataFrame, sent: Broadcast, turn: int, turns: int) -> DataFra
     return blocks.select("block", "no", "text").mapInArrow(run, "gram long, block long, no int, at int")
 
 
-def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[float, float] = (0.6, 0.38), frequent: int = 500_000, turns: int = 2) -> DataFrame:
+def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[float, float] = (0.6, 0.38), frequent: int = 1_000_000, turns: int = 2) -> DataFrame:
     """The columns of ``score`` for every row, from counts of all words and pairs.
 
     ``frequent`` is how many of the most frequent grams have their counts sent to the tasks, and
@@ -285,7 +286,7 @@ def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[floa
         least, table = _frequent(counts, frequent // turns)
         tables.append(spark.sparkContext.broadcast(table))
         asked = _asked(blocks, tables[-1], turn, turns).join(counts.where(F.col("b") < least), "gram")
-        found.append(materialize(asked.select("block", "no", "at", *_COUNTS), "lm-found"))
+        found.append(materialize(asked.select("block", "no", "at", *_COUNTS).sortWithinPartitions("block", "no", "at"), "lm-found"))
         discard(counts)
     texts, total = ({kind: int(whole[gram][kind]) if whole else 0 for kind in "tb"} for gram in (_TEXTS, _ALL))
     size += total["b"]  # a word that is in no table occurs once
