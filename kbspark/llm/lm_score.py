@@ -266,6 +266,30 @@ def _asked(blocks: DataFrame, sent: Broadcast, turn: int, turns: int) -> DataFra
     return blocks.select("block", "no", "text").mapInArrow(run, "gram long, block long, no int, at int")
 
 
+_PACKED = ("no", "at", *_COUNTS)
+
+
+def _packed(found: DataFrame) -> DataFrame:
+    """``block, rows`` and each column of ``_PACKED`` as bytes: neighbouring answers of a block as arrays of the narrowest whole numbers that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, *cols = (c.to_numpy() for c in batch.columns)
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
+            spans = [(a, b) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+            narrow = [pa.array([c[a:b].astype(np.min_scalar_type(c[a:b].max())).tobytes() for a, b in spans], pa.binary()) for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array([block[a] for a, _ in spans], pa.int64()), pa.array([b - a for a, b in spans], pa.int32()), *narrow], ["block", "rows", *_PACKED])
+
+    return found.select("block", *_PACKED).mapInArrow(run, "block long, rows int, " + ", ".join(f"{c} binary" for c in _PACKED))
+
+
+def _unpacked(packed: pa.Table) -> dict[str, np.ndarray]:
+    """The columns of ``_PACKED`` from the rows of one block."""
+    rows = packed.column("rows").to_pylist()
+    read = lambda c: [np.frombuffer(x, f"u{len(x) // n}").astype(np.int64) for x, n in zip(packed.column(c).to_pylist(), rows)]
+    return {c: np.concatenate([np.zeros(0, np.int64), *read(c)]) for c in _PACKED}
+
+
 def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[float, float] = (0.6, 0.38), frequent: int = 1_000_000, turns: int = 2) -> DataFrame:
     """The columns of ``score`` for every row, from counts of all words and pairs.
 
@@ -286,7 +310,7 @@ def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[floa
         least, table = _frequent(counts, frequent // turns)
         tables.append(spark.sparkContext.broadcast(table))
         asked = _asked(blocks, tables[-1], turn, turns).join(counts.where(F.col("b") < least), "gram")
-        found.append(materialize(asked.select("block", "no", "at", *_COUNTS).sortWithinPartitions("block", "no", "at"), "lm-found"))
+        found.append(materialize(_packed(asked.sortWithinPartitions("block", "no", "at")), "lm-found"))
         discard(counts)
     texts, total = ({kind: int(whole[gram][kind]) if whole else 0 for kind in "tb"} for gram in (_TEXTS, _ALL))
     size += total["b"]  # a word that is in no table occurs once
@@ -297,10 +321,11 @@ def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[floa
         [(_, height, data, offs)] = _text.blocks(rows.column("text").combine_chunks(), 1 << 62)
         row, word, before, pair, last = _grams(data, offs)
         t, end = target[row], last.astype(np.int64)
-        at = found.column("at").to_numpy()
-        token = np.searchsorted(row, found.column("no").to_numpy()) + at // 2
+        answers = _unpacked(found)
+        at = answers["at"]
+        token = np.searchsorted(row, answers["no"]) + at // 2
         gram, first = np.unique(np.where(at % 2, pair[token], word[token]), return_index=True)
-        held = [gram, *(found.column(c).to_numpy()[first] for c in _COUNTS)]
+        held = [gram, *(answers[c][first] for c in _COUNTS)]
 
         def counted(gram: np.ndarray) -> list[np.ndarray]:
             """Counts of each gram; one that is in no table occurs here only."""
