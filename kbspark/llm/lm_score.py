@@ -198,7 +198,8 @@ def _gram_counts(rows: DataFrame, turn: int, turns: int) -> DataFrame:
 
     small_batches(rows.sparkSession)
     found = rows.mapInArrow(run, "gram long, " + ", ".join(f"{c} long" for c in _COUNTS))
-    found = found.groupBy("gram").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    # each task gives a gram about once, so sums before the shuffle would be in vain
+    found = found.repartition("gram").groupBy("gram").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     return found.where((F.col("b") > 1) | F.col("gram").isin(_TEXTS, _ALL))
 
 
@@ -252,10 +253,12 @@ def _asked(blocks: DataFrame, sent: Broadcast, turn: int, turns: int) -> DataFra
             for begin, end in zip(edges[:-1], edges[1:]):
                 for lo, _, data, offs in _text.blocks(batch.column(2).slice(begin, end - begin)):
                     row, word, _, pair, _ = _grams(data, offs)
-                    gram, first = np.unique(np.concatenate([word, pair]), return_index=True)
-                    mine = (_turn(gram, turns) == turn) & ~_places(known, gram)[1]
-                    order = np.argsort(first[mine])  # neighbours in the text stay neighbours: this compresses
-                    gram, first = gram[mine][order], first[mine][order]
+                    gram = np.concatenate([word, pair])
+                    mine = np.flatnonzero(_turn(gram, turns) == turn)
+                    gram, first = np.unique(gram[mine], return_index=True)
+                    new = ~_places(known, gram)[1]
+                    order = np.argsort(first[new])  # neighbours in the text stay neighbours: this compresses
+                    gram, first = gram[new][order], mine[first[new][order]]
                     kind = first >= len(word)
                     token = first - kind * len(word)
                     at = 2 * (token - np.searchsorted(row, row[token])) + kind
@@ -330,10 +333,12 @@ def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[floa
         def counted(gram: np.ndarray) -> list[np.ndarray]:
             """Counts of each gram; one that is in no table occurs here only."""
             out = [t.copy(), np.ones(len(gram), np.int64), t * end, end.copy()]
-            for known, *cols in (held, *(x.value for x in tables)):
-                at, there = _places(known, gram)
+            turn = _turn(gram, turns)
+            for asked, (known, *cols) in ((turn >= 0, held), *((turn == i, x.value) for i, x in enumerate(tables))):
+                asked = np.flatnonzero(asked)
+                at, there = _places(known, gram[asked])
                 for mine, col in zip(out, cols):
-                    mine[there] = col[at[there]]
+                    mine[asked[there]] = col[at[there]]
             return out
 
         of_pair, of_word = counted(pair), counted(word)
