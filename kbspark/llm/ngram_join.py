@@ -18,6 +18,7 @@ At last all pairs that meet and still lie in different components are checked, e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -189,15 +190,24 @@ def _linked(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFr
     return full.mapInArrow(run, "a long, b long")
 
 
-def _meeting_places(table: DataFrame) -> DataFrame:
-    """``key, fp``: the places where two sets or more meet; of places with the same sets one stays, so that those sets meet once."""
-    met = table.where("keys is not null").select(F.explode("keys").alias("key"), "fp")
-    many = materialize(met.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high"), "places")
-    met = materialize(met.join(many.select("key"), "key").distinct(), "met")
+def _meeting_places(table: DataFrame, turns: int = 4) -> DataFrame:
+    """``key, fp``: the places where two sets or more meet; of places with the same sets one stays, so that those sets meet once.
+
+    Most keys have one set. They are told from the others in ``turns`` parts of the keys, so that
+    only one part at a time is in the shuffle.
+    """
+    parts = []
+    for turn in range(turns):
+        mine = F.filter("keys", lambda k: F.pmod(k, F.lit(turns)) == turn)  # noqa: B023
+        keys = table.where("keys is not null").select(F.explode(mine).alias("key"), "fp")
+        many = materialize(keys.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key"), "places")
+        parts.append(materialize(keys.join(many, "key").distinct(), "met"))
+        discard(many)
+    met = reduce(DataFrame.unionByName, parts)
     lists = met.groupBy("key").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("fp")).alias("members")).where("sets > 1")
     once = materialize(lists.groupBy("sets", "members").agg(F.min("key").alias("key")).select("key"), "places")
     out = materialize(met.join(once, "key"), "met")
-    discard(many), discard(met), discard(once)
+    discard(met), discard(once)
     return out
 
 
