@@ -230,9 +230,11 @@ def _rest(apart: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
 
 def _groups(docs: DataFrame, num: int, den: int, k: int) -> tuple[DataFrame, DataFrame]:
     """The rows as of ``_documents``, and ``fp, least, comp``: the least doc_id and the component of every set."""
-    table = materialize(_documents(docs, k, num, den), "sets")
+    keyed = materialize(_documents(docs, k, num, den), "sets")
+    met = _meeting_places(keyed)
+    table = materialize(keyed.drop("keys"), "rows")
+    discard(keyed)
     by_set = table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    met = _meeting_places(table)
     need = met.select("fp").distinct().join(by_set, "fp")
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), "text")
     contents = materialize(_contents(need.join(texts, need["least"].eqNullSafe(texts["id"])), k, num, den).dropDuplicates(["fp"]), "contents")
