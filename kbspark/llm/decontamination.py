@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm._store import bloom_filters, materialize
-from kbspark.llm._words import GAP, doc_key, words
+from kbspark.llm._words import GAP, doc_key, own_names, words
 
 RUN = 3
 #: What an anchor takes in a broadcast hash table, at most.
@@ -94,18 +94,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     """``docs`` without its contaminated documents (``remove="documents"``) or without the hit words and the gaps before them (``"spans"``)."""
     found = contamination(docs, benchmark, n, share, broadcast_bytes)
     names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(*names, *(c.alias(f"__{i}") for i, c in enumerate(doc_key())))
+    one, two, hit = own_names(docs, "__0", "__1", "__spans")
+    k1, k2 = doc_key()
+    keyed = docs.select(*names, k1.alias(one), k2.alias(two))
     if remove == "documents":
-        bad = found.where("contaminated").select(F.col("k1").alias("__0"), F.col("k2").alias("__1")).distinct()
-        return keyed.join(bad, ["__0", "__1"], "left_anti").select(*names)
+        bad = found.where("contaminated").select(F.col("k1").alias(one), F.col("k2").alias(two)).distinct()
+        return keyed.join(bad, [one, two], "left_anti").select(*names)
     if remove != "spans":
         raise ValueError("remove is documents or spans")
-    bad = found.where("spans is not null").select(F.col("k1").alias("__0"), F.col("k2").alias("__1"), F.col("spans").alias("__spans")).dropDuplicates(["__0", "__1"])
+    bad = found.where("spans is not null").select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("spans").alias(hit)).dropDuplicates([one, two])
     gap = GAP[1:-2].replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # upper-case letters are in words here
     pieces = F.regexp_extract_all("text", F.lit(f"[{gap}]*[^{gap}]+|[{gap}]+$"), F.lit(0))
-    clean = F.array_join(F.filter(pieces, lambda p, i: ~F.exists("__spans", lambda s: (i >= s["start"]) & (i < s["end"]))), "")
-    rows = keyed.join(bad, ["__0", "__1"], "left")
-    return rows.select(*[(F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean).alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
+    clean = F.array_join(F.filter(pieces, lambda p, i: ~F.exists(hit, lambda s: (i >= s["start"]) & (i < s["end"]))), "")
+    rows = keyed.join(bad, [one, two], "left")
+    return rows.select(*[(F.when(F.col(hit).isNull(), F.col("text")).otherwise(clean).alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
 
 
 __all__ = ["benchmark_windows", "contamination", "decontaminate", "window_hits"]

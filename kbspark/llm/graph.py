@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from kbspark.llm._store import discard, materialize
 
 
+#: Parts of the rows under one root.
+_SALT = 16
+
+
+def with_root(rows: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``roots``, of which ``key`` has one row each; rows of one root are dealt over ``_SALT`` tasks."""
+    dealt = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(_SALT)).cast("int"))
+    return salted.join(dealt, [key, "salt"], "left").drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, comp`` for every node of ``links(a, b)``; ``comp`` is the least node that it reaches.
 
@@ -20,10 +31,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         own = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "comp", F.least("comp", "near").alias("next"))
-        hooks = own.where("next < comp").groupBy(F.col("comp").alias("root")).agg(F.min("next").alias("under"))
-        moved = own.join(hooks, own["comp"] == hooks["root"], "left").select("node", F.least("next", F.coalesce("under", "next")).alias("to"))
-        jump = moved.select(F.col("node").alias("via"), F.col("to").alias("far"))
-        fresh = materialize(moved.join(jump, moved["to"] == jump["via"], "left").select("node", F.least("to", F.coalesce("far", "to")).alias("comp")), "labels")
+        hooks = own.where("next < comp").groupBy("comp").agg(F.min("next").alias("under"))
+        moved = with_root(own, "comp", hooks).select("node", F.least("next", F.coalesce("under", "next")).alias("to"))
+        roots = moved.select("to").distinct().join(moved.select(F.col("node").alias("to"), F.col("to").alias("far")), "to")
+        fresh = materialize(with_root(moved, "to", roots).select("node", F.least("to", F.coalesce("far", "to")).alias("comp")), "labels")
         changed = fresh.join(labels.withColumnRenamed("comp", "was"), "node").where("comp <> was").limit(1).count()
         discard(labels)
         labels = fresh

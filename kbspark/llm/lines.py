@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm._store import bloom_filters, discard, materialize
+from kbspark.llm._words import own_names
 
 _LEAST = -(2**63)
 _AT = ("doc", "mark", "pos")
@@ -161,9 +162,12 @@ def removed_places(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 1
     return found
 
 
-def _with_places(docs: DataFrame, found: DataFrame, columns: list[Column]) -> DataFrame:
-    keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("__doc"), F.xxhash64("text").alias("__mark"))
-    return keyed.join(found.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("n_lines").alias("__lines"), F.col("places").alias("__places")), ["__doc", "__mark"], "left")
+def _with_places(docs: DataFrame, found: DataFrame, columns: list[Column]) -> tuple[DataFrame, str, str]:
+    """``columns`` of ``docs`` beside the number of lines and the removed places, and the names of these two."""
+    doc, mark, lines, places = own_names(docs, "__doc", "__mark", "__lines", "__places")
+    keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias(doc), F.xxhash64("text").alias(mark))
+    named = found.select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("n_lines").alias(lines), F.col("places").alias(places))
+    return keyed.join(named, [doc, mark], "left"), lines, places
 
 
 def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
@@ -176,9 +180,9 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17
     comes before all others; other columns are not looked at; an empty table gives an empty
     result; long texts are read whole. Wordings and words are told apart by 64-bit hashes.
     """
-    rows = _with_places(docs, removed_places(docs, num, den, bits), [F.col("doc_id")])
-    gone = F.sort_array(F.coalesce("__places", F.array().cast("array<bigint>")))
-    return rows.select("doc_id", F.coalesce("__lines", F.lit(0).cast("long")).alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed"))
+    rows, n_lines, places = _with_places(docs, removed_places(docs, num, den, bits), [F.col("doc_id")])
+    gone = F.sort_array(F.coalesce(places, F.array().cast("array<bigint>")))
+    return rows.select("doc_id", F.coalesce(n_lines, F.lit(0).cast("long")).alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed"))
 
 
 def drop_later_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
@@ -186,10 +190,10 @@ def drop_later_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int =
 
     Documents that had lines with words and lose them all go; others stay, blank ones too.
     """
-    rows = _with_places(docs, removed_places(docs, num, den, bits), [F.col(f"`{c}`") for c in docs.columns])
-    some = F.coalesce(F.size("__places") > 0, F.lit(False))
+    rows, n_lines, places = _with_places(docs, removed_places(docs, num, den, bits), [F.col(f"`{c}`") for c in docs.columns])
+    some = F.coalesce(F.size(places) > 0, F.lit(False))
     lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col("__places"))
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col(places))
     text = F.when(some, F.array_join(F.transform(stay, lambda i: F.get(lines, i.cast("int"))), "\n")).otherwise(F.col("text"))
-    rows = rows.where(~some | (F.size("__places") < F.col("__lines")))
+    rows = rows.where(~some | (F.size(places) < F.col(n_lines)))
     return rows.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from kbspark.llm import _text
 from kbspark.llm._store import discard, materialize, small_batches
-from kbspark.llm._words import LEAST, doc_key
-from kbspark.llm.graph import components
+from kbspark.llm._words import LEAST, doc_key, own_names
+from kbspark.llm.graph import components, with_root
 
 SLACK = 2
 SEEDS = 4
@@ -234,10 +234,11 @@ def _groups(docs: DataFrame, num: int, den: int, k: int) -> tuple[DataFrame, Dat
     met = _meeting_places(keyed)
     table = materialize(keyed.drop("keys"), "rows")
     discard(keyed)
-    by_set = table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    need = met.select("fp").distinct().join(by_set, "fp")
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), "text")
-    contents = materialize(_contents(need.join(texts, need["least"].eqNullSafe(texts["id"])), k, num, den).dropDuplicates(["fp"]), "contents")
+    place = F.struct(F.coalesce("doc_id", F.lit(LEAST)).alias("k1"), "k2")
+    by_set = table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(place).alias("at"))
+    need = met.select("fp").distinct().join(by_set, "fp").select("fp", "at.k1", "at.k2")
+    # one text a set: neither rows without an id nor texts under one id meet each other
+    contents = materialize(_contents(need.join(docs.select(*doc_key(), "text"), ["k1", "k2"]), k, num, den).dropDuplicates(["fp"]), "contents")
     marks = contents.drop("grams")
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -274,7 +275,7 @@ def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3)
     """
     table, own = _groups(docs, num, den, k)
     named = own.groupBy("comp").agg(F.min("least").alias("component"))
-    classes = own.join(named, "comp").select("fp", "component")
+    classes = with_root(own, "comp", named).select("fp", "component")
     out = table.select("doc_id", "n", "fp").join(classes, "fp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("fp").isNotNull(), F.col("component")), "doc_id").alias("component_id"))
 
@@ -284,10 +285,11 @@ def keep_one(docs: DataFrame, num: int = 90, den: int = 100, k: int = 3) -> Data
 
     Of rows that repeat that id one stays, the first by text; rows without an id all stay.
     """
-    named = near_duplicates(docs, num, den, k).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    keep, row = own_names(docs, "__keep", "__row")
+    named = near_duplicates(docs, num, den, k).where("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
     names = [F.col(f"`{c}`") for c in docs.columns]
-    known = docs.where("doc_id is not null").join(named, F.col("doc_id").cast("long") == F.col("__keep"))
-    once = known.withColumn("__row", F.row_number().over(Window.partitionBy("__keep").orderBy("text"))).where("__row = 1")
+    known = docs.where("doc_id is not null").join(named, F.col("doc_id").cast("long") == F.col(keep))
+    once = known.withColumn(row, F.row_number().over(Window.partitionBy(keep).orderBy("text"))).where(F.col(row) == 1)
     return once.select(*names).unionByName(docs.where("doc_id is null").select(*names))
 
 
@@ -299,11 +301,12 @@ def keep_sets(docs: DataFrame, num: int, den: int, k: int) -> DataFrame:
     repeat an id with unlinked texts stay. Rows without words link with nothing and all stay.
     """
     table, own = _groups(docs, num, den, k)
+    one, two, once, row = own_names(docs, "__1", "__2", "__once", "__row")
     first = table.where("fp is not null").join(own.select("fp", "comp"), "fp").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k2")).alias("x"))
-    key = lambda c: F.coalesce(F.col(c), F.lit(LEAST)).alias("__1")
-    keep = first.select(key("x.doc_id"), F.col("x.k2").alias("__2"), F.lit(True).alias("__once"))
-    bare = table.where("fp is null").select(key("doc_id"), F.col("k2").alias("__2"), F.lit(False).alias("__once")).distinct()
+    key = lambda c: F.coalesce(F.col(c), F.lit(LEAST)).alias(one)
+    keep = first.select(key("x.doc_id"), F.col("x.k2").alias(two), F.lit(True).alias(once))
+    bare = table.where("fp is null").select(key("doc_id"), F.col("k2").alias(two), F.lit(False).alias(once)).distinct()
     k1, k2 = doc_key()
-    rows = docs.withColumns({"__1": k1, "__2": k2}).join(keep.unionByName(bare), ["__1", "__2"])
-    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy("__1", "__2").orderBy("__once")))
-    return rows.where("__row = 1 or not __once").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumns({one: k1, two: k2}).join(keep.unionByName(bare), [one, two])
+    rows = rows.withColumn(row, F.row_number().over(Window.partitionBy(one, two).orderBy(once)))
+    return rows.where((F.col(row) == 1) | ~F.col(once)).select(*[F.col(f"`{c}`") for c in docs.columns])

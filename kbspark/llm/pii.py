@@ -6,6 +6,10 @@ documents, as a share of the entity's own information. Wherever a term whose sha
 ``disclosure`` with at least ``support`` common documents stands in a document with that entity,
 it is removed, or generalised to its kind.
 
+Terms are all words outside the patterns' matches: letters, digits and underscores in any number.
+Documents are counted once, however many rows repeat them. Entities that the same documents hold
+are one class, so the entities of a directory do not each meet all its words.
+
 A term and an entity have at most as many common documents as the entity has, so a term in too
 many documents cannot reach the share; such terms are dropped before pairs are counted.
 """
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm._store import materialize, small_batches
-from kbspark.llm._words import doc_key
+from kbspark.llm._words import doc_key, own_names
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed values of the contract.
@@ -33,7 +37,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\W\d_]{3,}")
+_WORD = re.compile(r"\w+")
 
 
 @dataclass(frozen=True)
@@ -120,17 +124,49 @@ def _scan(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, base array<struct<kind:string,start:long,end:long>>, entities array<string>, words array<struct<term:string,start:long,end:long>>")
 
 
-def _doc_counts(docs: DataFrame, terms: DataFrame, bits: int = 22) -> tuple[DataFrame, int]:
-    """``term, df``: the documents that hold a term of ``terms``, and the number of documents with a word.
+def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits places (a fixed size) with those of ``slots(slot)`` set."""
+    found = slots.select((F.col("slot") / 8).cast("int").alias("at"), (F.col("slot") % 8).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("v")).toArrow()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    out[found.column("at").to_numpy()] = found.column("v").to_numpy()
+    return out
+
+
+def _slot(*columns: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << bits)).alias("slot")
+
+
+def _repeated(docs: DataFrame, found: DataFrame, bits: int) -> tuple[np.ndarray, DataFrame]:
+    """A bitmap of the keys that rows repeat, and ``slot, text`` of the documents under its places, each document once."""
+    again = _bitmap(found.groupBy("k1", "k2").count().where(F.col("count") > 1).select(_slot("k1", "k2", bits=bits)), bits)
+    sent = docs.sparkSession.sparkContext.broadcast(again)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            slot = batch.column(2).to_numpy()
+            some = np.flatnonzero(sent.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            keys = list(zip(batch.column(0).to_numpy()[some].tolist(), batch.column(1).to_numpy()[some].tolist()))
+            fresh = [i for i, k in zip(some.tolist(), keys) if k not in seen and not seen.add(k)]
+            if len(seen) > 500_000:
+                seen.clear()
+            yield batch.take(pa.array(fresh, pa.int64()))
+
+    rows = docs.select(*doc_key(), "text").select("k1", "k2", _slot("k1", "k2", bits=bits), "text")
+    once = rows.mapInArrow(run, "k1 long, k2 long, slot long, text string").dropDuplicates(["k1", "k2"])
+    return again, once.select(F.lit(None).cast("long").alias("slot"), "text") if again.any() else docs.sparkSession.createDataFrame([], "slot long, text string")
+
+
+def _doc_counts(docs: DataFrame, found: DataFrame, terms: DataFrame, bits: int = 22) -> tuple[DataFrame, int]:
+    """``term, df``: the documents that hold a term of ``terms``, and the number of documents with a word; rows that repeat an id and a text are one.
 
-    A bitmap of 2**bits hashed terms (a fixed size) goes to the executors, so only words that may
-    be asked for are shuffled; the join with ``terms`` drops the few others.
+    A bitmap of 2**bits hashed terms goes to the executors, so only words that may be asked for
+    are shuffled; the join with ``terms`` drops the few others. A second one tells which rows
+    may repeat others; these are counted by themselves, each document once.
     """
-    slot = F.pmod(F.xxhash64("term"), F.lit(1 << bits))
-    bytes_ = terms.select((slot / 8).cast("int").alias("at"), (slot % 8).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("v")).toArrow()
-    bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    bitmap[bytes_.column("at").to_numpy()] = bytes_.column("v").to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(terms.select(_slot("term", bits=bits)), bits))
+    again, once = _repeated(docs, found, bits)
+    skipped = docs.sparkSession.sparkContext.broadcast(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -143,10 +179,12 @@ def _doc_counts(docs: DataFrame, terms: DataFrame, bits: int = 22) -> tuple[Data
         counts: dict[str, int] = {}
         total = 0
         for batch in batches:
-            for cell in batch.column(0):
-                found = {w.lower() for w in set(_WORD.findall(cell.as_py() or ""))}
-                total += bool(found)
-                for w in found:
+            for slot, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if slot is not None and skipped.value[slot >> 3] >> (slot & 7) & 1:
+                    continue
+                words = {w.lower() for w in set(_WORD.findall(cell.as_py() or ""))}
+                total += bool(words)
+                for w in words:
                     k = known.get(w)
                     if k is None:
                         if len(known) > 500_000:
@@ -160,9 +198,10 @@ def _doc_counts(docs: DataFrame, terms: DataFrame, bits: int = 22) -> tuple[Data
         yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), total], pa.int64())], ["term", "df"])
 
     small_batches(docs.sparkSession)
-    found = materialize(docs.select("text").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")), "pii-terms")
-    total = found.where("term is null").first()
-    return found.where("term is not null").join(terms, "term"), int(total["df"]) if total else 0
+    rows = docs.select(*doc_key(), "text").select(_slot("k1", "k2", bits=bits), "text").unionByName(once)
+    counted = materialize(rows.mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")), "pii-terms")
+    total = counted.where("term is null").first()
+    return counted.where("term is not null").join(terms, "term"), int(total["df"]) if total else 0
 
 
 def _joined(spans: Column) -> Column:
@@ -178,22 +217,24 @@ def sanitise(docs: DataFrame, rules: SanitiseRules = SanitiseRules()) -> DataFra
     empty result, long texts are read whole.
     """
     found = materialize(_scan(docs), "pii")
-    held = found.where(F.size("entities") > 0).select("k1", "k2", F.explode("entities").alias("entity")).distinct()
-    of = held.groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= rules.support)
-    held = materialize(held.join(of, "entity"), "pii-held")
+    each = found.where(F.size("entities") > 0).select("k1", "k2", F.explode("entities").alias("entity")).distinct()
+    # entities in the same documents (told by 128 bits) reveal and are revealed alike: they are one class
+    class_ = F.struct(F.count("*").alias("of_entity"), F.bit_xor(F.xxhash64("k1", "k2")).alias("x"), F.bit_xor(F.xxhash64("k2", F.lit(1), "k1")).alias("y")).alias("class")
+    of = each.groupBy("entity").agg(class_).where(F.col("class.of_entity") >= rules.support)
+    held = materialize(each.join(of, "entity").select("k1", "k2", "class.*").distinct(), "pii-held")
     worded = found.where(F.size("words") > 0).join(held.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
     terms = materialize(worded.select("k1", "k2", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).distinct(), "pii-words")
-    counts, total = _doc_counts(docs, terms.groupBy("term").count().where(F.col("count") >= rules.support).select("term"))
+    counts, total = _doc_counts(docs, found, terms.groupBy("term").count().where(F.col("count") >= rules.support).select("term"))
     n = float(max(total, 1))
     need = rules.disclosure * F.log(n / F.least(F.col("of_entity").cast("double"), F.lit(n / 2)))
     most = held.agg(F.max("of_entity").alias("x")).first()["x"] or 1
     rare = counts.where(F.log(F.lit(n) / F.col("df")) >= rules.disclosure * F.log(F.lit(n / min(float(most), n / 2))) - 1e-9)
     pairs = terms.join(rare, "term").join(held, ["k1", "k2"]).where(F.log(F.lit(n) / F.col("df")) >= need - 1e-9)
-    pairs = materialize(pairs.select("k1", "k2", "entity", "term", "df", "of_entity"), "pii-pairs")
-    told = pairs.groupBy("entity", "term", "df", "of_entity").agg(F.count("*").alias("both")).where(F.col("both") >= rules.support)
+    pairs = materialize(pairs.select("k1", "k2", "of_entity", "x", "y", "term", "df"), "pii-pairs")
+    told = pairs.groupBy("of_entity", "x", "y", "term", "df").agg(F.count("*").alias("both")).where(F.col("both") >= rules.support)
     pmi = F.log(F.col("both") * n / (F.greatest("df", "both") * F.col("of_entity")))
-    told = told.where(pmi >= need).select("entity", "term")
-    marks = pairs.join(told, ["entity", "term"]).groupBy("k1", "k2").agg(F.collect_set("term").alias("marks"))
+    told = told.where(pmi >= need).select("of_entity", "x", "y", "term")
+    marks = pairs.join(told, ["of_entity", "x", "y", "term"]).groupBy("k1", "k2").agg(F.collect_set("term").alias("marks"))
     marked = found.where(F.size("words") > 0).select("k1", "k2", "words").join(marks, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     span = lambda w: F.struct(F.lit("term").alias("kind"), w["start"].alias("start"), w["end"].alias("end"))
     extra = materialize(marked.select("k1", "k2", F.transform(F.filter("words", lambda w: F.array_contains("marks", w["term"])), span).alias("extra")), "pii-extra")
@@ -212,13 +253,14 @@ def pii_digest(docs: DataFrame, rules: SanitiseRules = SanitiseRules()) -> DataF
 
 def redact(docs: DataFrame, rules: SanitiseRules = SanitiseRules(), generalise: bool = True) -> DataFrame:
     """``docs`` with the spans of ``text`` replaced by their kind in brackets, or taken out; overlapping spans are one."""
-    spans = sanitise(docs, rules).select(F.col("k1").alias("__1"), F.col("k2").alias("__2"), F.col("spans").alias("__spans")).dropDuplicates(["__1", "__2"])
+    one, two, marks = own_names(docs, "__1", "__2", "__spans")
+    spans = sanitise(docs, rules).select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("spans").alias(marks)).dropDuplicates([one, two])
     k1, k2 = doc_key()
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], k1.alias("__1"), k2.alias("__2")).join(spans, ["__1", "__2"], "left")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], k1.alias(one), k2.alias(two)).join(spans, [one, two], "left")
     empty = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
     step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(acc["text"].alias("text"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(F.struct(F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")) if generalise else F.lit("")).alias("text"), s["end"].alias("at")))
-    clean = F.aggregate("__spans", empty, step, lambda acc: F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return rows.select(*[(F.when(F.size("__spans") > 0, clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
+    clean = F.aggregate(marks, empty, step, lambda acc: F.concat(acc["text"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    return rows.select(*[(F.when(F.size(marks) > 0, clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
 
 
 __all__ = ["KINDS", "SanitiseRules", "find_spans", "pii_digest", "redact", "sanitise"]

@@ -98,8 +98,14 @@ class ShardStore:
         data = self.spark.read.parquet(folder)
         return data.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("n_rows")).select("path", "bytes", "n_rows", F.lit(generation).alias("generation"))
 
+    def _keep_schema(self, rows: DataFrame) -> None:
+        """An empty table that tells the columns of a store without shards."""
+        if not self._fs.exists(self._at(f"{self.path}/schema/_SUCCESS")):
+            rows.limit(0).write.mode("overwrite").parquet(f"{self.path}/schema")
+
     def append(self, rows: DataFrame) -> int:
         """Write one arrival as small shards and commit it; an empty arrival changes nothing but the version."""
+        self._keep_schema(rows)
         base = self.version()
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(folder)
@@ -107,6 +113,7 @@ class ShardStore:
 
     def append_parts(self, rows: DataFrame, part: Column) -> int:
         """Write all values of ``part`` as arrivals in one job without a shuffle; each is committed by itself, and due tiers are compacted in between."""
+        self._keep_schema(rows)
         folder, name = f"{self.path}/data/{uuid.uuid4().hex}", f"part_{uuid.uuid4().hex}"
         rows.withColumn(name, part).write.option("compression", "zstd").partitionBy(name).parquet(folder)
         found = [s.getPath() for s in self._fs.listStatus(self._at(folder)) if s.isDirectory()]
@@ -169,15 +176,16 @@ class ShardStore:
         return gone
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version; one without shards can't be read."""
+        """The rows of a version; one without shards has none, under the columns of the first arrival."""
         paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
-        return self.spark.read.parquet(*paths)
+        return self.spark.read.parquet(*paths or [f"{self.path}/schema"])
 
     def placed(self, key: str, version: int | None = None) -> DataFrame:
         """``key, shard, generation, shard_bytes, shard_rows`` for every row of a version."""
-        shards = self.manifest(version).select(F.col("path").alias("__path"), F.element_at(F.split("path", "/"), -1).alias("shard"), "generation", F.col("bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"))
-        rows = self.read(version).select(key, F.col("_metadata.file_path").alias("__path"))
-        return rows.join(shards, "__path").drop("__path")
+        path = "__path" if key != "__path" else "__at"
+        shards = self.manifest(version).select(F.col("path").alias(path), F.element_at(F.split("path", "/"), -1).alias("shard"), "generation", F.col("bytes").alias("shard_bytes"), F.col("n_rows").alias("shard_rows"))
+        rows = self.read(version).select(key, F.col("_metadata.file_path").alias(path))
+        return rows.join(shards, path).drop(path)
 
 
 def shard_arrivals(spark: SparkSession, arrivals: Iterable[DataFrame], path: str, tiers: Tiers = Tiers()) -> ShardStore:
@@ -185,7 +193,7 @@ def shard_arrivals(spark: SparkSession, arrivals: Iterable[DataFrame], path: str
 
     All columns are stored as they are, nulls and repeated rows too; extra columns need only be
     the same in all arrivals. A text is never split, so a shard may exceed the target by its last
-    row group. Shards of equal size are in one tier. Empty arrivals make a store without shards.
+    row group. Shards of equal size are in one tier. Empty arrivals make a store without shards, which reads as no rows.
     """
     store = ShardStore(spark, path, tiers)
     for rows in arrivals:
@@ -197,7 +205,7 @@ def shard_arrivals(spark: SparkSession, arrivals: Iterable[DataFrame], path: str
 def shard_table(rows: DataFrame, path: str, key: str = "doc_id", arrivals: int = 12, tiers: Tiers = Tiers()) -> ShardStore:
     """A table as ``arrivals`` arrivals by a hash of ``key`` (null: the first), compacted as they come; only the data of the last two versions stay.
 
-    Rows are kept as in ``shard_arrivals``; an empty table makes a store of version 0.
+    Rows are kept as in ``shard_arrivals``; an empty table makes a store of version 0, which reads as no rows.
     """
     store = ShardStore(rows.sparkSession, path, tiers)
     store.append_parts(rows, F.when(F.col(key).isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.lit(arrivals))).cast("int"))

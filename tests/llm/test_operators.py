@@ -323,7 +323,28 @@ def test_sharding_table(spark, docs, empty, tmp_path):
     assert sum(r.n_rows for r in found) == docs.count() == store.placed("doc_id").count()
     kept = store.manifest().select("path").collect()
     assert all(open(r.path.removeprefix("file:").replace("///", "/"), "rb").read(4) == b"PAR1" for r in kept)
-    assert shards.shard_table(empty, f"file://{tmp_path}/n").version() == 0
+    none = shards.shard_table(empty, f"file://{tmp_path}/n")
+    assert none.version() == 0 and none.read().columns == empty.columns and not none.read().collect()
+    assert none.placed("doc_id").columns == ["doc_id", "shard", "generation", "shard_bytes", "shard_rows"] and not none.placed("doc_id").collect()
+
+
+def test_sharding_equal_sizes(spark, tmp_path):
+    """Shards of one size share a tier, and tiers are as a plain simulation over the manifest's sizes expects."""
+    tiers = shards.Tiers(target=1 << 20, small=1 << 10, fanout=4, growth=4)
+    store = shards.ShardStore(spark, f"file://{tmp_path}/q", tiers)
+    for i in range(3):
+        store.append(spark.range(1000).selectExpr("id % 7 AS doc_id", "'same' AS text").coalesce(1))
+    sizes = [r.bytes for r in store.manifest().collect()]
+    assert len(set(sizes)) == 1 and store.due() == []
+    store.append(spark.range(1000).selectExpr("id % 7 AS doc_id", "'same' AS text").coalesce(1))
+    assert len(store.due()) == 1
+    store.settle()
+    assert [r.n_rows for r in store.manifest().collect()] == [4000]
+    for r in store.manifest().withColumn("tier", tiers.tier()).collect():
+        tier, size = 0, max(r.bytes / tiers.small, 1)
+        while size >= tiers.growth:
+            tier, size = tier + 1, size / tiers.growth
+        assert r.tier == tier
 
 
 def test_sharding_two_writers(spark, docs, tmp_path):
@@ -512,3 +533,74 @@ def test_pii_terms_of_the_whole_document(spark):
     assert sorted(r.text for r in out if r.doc_id < 10) == sorted(f"Name: [TERM] [TERM]\nMail: [EMAIL]\n{far} {far} [TERM] {i}" for i in (0, 0, 1, 2))
     assert sorted(r.text for r in out if r.doc_id >= 10) == sorted(t for _, t in plain)
     assert list(pii._terms("abc def ghi", [("email", 4, 7)])) == [("abc", 0, 3), ("ghi", 8, 11)]
+
+
+def brute_terms(rows, disclosure=0.7, support=2):
+    """Every term against every entity over the distinct documents."""
+    docs = {(i, t): (pii.find_spans(t or ""), t or "") for i, t in rows}
+    words = {k: {w.lower() for w in re.findall(r"\w+", t)} for k, (_, t) in docs.items()}
+    n = max(sum(bool(w) for w in words.values()), 1)
+    df = collections.Counter(w for ws in words.values() for w in ws)
+    entities = collections.defaultdict(set)
+    outside = {k: list(pii._terms(t, spans)) for k, (spans, t) in docs.items()}
+    for k, (spans, t) in docs.items():
+        for kind, a, b in spans:
+            entities[f"{kind}:{t[a:b].lower()}"].add(k)
+    marks = collections.defaultdict(set)
+    for held in entities.values():
+        if len(held) < support:
+            continue
+        need = disclosure * math.log(n / min(len(held), n / 2))
+        both = collections.Counter(w for k in held for w in {w for w, *_ in outside[k]})
+        for w, c in both.items():
+            if c >= support and math.log(c * n / (max(df[w], c) * len(held))) >= need and math.log(n / df[w]) >= need - 1e-9:
+                for k in held:
+                    marks[k].add(w)
+    order = [*pii.KINDS, "term"]
+    return {k: ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted([(a, order.index(kind), b, kind) for kind, a, b in spans] + [(a, 4, b, "term") for w, a, b in outside[k] if w in marks[k]])) for k, (spans, t) in docs.items()}
+
+
+def test_pii_terms_brute_force(spark, docs, rows):
+    """All spans over the whole table, with user names, initials, one-character names, and documents that rows repeat many times."""
+    told = [(9000 + i, f"jd42 and 王 and Q met Zorblatt at j@x.org, note {i}") for i in range(3)] * 5 + [(9100 + i, f"the note at {i}") for i in range(400)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(told, "doc_id long, text string"))
+    want = brute_terms([*rows, *told])
+    same(pii.pii_digest(df), [(i, want[i, t]) for i, t in [*rows, *told]], ["doc_id", "spans"])
+    assert all(want[9000, told[0][1]].count(f"term:{a}:") for a in (0, 9, 15, 21)) and "term" not in want[9100, told[15][1]]
+
+
+def test_pii_directories(spark):
+    """Two documents that share 20,000 addresses and as many names take seconds: the addresses are one class."""
+    import time
+
+    text = " ".join(f"name{i} user{i}@mail.org" for i in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, text + " end")] + [(10 + i, f"plain line {i}") for i in range(100)], "doc_id long, text string")
+    began = time.time()
+    out = {r.doc_id: r.spans for r in pii.pii_digest(df).collect()}
+    assert time.time() - began < 60 and out[1].count("term") == 20_000
+
+
+def test_clashing_columns(spark):
+    """Columns of the names that operators use inside stay as they are."""
+    odd = {c: F.lit(f"kept {c}") for c in ("__0", "__1", "__2", "__once", "__row", "__keep", "__doc", "__mark", "__lines", "__places", "__spans", "_1")}
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    docs = spark.createDataFrame([(1, line), (2, line), (3, "write to a@b.org")], "doc_id long, text string").withColumns(odd)
+    bench = spark.createDataFrame([(1, line)], "item_id long, text string")
+    for out, ids in ((ngram_join.keep_sets(docs, 80, 100, 5), [1, 3]), (ngram_join.keep_one(docs), [1, 3]), (lines.drop_later_lines(docs), [1, 3]), (decontamination.decontaminate(docs, bench), [3]), (decontamination.decontaminate(docs, bench, remove="spans"), [1, 2, 3]), (pii.redact(docs), [1, 2, 3])):
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert sorted(r.doc_id for r in found) == ids and all(r[c] == f"kept {c}" for r in found for c in odd)
+
+
+def test_ngram_join_without_ids(spark):
+    """Many texts without an id, or under one, take about as long as with ids and give the same groups."""
+    import time
+
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.concat(F.lit("w"), (F.floor(F.col("id") / 2) * 31 + k).cast("string"))))
+    rows = spark.range(4000).select("id", text.alias("text")).persist()
+    took, kept = [], []
+    for id_ in (F.col("id"), F.lit(None).cast("long"), F.lit(7).cast("long")):
+        began = time.time()
+        kept.append(sorted(r.text for r in ngram_join.keep_sets(rows.select(id_.alias("doc_id"), "text"), 90, 100, 3).collect()))
+        took.append(time.time() - began)
+    assert len(kept[0]) == 2000 and kept[0] == kept[1] == kept[2] and max(took[1:]) < 3 * took[0] + 10
