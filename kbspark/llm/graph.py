@@ -22,22 +22,25 @@ def with_root(rows: DataFrame, key: str, roots: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, comp`` for every node of ``links(a, b)``; ``comp`` is the least node that it reaches.
 
-    Each round hangs every node and its neighbours under the least label among them and then
-    halves the paths; no link, label or component leaves the executors. Rounds grow with the
+    Each round hangs every node under the least label of its neighbours, from the third on whole
+    trees with it, and then halves the paths; no link, label or component leaves the executors. Rounds grow with the
     logarithm of the longest path. An empty table of links has no nodes.
     """
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")), "labels")
+    turn = 0
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        own = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "comp", F.least("comp", "near").alias("next"))
-        hooks = own.where("next < comp").groupBy("comp").agg(F.min("next").alias("under"))
-        moved = with_root(own, "comp", hooks).select("node", F.least("next", F.coalesce("under", "next")).alias("to"))
-        roots = moved.select("to").distinct().join(moved.select(F.col("node").alias("to"), F.col("to").alias("far")), "to")
-        fresh = materialize(with_root(moved, "to", roots).select("node", F.least("to", F.coalesce("far", "to")).alias("comp")), "labels")
-        changed = fresh.join(labels.withColumnRenamed("comp", "was"), "node").where("comp <> was").limit(1).count()
+        own = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "comp", F.least("comp", "near").alias("to"))
+        if turn > 1:  # long paths: whole trees go under the least label that one of their nodes has seen
+            hooks = own.where("to < comp").groupBy("comp").agg(F.min("to").alias("under"))
+            own = with_root(own, "comp", hooks).select("node", "comp", F.least("to", F.coalesce("under", "to")).alias("to"))
+        roots = own.select("to").distinct().join(own.select(F.col("node").alias("to"), F.col("to").alias("far")), "to")
+        next_ = F.least("to", F.coalesce("far", "to"))
+        fresh = materialize(with_root(own, "to", roots).select("node", next_.alias("comp"), (next_ != F.col("comp")).alias("moved")), "labels")
+        done = not fresh.where("moved").limit(1).count()
         discard(labels)
-        labels = fresh
-        if not changed:
+        labels, turn = fresh.drop("moved"), turn + 1
+        if done:
             discard(both)
             return labels

@@ -172,22 +172,23 @@ def _may_link(num: int, den: int) -> Column:
 
 
 def _linked(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets link, by exact intersection of their sorted arrays."""
+    """The rows of ``pairs(a, b, ..)``, all columns long, whose sets link, by exact intersection of their sorted arrays."""
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            for x, y in zip(batch.column(len(names)), batch.column(len(names) + 1)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 good.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(range(len(names))).filter(pa.array(good, pa.bool_()))
 
     small = contents.select("fp", "grams")
-    full = pairs.join(small.toDF("a", "ga"), "a").join(small.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
+    full = pairs.join(small.toDF("a", "ga"), "a").join(small.toDF("b", "gb"), "b").select(*names, "ga", "gb")
     small_batches(full.sparkSession)
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _meeting_places(table: DataFrame, turns: int = 4) -> DataFrame:
@@ -211,9 +212,8 @@ def _meeting_places(table: DataFrame, turns: int = 4) -> DataFrame:
     return out
 
 
-def _apart(met: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """``key, fp, comp, hub, hub_comp``: meetings of nodes from two components or more, each with the hub of its place: the first there in an order of the turn, so that near copies have the same hub in most places."""
-    own = met.withColumn("comp", F.col("fp")) if labels is None else met.join(labels, met["fp"] == labels["node"], "left").select("key", "fp", F.coalesce("comp", "fp").alias("comp"))
+def _apart(own: DataFrame, turn: int) -> DataFrame:
+    """``key, fp, comp, hub, hub_comp`` from ``own(key, fp, comp)``: the places with two components or more, each with its hub: the first there in an order of the turn, so that near copies have the same hub in most places."""
     hub = F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "comp"))
     places = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), hub.alias("hub")).where("low <> high")
     return materialize(own.join(places.select("key", F.col("hub.fp").alias("hub"), F.col("hub.comp").alias("hub_comp")), "key"), "apart")
@@ -242,20 +242,23 @@ def _groups(docs: DataFrame, num: int, den: int, k: int) -> tuple[DataFrame, Dat
     marks = contents.drop("grams")
 
     def check(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        """``a, b, ca, cb`` of the pairs ``x, y, cx, cy`` that link, with their components."""
+        first = F.col("x") < F.col("y")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("cx")).otherwise(F.col("cy")).alias("ca"), F.when(first, F.col("cy")).otherwise(F.col("cx")).alias("cb")).distinct()
         x, y = marks.alias("x"), marks.alias("y")
-        some = pairs.join(x, F.col("a") == F.col("x.fp")).join(y, (F.col("b") == F.col("y.fp")) & _may_link(num, den)).select("a", "b")
+        some = pairs.join(x, F.col("a") == F.col("x.fp")).join(y, (F.col("b") == F.col("y.fp")) & _may_link(num, den)).select("a", "b", "ca", "cb")
         return materialize(_linked(some, contents, num, den), "linked")
 
-    links, labels, turn = None, None, 0
+    links, own, turn = None, met.withColumn("comp", F.col("fp")), 0
     while True:
-        apart = _apart(met, labels, turn)
-        found = check(apart.where("comp <> hub_comp").select(F.col("fp").alias("a"), F.col("hub").alias("b")))
-        links = found if links is None else links.unionByName(found)
+        apart = _apart(own, turn)
+        found = check(apart.where("comp <> hub_comp").select(F.col("fp").alias("x"), F.col("hub").alias("y"), F.col("comp").alias("cx"), F.col("hub_comp").alias("cy")))
+        links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
         if found.count() * 1000 < apart.count() or not apart.limit(1).count():
             break
-        discard(apart)
-        labels, turn = components(links), turn + 1
+        # only places that still hold two components go on, and only components that were linked change
+        moved = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        own, turn = with_root(apart.select("key", "fp", "comp"), "comp", moved).select("key", "fp", F.coalesce("to", "comp").alias("comp")), turn + 1
     pairs = materialize(_rest(apart, marks, num, den), "pairs")
     found = materialize(_linked(pairs, contents, num, den), "linked")
     labels = components(links.unionByName(found))
