@@ -6,7 +6,7 @@ columns may follow) with a ``rank`` by one fixed order: score descending, then c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -192,8 +192,9 @@ def trigram_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> Dat
     """Chunks that hold a term of the query, by trigram similarity; for CJK queries the coverage counts if it is higher."""
     terms = query_terms(queries).select("query_id", "term").unionByName(queries.select("query_id", F.col("text").alias("term")))
     held = contains_any(terms, chunks)
-    scored = held.join(trigram_similarity(queries, trigram_table(chunks)), ["query_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    full = scored.join(queries.select("query_id", "text"), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
+    both = held.join(queries.select("query_id", "text", trigrams("text").alias("qg")), "query_id").join(chunks.select("chunk_id", "content", trigrams("content").alias("g")), "chunk_id")
+    common = F.size(F.array_intersect("g", "qg"))
+    full = both.withColumn("score", F.coalesce(common / F.nullif(F.size("g") + F.size("qg") - common, F.lit(0)), F.lit(0.0)))
     score = F.when(F.col("text").rlike("[一-鿿]"), F.greatest("score", lexical_coverage("text", "content"))).otherwise(F.col("score"))
     return top(full.select("query_id", "chunk_id", score.alias("score")), k)
 
@@ -331,13 +332,16 @@ def query_variants(queries: DataFrame, most: int = 3) -> DataFrame:
     return named.unionByName(queries.where("hyde IS NOT NULL AND trim(hyde) <> ''").select("query_id", F.lit("hyde").alias("channel"), F.trim("hyde").alias("text")))
 
 
-def search_channels(variants: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = CANDIDATES, embedder: Embedder | None = None) -> DataFrame:
-    """``query_id, channel, chunk_id, score``: every variant by vector and by text, the hypothetical passage by vector only; one plan for all."""
+def search_channels(variants: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = CANDIDATES, embedder: Embedder | None = None, text_search: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """``query_id, channel, chunk_id, score``: every variant by vector and by text, the hypothetical passage by vector only; one plan for all.
+
+    ``text_search(queries, k)`` is the text channel, by default trigrams of the chunks that hold a term.
+    """
     v = variants.withColumn("vid", F.concat_ws("|", "query_id", "channel"))
     names = v.select(F.col("vid").alias("query_id"), F.col("query_id").alias("q"), "channel")
     by_vector = knn(embed(v.select(F.col("vid").alias("query_id"), "text"), "text", embedder), vectors, k).drop("rank").withColumn("kind", F.lit("vector"))
     words = v.where("channel <> 'hyde'").select(F.col("vid").alias("query_id"), "text")
-    by_text = trigram_search(words, chunks, k).drop("rank").withColumn("kind", F.lit("text"))
+    by_text = (text_search(words, k) if text_search else trigram_search(words, chunks, k)).drop("rank").withColumn("kind", F.lit("text"))
     out = by_vector.unionByName(by_text).join(names, "query_id")
     return out.select(F.col("q").alias("query_id"), F.concat_ws("_", "channel", "kind").alias("channel"), "chunk_id", "score")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kbspark.operators import evaluation as E
 from kbspark.operators import retrieval as R
 from kbspark.plans.registry import query
-from kbspark.plans.retrieval import TRI, _channels, asked
+from kbspark.plans.retrieval import TRI, _channels, asked, index_of
 
 #: Documents that hold a whole passage, and the ranked documents of each question.
 _TRUTH = "tr AS (SELECT q.question_id AS query_id, d.doc_id FROM questions AS q JOIN docs AS d ON contains(d.raw_text, q.passage))"
@@ -21,7 +21,7 @@ def truth(t):
 
 
 def hits(t, k=10):
-    found = R.trigram_top(asked(t), t.chunks, k)
+    found = index_of(t).trigram(asked(t), k)
     return found.join(t.chunks.select("chunk_id", "doc_id"), "chunk_id")
 
 

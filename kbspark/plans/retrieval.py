@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.operators import retrieval as R
+from kbspark.operators import text_index as X
 from kbspark.plans.registry import query
+from kbspark.sources.shared import new_path
 
 LEX = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 #: Trigram hits of all questions in SQL: q(query_id, text) against chunks, and by document.
@@ -24,6 +26,20 @@ def asked(t):
     return t.questions.select(F.col("question_id").alias("query_id"), F.col("question").alias("text"))
 
 
+_INDEXES: dict[tuple, X.TextIndex] = {}
+
+
+def index_of(t) -> X.TextIndex:
+    """The stored index of a folder's chunks: built by the first query of a session that asks for it, anew if the documents have changed."""
+    hadoop = t.spark.sparkContext
+    files = [hadoop._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(t.documents.inputFiles())]
+    states = [f.getFileSystem(hadoop._jsc.hadoopConfiguration()).getFileStatus(f) for f in files]
+    key = (hadoop.applicationId, *[(str(s.getPath()), s.getLen(), s.getModificationTime()) for s in states])
+    if key not in _INDEXES:
+        _INDEXES[key] = X.TextIndex(t.spark, new_path(t.spark, "text-index"), 16).build(t.chunks)
+    return _INDEXES[key]
+
+
 def six(df):
     return df.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
@@ -59,12 +75,12 @@ def _two_words(t):
 
 @query(f"WITH {_FT} {TOP5.format('ft', 5)}")
 def ret03_fulltext(t):
-    return six(R.fulltext_search(_two_words(t), R.build_postings(t.chunks)))
+    return six(index_of(t).fulltext(_two_words(t)))
 
 
 @query()
 def ret03_fulltext_covers(t):
-    return six(R.fulltext_search(_two_words(t), R.build_postings(t.chunks), rank_by="covers"))
+    return six(index_of(t).fulltext(_two_words(t), rank_by="covers"))
 
 
 @query("SELECT event_id, round(CASE WHEN value > 5 THEN least(greatest(1 - exp(-4 * (value - 5)), 0), 1) ELSE 0 END, 6)::DOUBLE AS score FROM events")
@@ -72,9 +88,17 @@ def ret04_squash(t):
     return t.events.select("event_id", F.round(T.squash(F.col("value") - 5), 6).alias("score"))
 
 
-@query(f"WITH {TRI}, h AS (SELECT tri.* FROM tri) {TOP5.format('h', 5)}")
+#: Trigram scores of the chunks that hold a term of the question, or all of it, in any case.
+HELD = f"""aw AS (SELECT query_id, unnest(list_filter(string_split_regex(text, '[\\s，。；、,.!?？！；：:()（）\\[\\]【】]+'), lambda x: length(x) >= 2)) AS term FROM q),
+tw AS (SELECT query_id, lower(term) AS term FROM aw UNION SELECT query_id, lower(unnest(regexp_extract_all(term, '{_PLAIN}'))) AS term FROM aw UNION SELECT query_id, lower(text) AS term FROM q),
+held AS (SELECT DISTINCT tw.query_id, c.chunk_id FROM tw JOIN chunks AS c ON tw.term <> '' AND contains(lower(c.content), tw.term)),
+ht AS (SELECT held.query_id, held.chunk_id, coalesce(tri.score, 0) AS score FROM held LEFT JOIN tri ON tri.query_id = held.query_id AND tri.chunk_id = held.chunk_id)"""
+
+
+@query(f"WITH {TRI}, {HELD} {TOP5.format('ht', 5)}")
 def ret05_trigram_similarity(t):
-    return six(R.trigram_top(asked(t), t.chunks, 5))
+    """Chunks that hold a term of the question, by trigram similarity."""
+    return six(index_of(t).trigram(asked(t), 5, holding=True))
 
 
 @query("SELECT q.question_id AS query_id, c.chunk_id FROM questions AS q JOIN chunks AS c ON contains(lower(c.content), lower(split_part(q.question, ' ', 2)))")
@@ -136,7 +160,8 @@ def _channels(t, k=20):
     """Vector and trigram hits of every question, by the chunk's embedding and text."""
     q = t.questions.selectExpr("question_id AS query_id", "question AS text", "array(substring(passage, 61, 60)) AS expansions", "passage AS hyde")
     vectors = R.embed(t.chunks.where("is_enabled").select("chunk_id", "content"), "content").drop("content")
-    return R.search_channels(R.query_variants(q, 2), t.chunks.where("is_enabled"), vectors, k)
+    index = index_of(t)
+    return R.search_channels(R.query_variants(q, 2), t.chunks.where("is_enabled"), vectors, k, text_search=lambda queries, k: X.text_channel(index, queries, k, enabled=True))
 
 
 @query()
@@ -144,9 +169,25 @@ def ret13_search_channels(t):
     return _channels(t).select("query_id", "channel", "chunk_id", F.round("score", 5).alias("score"))
 
 
-@query()
+_STAGES = "a AS ({0}), b AS ({1}), tc AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE query_id NOT IN (SELECT query_id FROM a GROUP BY query_id HAVING count(*) >= 5)) AS x GROUP BY query_id, chunk_id)"
+_FIRST = "SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM {0}) AS r WHERE n <= 5"
+
+
+@query(f"WITH {TRI.replace('question AS text', f'{_WORDS2} AS text')}, {HELD}, {_FT.replace('q AS', 'q2 AS').replace('FROM q)', 'FROM q2)')}, {_STAGES.format(_FIRST.format('ft'), _FIRST.format('ht'))} {TOP5.format('tc', 5)}")
 def ret14_text_search(t):
-    return six(R.text_search(_two_words(t), R.build_postings(t.chunks), t.chunks))
+    return six(X.text_channel(index_of(t), _two_words(t)))
+
+
+#: Word matches of whole questions.
+_FTQ = _FT.replace(LEX.format(_WORDS2), LEX.format("question")).replace("q AS", "q2 AS").replace("FROM q)", "FROM q2)")
+
+
+@query(f"""WITH {TRI.replace('FROM chunks)', 'FROM chunks WHERE is_enabled)')}, {HELD.replace("ON tw.term <> ''", "ON c.is_enabled AND tw.term <> ''")}, {_FTQ.replace('FROM chunks)', 'FROM chunks WHERE is_enabled)')}, {_STAGES.format(_FIRST.format('ft'), _FIRST.format('ht'))},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM tc)
+SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5 AND (score >= 0.3 OR best < 0.3)""")
+def ret18_retrieve(t):
+    """The text-only form of the whole search."""
+    return six(X.retrieve(asked(t), index_of(t))[0])
 
 
 #: Two channels that both engines build alike: trigram hits, and word matches of two words.
@@ -154,8 +195,8 @@ _TWO = f"WITH {TRI}, {_FT.replace('q AS', 'q2 AS').replace('FROM q)', 'FROM q2)'
 
 
 def two_channels(t, k=20):
-    tri = six(R.trigram_top(asked(t), t.chunks, k)).withColumn("channel", F.lit("tri"))
-    return tri.unionByName(six(R.fulltext_search(_two_words(t), R.build_postings(t.chunks), k)).withColumn("channel", F.lit("words"))).drop("rank")
+    tri = six(index_of(t).trigram(asked(t), k)).withColumn("channel", F.lit("tri"))
+    return tri.unionByName(six(index_of(t).fulltext(_two_words(t), k)).withColumn("channel", F.lit("words"))).drop("rank")
 
 
 _RRF = f"""{_TWO}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, chunk_id) AS r FROM ch),
@@ -178,11 +219,11 @@ def ret16_rrf_channels(t):
 @query(f"WITH {TRI}, h AS (SELECT tri.* FROM tri) {TOP5.format('h', 5)}")
 def ret17_single_channel(t):
     """One channel keeps its own scores."""
-    return six(R.rrf(R.trigram_top(asked(t), t.chunks, R.widened()).drop("rank").withColumn("channel", F.lit("tri"))))
+    return six(R.rrf(index_of(t).trigram(asked(t), R.widened()).drop("rank").withColumn("channel", F.lit("tri"))))
 
 
 def _reranked(t):
-    hits = R.trigram_top(asked(t), t.chunks, R.widened())
+    hits = index_of(t).trigram(asked(t), R.widened())
     scores = hits.where("query_id % 3 <> 0").selectExpr("query_id", "CAST((rank * 7) % 20 AS INT) AS index", "CAST(chunk_id % 1000 AS DOUBLE) / 700 AS relevance", "rank AS ord")
     return hits, scores
 
@@ -199,14 +240,14 @@ def ret19_rerank(t):
 @query(f"""WITH {TRI}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM tri), h20 AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best, sum(CASE WHEN score < 0.35 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id)::BIGINT AS filtered_out FROM h WHERE rank <= 20)
 SELECT query_id, chunk_id, rank, round(score, 6) AS score, filtered_out FROM h20 WHERE score >= 0.35 OR (best < 0.35 AND rank <= 5)""")
 def ret20_threshold(t):
-    hits = R.trigram_top(asked(t), t.chunks, 20)
+    hits = index_of(t).trigram(asked(t), 20)
     return R.threshold(hits, 0.35).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "filtered_out")
 
 
 @query(f"WITH {TRI}, {_FT.replace('q AS', 'q2 AS').replace('FROM q)', 'FROM q2)')}, a AS ({TOP5.format('ft', 5)}), b AS ({TOP5.format('tri', 5)}) SELECT * FROM a UNION ALL SELECT * FROM b WHERE query_id NOT IN (SELECT query_id FROM a)")
 def ret21_retry_empty(t):
-    hits = six(R.fulltext_search(_two_words(t), R.build_postings(t.chunks)))
-    return R.retry_empty(asked(t), hits, lambda q: six(R.trigram_top(q, t.chunks, 5)))
+    hits = six(index_of(t).fulltext(_two_words(t)))
+    return R.retry_empty(asked(t), hits, lambda q: six(index_of(t).trigram(q, 5)))
 
 
 @query(f"{_TWO}, hk AS (SELECT ch.*, c.kb_id FROM ch JOIN chunks AS c ON c.chunk_id = ch.chunk_id) SELECT q.query_id, count(hk.chunk_id) AS n_hits, coalesce(string_agg(DISTINCT hk.kb_id, ',' ORDER BY hk.kb_id), '') AS kbs, round(max(hk.score), 6) AS best, count(*) FILTER (WHERE hk.channel = 'tri') AS n_text FROM q LEFT JOIN hk ON hk.query_id = q.query_id GROUP BY q.query_id")
@@ -217,14 +258,14 @@ def ret22_retrieval_meta(t):
 
 @query(f"WITH {TRI}, a AS ({TOP5.format('tri', 5)}) SELECT query_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) AS ids, count(*) AS n FROM a GROUP BY query_id")
 def ret23_citations(t):
-    hits = R.trigram_top(asked(t), t.chunks, 5)
+    hits = index_of(t).trigram(asked(t), 5)
     c = R.citations(hits)
     return c.select("query_id", F.array_join(F.transform("citations", lambda x: x["chunk_id"].cast("string")), ",").alias("ids"), F.size("citations").cast("long").alias("n"))
 
 
 @query(f"WITH {TRI}, a AS ({TOP5.format('tri', 3)}) SELECT query_id, round(avg(score), 5) AS confidence, CASE WHEN avg(score) >= 0.75 THEN 'high' WHEN avg(score) >= 0.4 THEN 'medium' ELSE 'low' END AS level FROM a GROUP BY query_id")
 def ret24_answer_confidence(t):
-    hits = R.trigram_top(asked(t), t.chunks, 5)
+    hits = index_of(t).trigram(asked(t), 5)
     return R.answer_confidence(R.citations(hits), T.confidence_level).select("query_id", F.round("confidence", 5).alias("confidence"), "level")
 
 
@@ -232,11 +273,11 @@ def ret24_answer_confidence(t):
 def ret25_route(t):
     q = _two_words(t)
     targets = q.where("query_id % 4 <> 0").select("query_id", F.lit("src1").alias("kb_id"))
-    return R.route(q, targets, R.fulltext_search(q, R.build_postings(t.chunks)))
+    return R.route(q, targets, index_of(t).fulltext(q))
 
 
 def _evidence(t):
-    hits = R.trigram_top(asked(t), t.chunks, 3)
+    hits = index_of(t).trigram(asked(t), 3)
     return R.evidence(hits.join(t.chunks.select("chunk_id", "doc_id", "chunk_index", "content"), "chunk_id").join(t.docs.select("doc_id", "filename"), "doc_id"))
 
 
