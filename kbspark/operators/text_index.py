@@ -2,7 +2,7 @@
 
 ``postings`` holds each word of each chunk, dealt into buckets by the word and sorted inside them,
 so a search reads the buckets of its own words only. ``grams`` holds each chunk's trigrams as
-64-bit hashes, in the order of their number, so a block of neighbouring rows has about one size.
+64-bit hashes, each file in the order of their number, so a block of neighbouring rows has about one size.
 
 Trigram search reads ``grams`` once for each block of queries. For a block of rows the trigrams
 that occur in it at all, and its least size, bound the similarity of every query; queries that
@@ -15,22 +15,59 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.operators import retrieval as R
+from kbspark.sources.shared import new_path
 
 #: Rows of a block, and queries whose trigrams go to the tasks at a time.
 ROWS, QUERIES = 256, 256
+GRAMS = "chunk_id long, kb_id string, is_enabled boolean, content string, grams array<bigint>, n int"
 
 
 def _hashed(text: str) -> Column:
     return F.transform(R.trigrams(text), lambda g: F.xxhash64(g))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over all tasks of a shuffle: its rows need more time than their bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written in the shared folder and read back, for results that are used more than once."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``words`` replaced by the hashes of their trigrams (those of ``_hashed``) and their number; each word is hashed once a task."""
+    known: dict[str, np.ndarray] = {}
+    for batch in batches:
+        lists, n = [], []
+        for words in batch.column("words").to_pylist():
+            own = []
+            for w in words or ():
+                if w not in known:
+                    if len(known) > 200_000:
+                        known.clear()
+                    padded = f"  {w} "
+                    known[w] = np.array([xxhash.xxh64_intdigest(padded[i : i + 3].encode(), 42) for i in range(len(padded) - 2)], np.uint64).view(np.int64)  # Spark's seed
+                own.append(known[w])
+            lists.append(np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64))
+            n.append(len(lists[-1]))
+        cut = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        grams = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64), pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chunk_id", "kb_id", "is_enabled", "content")), grams, pa.array(n, pa.int32())], ["chunk_id", "kb_id", "is_enabled", "content", "grams", "n"])
+
+
 class TextIndex:
     """The index of a folder that the driver and all executors can reach."""
 
@@ -39,10 +76,12 @@ class TextIndex:
 
     def build(self, chunks: DataFrame) -> TextIndex:
         """Write the index of ``chunks(chunk_id, kb_id, content, is_enabled)``; null contents have no words."""
+        chunks = spread(chunks, "chunk_id")
         postings = R.build_postings(chunks).withColumn("bucket", self._bucket("term"))
         postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/postings")
-        grams = chunks.select("chunk_id", "kb_id", "is_enabled", F.lower("content").alias("content"), F.coalesce(_hashed("content"), F.array().cast("array<bigint>")).alias("grams")).withColumn("n", F.size("grams"))
-        grams.repartitionByRange("n", "chunk_id").sortWithinPartitions("n").write.parquet(f"{self.path}/grams")
+        words = F.array_distinct(R.lexemes("content")).alias("words")
+        grams = chunks.select("chunk_id", "kb_id", "is_enabled", F.lower("content").alias("content"), words).mapInArrow(_gram_rows, GRAMS)
+        grams.sortWithinPartitions("n").write.parquet(f"{self.path}/grams")
         return self
 
     def _bucket(self, term: str) -> Column:
@@ -62,7 +101,7 @@ class TextIndex:
         return R.fulltext_search(queries, found, k, rank_by)
 
     def grams(self) -> DataFrame:
-        return self.spark.read.schema("chunk_id long, kb_id string, is_enabled boolean, content string, grams array<bigint>, n int").parquet(f"{self.path}/grams")
+        return self.spark.read.schema(GRAMS).parquet(f"{self.path}/grams")
 
     def trigram(self, queries: DataFrame, k: int = R.TOP_K, holding: bool = False, enabled: bool = False) -> DataFrame:
         """``query_id, chunk_id, score, rank``: the ``k`` most similar chunks of ``queries(query_id, text)``.
@@ -114,6 +153,15 @@ class _Search:
 
     def __init__(self, vocabulary: np.ndarray, has: np.ndarray, terms: list[list[str]] | None, k: int):
         self.vocabulary, self.has, self.terms, self.k = vocabulary, has, terms, k
+        if terms is not None:
+            every = {t: i for i, t in enumerate(dict.fromkeys(t for own in terms for t in own))}
+            self.asks = np.zeros((len(every), len(terms)), bool)
+            self.words = ahocorasick.Automaton()
+            for t, i in every.items():
+                self.words.add_word(t, i)
+            for q, own in enumerate(terms):
+                self.asks[[every[t] for t in own], q] = True
+            self.words.make_automaton()
         self.m = has.sum(0).astype(np.int64)
         self.best: list[list[tuple[float, int]]] = [[] for _ in range(has.shape[1])]
         self.least = np.full(has.shape[1], -1.0)
@@ -140,32 +188,35 @@ class _Search:
         inside[row[hit], column] = 1
         common = inside @ part[:, live].astype(np.float32)
         score = common.astype(np.float64) / np.maximum(self.m[live][None, :] + n[:, None] - common, 1)
-        text = rows.column("content") if self.terms is not None else None
-        for j, q in enumerate(live.tolist()):
-            able = np.flatnonzero(score[:, j] >= max(self.least[q], 0) if self.terms is not None else (score[:, j] >= self.least[q]) & (score[:, j] > 0))
+        enter = (score >= self.least[live]) & (score > 0) if self.terms is None else score >= np.maximum(self.least[live], 0)
+        if self.terms is not None:
+            text = rows.column("content")
+            for i in np.flatnonzero(enter.any(1)).tolist():
+                enter[i] &= self._holding(text[i].as_py())[live]
+        for j in np.flatnonzero(enter.any(0)).tolist():
+            q, able = int(live[j]), np.flatnonzero(enter[:, j])
             for i in able[np.lexsort((chunks[able], -score[able, j]))].tolist():
                 entry, best = (float(score[i, j]), -int(chunks[i])), self.best[q]
                 if len(best) == self.k and entry <= best[-1]:
                     break
-                if self.terms is not None and not _holds(text[i].as_py(), self.terms[q]):
-                    continue
                 best.append(entry)
                 best.sort(reverse=True)
                 del best[self.k :]
                 if len(best) == self.k:
                     self.least[q] = best[-1][0]
 
-
-def _holds(content: str | None, terms: list[str]) -> bool:
-    return content is not None and any(t in content for t in terms)
+    def _holding(self, content: str | None) -> np.ndarray:
+        """Which queries have a term in a text: one pass for the terms of all."""
+        found = {i for _, i in self.words.iter(content)} if content and len(self.words) else ()
+        return self.asks[list(found)].any(0) if found else np.zeros(len(self.best), bool)
 
 
 def text_channel(index: TextIndex, queries: DataFrame, k: int = R.TOP_K, enabled: bool = False) -> DataFrame:
     """The two-stage text channel: word matches first; queries with fewer than ``k`` also get trigram hits among chunks that hold a term. The higher score of a chunk counts."""
-    words = index.fulltext(queries, k, enabled=enabled).drop("rank")
+    words = stored(index.fulltext(queries, k, enabled=enabled).drop("rank"), "word-hits")
     full = words.groupBy("query_id").count().where(F.col("count") >= k)
     more = index.trigram(queries.join(full, "query_id", "left_anti"), k, holding=True, enabled=enabled).drop("rank")
-    return R.top(words.unionByName(more).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k)
+    return stored(R.top(words.unionByName(more).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k), "text-hits")
 
 
 def rerank(hits: DataFrame, queries: DataFrame, contents: DataFrame, reranker, k: int) -> tuple[DataFrame, DataFrame]:
@@ -187,7 +238,7 @@ def rerank(hits: DataFrame, queries: DataFrame, contents: DataFrame, reranker, k
         except Exception as error:  # noqa: BLE001  an outside service may raise anything
             return pd.DataFrame({"query_id": rows["query_id"].iloc[:1], "index": -1, "ord": 0, "relevance": None, "error": f"{type(error).__name__}: {error}"})
 
-    scored = full.groupBy("query_id").applyInPandas(score, f"query_id {kind}, index int, ord int, relevance double, error string")
+    scored = stored(full.groupBy("query_id").applyInPandas(score, f"query_id {kind}, index int, ord int, relevance double, error string"), "relevances")  # asked once
     return R.apply_rerank(hits, scored.where("error IS NULL"), k), scored.where("error IS NOT NULL").select("query_id", F.lit("rerank").alias("channel"), "error")
 
 
@@ -242,7 +293,7 @@ def retrieve(queries: DataFrame, index: TextIndex, vectors: DataFrame | None = N
     failed = [spark.createDataFrame([], f"query_id {kind}, channel string, error string")]
     asked = queries.select("query_id", "text", F.array().cast("array<string>").alias("expansions"), F.lit(None).cast("string").alias("hyde"))
     if rewriter:
-        asked = rewrite(queries, rewriter)
+        asked = stored(rewrite(queries, rewriter), "rewritten")
         failed.append(asked.where("error IS NOT NULL").select("query_id", F.lit("rewrite").alias("channel"), "error"))
     variants = R.query_variants(asked).withColumn("vid", F.concat_ws("|", "query_id", "channel"))
     names = variants.select(F.col("vid").alias("query_id"), F.col("query_id").alias("q"), "channel")
@@ -251,14 +302,14 @@ def retrieve(queries: DataFrame, index: TextIndex, vectors: DataFrame | None = N
     if vectors is not None:
         from kbspark.functions.hooks import HashingEmbedder
 
-        ready = _embedded(variants.select("vid", "query_id", "channel", "text"), embedder or HashingEmbedder())
+        ready = stored(_embedded(variants.select("vid", "query_id", "channel", "text"), embedder or HashingEmbedder()), "embedded")
         failed.append(ready.where("error IS NOT NULL").select("query_id", F.concat_ws("_", "channel", F.lit("vector")).alias("channel"), "error"))
         near = R.knn(ready.where("error IS NULL").select(F.col("vid").alias("query_id"), "embedding"), vectors, wide).drop("rank")
         hits = hits.unionByName(near.withColumn("kind", F.lit("vector")))
     named = hits.join(names, "query_id").select(F.col("q").alias("query_id"), F.concat_ws("_", "channel", "kind").alias("channel"), "chunk_id", "score")
-    fused = R.rrf(named, top_k=wide).select("query_id", "chunk_id", "score", "rank")
+    fused = R.rrf(stored(named, "channel-hits"), top_k=wide).select("query_id", "chunk_id", "score", "rank")
     if reranker:
-        fused, errors = rerank(fused, queries, index.grams(), reranker, wide)
+        fused, errors = rerank(stored(fused, "fused-hits"), queries, index.grams(), reranker, wide)
         failed.append(errors)
     kept = R.threshold(fused.select("query_id", "chunk_id", "score", "rank"), t, k)
     return R.top(kept.select("query_id", "chunk_id", "score"), k), reduce(DataFrame.unionByName, failed)

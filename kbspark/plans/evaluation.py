@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import evaluation as E
 from kbspark.operators import retrieval as R
+from kbspark.operators.text_index import stored
 from kbspark.plans.registry import query
 from kbspark.plans.retrieval import TRI, _channels, asked, index_of
 
@@ -55,7 +56,7 @@ def eval03_metrics_text(t):
 @query()
 def eval03_run_metrics(t):
     """Hit test of all benchmark passages: vector and text channels, fusion, threshold, hits against the documents that hold the passage."""
-    kept = R.threshold(R.rrf(_channels(t, R.CANDIDATES), top_k=R.TOP_K), 0.3)
+    kept = R.threshold(R.rrf(stored(_channels(t, R.CANDIDATES), "channel-hits"), top_k=R.TOP_K), 0.3)
     found = kept.join(t.chunks.select("chunk_id", "doc_id"), "chunk_id")
     return E.run_metrics(E.check_hits(asked(t), found, truth(t)).withColumn("run_id", F.lit(1)))
 

@@ -159,7 +159,7 @@ def ret12_knn_approx(t):
 def _channels(t, k=20):
     """Vector and trigram hits of every question, by the chunk's embedding and text."""
     q = t.questions.selectExpr("question_id AS query_id", "question AS text", "array(substring(passage, 61, 60)) AS expansions", "passage AS hyde")
-    vectors = R.embed(t.chunks.where("is_enabled").select("chunk_id", "content"), "content").drop("content")
+    vectors = R.embed(X.spread(t.chunks, "chunk_id").where("is_enabled").select("chunk_id", "content"), "content").drop("content")
     index = index_of(t)
     return R.search_channels(R.query_variants(q, 2), t.chunks.where("is_enabled"), vectors, k, text_search=lambda queries, k: X.text_channel(index, queries, k, enabled=True))
 
