@@ -11,8 +11,8 @@ bound from 1,024-bit signatures and from such of the tile's own width, then an e
 of sorted arrays.
 
 Only one pair per path is needed for components. Documents of one set are one node; nodes are
-held against one hub of each meeting place, in turn another one, until a turn links little.
-At last all pairs that meet and still lie in different components are checked, each pair once.
+held against one hub of each meeting place, in turn another one, until a turn links little or
+few pairs are left. At last all pairs that meet and still lie in different components are checked, each pair once.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ from kbspark.llm.graph import components, with_root
 SLACK = 2
 SEEDS = 4
 WORDS64 = 16
+#: Pairs that meet for each set of a place, at which all of them are checked.
+PAIRS = 8
+#: Keys of a shuffle partition that are told apart at once, and most turns for all.
+KEYS, TURNS = 1 << 17, 4
 #: Bits of a wide signature for each gram of its tile's largest sets.
 GRAM_BITS = 8
 
@@ -191,12 +195,14 @@ def _linked(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFr
     return full.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _meeting_places(table: DataFrame, turns: int = 4) -> DataFrame:
+def _meeting_places(table: DataFrame) -> DataFrame:
     """``key, fp``: the places where two sets or more meet; of places with the same sets one stays, so that those sets meet once.
 
-    Most keys have one set. They are told from the others in ``turns`` parts of the keys, so that
-    only one part at a time is in the shuffle.
+    Most keys have one set. They are told from the others in turns for parts of the keys, so that
+    only one part at a time is in the shuffle; few keys take one turn.
     """
+    count = table.agg(F.sum(F.size("keys").cast("long"))).first()[0] or 0
+    turns = max(1, min(TURNS, count // (KEYS * int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     parts = []
     for turn in range(turns):
         mine = F.filter("keys", lambda k: F.pmod(k, F.lit(turns)) == turn)  # noqa: B023
@@ -213,10 +219,10 @@ def _meeting_places(table: DataFrame, turns: int = 4) -> DataFrame:
 
 
 def _apart(own: DataFrame, turn: int) -> DataFrame:
-    """``key, fp, comp, hub, hub_comp`` from ``own(key, fp, comp)``: the places with two components or more, each with its hub: the first there in an order of the turn, so that near copies have the same hub in most places."""
+    """``key, fp, comp, sets, hub, hub_comp`` from ``own(key, fp, comp)``: the places with two components or more, each with its hub: the first there in an order of the turn, so that near copies have the same hub in most places."""
     hub = F.min(F.struct(F.xxhash64("fp", F.lit(turn)), "fp", "comp"))
-    places = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), hub.alias("hub")).where("low <> high")
-    return materialize(own.join(places.select("key", F.col("hub.fp").alias("hub"), F.col("hub.comp").alias("hub_comp")), "key"), "apart")
+    places = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("sets"), hub.alias("hub")).where("low <> high")
+    return materialize(own.join(places.select("key", "sets", F.col("hub.fp").alias("hub"), F.col("hub.comp").alias("hub_comp")), "key"), "apart")
 
 
 def _rest(apart: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
@@ -252,16 +258,19 @@ def _groups(docs: DataFrame, num: int, den: int, k: int) -> tuple[DataFrame, Dat
     links, own, turn = None, met.withColumn("comp", F.col("fp")), 0
     while True:
         apart = _apart(own, turn)
+        size, pairs = apart.agg(F.count("*"), F.sum((F.col("sets") - 1) / 2)).first()
+        if not size or pairs <= PAIRS * size:
+            break
         found = check(apart.where("comp <> hub_comp").select(F.col("fp").alias("x"), F.col("hub").alias("y"), F.col("comp").alias("cx"), F.col("hub_comp").alias("cy")))
         links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
-        if found.count() * 1000 < apart.count() or not apart.limit(1).count():
+        if found.count() * 1000 < size:
             break
         # only places that still hold two components go on, and only components that were linked change
         moved = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
         own, turn = with_root(apart.select("key", "fp", "comp"), "comp", moved).select("key", "fp", F.coalesce("to", "comp").alias("comp")), turn + 1
     pairs = materialize(_rest(apart, marks, num, den), "pairs")
     found = materialize(_linked(pairs, contents, num, den), "linked")
-    labels = components(links.unionByName(found))
+    labels = components(links.unionByName(found) if links is not None else found)
     discard(met), discard(apart), discard(contents)
     return table, by_set.join(labels, by_set["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("comp", "fp").alias("comp"))
 
