@@ -76,7 +76,7 @@ class TextIndex:
 
     def build(self, chunks: DataFrame) -> TextIndex:
         """Write the index of ``chunks(chunk_id, kb_id, content, is_enabled)``; null contents have no words."""
-        chunks = spread(chunks, "chunk_id")
+        chunks = stored(spread(chunks.select("chunk_id", "kb_id", "content", "is_enabled"), "chunk_id"), "chunks")
         postings = R.build_postings(chunks).withColumn("bucket", self._bucket("term"))
         postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/postings")
         words = F.array_distinct(R.lexemes("content")).alias("words")
