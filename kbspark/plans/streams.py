@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbspark.plans.registry import query
+from kbspark.sources.shared import new_path
 from kbspark.sources.standins import STANDINS
 from kbspark.streaming import jobs as J
+from kbspark.streaming import state as S
 
 
 def _events(t):
@@ -47,7 +49,7 @@ def str04_rate_breaches(t):
 
 @query(name="str04_sliding_limiter")
 def str04_sliding_limiter(t):
-    return J.drain(J.sliding_limiter(_requests(t), 2, 86400.0), "append")
+    return S.limiter_stream(_requests(t), 2, 86400.0)
 
 
 @query("WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, count(*) AS n FROM s GROUP BY user_id, k")
@@ -55,6 +57,11 @@ def str05_session_status(t):
     return J.drain(J.session_windows(_events(t)), "complete").select("user_id", "start", "n")
 
 
+@query("WITH e AS (SELECT user_id, epoch_us(ts) AS moment, lag(epoch_us(ts)) OVER w AS before, lead(epoch_us(ts)) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), c AS (SELECT user_id, moment, CASE WHEN before IS NULL THEN 'active' ELSE 'reactivated' END AS change FROM e WHERE before IS NULL OR moment - before > 1800000000 UNION ALL SELECT user_id, moment + 1800000000 AS moment, 'expired' AS change FROM e WHERE after IS NULL OR after - moment > 1800000000) SELECT * FROM c WHERE moment <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM events)")
+def str05_session_changes(t):
+    return S.drain_state(S.session_changes(_events(t)))
+
+
 @query("SELECT conv_id AS session_id, conv_id * 100 + turn AS message_id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) AS x WHERE n > 4")
 def str06_live_context(t):
     s = J.table_stream(t.spark, t.sf_dir, "conversations").selectExpr("conv_id AS session_id", "conv_id * 100 + turn AS message_id", "turn")
@@ -64,13 +71,15 @@ def str06_live_context(t):
 @query()
 def str07_ingest_stream(t):
     s = J.table_stream(t.spark, t.sf_dir, "documents").selectExpr("concat('d', doc_id, '.txt') AS filename", "CAST(length(text) AS BIGINT) AS length", "encode(text, 'UTF-8') AS content")
-    return J.ingest_stream(s).groupBy("filename").agg(F.count("*").alias("n_vectors"))
+    path = new_path(t.spark, "ingest")
+    S.ingest(s, path, f"{path}-state")
+    return S.ingested(t.spark, path).groupBy("filename").agg(F.count("*").alias("n_vectors"))
 
 
 @query("WITH l AS (SELECT kb_id, arg_max(status, (updated_at, task_id)) AS status FROM tasks GROUP BY kb_id) SELECT status, count(*) AS n FROM l WHERE status IN ('pending', 'queued', 'running') GROUP BY status")
 def str08_queue_depth(t):
     s = t.spark.sql(STANDINS["tasks"], events=_events(t))
-    return J.drain(J.latest_status(s), "complete", J.queue_depth)
+    return S.depth_now(S.drain_state(S.queue_depth_changes(s)))
 
 
 @query("SELECT epoch(w)::BIGINT AS start, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS w FROM events WHERE event_type = 'error' UNION ALL SELECT date_trunc('hour', ts) AS w FROM events WHERE value < 5) AS x GROUP BY w")

@@ -90,95 +90,31 @@ def rate_breaches(stream: DataFrame, width: str = "1 minute", factor: float = 1.
     return per.where("n > lim").select(F.unix_timestamp("w.start").alias("start"), "user_id", "n")
 
 
-def _admit(times: list[float], state: list[float], limit: int, seconds: float) -> list[bool]:
-    out = []
-    for t in times:
-        while state and t - state[0] > seconds:
-            state.pop(0)
-        ok = len(state) < limit
-        if ok:
-            state.append(t)
-        out.append(ok)
-    return out
-
-
-def sliding_limiter(requests: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """``user_id, event_id, admitted``: only admitted requests of the last ``seconds`` count. Streams keep their times as state."""
-    schema = "user_id long, event_id long, admitted boolean"
-
-    def rows(key, pdf: pd.DataFrame, state: list[float]) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        ok = _admit((pdf["ts"].astype("int64") / 1e9).tolist() if str(pdf["ts"].dtype).endswith("ns]") else (pdf["ts"].astype("int64") / 1e6).tolist(), state, limit, seconds)
-        return pd.DataFrame({"user_id": key[0], "event_id": pdf["event_id"], "admitted": ok})
-
-    some = requests.select("user_id", "event_id", "ts")
-    if not requests.isStreaming:
-        return some.groupBy("user_id").applyInPandas(lambda key, pdf: rows(key, pdf, []), schema)
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(pdfs))
-        out = rows(key, pdf, times)
-        state.update((times,))
-        yield out
-
-    return some.groupBy("user_id").applyInPandasWithState(step, schema, "times array<double>", "append", "NoTimeout")
-
-
 def session_windows(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Activity sessions per user: they end after ``gap`` without an event and the next one starts another."""
     return stream.withWatermark("ts", DELAY).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.unix_timestamp("w.start").alias("start"), F.unix_timestamp("w.end").alias("expires"), "n")
 
 
 def live_context(messages: DataFrame, most: int = 20) -> DataFrame:
-    """``session_id, message_id, kept``: each message once it leaves the window of the last ``most``; streams keep the window as state.
+    """``session_id, message_id``: each message that ``most`` newer ones (by turn, then id) have pushed out of its session's window.
 
-    At the end of a batch run (and of each micro-batch) the state holds the kept ones.
+    Streams keep the window as state and take a session's rows piece by piece, so the order of arrival does not matter.
     """
-    schema = "session_id long, message_id long"
-
-    def left(pdf: pd.DataFrame, window: list[int]) -> list[int]:
-        out = []
-        for m in pdf.sort_values(["turn", "message_id"])["message_id"].tolist():
-            window.append(m)
-            if len(window) > most:
-                out.append(window.pop(0))
-        return out
-
     if not messages.isStreaming:
         back = Window.partitionBy("session_id").orderBy(F.desc("turn"), F.desc("message_id"))
         return messages.withColumn("__n", F.row_number().over(back)).where(F.col("__n") > most).select("session_id", "message_id")
 
     def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        window = list(state.get[0]) if state.exists else []
-        gone = left(pd.concat(list(pdfs)), window)
-        state.update((window,))
-        yield pd.DataFrame({"session_id": [key[0]] * len(gone), "message_id": gone}).astype("int64")
-
-    return messages.groupBy("session_id").applyInPandasWithState(step, schema, "window array<long>", "append", "NoTimeout")
-
-
-def ingest_stream(files: DataFrame) -> DataFrame:
-    """New files to chunks with vectors, once per file name; the body of each micro-batch is the batch build.
-
-    A batch writes to a folder of its own number, so a batch that runs again replaces what it
-    wrote; names that earlier batches have built are left out.
-    """
-    path = new_path(files.sparkSession, "ingest")
-    files.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(lambda batch, n: ingest_batch(batch, n, path)).start().awaitTermination()
-    return files.sparkSession.read.parquet(path).drop("__batch")
-
-
-def ingest_batch(batch: DataFrame, number: int, path: str) -> None:
-    """Build one batch of files into its folder under ``path``."""
-    from kbspark.operators.versions import build_corpus
-
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates(["filename"])
-    if number:
-        known = spark.read.option("recursiveFileLookup", "true").schema("filename string").parquet(*[f"{path}/__batch={n}" for n in range(number)])
-        fresh = fresh.join(known.distinct(), "filename", "left_anti")
-    build_corpus(fresh)[0].write.mode("overwrite").parquet(f"{path}/__batch={number}")
+        turns, ids = state.get if state.exists else ([], [])
+        window = pd.DataFrame({"turn": turns, "message_id": ids}, dtype="int64")
+        for pdf in pdfs:
+            both = pd.concat([window, pdf[["turn", "message_id"]].astype("int64")]).sort_values(["turn", "message_id"])
+            gone, window = both.iloc[:-most], both.iloc[-most:]
+            yield pd.DataFrame({"session_id": key[0], "message_id": gone["message_id"]}).astype("int64")
+        state.update((window["turn"].tolist(), window["message_id"].tolist()))
+
+    some = messages.select("session_id", "message_id", "turn")
+    return some.groupBy("session_id").applyInPandasWithState(step, "session_id long, message_id long", "turns array<long>, ids array<long>", "append", "NoTimeout")
 
 
 def latest_status(tasks: DataFrame) -> DataFrame:

@@ -112,19 +112,6 @@ def test_alarms_over_midnight_and_gaps(spark):
     assert sorted((r.start - 864000) // 60 for r in hold(rows).collect()) == [m for m in minutes if all(x in minutes for x in range(m - 4, m + 1))]
 
 
-def test_ingest_once(spark, tmp_path):
-    from kbspark.streaming.jobs import ingest_batch
-
-    def batch(*names):
-        return spark.createDataFrame([(n, len(n), n.encode() * 5) for n in names], "filename string, length long, content binary")
-
-    path = f"{tmp_path}/i"
-    ingest_batch(batch("a.txt", "b.txt", "a.txt"), 0, path)
-    ingest_batch(batch("b.txt", "c.txt"), 1, path)
-    ingest_batch(batch("b.txt", "c.txt"), 1, path)
-    assert sorted(r.filename for r in spark.read.parquet(path).collect()) == ["a.txt", "b.txt", "c.txt"]
-
-
 def test_rerank_maps_indices(spark):
     hits = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.4, 2), (2, "c", 0.5, 1)], "query_id int, chunk_id string, score double, rank int")
     scores = spark.createDataFrame([(1, 1, 0.987, 0), (1, 0, 0.321, 1), (1, 1, 0.1, 2), (1, 9, 1.0, 3)], "query_id int, index int, relevance double, ord int")
