@@ -30,10 +30,11 @@ def check_hits(questions: DataFrame, hits: DataFrame, expected: DataFrame) -> Da
     return questions.select("query_id").join(best, "query_id", "left").select("query_id", F.col("rank").isNotNull().alias("hit"), "rank", "score")
 
 
-def run_metrics(results: DataFrame, by: str = "run_id") -> DataFrame:
-    """Hits, hit rate, mean reciprocal rank with misses as 0, mean score of hits."""
+def run_metrics(results: DataFrame, by: str = "run_id", elapsed: str | None = None) -> DataFrame:
+    """Hits, hit rate, mean reciprocal rank with misses as 0, mean score of hits; with ``elapsed`` the mean latency of all questions that have one, else 0."""
     hit = F.col("hit").cast("int")
-    return results.groupBy(by).agg(F.count("*").alias("total"), F.sum(hit).alias("hits"), F.round(F.avg(hit), 6).alias("hit_rate"), F.round(F.avg(F.when(F.col("hit"), 1 / F.col("rank")).otherwise(0.0)), 6).alias("mrr"), F.round(F.coalesce(F.avg(F.when(F.col("hit"), F.col("score"))), F.lit(0.0)), 6).alias("mean_score"))
+    latency = [] if elapsed is None else [F.round(F.coalesce(F.avg(elapsed), F.lit(0.0)), 6).alias("mean_elapsed_ms")]
+    return results.groupBy(by).agg(F.count("*").alias("total"), F.sum(hit).alias("hits"), F.round(F.avg(hit), 6).alias("hit_rate"), F.round(F.avg(F.when(F.col("hit"), 1 / F.col("rank")).otherwise(0.0)), 6).alias("mrr"), F.round(F.coalesce(F.avg(F.when(F.col("hit"), F.col("score"))), F.lit(0.0)), 6).alias("mean_score"), *latency)
 
 
 def true_recall(hits: DataFrame, expected: DataFrame) -> DataFrame:
@@ -54,6 +55,16 @@ def restrict_docs(hits: DataFrame, ids: DataFrame) -> DataFrame:
     return hits.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def list_runs(runs: DataFrame, number: int, size: int) -> DataFrame:
+    """One page of the test runs, the newest first, with their hit rate and the number of all runs as ``total``.
+
+    Spark keeps only the first ``number * size`` rows of each task for the page. A page beyond the end is empty.
+    """
+    rate = F.round(F.coalesce(F.col("hit_count") / F.nullif("total_questions", F.lit(0)), F.lit(0.0)), 6)
+    page = runs.select("run_id", "started_at", "status", "total_questions", "hit_count", rate.alias("hit_rate")).orderBy(F.desc("started_at"), F.desc("run_id")).offset((number - 1) * size).limit(size)
+    return page.select("*", runs.agg(F.count("*")).scalar().alias("total"))
+
+
 def run_detail(results: DataFrame, schema: str = "chunk_id long, score double") -> DataFrame:
     """Results with their JSON chunk payloads parsed."""
     return results.withColumn("chunks", F.transform("actual_chunks", lambda c: F.from_json(c, schema)))

@@ -156,7 +156,8 @@ def contains_any(terms: DataFrame, chunks: DataFrame, small: int = SMALL) -> Dat
     """``query_id, chunk_id`` of chunks that hold any term of a query, in any case.
 
     Few terms are broadcast. Beyond ``small`` a term meets the chunks under one of its own
-    trigrams and is then verified; only terms of under three characters still are broadcast.
+    trigrams and is then verified; terms of one or two characters meet the chunks' own runs of
+    that many characters, which needs no proof.
     """
     t = terms.select("query_id", F.lower("term").alias("term")).where(F.length("term") > 0).distinct()
     text = chunks.select("chunk_id", F.lower("content").alias("content"))
@@ -166,8 +167,9 @@ def contains_any(terms: DataFrame, chunks: DataFrame, small: int = SMALL) -> Dat
     long = t.where(F.length("term") >= 3).withColumn("gram", F.array_max(ngrams("term", 3)))
     grams = text.select("chunk_id", F.explode(F.array_distinct(ngrams("content", 3))).alias("gram"))
     met = long.join(grams, "gram").select("query_id", "term", "chunk_id").join(text, "chunk_id").where(inside).select("query_id", "chunk_id")
-    short = t.where(F.length("term") < 3)
-    return met.unionByName(text.join(short, inside).select("query_id", "chunk_id")).distinct()
+    runs = F.array_union(ngrams("content", 1), ngrams("content", 2))
+    short = text.select("chunk_id", F.explode(runs).alias("term")).join(t.where(F.length("term") < 3), "term")
+    return met.unionByName(short.select("query_id", "chunk_id")).distinct()
 
 
 def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:

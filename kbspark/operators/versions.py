@@ -70,6 +70,56 @@ def rollback(current: DataFrame, snapshot: DataFrame, chosen: DataFrame | None =
     return back.unionByName(rest)
 
 
+def rollback_tables(tables: dict[str, DataFrame], snapshot: DataFrame, config: DataFrame, permissions: DataFrame, snapshot_id: str, version: str, chosen: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What a rollback of the bases in ``config`` makes of all tables it touches; ``TableSet.commit`` takes the result.
+
+    ``tables``: ``docs(doc_id, kb_id, filename, file_type, content_hash, chunk_count, status)``,
+    ``grants(kb_id, user_id, permission_code)``, ``kbs(kb_id, status, ...)``, ``index_versions(kb_id,
+    version, status, chunk_count)``, ``version_docs(kb_id, version, doc_id)``, ``snapshots(snapshot_id,
+    kb_id, trigger)`` and ``snapshot_docs(snapshot_id, ...)`` with the columns of ``docs``. The
+    snapshot gives documents (without status), ``config(kb_id, chunk_size, chunk_overlap, ...)`` and
+    permissions.
+
+    - ``snapshots``, ``snapshot_docs``: a protection snapshot of what is there now;
+    - ``docs``: restored rows (``pending_segment`` with a content, else ``uploaded``); others of these bases are archived by a whole rollback only;
+    - ``grants`` and the settings in ``kbs``: as in the snapshot, by a whole rollback only; a setting that the snapshot has not stays;
+    - ``index_versions``, ``version_docs``: a ``building`` version of every live document, chosen or not; the current version stays; the bases are ``vectorizing``.
+
+    A base that is ``vectorizing`` is left as it is. Bases are told by ``kb_id``; rows without one stay.
+    """
+    docs, kbs = tables["docs"], tables["kbs"]
+    free = kbs.where(~F.col("status").eqNullSafe("vectorizing")).join(config, "kb_id", "left_semi").select("kb_id")
+    mine = lambda df: df.join(free, "kb_id", "left_semi")
+    others = lambda df: df.join(free, "kb_id", "left_anti")
+    guard = f"{snapshot_id}-{version}-protection"
+
+    part = mine(snapshot) if chosen is None else mine(snapshot).join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    names = docs.columns
+    back = part.withColumn("status", F.when(F.col("content_hash").isNotNull(), "pending_segment").otherwise("uploaded")).select(*names)
+    rest = mine(docs).join(part, ["kb_id", "doc_id"], "left_anti")
+    rest = rest.withColumn("status", F.lit("archived")) if chosen is None else rest
+    after = back.unionByName(rest.select(*names))
+    live = after.where("status NOT IN ('archived', 'deleted')")
+
+    out = {
+        "docs": others(docs).unionByName(after),
+        "snapshots": tables["snapshots"].unionByName(free.select(F.lit(guard).alias("snapshot_id"), "kb_id", F.lit("rollback_protection").alias("trigger"))),
+        "snapshot_docs": tables["snapshot_docs"].unionByName(mine(docs).withColumn("snapshot_id", F.lit(guard)).select(*tables["snapshot_docs"].columns)),
+        "version_docs": tables["version_docs"].unionByName(live.select("kb_id", F.lit(version).alias("version"), "doc_id")),
+    }
+    sizes = live.groupBy("kb_id").agg(F.sum("chunk_count").alias("chunk_count"))
+    new = free.join(sizes, "kb_id", "left").select("kb_id", F.lit(version).alias("version"), F.lit("building").alias("status"), F.coalesce("chunk_count", F.lit(0).cast("long")).alias("chunk_count"))
+    out["index_versions"] = tables["index_versions"].unionByName(new)
+    settings = [] if chosen is not None else [c for c in config.columns if c in kbs.columns and c not in ("kb_id", "status")]
+    old = config.join(free, "kb_id", "left_semi").select("kb_id", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in settings])
+    both = kbs.join(old, "kb_id", "left")
+    value = {c: F.coalesce(f"__{c}", c).alias(c) for c in settings} | {"status": F.when(F.col("__hit"), "vectorizing").otherwise(F.col("status")).alias("status")}
+    out["kbs"] = both.select(*[value.get(c, F.col(c)) for c in kbs.columns])
+    if chosen is None:
+        out["grants"] = others(tables["grants"]).unionByName(mine(permissions).select(*tables["grants"].columns))
+    return out
+
+
 def compensate(protection: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
     """Chunks of the documents of a protection snapshot, cut again from their text."""
     return chunking.chunk(texts.join(protection.select(key), key, "left_semi"), key, text, "paragraph")

@@ -8,6 +8,8 @@ from kbspark.functions import text as T
 from kbspark.operators import chunking as C
 from kbspark.plans.registry import query
 from kbspark.sources import files as S
+from kbspark.sources.shared import new_path
+from kbspark.sources.tables import replace_chunks_in, upsert_vectors_in, write_bucketed
 
 
 @query("SELECT doc_id, kb_id, filename FROM docs WHERE status <> 'archived' AND kb_id IN ('src0', 'src3', 'src7') AND contains(lower(filename), 'c1')")
@@ -62,6 +64,16 @@ def src06_replace_chunks(t):
     return out.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"))
 
 
+@query(f"WITH n AS ({_NEW}) SELECT doc_id, count(*) AS n_chunks, sum(length(content))::BIGINT AS n_chars FROM (SELECT doc_id, content FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT doc_id, content FROM n) AS x GROUP BY doc_id")
+def src06_rewrite_buckets(t):
+    """The stored form: only buckets with changed documents are written."""
+    new = t.chunks.where("doc_id % 3 = 0 AND chunk_index < 2").selectExpr("chunk_id + 500 AS chunk_id", "doc_id", "reverse(content) AS content")
+    path = new_path(t.spark, "chunks")
+    write_bucketed(t.chunks.select("chunk_id", "doc_id", "content"), path, "doc_id", 8)
+    replace_chunks_in(path, new, buckets=8)
+    return t.spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"))
+
+
 def _vector_writes(t):
     v = t.vectors.select("kb_id", "index_version", "chunk_id", F.col("embedding")[0].cast("double").alias("first"))
     again = v.where("chunk_id % 4 = 0").selectExpr("kb_id", "index_version", "chunk_id", "first + 1 AS first", "1 AS seq")
@@ -74,6 +86,16 @@ def src07_upsert_vectors(t):
     return S.upsert_vectors(old, new).select("kb_id", "chunk_id", F.round("first", 5).alias("first"), "seq")
 
 
+@query("SELECT kb_id, chunk_id, round(embedding[1]::DOUBLE + CASE WHEN chunk_id % 8 = 0 THEN 2 WHEN chunk_id % 4 = 0 THEN 1 ELSE 0 END, 5) AS first, CASE WHEN chunk_id % 8 = 0 THEN 2 WHEN chunk_id % 4 = 0 THEN 1 ELSE 0 END::INT AS seq FROM vectors")
+def src07_rewrite_buckets(t):
+    """The stored form: only buckets with written vectors are written again."""
+    old, new = _vector_writes(t)
+    path = new_path(t.spark, "vectors")
+    write_bucketed(old, path, "chunk_id", 8)
+    upsert_vectors_in(path, new, buckets=8)
+    return t.spark.read.parquet(path).select("kb_id", "chunk_id", F.round("first", 5).alias("first"), "seq")
+
+
 @query("SELECT index_version, count(*) AS n, sum(chunk_id)::BIGINT AS ids FROM (SELECT 'v1' AS index_version, chunk_id FROM vectors UNION ALL SELECT 'v2' AS index_version, chunk_id FROM vectors WHERE chunk_id % 3 <> 0) AS x GROUP BY index_version")
 def src08_delete_vectors(t):
     v = t.vectors.select("chunk_id", "index_version")

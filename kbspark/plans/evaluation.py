@@ -48,9 +48,11 @@ def eval02_check_hits(t):
     return checked(t).select("query_id", "hit", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"{_CHECK} SELECT query_id % 4 AS run_id, count(*) AS total, sum(hit::INT)::BIGINT AS hits, round(avg(hit::INT), 6) AS hit_rate, round(avg(CASE WHEN hit THEN 1.0 / rank ELSE 0 END), 6)::DOUBLE AS mrr FROM res GROUP BY query_id % 4", name="eval03_metrics_text")
+@query(f"{_CHECK} SELECT query_id % 4 AS run_id, count(*) AS total, sum(hit::INT)::BIGINT AS hits, round(avg(hit::INT), 6) AS hit_rate, round(avg(CASE WHEN hit THEN 1.0 / res.rank ELSE 0 END), 6)::DOUBLE AS mrr, round(coalesce(avg(best.score), 0), 6) AS mean_score, round(avg(length(q.question) * 3), 6)::DOUBLE AS mean_elapsed_ms FROM res JOIN questions AS q ON q.question_id = res.query_id LEFT JOIN best USING (query_id) GROUP BY query_id % 4", name="eval03_metrics_text")
 def eval03_metrics_text(t):
-    return E.run_metrics(checked(t).withColumn("run_id", F.col("query_id") % 4)).drop("mean_score")
+    """Latencies stand in: three milliseconds a character of the question."""
+    elapsed = t.questions.select(F.col("question_id").alias("query_id"), (3 * F.length("question")).alias("elapsed_ms"))
+    return E.run_metrics(checked(t).join(elapsed, "query_id").withColumn("run_id", F.col("query_id") % 4), elapsed="elapsed_ms")
 
 
 @query()
@@ -78,6 +80,12 @@ def eval05_restrict_docs(t):
     return E.restrict_docs(hits(t), t.docs.where("file_type = 'md'")).select("query_id", "rank", "doc_id")
 
 
+@query("SELECT run_id, started_at, status, total_questions, hit_count, round(coalesce(hit_count / nullif(total_questions, 0)::DOUBLE, 0), 6) AS hit_rate, count(*) OVER () AS total FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 25 OFFSET 50")
+def eval06_list_runs(t):
+    """The third page of 25."""
+    return E.list_runs(t.runs, 3, 25)
+
+
 @query(f"WITH {_HITS} SELECT query_id, count(*) AS n, sum(doc_id)::BIGINT AS docs FROM hd GROUP BY query_id")
 def eval06_run_detail(t):
     payload = hits(t).groupBy("query_id").agg(F.collect_list(F.to_json(F.struct("doc_id", "score"))).alias("actual_chunks"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import versions as V
 from kbspark.plans.registry import query
+from kbspark.sources.shared import new_path
+from kbspark.sources.tables import TableSet
 
 
 @query("WITH d AS (SELECT kb_id, count(*) AS documents, sum(doc_id % 9)::BIGINT AS chunks, sha256(string_agg(sha256(raw_text), ',' ORDER BY doc_id)) AS content FROM docs WHERE status <> 'archived' GROUP BY kb_id), g AS (SELECT kb_id, count(*) AS n FROM grants GROUP BY kb_id) SELECT k.kb_id, coalesce(d.documents, 0) AS documents, coalesce(d.chunks, 0) AS chunks, d.content, coalesce(g.n, 0)::INT AS n_permissions FROM kbs AS k LEFT JOIN d ON d.kb_id = k.kb_id LEFT JOIN g ON g.kb_id = k.kb_id")
@@ -48,6 +50,71 @@ def ver05_rollback_selective(t):
     return V.rollback(_current(t), t.snapshot_docs, t.documents.where("doc_id % 4 = 0"))
 
 
+def _live(t):
+    """Tables that a rollback touches: bases 0 to 9 go back, one of these is being vectorised."""
+    kb = t.docs.select("doc_id", "kb_id")
+    settings = ["CAST(500 + creator_id AS INT) AS chunk_size", "CAST(NULL AS INT) AS chunk_overlap"]
+    tables = {
+        "docs": _current(t).join(kb, "doc_id").select("doc_id", "kb_id", "filename", "file_type", "content_hash", "chunk_count", "status"),
+        "grants": t.grants.where("user_id % 2 = 0"),
+        "kbs": t.kbs.selectExpr("kb_id", "name", "CASE WHEN creator_id = 4 THEN 'vectorizing' ELSE status END AS status", *settings),
+        "index_versions": t.index_versions.selectExpr("kb_id", "CAST(version AS STRING) AS version", "status", "1L AS chunk_count"),
+        "version_docs": t.docs.selectExpr("kb_id", "'v1' AS version", "doc_id"),
+        "snapshots": t.snapshots.selectExpr("CAST(snapshot_id AS STRING) AS snapshot_id", "kb_id", "'manual' AS trigger"),
+    }
+    tables["snapshot_docs"] = tables["docs"].select(F.lit("s1").alias("snapshot_id"), "*").where("doc_id % 2 = 0")
+    config = t.kbs.where("creator_id < 10").selectExpr("kb_id", "concat(name, '!') AS name", "CAST(NULL AS INT) AS chunk_size", "50 AS chunk_overlap")
+    return tables, t.snapshot_docs.join(kb, "doc_id"), config
+
+
+def _rolled(t, name: str, whole: bool = True):
+    """One table after the commit of all of them."""
+    tables, snapshot, config = _live(t)
+    store = TableSet(t.spark, new_path(t.spark, "rollback"))
+    base = store.commit(tables, 0)
+    chosen = None if whole else t.documents.where("doc_id % 4 = 0").select("doc_id")
+    store.commit(V.rollback_tables(store.read(), snapshot, config, t.grants, "s1", "v2", chosen), base)
+    return store.read()[name]
+
+
+_FREE = "free AS (SELECT kb_id, creator_id FROM kbs WHERE creator_id < 10 AND creator_id <> 4)"
+_ROLLED = f"{_FREE}, cur AS (SELECT c.doc_id, d.kb_id, c.filename, c.file_type, c.content_hash, c.chunk_count, d.status FROM current_docs AS c JOIN docs AS d ON d.doc_id = c.doc_id), snap AS (SELECT s.*, d.kb_id FROM snapshot_docs AS s JOIN docs AS d ON d.doc_id = s.doc_id WHERE d.kb_id IN (SELECT kb_id FROM free) AND CHOSEN), done AS (SELECT doc_id, kb_id, filename, file_type, content_hash, chunk_count, 'pending_segment' AS status FROM snap UNION ALL SELECT doc_id, kb_id, filename, file_type, content_hash, chunk_count, CASE WHEN kb_id IN (SELECT kb_id FROM free) THEN REST ELSE status END AS status FROM cur WHERE doc_id NOT IN (SELECT doc_id FROM snap))"
+_WHOLE, _PART = (_ROLLED.replace("CHOSEN", c).replace("REST", r) for c, r in (("TRUE", "'archived'"), ("s.doc_id % 4 = 0", "status")))
+
+
+@query(f"WITH {_WHOLE} SELECT * FROM done")
+def ver05_rollback_docs(t):
+    return _rolled(t, "docs")
+
+
+@query(f"WITH {_FREE} SELECT * FROM grants WHERE kb_id IN (SELECT kb_id FROM free) OR user_id % 2 = 0")
+def ver05_rollback_grants(t):
+    return _rolled(t, "grants")
+
+
+@query(f"WITH {_FREE} SELECT k.kb_id, CASE WHEN f.kb_id IS NULL THEN k.name ELSE k.name || '!' END AS name, CASE WHEN f.kb_id IS NOT NULL OR k.creator_id = 4 THEN 'vectorizing' ELSE k.status END AS status, (500 + k.creator_id)::INT AS chunk_size, CASE WHEN f.kb_id IS NOT NULL THEN 50 END::INT AS chunk_overlap FROM kbs AS k LEFT JOIN free AS f ON f.kb_id = k.kb_id")
+def ver05_rollback_rules(t):
+    return _rolled(t, "kbs")
+
+
+_VERSIONS = "SELECT kb_id, version::VARCHAR AS version, status, 1::BIGINT AS chunk_count FROM index_versions UNION ALL SELECT f.kb_id, 'v2' AS version, 'building' AS status, coalesce(sum(d.chunk_count), 0)::BIGINT AS chunk_count FROM free AS f LEFT JOIN done AS d ON d.kb_id = f.kb_id AND d.status <> 'archived' GROUP BY f.kb_id"
+
+
+@query(f"WITH {_WHOLE} {_VERSIONS}")
+def ver05_rollback_versions(t):
+    return _rolled(t, "index_versions")
+
+
+@query(f"WITH {_PART} SELECT kb_id, 'v1' AS version, doc_id FROM docs UNION ALL SELECT kb_id, 'v2' AS version, doc_id FROM done WHERE status <> 'archived' AND kb_id IN (SELECT kb_id FROM free)")
+def ver05_rollback_part(t):
+    return _rolled(t, "version_docs", False)
+
+
+@query(f"WITH {_WHOLE} SELECT 's1' AS snapshot_id, * FROM cur WHERE doc_id % 2 = 0 UNION ALL SELECT 's1-v2-protection' AS snapshot_id, * FROM cur WHERE kb_id IN (SELECT kb_id FROM free)")
+def ver05_rollback_protection(t):
+    return _rolled(t, "snapshot_docs")
+
+
 @query()
 def ver06_compensate(t):
     out = V.compensate(t.snapshot_docs, t.docs.select("doc_id", "raw_text"), "doc_id", "raw_text")

@@ -225,3 +225,20 @@ def test_proxy_scores_of_all_messages(spark):
     cited = messages.where("role = 'assistant' AND ((message_id % 97 > 0 AND message_id % 97 % 3 <> 0) OR (message_id % 89 % 3 <> 0 AND length(trim(substring(content, 41, 40))) > 0))").count()
     assert cited > 1000 and eval07_harvest(t).count() == 200
     assert eval13_proxy_scores(t).count() == cited
+
+
+def test_short_terms_meet_their_chunks(spark):
+    chunks = spark.createDataFrame([(1, "Ab c"), (2, "知识库"), (3, ""), (4, None), (5, "aab")], "chunk_id long, content string")
+    terms = [(1, "ab"), (1, "AB"), (2, "知"), (3, "识库"), (4, " "), (5, "zz"), (6, ""), (7, "aab"), (7, "c")]
+    few = R.contains_any(spark.createDataFrame(terms, "query_id long, term string"), chunks)
+    many = R.contains_any(spark.createDataFrame(terms, "query_id long, term string"), chunks, small=0)
+    want = sorted({(q, i) for q, w in terms if w for i, c in ((1, "ab c"), (2, "知识库"), (5, "aab")) if w.lower() in c})
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == want
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_run_metrics_with_latency(spark):
+    rows = spark.createDataFrame([(1, True, 1, 0.9, 10), (1, False, None, None, 20), (2, False, None, None, None)], "run_id int, hit boolean, rank int, score double, ms int")
+    got = {r.run_id: (r.mean_score, r.mean_elapsed_ms) for r in E.run_metrics(rows, elapsed="ms").collect()}
+    assert got == {1: (0.9, 15.0), 2: (0.0, 0.0)}
