@@ -218,7 +218,7 @@ def txt10_preview(t):
     return C.preview(t.docs, 2000)
 
 
-_THINK = "concat(CASE doc_id % 4 WHEN 0 THEN '<think>a' || chr(10) || 'b</think>' WHEN 1 THEN '<THINKING>x</thinking> ' ELSE '' END, substring(text, 1, 200), CASE doc_id % 3 WHEN 0 THEN ' <think> rest' ELSE '' END)"
+_THINK = "concat(CASE doc_id % 4 WHEN 0 THEN '<think>a' || chr(10) || 'b</think>' WHEN 1 THEN '<THINKING>x</thinking> ' ELSE '' END, text, CASE doc_id % 3 WHEN 0 THEN ' <think> rest' ELSE '' END)"
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(regexp_replace({_THINK}, '(?is)<(?:redacted_thinking|thinking|think)>.*?</(?:redacted_thinking|thinking|think)>', '', 'g'), '(?is)<(?:redacted_thinking|thinking|think)>.*$', ''), ' ' || chr(10)) AS clean FROM documents")

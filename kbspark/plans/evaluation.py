@@ -94,11 +94,11 @@ def eval06_run_detail(t):
 
 
 def _cited(t):
-    body = "array(named_struct('doc_id', message_id % 97, 'content', substring(content, 1, 40)), named_struct('doc_id', message_id % 89, 'content', substring(content, 41, 40)))"
+    body = "array(named_struct('doc_id', message_id % 97, 'content', content), named_struct('doc_id', message_id % 89, 'content', reverse(content)))"
     return t.messages.withColumn("citations", F.expr(body))
 
 
-_SAMPLES = """c AS (SELECT message_id, request_id, created_at, content, 0 AS pos, message_id % 97 AS doc_id, trim(substring(content, 1, 40)) AS text FROM messages WHERE role = 'assistant' UNION ALL SELECT message_id, request_id, created_at, content, 1, message_id % 89, trim(substring(content, 41, 40)) FROM messages WHERE role = 'assistant'),
+_SAMPLES = """c AS (SELECT message_id, request_id, created_at, content, 0 AS pos, message_id % 97 AS doc_id, trim(content) AS text FROM messages WHERE role = 'assistant' UNION ALL SELECT message_id, request_id, created_at, content, 1, message_id % 89, trim(reverse(content)) FROM messages WHERE role = 'assistant'),
 k AS (SELECT c.* FROM c WHERE text <> '' AND doc_id IN (SELECT doc_id FROM docs WHERE doc_id % 3 <> 0)),
 p AS (SELECT message_id, any_value(request_id) AS request_id, any_value(created_at) AS created_at, any_value(content) AS response, string_agg(text, '|' ORDER BY pos) AS contexts FROM k GROUP BY message_id),
 u AS (SELECT request_id, arg_max(content, message_id) AS question FROM messages WHERE role = 'user' GROUP BY request_id)"""

@@ -35,7 +35,7 @@ STANDINS = {
         CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'running' WHEN 'view' THEN 'pending' ELSE 'queued' END AS status FROM {events}""",
     "usage": """SELECT event_type AS model, CAST(ts AS DATE) AS day, CAST(floor(value) AS BIGINT) AS input_tokens, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS output_tokens,
         CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(floor(value) AS BIGINT) + 1 END AS total_tokens, value / 1000 AS cost FROM {events}""",
-    "questions": """SELECT item_id AS question_id, substring(text, 1, 60) AS question, text AS passage FROM {benchmark}""",
+    "questions": """SELECT item_id AS question_id, text AS question, text AS passage FROM {benchmark}""",
     "vectors": """SELECT vec_id AS chunk_id, concat('src', label) AS kb_id, 'v1' AS index_version, embedding, label FROM {embeddings}""",
     "snapshot_docs": """SELECT doc_id, filename, file_type, HASH(CASE WHEN doc_id % 7 = 0 THEN concat(raw_text, 'x') ELSE raw_text END) AS content_hash, CAST(doc_id % 5 AS BIGINT) AS chunk_count FROM {docs} WHERE doc_id % 10 <> 0""",
     "current_docs": """SELECT doc_id, filename, file_type, HASH(raw_text) AS content_hash, CAST(doc_id % 5 AS BIGINT) AS chunk_count FROM {docs} WHERE doc_id % 11 <> 0""",
