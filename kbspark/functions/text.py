@@ -158,6 +158,20 @@ def coverage_query(c: str | Column) -> Column:
     return F.struct(q.alias("q"), grams.alias("g"))
 
 
+def coverage_grams(c: str | Column) -> Column:
+    """``c, g2, g3``: a content's comparable text with its distinct runs of two and three characters, prepared once for many queries."""
+    t = coverage_text(c)
+    return F.struct(t.alias("c"), F.array_distinct(ngrams(t, 2)).alias("g2"), F.array_distinct(ngrams(t, 3)).alias("g3"))
+
+
+def coverage_prepared(query: Column, grams: Column) -> Column:
+    """Coverage from ``coverage_query`` and ``coverage_grams``: a run is in the text if it is among the text's runs of its length."""
+    q, g = query["q"], query["g"]
+    common = F.when(F.length(g[0]) == 2, F.size(F.array_intersect(g, grams["g2"]))).otherwise(F.size(F.array_intersect(g, grams["g3"])))
+    short = F.when(F.instr(grams["c"], q) > 0, 1.0).otherwise(0.0)
+    return F.when(F.length(q) == 0, 0.0).when(F.length(q) <= 2, short).otherwise(common / F.size(g))
+
+
 def coverage(query: Column, text: Column) -> Column:
     """Coverage from prepared sides; each is evaluated once."""
     both = F.array(F.struct(query.alias("q"), text.alias("c")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions.hooks import Embedder, HashingEmbedder
-from kbspark.functions.text import clamp, coverage, coverage_query, coverage_text, lexical_coverage, ngrams, squash
+from kbspark.functions.text import clamp, coverage_grams, coverage_prepared, coverage_query, lexical_coverage, ngrams, squash
 from kbspark.sources.shared import new_path
 
 #: Sizes and thresholds of retrieval.
@@ -204,8 +204,8 @@ def trigram_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> Dat
 def coverage_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
     """All chunks that hold a term of the query, by lexical coverage."""
     held = contains_any(query_terms(queries), chunks)
-    full = held.join(queries.select("query_id", coverage_query("text").alias("q")), "query_id").join(chunks.select("chunk_id", coverage_text("content").alias("c")), "chunk_id")
-    return top(full.select("query_id", "chunk_id", coverage(F.col("q"), F.col("c")).alias("score")), k)
+    full = held.join(queries.select("query_id", coverage_query("text").alias("q")), "query_id").join(chunks.select("chunk_id", coverage_grams("content").alias("c")), "chunk_id")
+    return top(full.select("query_id", "chunk_id", coverage_prepared(F.col("q"), F.col("c")).alias("score")), k)
 
 
 def text_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.operators import chunking as C
+from kbspark.plans import segment_sql as Q
 from kbspark.plans.registry import query
 from kbspark.sources import files as S
 from kbspark.sources.shared import new_path
@@ -104,7 +105,8 @@ def src08_delete_vectors(t):
     return out.groupBy("index_version").agg(F.count("*").alias("n"), F.sum("chunk_id").alias("ids"))
 
 
-@query()
+@query("""SELECT c.kb_id, 'v1' AS index_version, c.doc_id, c.chunk_id, CASE WHEN regexp_matches(c.content, '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM chunks AS c JOIN docs AS d ON d.doc_id = c.doc_id JOIN kbs AS k ON k.kb_id = d.kb_id
+WHERE c.is_enabled AND trim(c.content) <> '' AND d.status = 'ready' AND k.status = 'active' AND k.current_index_version IS NOT NULL""")
 def src09_reindex(t):
     from kbspark.operators.retrieval import embed
 
@@ -112,7 +114,7 @@ def src09_reindex(t):
     return out.select("kb_id", "index_version", "doc_id", "chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
-@query()
+@query("SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n FROM events GROUP BY CAST(ts AS DATE), event_type")
 def src10_append_events(t):
     """Events appended by day in two writes and read back."""
     from kbspark.sources.shared import new_path
@@ -152,12 +154,8 @@ def src13_delete_by_ids(t):
 _ROUGH = "concat(replace(text, '. ', '.  '), chr(10), chr(10), chr(10), 'a  b', chr(13), chr(10), 'end', chr(10), 'end  ', chr(10))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_ROUGH} AS x FROM documents),
-l AS (SELECT doc_id, x, list_transform(string_split(replace(replace(x, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda s: regexp_replace(s, '\\s+$', '')) AS a FROM d),
-c AS (SELECT doc_id, x, a, list_filter(a, lambda s, i: NOT (s = '' AND i > 1 AND a[i - 1] = '')) AS b FROM l),
-s AS (SELECT doc_id, x, a, list_transform(b, lambda s: CASE WHEN regexp_matches(s, '^#{{1,6}}\\s') THEN s ELSE regexp_replace(s, '[ \\t]{{2,}}', ' ', 'g') END) AS b FROM c),
-e AS (SELECT doc_id, x, a, b, list_filter(b, lambda s, i: s = '' OR i = 1 OR b[i - 1] <> s) AS k FROM s)
-SELECT doc_id, sha256(regexp_replace(regexp_replace(array_to_string(k, chr(10)), '^\\s+', ''), '\\s+$', '') || chr(10)) AS text_hash, (len(a) - len(b))::BIGINT AS removed_blank_lines, (len(b) - len(k))::BIGINT AS removed_duplicate_blocks, length(x)::BIGINT AS char_count_before FROM e""")
+@query(f"""WITH d AS (SELECT doc_id, {_ROUGH} AS x FROM documents), {Q.normal('d')}
+SELECT doc_id, sha256({Q.NORMAL_TEXT}) AS text_hash, (len(a) - len(b))::BIGINT AS removed_blank_lines, (len(b) - len(k))::BIGINT AS removed_duplicate_blocks, length(x)::BIGINT AS char_count_before FROM nk""")
 def txt01_normalize(t):
     out = C.normalize(t.documents.selectExpr("doc_id", f"{_ROUGH} AS x"), "x")
     return out.select("doc_id", F.sha2("normalized_text", 256).alias("text_hash"), "removed_blank_lines", "removed_duplicate_blocks", "char_count_before")
@@ -179,8 +177,8 @@ def _chunk_query(mode):
     return run
 
 
-query(name="txt03_chunk_fixed")(_chunk_query("fixed"))
-query(name="txt08_chunk_paragraph_refined")(_chunk_query("paragraph"))
+query(f"WITH src AS (SELECT doc_id, text AS t FROM documents), {Q.fixed('src')}, {Q.PLACED} {Q.CHUNKS}", name="txt03_chunk_fixed")(_chunk_query("fixed"))
+query(f"WITH src AS (SELECT doc_id, text AS t FROM documents), {Q.paragraphs('src')}, {Q.PLACED} {Q.CHUNKS}", name="txt08_chunk_paragraph_refined")(_chunk_query("paragraph"))
 
 
 @query("""SELECT doc_id, i::INT AS chunk_index, (i * 450)::INT AS start, substring(text, i * 450 + 1, 500) AS content FROM (SELECT doc_id, text, unnest(range((greatest(ceil((length(text) - 500) / 450.0), 0) + 1)::BIGINT)) AS i FROM documents WHERE length(text) > 0) AS x""")
@@ -198,7 +196,8 @@ def txt06_headings(t):
     return C.headings(t.documents.selectExpr("doc_id", "replace(concat(chr(10), text), concat(chr(10), 'The '), concat(chr(10), '## The ')) AS x"), "x").select("doc_id", "chunk_index", "content")
 
 
-@query()
+@query(f"""WITH src AS (SELECT doc_id, replace(replace(text, chr(10) || 'The ', chr(10) || '# The '), chr(10) || 'An', chr(10) || chr(10) || '## An') AS x FROM documents WHERE text <> ''), {Q.markdown('src')}
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section, i) - 1)::INT AS chunk_index, length(c)::INT AS char_count, level AS heading_level, sha256(concat_ws('|', trail, c)) AS content_hash FROM (SELECT doc_id, section, level, trail, i, cs[i] AS c FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM md) AS x) AS y""")
 def txt07_chunk_markdown(t):
     docs = t.documents.selectExpr("doc_id", "replace(replace(text, concat(chr(10), 'The '), concat(chr(10), '# The ')), concat(chr(10), 'An'), concat(chr(10), chr(10), '## An')) AS x")
     return C.chunk(docs, "doc_id", "x", "markdown").select("doc_id", "chunk_index", "char_count", "heading_level", F.sha2(F.concat_ws("|", "heading_path", "content"), 256).alias("content_hash"))

@@ -123,7 +123,12 @@ def ret07_coverage(t):
     return both.select("doc_id", F.round(T.lexical_coverage("question", "text"), 6).alias("coverage"))
 
 
-@query()
+@query(f"""WITH {TRI}, {HELD}, ca AS (SELECT query_id, regexp_replace(lower(text), '[^a-z0-9一-鿿]', '', 'g') AS a FROM q),
+cgs AS (SELECT DISTINCT query_id, substring(a, i::INT, 3) AS g FROM (SELECT query_id, a, unnest(range(1, length(a) - 1)) AS i FROM ca WHERE length(a) > 2) AS x),
+cl AS (SELECT query_id, list(g) AS gs FROM cgs GROUP BY query_id),
+cc AS (SELECT chunk_id, regexp_replace(lower(content), '[^a-z0-9一-鿿]', '', 'g') AS c FROM chunks),
+cov AS (SELECT held.query_id, held.chunk_id, len(list_filter(cl.gs, lambda g: contains(cc.c, g))) / len(cl.gs)::DOUBLE AS score FROM held JOIN cl ON cl.query_id = held.query_id JOIN cc ON cc.chunk_id = held.chunk_id)
+{TOP5.format('cov', 5)}""")
 def ret08_coverage_search(t):
     return six(R.coverage_search(asked(t), t.chunks))
 

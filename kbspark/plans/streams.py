@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kbspark.plans import segment_sql as Q
+from kbspark.plans import trends as A
 from kbspark.plans.registry import query
 from kbspark.sources.shared import new_path
 from kbspark.sources.standins import STANDINS
@@ -36,7 +38,9 @@ def str02_error_rate_alerts(t):
     return J.drain(J.error_ratio(_requests(t)), "complete", J.hold)
 
 
-@query()
+@query(f"""WITH {A.BUCKETS}, s AS (SELECT (epoch(ts)::BIGINT // 21600) * 21600 AS start, latency_s FROM requests), h AS (SELECT s.start, b.le, count(*) FILTER (WHERE s.latency_s <= b.le) AS cum FROM s CROSS JOIN b GROUP BY s.start, b.le),
+w AS (SELECT start, le, cum, coalesce(lag(le) OVER v, 0) AS low, coalesce(lag(cum) OVER v, 0) AS before, max(cum) OVER (PARTITION BY start) AS n FROM h WINDOW v AS (PARTITION BY start ORDER BY le))
+SELECT start, round(CASE WHEN le = 'Infinity' THEN low ELSE low + (le - low) * (n * 0.95::DOUBLE - before) / (cum - before) END, 6) AS value FROM w WHERE cum >= n * 0.95::DOUBLE AND before < n * 0.95::DOUBLE""")
 def str03_latency_quantiles(t):
     return J.drain(J.latency_histogram(_requests(t)), "complete", lambda h: J.quantiles(h, 0.95)).select("start", F.round("value", 6).alias("value"))
 
@@ -47,7 +51,10 @@ def str04_rate_breaches(t):
     return J.drain(J.rate_breaches(_requests(t), "1 day", 0.01), "complete")
 
 
-@query(name="str04_sliding_limiter")
+@query("""WITH e AS (SELECT user_id, list(event_id ORDER BY ts, event_id) AS ids, list({'at': epoch_us(ts), 't': []::BIGINT[], 'o': []::BOOLEAN[]} ORDER BY ts, event_id) AS es FROM events GROUP BY user_id),
+r AS (SELECT user_id, ids, list_reduce(list_prepend({'at': 0::BIGINT, 't': []::BIGINT[], 'o': []::BOOLEAN[]}, es), lambda s, y: {'at': 0::BIGINT, 'o': list_append(s.o, len(list_filter(s.t, lambda v: y.at - v <= 86400000000)) < 2),
+  't': CASE WHEN len(list_filter(s.t, lambda v: y.at - v <= 86400000000)) < 2 THEN list_append(list_filter(s.t, lambda v: y.at - v <= 86400000000), y.at) ELSE list_filter(s.t, lambda v: y.at - v <= 86400000000) END}).o AS ok FROM e)
+SELECT user_id, ids[i] AS event_id, ok[i] AS admitted FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM r) AS x""", name="str04_sliding_limiter")
 def str04_sliding_limiter(t):
     return S.limiter_stream(_requests(t), 2, 86400.0)
 
@@ -68,7 +75,7 @@ def str06_live_context(t):
     return J.drain(J.live_context(s, 4), "append")
 
 
-@query()
+@query(f"WITH d AS (SELECT doc_id, text AS x FROM documents WHERE length(text) > 0), {Q.normal('d')}, src AS (SELECT doc_id, {Q.NORMAL_TEXT} AS t FROM nk), {Q.paragraphs('src')} SELECT concat('d', doc_id, '.txt') AS filename, len(cs)::BIGINT AS n_vectors FROM cut WHERE len(cs) > 0")
 def str07_ingest_stream(t):
     s = J.table_stream(t.spark, t.sf_dir, "documents").selectExpr("concat('d', doc_id, '.txt') AS filename", "CAST(length(text) AS BIGINT) AS length", "encode(text, 'UTF-8') AS content")
     path = new_path(t.spark, "ingest")

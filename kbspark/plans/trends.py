@@ -90,7 +90,8 @@ def agg12_http_rollup(t):
 
 
 _BOUNDS = ", ".join(f"({b}::DOUBLE)" for b in A.BOUNDS)
-_HIST = f"b AS (SELECT * FROM (VALUES {_BOUNDS}, ('Infinity'::DOUBLE)) AS v(le)), h AS (SELECT r.method, b.le, count(*) FILTER (WHERE r.latency_s <= b.le) AS cum FROM requests AS r CROSS JOIN b GROUP BY r.method, b.le)"
+BUCKETS = f"b AS (SELECT * FROM (VALUES {_BOUNDS}, ('Infinity'::DOUBLE)) AS v(le))"
+_HIST = f"{BUCKETS}, h AS (SELECT r.method, b.le, count(*) FILTER (WHERE r.latency_s <= b.le) AS cum FROM requests AS r CROSS JOIN b GROUP BY r.method, b.le)"
 
 
 @query(f"WITH {_HIST} SELECT method, le, cum FROM h")

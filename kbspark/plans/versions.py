@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbspark.operators import versions as V
+from kbspark.plans import segment_sql as Q
 from kbspark.plans.registry import query
 from kbspark.sources.shared import new_path
 from kbspark.sources.tables import TableSet
@@ -115,7 +116,7 @@ def ver05_rollback_protection(t):
     return _rolled(t, "snapshot_docs")
 
 
-@query()
+@query(f"WITH src AS (SELECT d.doc_id, d.raw_text AS t FROM docs AS d WHERE d.doc_id IN (SELECT doc_id FROM snapshot_docs)), {Q.paragraphs('src')} SELECT doc_id, len(cs)::BIGINT AS n, list_sum(list_transform(cs, lambda c: length(c)))::BIGINT AS chars FROM cut WHERE len(cs) > 0")
 def ver06_compensate(t):
     out = V.compensate(t.snapshot_docs, t.docs.select("doc_id", "raw_text"), "doc_id", "raw_text")
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("char_count").alias("chars"))
@@ -177,7 +178,8 @@ def ver13_default_conflicts(t):
     return V.default_conflicts(t.spark.sql(_MODELS, events=t.events))
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, text AS x FROM documents WHERE doc_id % 9 <> 0 AND length(text) > 0), {Q.normal('d')}, src AS (SELECT doc_id, {Q.NORMAL_TEXT} AS t FROM nk), {Q.paragraphs('src')}
+SELECT concat('d', f.doc_id, CASE WHEN f.doc_id % 9 = 0 THEN '.csv' ELSE '.txt' END) AS filename, CASE WHEN length(f.text) > 0 AND f.doc_id % 9 <> 0 THEN 'ready' ELSE 'error' END AS status, CASE WHEN length(f.text) = 0 THEN 'empty' WHEN f.doc_id % 9 = 0 THEN 'unsupported_type' END AS error, coalesce(len(cut.cs), 0)::BIGINT AS n_vectors FROM documents AS f LEFT JOIN cut ON cut.doc_id = f.doc_id""")
 def ver14_build_corpus(t):
     files = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 9 == 0, ".csv").otherwise(".txt")).alias("filename"), F.length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"))
     vectors, state = V.build_corpus(files)
