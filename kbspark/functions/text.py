@@ -29,9 +29,9 @@ def clamp(c: str | Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 
 def ngrams(c: str | Column, n: int) -> Column:
-    """All substrings of ``n`` characters; none for a shorter text."""
-    x = col(c)
-    return F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of ``n`` characters; none for a shorter text. The text is evaluated once, not once a substring."""
+    runs = lambda x: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(col(c)), runs), F.lit(0))
 
 
 def strip_reasoning(c: str | Column) -> Column:
