@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.text import question_key
 
+_NONE = F.expr("CAST(array() AS array<string>)")
+
 
 def mine_history(messages: DataFrame, sessions: DataFrame, user_roles: DataFrame, cached: DataFrame, as_of: str, days: int = 7, n: int = 5) -> DataFrame:
     """Frequent questions per role that are not cached yet, with their latest answer.
@@ -31,12 +33,16 @@ def lookup(questions: DataFrame, cache: DataFrame, scope: DataFrame) -> DataFram
     """The newest cached entry for each question whose source bases, not none, are all within the user's.
 
     ``questions(question_id, role, user_id, question)``, ``cache(entry_id, role, key, enabled, source_kbs, updated_at)``, ``scope(user_id, kbs)``.
+    What fits depends on role, key and the user's bases alone: each such triple meets the newest entry of each set of bases once.
     """
-    q = questions.select("question_id", "role", "user_id", question_key("question").alias("key"))
-    both = q.join(cache.where("enabled"), ["role", "key"]).join(scope, "user_id", "left")
-    allowed = F.coalesce("kbs", F.array().cast("array<string>"))
-    fits = both.where((F.size("source_kbs") > 0) & (F.size(F.array_except("source_kbs", allowed)) == 0))
-    return fits.withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("updated_at"), F.desc("entry_id")))).where("n = 1").select("question_id", "entry_id")
+    scopes = scope.select("user_id", F.array_sort(F.array_distinct(F.coalesce("kbs", _NONE))).alias("kbs"))
+    q = questions.select("question_id", "role", "user_id", question_key("question").alias("key")).join(scopes, "user_id", "left").withColumn("kbs", F.coalesce("kbs", _NONE))
+    newest = F.struct("updated_at", "entry_id").alias("entry")
+    sets = cache.where("enabled").where(F.size("source_kbs") > 0).withColumn("source_kbs", F.array_sort(F.array_distinct("source_kbs")))
+    entries = sets.select("role", "key", "source_kbs", newest).groupBy("role", "key", "source_kbs").agg(F.max("entry").alias("entry"))
+    fits = q.select("role", "key", "kbs").distinct().join(entries, ["role", "key"]).where(F.size(F.array_except("source_kbs", "kbs")) == 0)
+    answers = fits.groupBy("role", "key", "kbs").agg(F.max("entry").alias("entry"))
+    return q.join(answers, ["role", "key", "kbs"]).groupBy("question_id").agg(F.max("entry").alias("entry")).select("question_id", "entry.entry_id")
 
 
 def hit_counts(found: DataFrame, cache: DataFrame) -> DataFrame:
