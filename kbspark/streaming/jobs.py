@@ -22,9 +22,12 @@ RULES = (("/api/v1/auth/login", 20), ("/api/v1/auth/register", 10), ("/api/v1/qa
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder as a stream of its files; zoneless times become timestamps of the session, as watermarks need."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    out = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table of a folder, one file or a folder of files, as a stream of its files; zoneless times become timestamps of the session, as watermarks need."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    out = reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return out.select(*[F.col(n).cast("timestamp").alias(n) if k == "timestamp_ntz" else F.col(n) for n, k in out.dtypes])
 
 
