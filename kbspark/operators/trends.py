@@ -79,8 +79,9 @@ def rebucket(series: DataFrame, order: str, value: str, hours: int, buckets: int
 
 def guard_stats(events: DataFrame, as_of: str, latest: int = 10) -> tuple[DataFrame, DataFrame]:
     """Blocked questions in the last day and week by reason, and the latest ones."""
-    age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("ts")
-    per = events.groupBy("reason").agg(F.count_if((age >= 0) & (age < 86400)).alias("day"), F.count_if((age >= 0) & (age < 604800)).alias("week"))
+    end = F.lit(as_of).cast(dict(events.dtypes)["ts"])
+    since = lambda days: F.count_if((F.col("ts") <= end) & (F.col("ts") > end - F.expr(f"INTERVAL {days} DAY")))
+    per = events.groupBy("reason").agg(since(1).alias("day"), since(7).alias("week"))
     last = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(latest).select("event_id", F.coalesce("label", F.lit("unknown")).alias("label"))
     return per, last
 
