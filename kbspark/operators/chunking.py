@@ -73,30 +73,37 @@ def _units(text: str, size: int, separators: tuple[str, ...]) -> Iterator[str]:
         yield from _units(piece, size, separators[1:]) if len(piece) > size else (piece,)
 
 
-def pack(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Greedy chunks of units; one begins with the last ``overlap`` characters of the one before; a long unit is sliced."""
+def placed(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[str, int]]:
+    """Greedy chunks of units with their start; one begins with the last ``overlap`` characters of the one before; a long unit is sliced."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("0 <= overlap < size is needed")
-    out: list[str] = []
-    buffer = ""
+    out: list[tuple[str, int]] = []
+    buffer, start, behind = "", 0, 0
     for unit in _units(text, size, separators):
+        behind += len(unit)
         if len(unit) > size:
             if buffer.strip():
-                out.append(buffer)
+                out.append((buffer, start))
             buffer, at = "", 0
             while True:
-                out.append(unit[at : at + size])
+                out.append((unit[at : at + size], behind - len(unit) + at))
                 if at + size >= len(unit):
                     break
                 at += size - overlap
+            start = behind
             continue
         if buffer and len(buffer) + len(unit) > size:
-            out.append(buffer)
-            buffer = out[-1][-overlap:] if overlap else ""
+            out.append((buffer, start))
+            buffer = buffer[-overlap:] if overlap else ""
+            start = behind - len(unit) - len(buffer)
         buffer += unit
     if buffer.strip():
-        out.append(buffer)
-    return [c.strip() for c in out if c.strip()]
+        out.append((buffer, start))
+    return [(c.strip(), at + len(c) - len(c.lstrip())) for c, at in out if c.strip()]
+
+
+def pack(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    return [c for c, _ in placed(text, size, overlap, separators)]
 
 
 def _fixed(text: str, size: int, overlap: int) -> list[tuple]:
@@ -186,8 +193,14 @@ def locate(text: str, contents: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def chunk(df: DataFrame, key: str, text: str, mode: str = "fixed", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """``key`` and the chunks of ``text`` with their offsets; one narrow pass, a document stays in its task."""
+def chunk(df: DataFrame, key: str, text: str, mode: str = "fixed", size: int = SIZE, overlap: int = OVERLAP, exact: bool = False) -> DataFrame:
+    """``key`` and the chunks of ``text`` with their offsets; one narrow pass, a document stays in its task.
+
+    Offsets are sought in the text (``locate``), where a passage that recurs may be found at another of its
+    places; with ``exact`` (mode ``fixed`` alone) they are where the chunk was cut.
+    """
+    if exact and mode != "fixed":
+        raise ValueError("exact offsets are those of fixed chunks")
     split = MODES[mode]
     kind = dict(df.dtypes)[key]
 
@@ -195,8 +208,12 @@ def chunk(df: DataFrame, key: str, text: str, mode: str = "fixed", size: int = S
         for pdf in batches:
             rows = []
             for k, t in zip(pdf[key], pdf[text]):
-                found = split(t, size, overlap) if t else []
-                places = locate(t, [f[0] for f in found]) if found else []
+                if exact:
+                    cut = placed(t, size, overlap) if t else []
+                    found, places = [(c, None, None, None) for c, _ in cut], [(at, at + len(c)) for c, at in cut]
+                else:
+                    found = split(t, size, overlap) if t else []
+                    places = locate(t, [f[0] for f in found]) if found else []
                 rows += [(k, i, c, len(c), a, b, h, lv, p) for i, ((c, h, lv, p), (a, b)) in enumerate(zip(found, places))]
             out = pd.DataFrame(rows, columns=[key, "chunk_index", "content", "char_count", "start", "end", "heading", "heading_level", "heading_path"])
             out["heading_level"] = out["heading_level"].astype("Int32")
