@@ -26,7 +26,10 @@ class QueryRewriter(Protocol):
 
 
 class HashingEmbedder:
-    """Signed sums of hashed words, normalised; equal texts get equal vectors on every machine."""
+    """Signed sums of hashed words, normalised; equal texts get equal vectors on every machine.
+
+    A text whose words cancel out is taken as one word, so that only a blank text has no direction.
+    """
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
@@ -36,9 +39,12 @@ class HashingEmbedder:
 
         out = np.zeros((len(texts), self.dimension), np.float32)
         for row, text in zip(out, texts):
-            for word in text.lower().split():
-                h = xxhash.xxh64_intdigest(word.encode())
-                row[(h >> 1) % self.dimension] += 1.0 if h & 1 else -1.0
+            words = text.lower().split()
+            for own in (words, [" ".join(words)] if words else []):
+                if not row.any():
+                    for word in own:
+                        h = xxhash.xxh64_intdigest(word.encode())
+                        row[(h >> 1) % self.dimension] += 1.0 if h & 1 else -1.0
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size > 0, size, 1)
 
