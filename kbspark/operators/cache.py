@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.text import question_key
 
-_NONE = F.expr("CAST(array() AS array<string>)")
-
 
 def mine_history(messages: DataFrame, sessions: DataFrame, user_roles: DataFrame, cached: DataFrame, as_of: str, days: int = 7, n: int = 5) -> DataFrame:
     """Frequent questions per role that are not cached yet, with their latest answer.
@@ -35,8 +33,9 @@ def lookup(questions: DataFrame, cache: DataFrame, scope: DataFrame) -> DataFram
     ``questions(question_id, role, user_id, question)``, ``cache(entry_id, role, key, enabled, source_kbs, updated_at)``, ``scope(user_id, kbs)``.
     What fits depends on role, key and the user's bases alone: each such triple meets the newest entry of each set of bases once.
     """
-    scopes = scope.select("user_id", F.array_sort(F.array_distinct(F.coalesce("kbs", _NONE))).alias("kbs"))
-    q = questions.select("question_id", "role", "user_id", question_key("question").alias("key")).join(scopes, "user_id", "left").withColumn("kbs", F.coalesce("kbs", _NONE))
+    none = F.array().cast("array<string>")
+    scopes = scope.select("user_id", F.array_sort(F.array_distinct(F.coalesce("kbs", none))).alias("kbs"))
+    q = questions.select("question_id", "role", "user_id", question_key("question").alias("key")).join(scopes, "user_id", "left").withColumn("kbs", F.coalesce("kbs", none))
     newest = F.struct("updated_at", "entry_id").alias("entry")
     sets = cache.where("enabled").where(F.size("source_kbs") > 0).withColumn("source_kbs", F.array_sort(F.array_distinct("source_kbs")))
     entries = sets.select("role", "key", "source_kbs", newest).groupBy("role", "key", "source_kbs").agg(F.max("entry").alias("entry"))
