@@ -18,11 +18,11 @@ _CHECK = f"WITH {_HITS}, {_TRUTH}, good AS (SELECT hd.query_id, hd.rank, hd.scor
 
 def truth(t):
     """Documents that hold a question's whole passage."""
-    return R.holding(t.docs.select("doc_id", F.col("raw_text").alias("text")), t.questions.select(F.col("question_id").alias("query_id"), "passage"))
+    return stored(R.holding(t.docs.select("doc_id", F.col("raw_text").alias("text")), t.questions.select(F.col("question_id").alias("query_id"), "passage")), "truth")
 
 
 def hits(t, k=10):
-    found = index_of(t).trigram(asked(t), k)
+    found = stored(index_of(t).trigram(asked(t), k), "trigram-hits")
     return found.join(t.chunks.select("chunk_id", "doc_id"), "chunk_id")
 
 
