@@ -148,11 +148,19 @@ _COUNTS = ("t", "b", "te", "be")
 def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Each gram once, ascending, with its counts added up."""
     gram, *counts = map(np.concatenate, zip(*held))
-    order = np.argsort(gram, kind="stable")
+    order = np.argsort(gram, kind="stable" if len(held) > 1 else None)  # a stable sort is fast on ascending runs alone
     first = np.flatnonzero(np.concatenate([[True], np.diff(gram[order]) != 0]))
     return gram[order[first]], *(np.add.reduceat(c[order], first) for c in counts)
 
 
+def _first(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each gram once, ascending, and where it stands first."""
+    order = np.argsort(gram)
+    gram = gram[order]
+    new = np.flatnonzero(np.diff(gram, prepend=~gram[:1]) != 0)
+    return gram[new], np.minimum.reduceat(order, new) if len(new) else order
+
+
 def _turn(gram: np.ndarray, turns: int) -> np.ndarray:
     """The turn in which each gram is counted and asked for."""
     return (gram >> 32) % turns
@@ -177,15 +185,17 @@ def _gram_counts(rows: DataFrame, turn: int, turns: int) -> DataFrame:
                 row, word, _, pair, last = _grams(data, offs)
                 if not len(pair):
                     continue
-                t, one, none, end = target[lo + row], np.ones(len(row), np.int64), np.zeros(len(row), np.int64), last.astype(np.int64)
-                every = (np.full(2, _ALL), np.array([t.sum(), 0]), np.array([len(t), 0]), np.zeros(2, np.int64), np.zeros(2, np.int64))
-                texts = (np.full(end.sum(), _TEXTS), t[last], one[last], none[last], none[last])
-                found = map(np.concatenate, zip((pair, t, one, none, none), (word, t, one, t * end, end), texts, every))
-                gram, *cells = found
+                # two counts in a number: that in the target below, that in all documents above
+                uses = target[lo + row] + (1 << 32)
+                none, ends = np.zeros(len(row), np.int64), uses * last
+                every = (np.full(1, _ALL), uses.sum(keepdims=True), none[:1])
+                texts = (np.full(last.sum(), _TEXTS), uses[last], none[last])
+                gram, *both = map(np.concatenate, zip((pair, uses, none), (word, uses, ends), texts, every))
                 mine = _turn(gram, turns) == turn
                 if not mine.any():
                     continue
-                held.append(_merged([(gram[mine], *(c[mine] for c in cells))]))
+                gram, *both = _merged([(gram[mine], *(c[mine] for c in both))])
+                held.append((gram, *(x for c in both for x in (c & 0xFFFFFFFF, c >> 32))))
                 size += len(held[-1][0])
                 if size > 1_500_000:
                     held = [_merged(held)]
@@ -255,7 +265,7 @@ def _asked(blocks: DataFrame, sent: Broadcast, turn: int, turns: int) -> DataFra
                     row, word, _, pair, _ = _grams(data, offs)
                     gram = np.concatenate([word, pair])
                     mine = np.flatnonzero(_turn(gram, turns) == turn)
-                    gram, first = np.unique(gram[mine], return_index=True)
+                    gram, first = _first(gram[mine])
                     new = ~_places(known, gram)[1]
                     order = np.argsort(first[new])  # neighbours in the text stay neighbours: this compresses
                     gram, first = gram[new][order], mine[first[new][order]]
@@ -327,18 +337,21 @@ def exact_difference(docs: DataFrame, target_ids: DataFrame, weights: tuple[floa
         answers = _unpacked(found)
         at = answers["at"]
         token = np.searchsorted(row, answers["no"]) + at // 2
-        gram, first = np.unique(np.where(at % 2, pair[token], word[token]), return_index=True)
+        gram, first = _first(np.where(at % 2, pair[token], word[token]))
         held = [gram, *(answers[c][first] for c in _COUNTS)]
 
         def counted(gram: np.ndarray) -> list[np.ndarray]:
             """Counts of each gram; one that is in no table occurs here only."""
             out = [t.copy(), np.ones(len(gram), np.int64), t * end, end.copy()]
+            order = np.argsort(gram)  # ascending grams are found faster
+            gram = gram[order]
             turn = _turn(gram, turns)
             for asked, (known, *cols) in ((turn >= 0, held), *((turn == i, x.value) for i, x in enumerate(tables))):
                 asked = np.flatnonzero(asked)
                 at, there = _places(known, gram[asked])
+                at, place = at[there], order[asked[there]]
                 for mine, col in zip(out, cols):
-                    mine[asked[there]] = col[at[there]]
+                    mine[place] = col[at]
             return out
 
         of_pair, of_word = counted(pair), counted(word)
