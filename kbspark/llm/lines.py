@@ -8,7 +8,7 @@ and the rest is verified on the sorted arrays of 64-bit word hashes.
 
 A line is removed when an earlier line of the corpus matches it, whether that one stays or not. So
 one earlier match settles a wording: in the lists of frequent words every wording is first held
-against the earliest one of its size there, and only the unsettled ones meet the whole list.
+against the earliest one of each size there, and only the unsettled ones meet the whole list.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ _DICTIONARY = {"parquet.dictionary.page.size": 8 << 20}
 
 def line_table(docs: DataFrame) -> DataFrame:
     """``doc, mark, pos, h, line`` for every line with a word: ``mark`` is a hash of the text, ``h`` one of the line, which is in lower case with single blanks."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64("text").alias("mark"), F.split("text", "\n").alias("raw"))
+    rows = rows.select("doc", "mark", F.posexplode("raw").alias("pos", "raw"))  # the text itself does not go with every line
+    rows = rows.where(F.ltrim("raw", F.lit(" \t\x0b\f\r")) != "")  # not by the line, which would be made twice
     odd = F.contains("raw", F.lit("  "))
     for blank in "\t\x0b\f\r":
         odd |= F.contains("raw", F.lit(blank))
     line = F.trim(F.when(odd, F.regexp_replace("raw", r"\s+", " ")).otherwise(F.col("raw")))
-    rows = rows.select("doc", "mark", F.col("pos").cast("long").alias("pos"), F.lower(line).alias("line")).where("line <> ''")
+    rows = rows.select("doc", "mark", F.col("pos").cast("long").alias("pos"), F.lower(line).alias("line"))
     return rows.select("doc", "mark", "pos", F.xxhash64("line").alias("h"), "line")
 
 
@@ -98,27 +100,19 @@ def _may_match(x: str, y: str, num: int, den: int) -> Column:
 
 
 def _settled(pairs: DataFrame, wordings: DataFrame, num: int, den: int) -> DataFrame:
-    """``h`` of the later wording of each of ``pairs(a, b)`` whose words reach the threshold.
-
-    Two bytes of each word's hash come first: words of one side whose two bytes the other side
-    lacks bound the overlap, and the pairs that remain are hardly more than those that match.
-    """
+    """``h`` of the later wording of each of ``pairs(a, b)`` whose words reach the threshold; only wordings of pairs are shuffled."""
     pairs = materialize(pairs.distinct(), "line-pairs")
-    brief = wordings.select("h", "n", F.transform("words", lambda w: F.shiftrightunsigned(w, 48).cast("int")).alias("s"))
-    x, y = brief.select(F.col("h").alias("a"), F.col("n").alias("xn"), F.col("s").alias("xs")), brief.select(F.col("h").alias("b"), F.col("n").alias("yn"), F.col("s").alias("ys"))
     need = (F.col("xn") + F.col("yn")) * num
-    some = pairs.join(x, "a").join(y, "b").where(((F.col("xn") - F.size(F.array_except("xs", "ys"))) * (num + den) >= need) & ((F.col("yn") - F.size(F.array_except("ys", "xs"))) * (num + den) >= need))
-    some = materialize(some.select("a", "b"), "line-near")
-    asked = some.select(F.col("a").alias("h")).unionByName(some.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("asked"))
+    asked = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("asked"))
     asked = materialize(asked, "line-need").where("asked > 0").select("h")
     with bloom_filters(pairs.sparkSession):  # keeps wordings that are not asked for out of the shuffle
         full = materialize(wordings.select("h", F.struct(*_AT).alias("at"), "n", "words").join(asked, "h"), "line-words")
     x = full.select(F.col("h").alias("a"), F.col("at").alias("xa"), F.col("n").alias("xn"), F.col("words").alias("xw"))
     y = full.select(F.col("h").alias("b"), F.col("at").alias("ya"), F.col("n").alias("yn"), F.col("words").alias("yw"))
     # one use of the intersection in the predicate, as it may be put into the join
-    good = some.join(x, "a").join(y, "b").where(F.size(F.array_intersect("xw", "yw")) * (num + den) >= need)
+    good = pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect("xw", "yw")) * (num + den) >= need)
     late = materialize(good.select(F.when(F.col("xa") < F.col("ya"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct(), "line-late")
-    discard(pairs), discard(some), discard(full)
+    discard(pairs), discard(full)
     return late
 
 
@@ -131,7 +125,7 @@ def _late(wordings: DataFrame, num: int, den: int, bits: int) -> DataFrame:
     may = _may_match("x", "y", num, den)
     pairs = short.alias("x").join(short.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & may).select(*pair)
     first = long.groupBy("key", "n").agg(F.min(F.struct("doc", "h", "i", "sig", "sig2")).alias("first")).select("key", "n", "first.*")
-    hubs = long.alias("y").join(first.alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.n") == F.col("y.n")) & (F.col("x.h") != F.col("y.h")) & may).select(*pair)
+    hubs = long.alias("y").join(first.alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") <= F.col("y.doc")) & (F.col("x.h") != F.col("y.h")) & may).select(*pair)
     pairs = materialize(pairs.distinct(), "line-pairs").unionByName(materialize(hubs.distinct(), "line-pairs"))
     late = _settled(pairs, wordings, num, den)
     rest = _postings(prefixes.join(late, "h", "left_anti"), True)
@@ -141,7 +135,7 @@ def _late(wordings: DataFrame, num: int, den: int, bits: int) -> DataFrame:
     return late
 
 
-def removed_places(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
+def removed_places(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
     """``doc, mark, n_lines, places`` for every document with words: the number of its lines with a word, and the places of those that match an earlier line.
 
     ``2**bits`` bytes is the fixed size of the table of word rarities, which every task gets. The
@@ -170,7 +164,7 @@ def _with_places(docs: DataFrame, found: DataFrame, columns: list[Column]) -> tu
     return keyed.join(named, [doc, mark], "left"), lines, places
 
 
-def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
+def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` for every row of ``docs(doc_id, text)``.
 
     ``n_lines`` counts lines with a word, ``removed`` are the numbers (from 0) of those that match
@@ -185,7 +179,7 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17
     return rows.select("doc_id", F.coalesce(n_lines, F.lit(0).cast("long")).alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed"))
 
 
-def drop_later_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 17) -> DataFrame:
+def drop_later_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
     """``docs`` with the matching lines taken out of ``text``; all other columns as they are.
 
     Documents that had lines with words and lose them all go; others stay, blank ones too.

@@ -604,3 +604,15 @@ def test_ngram_join_without_ids(spark):
         kept.append(sorted(r.text for r in ngram_join.keep_sets(rows.select(id_.alias("doc_id"), "text"), 90, 100, 3).collect()))
         took.append(time.time() - began)
     assert len(kept[0]) == 2000 and kept[0] == kept[1] == kept[2] and max(took[1:]) < 3 * took[0] + 10
+
+
+def test_line_dedup_shared_passage(spark, monkeypatch):
+    """A passage in many lines: nearly all are settled by the earliest line of each size, and few pairs are left for whole lists."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join([*(f"o{i}x{j}" for j in range((i * 7 + 3) % 10)), passage])) for i in range(600)]
+    tried, settled = [], lines._settled
+    monkeypatch.setattr(lines, "_settled", lambda pairs, *rest: (tried.append(pairs.count()), settled(pairs, *rest))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = brute_lines(rows)
+    same(lines.removed_lines(df), [(i, 1, len(gone[i, t]), ",".join(map(str, gone[i, t]))) for i, t in rows], ["doc_id", "n_lines", "n_removed", "removed"])
+    assert tried[1] < 5 * len(rows)
