@@ -27,29 +27,26 @@ _DICTIONARY = {"parquet.dictionary.page.size": 8 << 20}
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``doc, mark, pos, h, line`` for every line with a word: ``mark`` is a hash of the text, ``h`` one of the line, which is in lower case with single blanks."""
+    """``doc, mark, pos, h, words`` for every line with a word: ``mark`` is a hash of the text, ``h`` one of the line in lower case with single blanks, ``words`` the distinct hashes of its words."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64("text").alias("mark"), F.split("text", "\n").alias("raw"))
     rows = rows.select("doc", "mark", F.posexplode("raw").alias("pos", "raw"))  # the text itself does not go with every line
-    rows = rows.where(F.ltrim("raw", F.lit(" \t\x0b\f\r")) != "")  # not by the line, which would be made twice
+    rows = rows.where(_has_word(F.col("raw")))  # not by the line, which would be made twice
     odd = F.contains("raw", F.lit("  "))
     for blank in "\t\x0b\f\r":
         odd |= F.contains("raw", F.lit(blank))
     line = F.trim(F.when(odd, F.regexp_replace("raw", r"\s+", " ")).otherwise(F.col("raw")))
     rows = rows.select("doc", "mark", F.col("pos").cast("long").alias("pos"), F.lower(line).alias("line"))
-    return rows.select("doc", "mark", "pos", F.xxhash64("line").alias("h"), "line")
+    return rows.select("doc", "mark", "pos", F.xxhash64("line").alias("h"), F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))).alias("words"))
 
 
-def _wordings(lines: DataFrame) -> DataFrame:
-    """``h, doc, mark, pos, uses, n, words``: each wording once, with its first place and the ascending hashes of its words."""
-    once = lines.groupBy("h").agg(F.min(F.struct(*_AT)).alias("at"), F.count("*").alias("uses"), F.any_value("line").alias("line"))
-    words = F.sort_array(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))))
-    return once.select("h", "at.*", "uses", words.alias("words")).withColumn("n", F.size("words").cast("long"))
+def _has_word(raw: Column) -> Column:
+    return F.ltrim(raw, F.lit(" \t\x0b\f\r")) != ""
 
 
-def rarity_table(wordings: DataFrame, bits: int) -> bytes:
-    """One byte for each of 2**bits buckets of words: four times the binary logarithm of the bucket's count of wordings."""
+def rarity_table(lines: DataFrame, bits: int) -> bytes:
+    """One byte for each of 2**bits buckets of words: four times the binary logarithm of the bucket's count of lines."""
     bucket = F.col("word").bitwiseAND(F.lit((1 << bits) - 1))
-    counts = wordings.select(F.explode("words").alias("word")).groupBy(bucket.alias("bucket")).agg(F.least(F.lit(127), F.floor(4 * F.log2(F.count("*") + 1))).cast("tinyint").alias("rank"))
+    counts = lines.select(F.explode("words").alias("word")).groupBy(bucket.alias("bucket")).agg(F.least(F.lit(127), F.floor(4 * F.log2(F.count("*") + 1))).cast("tinyint").alias("rank"))
     counts = materialize(counts, "line-rarity").toArrow()
     table = np.zeros(1 << bits, np.uint8)
     table[counts.column("bucket").to_numpy()] = counts.column("rank").to_numpy()
@@ -62,12 +59,12 @@ def _ceil_share(n: Column, num: int, den: int) -> Column:
 
 #: A word of this rank has a list of at most 2**(SHORT / 4 + 1 / 4) wordings, which give all their pairs at once.
 SHORT = 34
-#: Sizes and places in a posting are told up to this; beyond it filters let pairs through.
+#: Sizes and places in a posting are told up to this, in 12 bits each; beyond it filters let pairs through.
 _FULL = 4095
 
 
-def _prefixes(wordings: DataFrame, table: bytes, bits: int, num: int, den: int) -> DataFrame:
-    """``h, doc, n, sig, sig2, prefix``: a signature of 128 bits and the rare words of each wording, rarest first, each with its rank in the top byte."""
+def _prefixes(lines: DataFrame, table: bytes, bits: int, num: int, den: int) -> DataFrame:
+    """``h, doc, mark, pos, n, sig, sig2, prefix``: a signature of 128 bits and the rare words of each line, rarest first, each with its rank in the top byte."""
 
     def ranked(w: Column) -> Column:
         at = w.bitwiseAND(F.lit((1 << bits) - 1)) + 1
@@ -75,93 +72,129 @@ def _prefixes(wordings: DataFrame, table: bytes, bits: int, num: int, den: int)
         return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(w, 8))
 
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    half = lambda own: F.aggregate("words", F.lit(0).cast("long"), lambda acc, x: F.when(x.bitwiseAND(F.lit(64)) == own, acc.bitwiseOR(bit(x))).otherwise(acc))
-    rows = wordings.select("h", "doc", "n", half(0).alias("sig"), half(64).alias("sig2"), F.sort_array(F.transform("words", ranked)).alias("ranked"))
-    return rows.select("h", "doc", "n", "sig", "sig2", F.slice("ranked", F.lit(1), (F.col("n") - _ceil_share(F.col("n"), num, den) + 1).cast("int")).alias("prefix"))
+    half = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+    # hashes below 0 have one half of the signature, the others the second
+    rows = lines.select("h", *_AT, "words", F.filter("words", lambda x: x < 0).alias("below"))
+    rows = rows.select("h", *_AT, F.size("words").cast("long").alias("n"), half("below").alias("sig"), half(F.array_except("words", "below")).alias("sig2"), F.sort_array(F.transform("words", ranked)).alias("ranked"))
+    return rows.select("h", *_AT, "n", "sig", "sig2", F.slice("ranked", F.lit(1), (F.col("n") - _ceil_share(F.col("n"), num, den) + 1).cast("int")).alias("prefix"))
 
 
-def _postings(prefixes: DataFrame, long: bool) -> DataFrame:
-    """``key, h, doc, n, i, sig, sig2``: the words of short or long lists, each wording once in a list."""
-    rows = prefixes.select("h", "doc", F.least("n", F.lit(_FULL)).alias("n"), "sig", "sig2", F.posexplode("prefix").alias("i", "word"))
-    rank = F.shiftright("word", 56)
+def _wordings(prefixes: DataFrame) -> DataFrame:
+    """``h, doc, mark, pos, uses, n, sig, sig2, prefix``: each wording once, with its first place; its words stay with the lines."""
+    once = prefixes.groupBy("h").agg(F.min(F.struct(*_AT)).alias("at"), F.count("*").alias("uses"), F.any_value(F.struct("n", "sig", "sig2", "prefix")).alias("own"))
+    return once.select("h", "at.*", "uses", "own.*")
+
+
+def _postings(wordings: DataFrame, long: bool) -> DataFrame:
+    """``word, h, doc, sig, sig2``: the words of short or long lists, each wording once in a list; ``word`` is 40 bits of its hash, the wording's size and the word's place."""
+    rows = wordings.select("h", "doc", "sig", "sig2", F.least("n", F.lit(_FULL)).alias("n"), F.posexplode("prefix").alias("i", "ranked"))
+    rank = F.shiftright("ranked", 56)
     rows = rows.where(rank > SHORT if long else rank <= SHORT)
-    return rows.select(F.col("word").bitwiseAND(F.lit((1 << 56) - 1)).alias("key"), "h", "doc", "n", F.least("i", F.lit(_FULL)).cast("long").alias("i"), "sig", "sig2")
+    place = F.shiftleft("n", 12).bitwiseOR(F.least("i", F.lit(_FULL)).cast("long"))
+    return rows.select(F.shiftleft("ranked", 24).bitwiseOR(place).alias("word"), "h", "doc", "sig", "sig2")
+
+
+def _key(side: str) -> Column:
+    return F.shiftright(f"{side}.word", 24)
 
 
 def _may_match(x: str, y: str, num: int, den: int) -> Column:
     """Length, positional and bit-count filters for two postings of one word."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    nx, ny = c(x, "n"), c(y, "n")
-    lacks = lambda a, b, s: F.bit_count(c(a, s).bitwiseAND(F.bitwise_not(c(b, s))))
+    size = lambda side: F.shiftright(f"{side}.word", 12).bitwiseAND(F.lit(_FULL))
+    place = lambda side: F.col(f"{side}.word").bitwiseAND(F.lit(_FULL))
+    nx, ny = size(x), size(y)
+    lacks = lambda a, b, sig: F.bit_count(F.col(f"{a}.{sig}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{sig}"))))
     lost = lambda a, b: lacks(a, b, "sig") + lacks(a, b, "sig2")
-    most = F.least(nx - c(x, "i"), ny - c(y, "i"), nx - lost(x, y), ny - lost(y, x))
+    most = F.least(nx - place(x), ny - place(y), nx - lost(x, y), ny - lost(y, x))
     fits = (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (most * (num + den) >= (nx + ny) * num)
     return (nx == _FULL) | (ny == _FULL) | fits
 
 
-def _settled(pairs: DataFrame, wordings: DataFrame, num: int, den: int) -> DataFrame:
-    """``h`` of the later wording of each of ``pairs(a, b)`` whose words reach the threshold; only wordings of pairs are shuffled."""
+def _settled(pairs: DataFrame, wordings: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
+    """``h`` of the later wording of each of ``pairs(a, da, b, db)`` whose words reach the threshold; only lines of pairs are shuffled.
+
+    One earlier match is enough: each wording is first held against the candidate of the earliest
+    document, and only those that this one does not settle meet all the others.
+    """
     pairs = materialize(pairs.distinct(), "line-pairs")
-    need = (F.col("xn") + F.col("yn")) * num
     asked = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("asked"))
     asked = materialize(asked, "line-need").where("asked > 0").select("h")
-    with bloom_filters(pairs.sparkSession):  # keeps wordings that are not asked for out of the shuffle
-        full = materialize(wordings.select("h", F.struct(*_AT).alias("at"), "n", "words").join(asked, "h"), "line-words")
-    x = full.select(F.col("h").alias("a"), F.col("at").alias("xa"), F.col("n").alias("xn"), F.col("words").alias("xw"))
-    y = full.select(F.col("h").alias("b"), F.col("at").alias("ya"), F.col("n").alias("yn"), F.col("words").alias("yw"))
-    # one use of the intersection in the predicate, as it may be put into the join
-    good = pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect("xw", "yw")) * (num + den) >= need)
-    late = materialize(good.select(F.when(F.col("xa") < F.col("ya"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct(), "line-late")
-    discard(pairs), discard(full)
+    spark = pairs.sparkSession
+    with bloom_filters(spark):  # keeps wordings and lines that are not asked for out of the shuffle
+        places = materialize(wordings.select("h", *_AT).join(asked, "h").withColumn("asked", F.lit(1)), "line-need").where("asked > 0").drop("asked")
+        full = lines.select("h", *_AT, "words").join(places, ["h", *_AT]).dropDuplicates(["h", *_AT])  # copies of a line lie in other places
+        full = materialize(full.select("h", F.struct(*_AT).alias("at"), "words"), "line-words")
+
+    def proved(some: DataFrame) -> DataFrame:
+        x = full.select(F.col("h").alias("a"), F.col("at").alias("xa"), F.col("words").alias("xw"))
+        y = full.select(F.col("h").alias("b"), F.col("at").alias("ya"), F.col("words").alias("yw"))
+        # one use of the intersection in the predicate, as it may be put into the join
+        good = some.select("a", "b").join(x, "a").join(y, "b").where(F.size(F.array_intersect("xw", "yw")) * (num + den) >= (F.size("xw") + F.size("yw")) * num)
+        return materialize(good.select(F.when(F.col("xa") < F.col("ya"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct(), "line-late")
+
+    # of one document, the wordings' order is not known here
+    known = pairs.select(F.when(F.col("da") < F.col("db"), F.col("a")).otherwise(F.col("b")).alias("x"), F.least("da", "db").alias("dx"), F.when(F.col("da") < F.col("db"), F.col("b")).otherwise(F.col("a")).alias("y"), (F.col("da") == F.col("db")).alias("same"))
+    known = materialize(known, "line-pairs")
+    first = known.where("not same").groupBy(F.col("y").alias("b")).agg(F.min(F.struct("dx", "x")).alias("first")).select(F.col("first.x").alias("a"), "b")
+    late = proved(first)
+    left = known.join(late.withColumnRenamed("h", "y"), "y", "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    left = left.unionByName(known.where("same").select(F.col("x").alias("a"), F.col("y").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("told"))
+    left = materialize(left, "line-pairs").where("told > 0")
+    with bloom_filters(spark):
+        late = materialize(late.unionByName(proved(left)).distinct(), "line-late")
+    discard(pairs), discard(known), discard(full), discard(places), discard(left)
     return late
 
 
-def _late(wordings: DataFrame, num: int, den: int, bits: int) -> DataFrame:
+def _late(lines: DataFrame, wordings: DataFrame, num: int, den: int) -> DataFrame:
     """``h`` of every wording that an earlier one matches."""
-    table = rarity_table(wordings, bits)
-    prefixes = materialize(_prefixes(wordings, table, bits, num, den), "line-prefixes")
-    short, long = _postings(prefixes, False), _postings(prefixes, True)
-    pair = F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")
-    may = _may_match("x", "y", num, den)
-    pairs = short.alias("x").join(short.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & may).select(*pair)
-    first = long.groupBy("key", "n").agg(F.min(F.struct("doc", "h", "i", "sig", "sig2")).alias("first")).select("key", "n", "first.*")
-    hubs = long.alias("y").join(first.alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") <= F.col("y.doc")) & (F.col("x.h") != F.col("y.h")) & may).select(*pair)
+    short, long = _postings(wordings, False), _postings(wordings, True)
+    low = F.col("x.h") < F.col("y.h")
+    pair = [F.when(low, F.col(f"{one}.{c}")).otherwise(F.col(f"{two}.{c}")).alias(name) for one, two, c, name in (("x", "y", "h", "a"), ("x", "y", "doc", "da"), ("y", "x", "h", "b"), ("y", "x", "doc", "db"))]
+    may = (_key("x") == _key("y")) & _may_match("x", "y", num, den)
+    pairs = short.alias("x").join(short.alias("y"), low & may).select(*pair)
+    earlier = (F.col("x.doc") <= F.col("y.doc")) & (F.col("x.h") != F.col("y.h")) & may
+    size = F.shiftright("word", 12).bitwiseAND(F.lit(_FULL))
+    first = long.groupBy(F.shiftright("word", 24).alias("key"), size.alias("n")).agg(F.min(F.struct("doc", "h", "word", "sig", "sig2")).alias("first")).select("first.*")
+    hubs = long.alias("y").join(first.alias("x"), earlier).select(*pair)
     pairs = materialize(pairs.distinct(), "line-pairs").unionByName(materialize(hubs.distinct(), "line-pairs"))
-    late = _settled(pairs, wordings, num, den)
-    rest = _postings(prefixes.join(late, "h", "left_anti"), True)
-    more = long.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") <= F.col("y.doc")) & (F.col("x.h") != F.col("y.h")) & may).select(*pair)
-    late = late.unionByName(_settled(more, wordings, num, den))
-    discard(prefixes)
-    return late
+    late = _settled(pairs, wordings, lines, num, den)
+    rest = long.join(late, "h", "left_anti")
+    more = long.alias("x").join(rest.alias("y"), earlier).select(*pair)
+    return late.unionByName(_settled(more, wordings, lines, num, den)).distinct()
 
 
 def removed_places(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
-    """``doc, mark, n_lines, places`` for every document with words: the number of its lines with a word, and the places of those that match an earlier line.
+    """``doc, mark, places`` for every document with lines that match an earlier line: the places of these.
 
     ``2**bits`` bytes is the fixed size of the table of word rarities, which every task gets. The
     order of lines is that of doc_id, text hash and line number.
     """
-    full = materialize(line_table(docs), "lines")
-    wordings = materialize(_wordings(full), "line-wordings", **_DICTIONARY)
-    lines = materialize(full.drop("line"), "line-places")
-    discard(full)
-    late = _late(wordings, num, den, bits).withColumn("late", F.lit(True))
-    known = wordings.select("h", F.struct(*_AT).alias("at"), "uses").join(late, "h", "left").where("late or uses > 1")
-    rows = lines.join(known.select("h", "at", "late"), "h", "left")
-    gone = F.coalesce(F.col("late") | (F.struct(*_AT) != F.col("at")), F.lit(False))
-    found = rows.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", gone.alias("gone"))).alias("found"))
-    found = found.select("doc", "mark", F.size("found").cast("long").alias("n_lines"), F.transform(F.filter("found", lambda x: x["gone"]), lambda x: x["pos"]).alias("places"))
-    found = materialize(found, "line-removed")
+    lines = materialize(line_table(docs), "lines", **_DICTIONARY)
+    wordings = materialize(_wordings(_prefixes(lines, rarity_table(lines, bits), bits, num, den)), "line-wordings")
+    late = _late(lines, wordings, num, den)
+    at = F.struct(*_AT)
+    known = wordings.where("uses > 1").select("h", at.alias("at"), F.lit(False).alias("late")).unionByName(late.select("h", F.lit(None).cast("struct<doc:bigint,mark:bigint,pos:bigint>").alias("at"), F.lit(True).alias("late")))
+    known = known.groupBy("h").agg(F.max("at").alias("at"), F.max("late").alias("late"), F.count("*").alias("told"))
+    known = materialize(known, "line-known").where("told > 0")
+    with bloom_filters(docs.sparkSession):  # keeps lines of single wordings that stay out of the shuffle
+        gone = lines.select("h", *_AT).join(known.select("h", "at", "late"), "h").where(F.col("late") | (at != F.col("at")))
+        found = materialize(gone.groupBy("doc", "mark").agg(F.collect_set("pos").alias("places")), "line-removed")
     discard(lines), discard(wordings)
     return found
 
 
-def _with_places(docs: DataFrame, found: DataFrame, columns: list[Column]) -> tuple[DataFrame, str, str]:
-    """``columns`` of ``docs`` beside the number of lines and the removed places, and the names of these two."""
-    doc, mark, lines, places = own_names(docs, "__doc", "__mark", "__lines", "__places")
+def _n_lines(text: str) -> Column:
+    """The number of lines with a word."""
+    return F.size(F.filter(F.split(text, "\n"), _has_word)).cast("long")
+
+
+def _with_places(docs: DataFrame, found: DataFrame, columns: list[Column]) -> tuple[DataFrame, str]:
+    """``columns`` of ``docs`` beside the removed places, null if there are none, and the name of these."""
+    doc, mark, places = own_names(docs, "__doc", "__mark", "__places")
     keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias(doc), F.xxhash64("text").alias(mark))
-    named = found.select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("n_lines").alias(lines), F.col("places").alias(places))
-    return keyed.join(named, [doc, mark], "left"), lines, places
+    named = found.select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("places").alias(places))
+    return keyed.join(named, [doc, mark], "left"), places
 
 
 def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
@@ -174,9 +207,9 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20
     comes before all others; other columns are not looked at; an empty table gives an empty
     result; long texts are read whole. Wordings and words are told apart by 64-bit hashes.
     """
-    rows, n_lines, places = _with_places(docs, removed_places(docs, num, den, bits), [F.col("doc_id")])
+    rows, places = _with_places(docs, removed_places(docs, num, den, bits), [F.col("doc_id"), _n_lines("text").alias("n_lines")])
     gone = F.sort_array(F.coalesce(places, F.array().cast("array<bigint>")))
-    return rows.select("doc_id", F.coalesce(n_lines, F.lit(0).cast("long")).alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed"))
+    return rows.select("doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed"))
 
 
 def drop_later_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20) -> DataFrame:
@@ -184,10 +217,10 @@ def drop_later_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int =
 
     Documents that had lines with words and lose them all go; others stay, blank ones too.
     """
-    rows, n_lines, places = _with_places(docs, removed_places(docs, num, den, bits), [F.col(f"`{c}`") for c in docs.columns])
+    rows, places = _with_places(docs, removed_places(docs, num, den, bits), [F.col(f"`{c}`") for c in docs.columns])
     some = F.coalesce(F.size(places) > 0, F.lit(False))
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col(places))
     text = F.when(some, F.array_join(F.transform(stay, lambda i: F.get(lines, i.cast("int"))), "\n")).otherwise(F.col("text"))
-    rows = rows.where(~some | (F.size(places) < F.col(n_lines)))
+    rows = rows.where(~some | (F.size(places) < _n_lines("text")))
     return rows.select(*[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
