@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.llm import _text
-from kbspark.llm._store import discard, materialize, small_batches
+from kbspark.llm._store import bloom_filters, discard, materialize, small_batches
 from kbspark.llm._words import LEAST, doc_key, own_names
 from kbspark.llm.graph import components, with_root
 
@@ -242,9 +242,12 @@ def _groups(docs: DataFrame, num: int, den: int, k: int) -> tuple[DataFrame, Dat
     discard(keyed)
     place = F.struct(F.coalesce("doc_id", F.lit(LEAST)).alias("k1"), "k2")
     by_set = table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(place).alias("at"))
-    need = met.select("fp").distinct().join(by_set, "fp").select("fp", "at.k1", "at.k2")
+    need = materialize(met.groupBy("fp").agg(F.count("*").alias("places")).join(by_set, "fp").select("fp", "at.k1", "at.k2", "places"), "need")
     # one text a set: neither rows without an id nor texts under one id meet each other
-    contents = materialize(_contents(need.join(docs.select(*doc_key(), "text"), ["k1", "k2"]), k, num, den).dropDuplicates(["fp"]), "contents")
+    with bloom_filters(docs.sparkSession):  # keeps texts that meet no other out of the shuffle
+        wanted = need.where("places > 0").select("fp", "k1", "k2").join(docs.select(*doc_key(), "text"), ["k1", "k2"])
+        contents = materialize(_contents(wanted, k, num, den).dropDuplicates(["fp"]), "contents")
+    discard(need)
     marks = contents.drop("grams")
 
     def check(pairs: DataFrame) -> DataFrame:

@@ -625,3 +625,16 @@ def test_line_dedup_stores_no_text(spark, docs, rows, monkeypatch):
     gone = brute_lines(rows)
     same(lines.removed_lines(docs), [(i, sum(bool(x.split()) for x in (t or "").split("\n")), len(gone[i, t]), ",".join(map(str, gone[i, t]))) for i, t in rows], ["doc_id", "n_lines", "n_removed", "removed"])
     assert "lines" in stored and not [tag for tag, columns in stored.items() if "string" in columns.values()]
+
+
+def test_ngram_join_leaves_other_texts(spark, monkeypatch):
+    """Texts that meet no other are held back by a Bloom filter before the shuffle of texts."""
+    plans, put = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, tag, **options: (plans.setdefault(tag, df._jdf.queryExecution().optimizedPlan().toString()), put(df, tag, **options))[1])
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ngram_join.keep_sets(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), 80, 100, 5).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "might_contain" in plans["contents"]
